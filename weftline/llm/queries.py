@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, secrets, simhash
+from . import decontam, embedding_dedup, langid, secrets, simhash, toxicity
 from .common import held_out, read
 
 
@@ -24,6 +24,23 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out("doc_id").alias("held_out"), "language.lang_pred", "language.score")
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each benchmark passage found: document, item, place in the text and word edits."""
+    found = decontam.passages(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.explode("passages").alias("p")).select("doc_id", "p.item_id", "p.start", "p.end", "p.distance")
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.score(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels"))
+    near = F.array_join(F.transform("toxicity.neighbours", lambda x: x["doc_id"].cast("string")), ",")
+    score = F.col("toxicity.score")
+    return found.select("doc_id", held_out("doc_id").alias("held_out"), score.alias("score"), (score >= 0.3).cast("int").alias("predicted"), near.alias("neighbours"))
+
+
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = simhash.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return near.select("doc_id", F.col("fp").alias("fingerprint"), "component_id")
@@ -32,6 +49,9 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op3_language_id": op3_language_id,
+    "op4_embedding_dedup": op4_embedding_dedup,
+    "op6_decontamination": op6_decontamination,
+    "op8_toxicity": op8_toxicity,
     "op10_simhash_dedup": op10_simhash_dedup,
 }
 
