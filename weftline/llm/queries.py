@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, embedding_dedup, langid, secrets, simhash, toxicity
+from . import decontam, embedding_dedup, langid, pii, secrets, simhash, toxicity
 from .common import held_out, read
 
 
@@ -41,6 +41,16 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out("doc_id").alias("held_out"), score.alias("score"), (score >= 0.3).cast("int").alias("predicted"), near.alias("neighbours"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+    def n(kind: str):
+        return F.size(F.filter("pii", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    base = F.filter("pii", lambda s: s["kind"] != "term")
+    return found.select("doc_id", *[n(k) for k in pii.PATTERNS], F.sha2(pii.digest(base), 256).alias("base_sha256"), pii.digest(F.col("pii")).alias("spans"), n("term"))
+
+
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = simhash.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return near.select("doc_id", F.col("fp").alias("fingerprint"), "component_id")
@@ -52,6 +62,7 @@ QUERIES = {
     "op4_embedding_dedup": op4_embedding_dedup,
     "op6_decontamination": op6_decontamination,
     "op8_toxicity": op8_toxicity,
+    "op9_pii": op9_pii,
     "op10_simhash_dedup": op10_simhash_dedup,
 }
 
