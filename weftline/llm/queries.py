@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, embedding_dedup, langid, pii, secrets, simhash, toxicity
+from . import decontam, embedding_dedup, langid, mixing, oracles, pii, quality, secrets, simhash, toxicity, warc
 from .common import held_out, read
 
 
@@ -19,6 +19,11 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[n(k) for k in secrets.BASE_KINDS], F.sha2(secrets.digest(base), 256).alias("base_sha256"), secrets.digest(F.col("secrets")).alias("spans"))
 
 
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sampled documents with their cell, inclusion probability and weight."""
+    return mixing.sample_documents(read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")).drop("text")
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = langid.identify(read(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     return found.select("doc_id", held_out("doc_id").alias("held_out"), "language.lang_pred", "language.score")
@@ -28,12 +33,24 @@ def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(read(spark, sf_dir, "embeddings"))
 
 
+def op5_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conditional revisit of the pages' capture log, resolved."""
+    found = warc.resolve_revisits(warc.captures_of(read(spark, sf_dir, "pages")))
+    fields = F.array_join(F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat_ws(": ", e["key"], e["value"])), "\n")
+    return found.select("record_id", "canonical", "response_id", "verdict", fields.alias("headers"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each benchmark passage found: document, item, place in the text and word edits."""
     found = decontam.passages(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
     return found.select("doc_id", F.explode("passages").alias("p")).select("doc_id", "p.item_id", "p.start", "p.end", "p.distance")
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.score(read(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"), read(spark, sf_dir, "labels"))
+    return found.select("doc_id", held_out("doc_id").alias("held_out"), "quality.score_text", "quality.score_meta", "quality.score")
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = toxicity.score(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels"))
     near = F.array_join(F.transform("toxicity.neighbours", lambda x: x["doc_id"].cast("string")), ",")
@@ -58,12 +75,19 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_source_mixing": op2_source_mixing,
     "op3_language_id": op3_language_id,
     "op4_embedding_dedup": op4_embedding_dedup,
+    "op5_warc_revisits": op5_warc_revisits,
     "op6_decontamination": op6_decontamination,
+    "op7_quality": op7_quality,
     "op8_toxicity": op8_toxicity,
     "op9_pii": op9_pii,
     "op10_simhash_dedup": op10_simhash_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_secret_scan": oracles.secret_scan(),
+    "op4_embedding_dedup": oracles.EMBEDDING_LINKS,
+    "op5_warc_revisits": oracles.warc_revisits(),
+}
