@@ -27,8 +27,8 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9]){15,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: What a text must hold for a kind to be looked for (a plain search is cheaper than the pattern).
-NEEDS = {"email": "@", "ip": ".", "phone": "+"}
+#: What a text must hold for a kind to be looked for (a plain search is cheaper than the pattern), beside digits.
+NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 IP_PART = r"^0*(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})$"
 WORD = r"[\p{L}\p{N}_]+"
 KINDS = (*PATTERNS, "term")
@@ -85,9 +85,8 @@ def base_spans(text: Column) -> Column:
             return F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"))
 
         own = F.transform(F.filter(matches(text, pattern), _unary(held)), _unary(named))
-        may = F.contains(text, F.lit(NEEDS[kind])) if kind in NEEDS else text.rlike("[0-9]{4}|[0-9][ -][0-9]")
-        found.append(F.when(may & text.rlike(pattern), own).otherwise(empty))
-    return F.concat(*found)
+        found.append(F.when(F.contains(text, F.lit(NEEDS[kind])) & text.rlike(pattern), own).otherwise(empty))
+    return F.when(text.rlike("[0-9]"), F.concat(*found)).when(F.contains(text, F.lit("@")), found[0]).otherwise(empty)
 
 
 def _unary(f):
@@ -117,33 +116,31 @@ def lines_of(text: Column) -> Column:
 def disclosing(docs: DataFrame, text: str = "text", alpha: float = 0.8, support: int = 3) -> DataFrame | None:
     """Entity ``c`` and term ``t`` where the term reveals the entity; None if no term can.
 
-    Units are the distinct lines of all texts. A pair needs ``support`` distinct
-    contexts (the words just before and after the entity), so that copies of one
-    passage are no evidence.
+    Units are the lines of all texts. A pair needs ``support`` distinct contexts
+    (the words just before and after the entity), so that copies of one passage
+    are no evidence, however many there are.
     """
     plain = docs.select(F.coalesce(F.col(text), F.lit("")).alias("t"))
-    holding = plain.select("t", F.size(base_spans(F.col("t"))).alias("n")).where("n > 0").select(F.explode(lines_of(F.col("t"))).alias("line"))
-    spotted = holding.select("line", base_spans(F.col("line")).alias("s")).where(F.size("s") > 0)
-    spotted = spotted.select(F.xxhash64("line").alias("lh"), "line", "s", _outside(F.col("line"), F.col("s")).alias("rest"))
-    each = spotted.select("lh", terms_of(F.col("rest")).alias("terms"), F.explode(F.col("s")).alias("e"), "line")
+    holding = plain.where(F.size(base_spans(F.col("t"))) > 0).select(F.explode(lines_of(F.col("t"))).alias("line"))
+    holding = holding.where(F.size(base_spans(F.col("line"))) > 0).groupBy("line").agg(F.count("*").alias("n"))
+    spotted = holding.withColumn("s", base_spans(F.col("line"))).withColumn("rest", _outside(F.col("line"), F.col("s")))
+    each = spotted.select("n", "line", terms_of(F.col("rest")).alias("terms"), F.explode("s").alias("e"))
     before = F.regexp_extract(F.substring("line", F.lit(1), F.col("e.start")), r"(\S*)\s*$", 1)
     after = F.regexp_extract(F.expr("substring(line, e.end + 1)"), r"^\s*(\S*)", 1)
-    each = each.select("lh", "terms", entity(F.col("e")).alias("c"), F.xxhash64(before, after).alias("ctx"))
-    each = settle(each.dropDuplicates(["lh", "c", "ctx"]), "entity-lines")
-    known = each.groupBy("c").agg(F.count_distinct("lh").alias("n_c"), F.count_distinct("ctx").alias("contexts")).where(F.col("contexts") >= support)
-    pairs = each.join(known, "c").select("c", "n_c", "lh", "ctx", F.explode("terms").alias("t"))
-    pairs = pairs.groupBy("c", "n_c", "t").agg(F.count_distinct("lh").alias("n_ct"), F.count_distinct("ctx").alias("contexts")).where(F.col("contexts") >= support)
+    each = settle(each.select("n", "terms", entity(F.col("e")).alias("c"), F.xxhash64(before, after).alias("ctx")), "entity-lines")
+    known = each.groupBy("c").agg(F.sum("n").alias("n_c"), F.count_distinct("ctx").alias("contexts")).where(F.col("contexts") >= support)
+    pairs = each.join(known.select("c", "n_c"), "c").select("c", "n_c", "n", "ctx", F.explode("terms").alias("t"))
+    pairs = pairs.groupBy("c", "n_c", "t").agg(F.sum("n").alias("n_ct"), F.count_distinct("ctx").alias("contexts")).where(F.col("contexts") >= support)
     pairs = settle(pairs.select("c", "n_c", "t", "n_ct"), "pairs")
     if pairs.isEmpty():
         return None
     wanted = pairs.select("t").distinct()
-    lines = plain.select(F.explode(lines_of(F.col("t"))).alias("line")).select(F.xxhash64("line").alias("lh"), "line")
-    total = F.lit(float(max(1, lines.select("lh").distinct().count())))
-    seen = lines.select("lh", F.explode(terms_of(F.col("line"))).alias("t")).join(wanted, "t", "left_semi").distinct()
+    total = F.lit(float(plain.agg(F.sum(F.size(lines_of(F.col("t"))))).first()[0]))
+    seen = plain.select(F.explode(lines_of(F.col("t"))).alias("line")).select(F.explode(terms_of(F.col("line"))).alias("t")).join(wanted, "t", "left_semi")
     counted = pairs.join(seen.groupBy("t").agg(F.count("*").alias("n_t")), "t")
     pmi = F.log2(F.col("n_ct") * total / (F.col("n_c") * F.col("n_t")))
     ic = F.log2(total / F.col("n_c"))
-    return counted.where((ic > 0) & (pmi >= alpha * ic)).select("c", "t")
+    return settle(counted.where((ic > 0) & (pmi >= alpha * ic)).select("c", "t"), "disclosing")
 
 
 def _term_spans(text: Column, lines: Column) -> Column:
@@ -175,7 +172,7 @@ def scan(docs: DataFrame, text: str = "text", out: str = "pii", alpha: float = 0
     pairs = disclosing(docs, text, alpha, support)
     if pairs is None:
         return marked
-    entities = docs.select(t.alias("t")).select("t", F.size(base_spans(F.col("t"))).alias("n")).where("n > 0").select(F.xxhash64("t").alias("th"), F.posexplode(lines_of(F.col("t"))).alias("no", "line"))
+    entities = docs.select(t.alias("t")).where(F.size(base_spans(F.col("t"))) > 0).select(F.xxhash64("t").alias("th"), F.posexplode(lines_of(F.col("t"))).alias("no", "line"))
     entities = entities.select("th", "no", F.explode(base_spans(F.col("line"))).alias("e")).select("th", "no", entity(F.col("e")).alias("c")).distinct()
     told = entities.join(pairs, "c").groupBy("th", "no").agg(F.sort_array(F.collect_set("t")).alias("terms")).groupBy("th").agg(F.sort_array(F.collect_list(F.struct("no", "terms"))).alias("lines"))
     keyed = marked.withColumn("__th", F.when(F.size(out) > 0, F.xxhash64(t)))
