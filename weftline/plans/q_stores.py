@@ -95,7 +95,7 @@ def k19(spark, sf):
 @query("u03_set_difference", "SELECT DISTINCT user_id FROM events WHERE event_type = 'view' EXCEPT SELECT user_id FROM events WHERE event_type = 'error' AND value > 49 AND user_id % 2 = 0")
 def u03(spark, sf):
     own = table(spark, sf, "events")
-    gone = own.where("event_type = 'error' and value > 15").select("user_id")
+    gone = own.where("event_type = 'error' and value > 49 and user_id % 2 = 0").select("user_id")
     return own.where("event_type = 'view'").select("user_id").distinct().join(gone, "user_id", "left_anti")
 
 
