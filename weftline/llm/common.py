@@ -70,7 +70,7 @@ def held_out(doc_id: str | Column) -> Column:
     return fold(doc_id) == 2
 
 
-def slices(texts: pa.Array, limit: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def slices(texts: pa.Array, limit: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Row ranges of an Arrow string array with about ``limit`` bytes at most (one row at least)."""
     off = np.frombuffer(texts.buffers()[1], np.int64 if pa.types.is_large_string(texts.type) else np.int32)
     off = off[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)

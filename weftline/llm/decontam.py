@@ -26,7 +26,7 @@ from .common import joined_bytes, slices
 from .words import A, M, mix, words_of
 
 #: Bytes of text that are taken at once; a longer text is taken alone.
-SLICE = 2 << 20
+SLICE = 1 << 19
 #: Items that are searched for in one pass over the texts.
 ITEMS_AT_ONCE = 20_000
 

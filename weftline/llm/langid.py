@@ -26,7 +26,7 @@ from .common import fold, slices
 UNKNOWN = "und"
 SIZES = (3, 4)
 #: Texts are taken in pieces of this many characters.
-PIECE = 1 << 20
+PIECE = 1 << 18
 _LETTERS: list[np.ndarray] = []
 
 
@@ -193,7 +193,7 @@ def predicted(text: str | Column, model: Model | None, spark) -> Column:
     @F.arrow_udf("lang_pred string, score double")
     def of(texts: pa.Array) -> pa.Array:
         names, scores = [], []
-        for i, j in slices(texts, 1 << 20):
+        for i, j in slices(texts, 1 << 18):
             part = texts.slice(i, j - i).to_pylist()
             if shared.value is None:
                 a, b = [UNKNOWN] * len(part), [0.0] * len(part)

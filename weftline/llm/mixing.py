@@ -33,7 +33,7 @@ def profile(text: str | Column, topics: int = TOPICS) -> Column:
     @F.arrow_udf("tokens bigint, topic int")
     def of(texts: pa.Array) -> pa.Array:
         tokens, topic = np.zeros(len(texts), np.int64), np.full(len(texts), -1, np.int32)
-        for i, j in slices(texts, 2 << 20):
+        for i, j in slices(texts, 1 << 19):
             h, first, end, row = words_of(*joined_bytes(texts.slice(i, j - i)))
             tokens[i:j] = np.bincount(row, minlength=j - i)
             long = end - first >= 5

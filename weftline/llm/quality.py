@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import fold, joined_bytes, slices
 from .words import words_of
 
-SLICE = 2 << 20
+SLICE = 1 << 19
 WORD_BUCKETS = 256
 META_BUCKETS = 64
 

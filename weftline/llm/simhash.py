@@ -41,7 +41,7 @@ def _bits_of(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.packbits(votes * 2 > n[:, None], axis=1).view(">u8").ravel().astype(np.uint64)
 
 
-def fingerprints_of(texts: list[str | None], k: int = 3, at_once: int = 1 << 18) -> np.ndarray:
+def fingerprints_of(texts: list[str | None], k: int = 3, at_once: int = 1 << 16) -> np.ndarray:
     """64-bit fingerprints: majority bits over XXH64 (seed 42) of the k-word shingles, repeats included.
 
     A-Z is lower-cased and words are runs without ASCII white space. Fewer than

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import fold, joined_bytes, settle, slices
 from .words import words_of
 
-SLICE = 2 << 20
+SLICE = 1 << 19
 #: Examples in a block of the index.
 BLOCK = 64
 

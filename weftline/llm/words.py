@@ -46,7 +46,7 @@ def words_of(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     before[full] = False
     after[off[1:][np.diff(off) > 0] - 1] = False
     first, end = np.flatnonzero(w & ~before), np.flatnonzero(w & ~after) + 1
-    size = 1 << max(21, int(len(buf) - 1).bit_length())
+    size = 1 << max(19, int(len(buf) - 1).bit_length())
     up, down = _powers(size)
     sums = np.zeros(len(buf) + 1, np.uint64)
     np.cumsum(value[buf] * up[: len(buf)], out=sums[1:])
