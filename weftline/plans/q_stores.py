@@ -42,7 +42,7 @@ def k17(spark, sf):
     return S.usage_by_model(usage(spark, sf), S.pricing(spark)).where("prompt_tokens > 0").withColumn("cost", F.round("cost", 6))
 
 
-@query("g03_usage_totals", f"SELECT coalesce(model, 'all') AS model, sum(total_tokens)::BIGINT AS total_tokens, round(sum(cost), 6) AS cost FROM ({BY_MODEL}) WHERE model <> 'total' GROUP BY ROLLUP (model)")
+@query("g03_usage_totals", f"SELECT coalesce(model, 'all') AS model, sum(total_tokens)::BIGINT AS total_tokens, round(sum(cost), 6) AS cost FROM ({BY_MODEL.replace('round(prompt_tokens', '(prompt_tokens').replace(', 6) AS cost', ') AS cost')}) WHERE model <> 'total' GROUP BY ROLLUP (model)")
 def g03(spark, sf):
     own = S.usage_by_model(usage(spark, sf), S.pricing(spark)).where("model <> 'total'")
     return own.rollup("model").agg(F.sum("total_tokens").alias("total_tokens"), F.round(F.sum("cost"), 6).alias("cost")).select(F.coalesce("model", F.lit("all")).alias("model"), "total_tokens", "cost")
