@@ -174,11 +174,11 @@ def scan(docs: DataFrame, text: str = "text", out: str = "pii", alpha: float = 0
         return marked
     entities = docs.select(t.alias("t")).where(F.size(base_spans(F.col("t"))) > 0).select(F.xxhash64("t").alias("th"), F.posexplode(lines_of(F.col("t"))).alias("no", "line"))
     entities = entities.select("th", "no", F.explode(base_spans(F.col("line"))).alias("e")).select("th", "no", entity(F.col("e")).alias("c")).distinct()
-    told = entities.join(pairs, "c").groupBy("th", "no").agg(F.sort_array(F.collect_set("t")).alias("terms")).groupBy("th").agg(F.sort_array(F.collect_list(F.struct("no", "terms"))).alias("lines"))
+    told = entities.join(pairs, "c").groupBy("th", "no").agg(F.sort_array(F.collect_set("t")).alias("terms")).groupBy("th").agg(F.sort_array(F.collect_list(F.struct("no", "terms"))).alias("__lines"))
     keyed = marked.withColumn("__th", F.when(F.size(out) > 0, F.xxhash64(t)))
     # only texts with an entity meet the join; the others pass by
     own = keyed.where("__th is not null").join(told.withColumnRenamed("th", "__th"), "__th", "left")
-    own = own.withColumn(out, F.when(F.col("lines").isNull(), F.col(out)).otherwise(F.concat(F.col(out), _term_spans(t, F.col("lines")))))
+    own = own.withColumn(out, F.when(F.col("__lines").isNull(), F.col(out)).otherwise(F.concat(F.col(out), _term_spans(t, F.col("__lines")))))
     names = marked.columns
     return own.select(*names).union(keyed.where("__th is null").select(*names))
 

@@ -262,8 +262,7 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int
     keep = near.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     # a component is named by an id, but null ids name many: those are told apart by their fingerprint
     group = F.when(F.col("component_id").isNull(), F.col("fp"))
-    keep = keep.groupBy("component_id", group.alias("_g")).agg(F.min("th").alias("_th")).select(F.col("component_id").alias("_id"), "_th")
-    th = F.xxhash64(F.coalesce(docs[text], F.lit("")))
-    own = docs.withColumn("_th", th)
-    out = own.join(keep.withColumnRenamed("_th", "_kept"), own[doc_id].eqNullSafe(keep["_id"]) & (own["_th"] == F.col("_kept")))
-    return out.dropDuplicates([doc_id, "_th"]).select(*[own[c] for c in docs.columns])
+    keep = keep.groupBy("component_id", group.alias("g")).agg(F.min("th").alias("__kept_text")).select(F.col("component_id").alias("__kept_id"), "__kept_text")
+    own = docs.withColumn("__text_hash", F.xxhash64(F.coalesce(docs[text], F.lit(""))))
+    out = own.join(keep, own[doc_id].eqNullSafe(keep["__kept_id"]) & (own["__text_hash"] == keep["__kept_text"]))
+    return out.dropDuplicates([doc_id, "__text_hash"]).select(*[own[c] for c in docs.columns])
