@@ -134,13 +134,23 @@ def disclosing(docs: DataFrame, text: str = "text", alpha: float = 0.8, support:
     pairs = settle(pairs.select("c", "n_c", "t", "n_ct"), "pairs")
     if pairs.isEmpty():
         return None
-    wanted = pairs.select("t").distinct()
-    total = F.lit(float(plain.agg(F.sum(F.size(lines_of(F.col("t"))))).first()[0]))
-    seen = plain.select(F.explode(lines_of(F.col("t"))).alias("line")).select(F.explode(terms_of(F.col("line"))).alias("t")).join(wanted, "t", "left_semi")
-    counted = pairs.join(seen.groupBy("t").agg(F.count("*").alias("n_t")), "t")
+    total = float(plain.agg(F.sum(F.size(lines_of(F.col("t"))))).first()[0])
+    # PMI >= alpha IC means n_t <= n_ct (N / n_c)^(1 - alpha). The texts that hold an entity give a lower
+    # bound of n_t, which rules out common words, so that only rare ones are counted in the whole corpus.
+    most = F.col("n_ct") * F.pow(F.lit(total) / F.col("n_c"), F.lit(1 - alpha)) * (1 + 1e-9)
+    near = _term_lines(plain.where(F.size(base_spans(F.col("t"))) > 0)).groupBy("t").agg(F.count("*").alias("n_near"))
+    pairs = settle(pairs.join(near, "t", "left").where(F.coalesce("n_near", F.lit(0)) <= most).drop("n_near"), "rare-pairs")
+    if pairs.isEmpty():
+        return None
+    seen = _term_lines(plain).join(pairs.select("t").distinct(), "t", "left_semi").groupBy("t").agg(F.count("*").alias("n_t"))
     pmi = F.log2(F.col("n_ct") * total / (F.col("n_c") * F.col("n_t")))
     ic = F.log2(total / F.col("n_c"))
-    return settle(counted.where((ic > 0) & (pmi >= alpha * ic)).select("c", "t"), "disclosing")
+    return settle(pairs.join(seen, "t").where((ic > 0) & (pmi >= alpha * ic)).select("c", "t"), "disclosing")
+
+
+def _term_lines(plain: DataFrame) -> DataFrame:
+    """A row, ``t``, for each line of the texts and each of its terms."""
+    return plain.select(F.explode(lines_of(F.col("t"))).alias("line")).select(F.explode(terms_of(F.col("line"))).alias("t"))
 
 
 def _term_spans(text: Column, lines: Column) -> Column:
