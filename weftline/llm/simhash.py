@@ -111,10 +111,10 @@ def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _grouped(corr: np.ndarray, m: int) -> list[list[int]]:
-    """The 64 bits in m groups of (nearly) equal size, each grown from a seed by highest correlation."""
-    left, groups = set(range(64)), []
+    """The bits in m groups of (nearly) equal size, each grown from a seed by highest correlation."""
+    left, groups = set(range(len(corr))), []
     for g in range(m):
-        size = (64 - sum(map(len, groups))) // (m - g)
+        size = (len(corr) - sum(map(len, groups))) // (m - g)
         order = sorted(left)
         seed = max(order, key=lambda b: (sum(sorted((corr[b, x] for x in order if x != b), reverse=True)[: size - 1]), -b))
         group = [seed]
@@ -252,13 +252,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return base.join(named, "fp").select("doc_id", "th", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fp"), "component_id")
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 3, tau: int = 2) -> DataFrame:
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", near: DataFrame | None = None) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each component the row with its smallest doc_id.
 
-    Of rows that share that doc_id (null: only if all in the component are null)
+    ``near`` names the components as ``near_duplicates`` does, which is also what
+    gives them by default. Of rows that share that doc_id (null: only if all in the component are null)
     one stays, the one with the smallest hash of its text. Columns stay as they are.
     """
-    near = near_duplicates(docs, doc_id, text, k, tau)
+    near = near_duplicates(docs, doc_id, text) if near is None else near
     keep = near.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     # a component is named by an id, but null ids name many: those are told apart by their fingerprint
     group = F.when(F.col("component_id").isNull(), F.col("fp"))

@@ -33,13 +33,13 @@ def _bytes_table() -> tuple[np.ndarray, np.ndarray]:
     return mix((low.astype(np.uint64) + np.uint64(1)) * np.uint64(A)), word
 
 
-def words_of(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, first byte, end byte and row of each word; words are runs of letters, digits and non-ASCII bytes, A-Z folded."""
+def words_of(buf: np.ndarray, off: np.ndarray, within: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first byte, end byte and row of each word; words are runs of letters, digits and non-ASCII bytes, or of the bytes ``within``; A-Z folded."""
     if not len(buf):
         e = np.zeros(0, np.int64)
         return e.astype(np.uint64), e, e, e
     value, is_word = _bytes_table()
-    w = is_word[buf]
+    w = (is_word if within is None else within)[buf]
     before = np.concatenate([[False], w[:-1]])
     after = np.concatenate([w[1:], [False]])
     full = off[:-1][np.diff(off) > 0]
