@@ -86,3 +86,25 @@ def test_unequal_texts_stay_apart(spark):
     base = " ".join(rng.choices(vocabulary, k=300))
     df = spark.createDataFrame([(i, edited(rng, base, 20 + i % 20)) for i in range(60)], "doc_id bigint, text string")
     assert {r.component_id for r in simhash_wide.near_duplicates(df).collect()} == set(range(60))
+
+
+def groups_of(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r.component_id for r in simhash_wide.near_duplicates(df).collect()}
+    return [got[i] for i in range(len(texts))]
+
+
+def test_pairs_among_texts_of_one_template(spark):
+    rng = random.Random(13)
+    own = lambda n: [f"v{rng.randrange(10**9)}" for _ in range(n)]
+    template = own(200)
+    texts = []
+    for i in range(600):
+        words = template[:170] + own(30)
+        texts.append(" ".join(words))
+        if i % 10 == 0:  # a partner that shares a part of its own words, too
+            texts.append(" ".join(words[:184] + own(16)))
+    sets = [brute_set(t) for t in texts]
+    want = roots(sets, lambda i, j: similar(sets[i], sets[j]))
+    assert 550 < len(set(want)) < len(texts)
+    assert groups_of(spark, texts) == want

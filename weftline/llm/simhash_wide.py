@@ -9,11 +9,17 @@ with the closest votes. Such bits are the ones that differ between near copies.
 Texts that meet under a variant and are within ``TAU`` bits are candidates; their
 shingle sets decide.
 
-A bucket never makes all its pairs. Up to ``SMALL`` members are compared directly;
-more of them give the nearest-neighbour tree of each ``BLOCK`` in order of the
-fingerprints, and neighbouring blocks share their first member. Buckets of
-different partitions cut the same texts differently, so that a group is joined
-by many trees.
+A bucket of fingerprints never makes all its pairs. Up to ``SMALL`` members are
+compared directly; more of them give the nearest-neighbour tree of each ``BLOCK``
+in order of the fingerprints, and neighbouring blocks share their first member.
+Buckets of different partitions cut the same texts differently, so that a group
+is joined by many trees.
+
+Fingerprints join large groups at little cost, but lose links. A prefix filter
+finds the rest without loss: in one order of all shingles, rare ones first, two
+texts of a similarity of 0.8 share one of the first n - ceil(0.8 n) + 1. Texts
+that meet there, lie in different groups and can still have enough shingles in
+common are compared, all of them.
 """
 
 from __future__ import annotations
@@ -22,10 +28,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import joined_bytes, settle, slices
+from .common import discard, joined_bytes, settle, slices
 from .components import components
 from .simhash import _grouped, allocate
 from .words import M, mix, words_of
@@ -235,7 +241,79 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, j in slices(texts, 1 << 18):
             rows, hashes = shingles_of(texts.slice(i, j - i))
             cut = np.searchsorted(rows, np.arange(j - i + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([th.slice(i, j - i), pa.ListArray.from_arrays(pa.array(cut), pa.array(hashes.astype(np.uint32).view(np.int32)))], ["th", "s"])
+            yield pa.RecordBatch.from_arrays([th.slice(i, j - i), pa.ListArray.from_arrays(pa.array(cut), pa.array(hashes.view(np.int64)))], ["th", "s"])
+
+
+def common_shingles(texts: DataFrame, n: int, sample: int = 20_000, most: int = 200_000) -> np.ndarray:
+    """Shingles that repeat in a sample of the texts, the rarest first.
+
+    They only set the order of the prefix filter, which is without loss in any.
+    """
+    u = F.pmod(F.xxhash64("th", F.lit("order")), F.lit(1 << 20))
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j in slices(batch.column(0), 1 << 18):
+                yield pa.RecordBatch.from_arrays([pa.array(shingles_of(batch.column(0).slice(i, j - i))[1].view(np.int64))], ["h"])
+
+    counted = texts.where(u < max(1, (sample << 20) // max(n, 1))).select("text").mapInArrow(of, "h bigint").groupBy("h").agg(F.count("*").alias("n"))
+    rows = counted.where("n > 1").orderBy(F.desc("n"), "h").limit(most).collect()
+    return np.array([r["h"] for r in reversed(rows)], np.int64).view(np.uint64)
+
+
+def prefixes(texts: DataFrame, common: np.ndarray) -> DataFrame:
+    """A row (key, th, n, pos) for each shingle in the prefix of each text; copies may repeat."""
+    order = np.argsort(common)
+    names, ranks = common[order], order + 1
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j in slices(batch.column(1), 1 << 18):
+                rows, hashes = shingles_of(batch.column(1).slice(i, j - i))
+                rank = np.zeros(len(rows), np.int64)
+                if len(names):
+                    at = np.minimum(np.searchsorted(names, hashes), len(names) - 1)
+                    rank = np.where(names[at] == hashes, ranks[at], 0)
+                by = np.lexsort((hashes, rank, rows))
+                n = np.bincount(rows, minlength=j - i)
+                pos = np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n)
+                of_row = n[rows]
+                keep = pos <= of_row - (4 * of_row + 4) // 5
+                th = batch.column(0).slice(i, j - i).to_numpy()[rows]
+                cols = [hashes[by][keep].view(np.int64), th[keep], of_row[keep].astype(np.int32), pos[keep].astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "th", "n", "pos"])
+
+    return texts.select("th", "text").mapInArrow(of, "key bigint, th bigint, n int, pos int")
+
+
+def unjoined(texts: DataFrame, n: int, member: DataFrame) -> DataFrame:
+    """Every pair (a, b) of texts in different groups of ``member`` that can have a similarity of 0.8, perhaps others."""
+    same = Window.partitionBy("key")
+    met = prefixes(texts, common_shingles(texts, n)).repartition("key").dropDuplicates(["key", "th"])
+    met = met.withColumn("lo", F.min("th").over(same)).withColumn("hi", F.max("th").over(same)).where("lo <> hi")
+    met = settle(met.select("key", "th", "n", "pos"), "prefixes")
+    met = met.join(member.withColumnRenamed("node", "th"), "th", "left").select("key", "th", "n", "pos", F.coalesce("component", "th").alias("c"))
+    met = met.withColumn("lo", F.min("c").over(same)).withColumn("hi", F.max("c").over(same)).where("lo <> hi")
+    met = settle(met.select("key", "th", "n", "pos", "c"), "apart")
+    left, right = (met.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("th", "n", "pos", "c")]) for side in "ab")
+    # at the first shingle two texts share, what follows it bounds what they have in common
+    able = 9 * F.least(F.expr("n_a - pos_a"), F.expr("n_b - pos_b")) >= 4 * F.expr("n_a + n_b")
+    pairs = left.join(right, "key").where(F.expr("th_a < th_b and c_a <> c_b") & able)
+    return settle(pairs.select(F.col("th_a").alias("a"), F.col("th_b").alias("b")).distinct(), "unjoined")
+
+
+def verified(found: DataFrame, base: DataFrame, distinct: DataFrame) -> DataFrame:
+    """The pairs (a, b) in ``found`` with a similarity of 0.8 or more."""
+    wanted = found.select(F.explode(F.array("a", "b")).alias("th")).distinct()
+    wanted = distinct.join(wanted, "th", "left_semi").select(F.col("th").alias("w"), F.col("first").alias("f"))
+    texts = base.join(wanted, (base["th"] == wanted["w"]) & base["doc_id"].eqNullSafe(wanted["f"])).select("th", "text")
+    sets = settle(texts.mapInArrow(_sets, "th bigint, s array<bigint>").dropDuplicates(["th"]), "sets")
+    left, right = (sets.select(F.col("th").alias(c), F.col("s").alias(f"s{c}")) for c in "ab")
+    both = F.size(F.array_intersect("sa", "sb"))
+    close = found.join(left, "a").join(right, "b").where(9 * both >= 4 * (F.size("sa") + F.size("sb"))).select("a", "b")
+    close = settle(close, "close")
+    discard(sets)
+    return close
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -249,22 +327,18 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     have no shingles and link only with equal ones. Repeated rows come back as
     often as they came in. An empty table gives an empty one.
 
-    Links come from candidates, so a few near 0.8 are missed (tests hold recall
-    to 0.95); none is below 0.8 but for collisions of 32-bit shingle hashes.
+    No link is lost and none is below 0.8, but for collisions of the 64-bit
+    hashes of shingles and texts.
     """
     base = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).select("doc_id", F.xxhash64("text").alias("th"), "text")
     prints = settle(base.mapInArrow(_fingerprints, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, th bigint, n int, fp binary, margin binary"), "prints")
     distinct = settle(prints.groupBy("th").agg(F.min("doc_id").alias("first"), *[F.first(c).alias(c) for c in ("n", "fp", "margin")]), "distinct")
     met = entries(distinct, plan_for(distinct)).repartition("key").sortWithinPartitions("key", "f0", "f1", "f2", "f3")
     found = settle(met.mapInArrow(_meet, "a bigint, b bigint").distinct(), "candidates")
-    wanted = found.select(F.explode(F.array("a", "b")).alias("th")).distinct()
-    wanted = distinct.join(wanted, "th", "left_semi").select(F.col("th").alias("w"), F.col("first").alias("f"))
-    texts = base.join(wanted, (base["th"] == wanted["w"]) & base["doc_id"].eqNullSafe(wanted["f"])).select("th", "text")
-    sets = settle(texts.mapInArrow(_sets, "th bigint, s array<int>").dropDuplicates(["th"]), "sets")
-    left, right = (sets.select(F.col("th").alias(c), F.col("s").alias(f"s{c}")) for c in "ab")
-    both = F.size(F.array_intersect("sa", "sb"))
-    close = found.join(left, "a").join(right, "b").where(9 * both >= 4 * (F.size("sa") + F.size("sb"))).select("a", "b")
+    close = verified(found, base, distinct)
     member = components(close)
+    more = verified(unjoined(base, distinct.count(), member), base, distinct)
+    member = components(close.union(more))
     fps = distinct.join(member, distinct["th"] == member["node"], "left").select("th", "first", F.coalesce("component", "th").alias("fp"))
     least = fps.groupBy("fp").agg(F.min("first").alias("component_id"))
     named = fps.join(least, "fp").select("th", "fp", "component_id")
