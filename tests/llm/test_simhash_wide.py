@@ -108,3 +108,14 @@ def test_pairs_among_texts_of_one_template(spark):
     want = roots(sets, lambda i, j: similar(sets[i], sets[j]))
     assert 550 < len(set(want)) < len(texts)
     assert groups_of(spark, texts) == want
+
+
+def test_isolated_pairs_at_the_threshold(spark):
+    rng = random.Random(14)
+    own = lambda n: [f"v{rng.randrange(10**9)}" for _ in range(n)]
+    texts = []
+    for _ in range(200):  # 90 shingles each, 80 in common: 0.8
+        words = own(94)
+        texts += [" ".join(words), " ".join(words[:84] + own(10))]
+    assert similar(brute_set(texts[0]), brute_set(texts[1]))
+    assert groups_of(spark, texts) == [i - i % 2 for i in range(len(texts))]
