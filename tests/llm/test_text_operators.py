@@ -157,6 +157,15 @@ def test_disclosing_terms(spark):
     assert clean[0] == "write now [NAME] at [EMAIL] quickly today" and clean[4] == "Jones has [EMAIL] since May" and clean[60] == other[6]
 
 
+def test_terms_in_one_frame_disclose(spark):
+    mine = [f"{a} Smithers wrote this. Email: bob@x.org" for a in ("today", "later", "soon", "never")]
+    copies = ["Jones has jones@x.org since May"] * 50
+    other = [f"plain filler text number {i} wrote this today. Email: later" for i in range(60)]
+    got = {r.doc_id: r.pii for r in pii.scan(docs_of(spark, mine + copies + other)).collect()}
+    assert all({s.value for s in got[i] if s.kind == "term"} == {"Smithers"} for i in range(4))
+    assert not any(s.kind == "term" for i in range(4, len(got)) for s in got[i])
+
+
 def test_toxicity(spark):
     rng = random.Random(5)
     plain, bad = [f"p{i}" for i in range(60)], ["vile", "nasty"]

@@ -117,17 +117,15 @@ def disclosing(docs: DataFrame, text: str = "text", alpha: float = 0.8, support:
     """Entity ``c`` and term ``t`` where the term reveals the entity; None if no term can.
 
     Units are the lines of all texts. A pair needs ``support`` distinct contexts
-    (the words just before and after the entity), so that copies of one passage
-    are no evidence, however many there are.
+    (the line's terms outside its entities, in order), so that copies of one
+    passage are no evidence, however many there are.
     """
     plain = docs.select(F.coalesce(F.col(text), F.lit("")).alias("t"))
     holding = plain.where(F.size(base_spans(F.col("t"))) > 0).select(F.explode(lines_of(F.col("t"))).alias("line"))
     holding = holding.where(F.size(base_spans(F.col("line"))) > 0).groupBy("line").agg(F.count("*").alias("n"))
     spotted = holding.withColumn("s", base_spans(F.col("line"))).withColumn("rest", _outside(F.col("line"), F.col("s")))
-    each = spotted.select("n", "line", terms_of(F.col("rest")).alias("terms"), F.explode("s").alias("e"))
-    before = F.regexp_extract(F.substring("line", F.lit(1), F.col("e.start")), r"(\S*)\s*$", 1)
-    after = F.regexp_extract(F.expr("substring(line, e.end + 1)"), r"^\s*(\S*)", 1)
-    each = settle(each.select("n", "terms", entity(F.col("e")).alias("c"), F.xxhash64(before, after).alias("ctx")), "entity-lines")
+    each = spotted.select("n", terms_of(F.col("rest")).alias("terms"), F.explode("s").alias("e"))
+    each = settle(each.select("n", "terms", entity(F.col("e")).alias("c"), F.xxhash64("terms").alias("ctx")), "entity-lines")
     known = each.groupBy("c").agg(F.sum("n").alias("n_c"), F.count_distinct("ctx").alias("contexts")).where(F.col("contexts") >= support)
     pairs = each.join(known.select("c", "n_c"), "c").select("c", "n_c", "n", "ctx", F.explode("terms").alias("t"))
     pairs = pairs.groupBy("c", "n_c", "t").agg(F.sum("n").alias("n_ct"), F.count_distinct("ctx").alias("contexts")).where(F.col("contexts") >= support)
