@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -20,25 +19,35 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where a session names none, as in tests, a temporary one is made and set.
+    Where a session names none, as in tests, a folder beside the warehouse is set,
+    which executors reach, too.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
-        named = tempfile.mkdtemp(prefix="weftline-")
+        named = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_intermediate-{uuid.uuid4().hex}"
         sc.setCheckpointDir(named)
     return named
 
 
+#: Shuffle files go as soon as the job that wrote them has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to the shared folder and rereads it.
 
     Cuts lineage and survives lost executors: the table's files are on storage
-    that all of them reach.
+    that all of them reach. The shuffle files behind it are freed.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}.parquet"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._settled_at = path
     return out
@@ -54,6 +63,24 @@ def discard(*dfs: DataFrame) -> None:
             p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
+#: Keys that are broadcast at most; more rows than the total divided by this make a key hot.
+HOT_KEYS = 10_000
+
+
+def spread_join(rows: DataFrame, table: DataFrame, key: str, total: int, least: int = 1000) -> DataFrame:
+    """``rows`` joined to ``table``, which has one row a ``key`` and in ``rows_of_key`` how many of ``rows`` hold it.
+
+    Rows of a hot key stay where they are: hot keys are those with more than
+    ``least`` rows and more than one in ``HOT_KEYS`` of all, so there are
+    ``HOT_KEYS`` of them at most, and only they are broadcast. The rest is
+    shuffled by the key. ``rows_of_key`` is kept; ``total`` is the number of rows.
+    """
+    bound = max(least, total // HOT_KEYS)
+    hot, cold = table.where(F.col("rows_of_key") > bound), table.where(F.col("rows_of_key") <= bound)
+    few = F.broadcast(hot)
+    return rows.join(few, key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key))
+
+
 def bounded_rows(df: DataFrame, bound: int) -> list | None:
     """The rows of ``df`` if there are at most ``bound``, else None; never gathers more."""
     rows = df.limit(bound + 1).collect()

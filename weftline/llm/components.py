@@ -1,7 +1,7 @@
 """Connected components of a link table, for graphs of any size.
 
 Alternating large-star and small-star passes (Kiveris et al., 2014) over a table
-of links. Each pass is a join-free aggregation and its result is written to the
+of links. The result of each pass is written to the
 shared folder, so lineage stays short and a lost executor costs one pass at most.
 Links never reach the driver; a forest pass inside each partition first reduces
 dense groups to spanning trees.
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, settle
+from .common import discard, settle, spread_join
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -40,6 +40,12 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(names[own]), pa.array(names[root[own]])], ["a", "b"])
 
 
+def _stars(rows: DataFrame, total: int) -> DataFrame:
+    """``rows`` (a, b) with ``m``, the least b of each a; a hub's rows are not gathered in one task."""
+    least = rows.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("rows_of_key"))
+    return spread_join(rows, least, "a", total).select("a", "b", "m", "rows_of_key")
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b", most: int = 40) -> DataFrame:
     """``node`` and ``component`` (the smallest node reachable) of every node that a link to another names.
 
@@ -50,21 +56,20 @@ def components(links: DataFrame, a: str = "a", b: str = "b", most: int = 40) ->
     """
     pair = links.select(F.col(a).cast("bigint").alias("a"), F.col(b).cast("bigint").alias("b")).where("a <> b")
     now = settle(pair.mapInArrow(_forest, "a bigint, b bigint"), "links")
-    seen = None
+    seen, size = None, now.count()
     for _ in range(most):
         # large star: every larger neighbour of a node links to the node's smallest neighbour (or itself)
         sides = now.union(now.select("b", "a"))
-        least = sides.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("m", "a"))
-        large = sides.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = _stars(sides, 2 * size).where("b > a").select(F.col("b").alias("x"), F.least("m", "a").alias("y")).where("x <> y").distinct()
         # small star: smaller neighbours of a node, and itself, link to the smallest one
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        first = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(first, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(first.select("a", F.col("m").alias("b"))).distinct()
-        after = settle(small, "links")
-        state = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        discard(now)
+        down = settle(large.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")), "large")
+        stars = _stars(down, down.count())
+        ends = F.explode(F.when(F.col("b") == F.col("m"), F.array("a")).otherwise(F.array("b")))
+        after = settle(stars.select(ends.alias("x"), "m").select(F.col("x").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "links")
+        size, total = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        discard(now, down)
         now = after
-        if state == seen:
+        if (size, total) == seen:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b").distinct())
-        seen = state
+        seen = (size, total)
     raise RuntimeError(f"components did not settle in {most} rounds")

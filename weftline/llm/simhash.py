@@ -15,6 +15,7 @@ remaining bits, which loses nothing.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, slices
+from .common import settle, slices, spread_join
 from .components import components
 
 SEED = 42
@@ -244,26 +245,34 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     back as often as they came in. An empty table gives an empty one.
     """
     base = settle(docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th"), fingerprint(text, k).alias("fp")), "fingerprints")
-    fps = settle(base.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
+    fps = settle(base.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")), "distinct")
     member = components(links(fps.select("fp"), tau))
-    fps = fps.join(member, fps["fp"] == member["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
-    least = fps.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = fps.join(least, "component").select("fp", "component_id")
-    return base.join(named, "fp").select("doc_id", "th", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fp"), "component_id")
+    total = fps.count()
+    fps = fps.join(member, fps["fp"] == member["node"], "left").select("fp", "first", "copies", F.coalesce("component", "fp").alias("component"))
+    least = fps.groupBy("component").agg(F.min("first").alias("component_id"), F.count("*").alias("rows_of_key"))
+    named = spread_join(fps, least, "component", total).select("fp", "component_id", F.col("copies").alias("rows_of_key"))
+    return spread_join(base, settle(named, "named"), "fp", base.count()).select("doc_id", "th", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fp"), "component_id")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", near: DataFrame | None = None) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each component the row with its smallest doc_id.
 
     ``near`` names the components as ``near_duplicates`` does, which is also what
-    gives them by default. Of rows that share that doc_id (null: only if all in the component are null)
-    one stays, the one with the smallest hash of its text. Columns stay as they are.
+    gives them by default. Of rows that share that doc_id (null: only if all in
+    the component are null) one stays: the one with the smallest hash of its
+    text, and of those equal in both the one whose columns as JSON come first.
+    Columns stay as they are, whatever their names. Null and empty texts are
+    equal; an empty table gives an empty one.
     """
+    tag = f"_{uuid.uuid4().hex}"
     near = near_duplicates(docs, doc_id, text) if near is None else near
     keep = near.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     # a component is named by an id, but null ids name many: those are told apart by their fingerprint
     group = F.when(F.col("component_id").isNull(), F.col("fp"))
-    keep = keep.groupBy("component_id", group.alias("g")).agg(F.min("th").alias("__kept_text")).select(F.col("component_id").alias("__kept_id"), "__kept_text")
-    own = docs.withColumn("__text_hash", F.xxhash64(F.coalesce(docs[text], F.lit(""))))
-    out = own.join(keep, own[doc_id].eqNullSafe(keep["__kept_id"]) & (own["__text_hash"] == keep["__kept_text"]))
-    return out.dropDuplicates([doc_id, "__text_hash"]).select(*[own[c] for c in docs.columns])
+    keep = keep.groupBy("component_id", group.alias("g")).agg(F.min("th").alias("th"), F.count("*").alias("n"))
+    keep = keep.select(F.col("component_id").alias(f"id{tag}"), F.col("th").alias(f"th{tag}"), F.col("n").alias(f"n{tag}"))
+    own = docs.withColumn(f"own{tag}", F.xxhash64(F.coalesce(docs[text], F.lit(""))))
+    out = own.join(keep, own[doc_id].eqNullSafe(keep[f"id{tag}"]) & (own[f"own{tag}"] == keep[f"th{tag}"]))
+    whole = F.struct(*[own[c] for c in docs.columns])
+    several = out.where(F.col(f"n{tag}") > 1).groupBy(own[doc_id], own[f"own{tag}"]).agg(F.min_by(whole, F.to_json(whole, {"ignoreNullFields": "false"})).alias(f"row{tag}"))
+    return out.where(F.col(f"n{tag}") == 1).select(*[own[c] for c in docs.columns]).union(several.select(f"row{tag}.*"))

@@ -28,16 +28,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, joined_bytes, settle, slices
+from .common import discard, joined_bytes, settle, slices, spread_join
 from .components import components
 from .simhash import _grouped, allocate
 from .words import M, mix, words_of
 
 BITS, BANDS, FLIPS, TAU = 256, 12, 2, 52
 SMALL, BLOCK = 8, 512
+#: Rows of a shingle that are joined in one task; more are dealt to several.
+TOGETHER = 2000
 #: Odd factors that spread one shingle hash to four words of 64 bits.
 SPREAD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)
 
@@ -136,7 +138,10 @@ def plan_for(fps: DataFrame, bands: int = BANDS, flips: int = FLIPS, most: int =
 
 
 def entries(fps: DataFrame, plan: tuple[list[list[int]], tuple[int, ...]]) -> DataFrame:
-    """A row (key, th, n, f0..f3) for each partition and variant of each row (th, n, fp, margin)."""
+    """A row (key, th, n, f0..f3) for each partition and variant of each row (th, n, fp, margin).
+
+    Each partition starts the fingerprint's words at another one, so that large buckets are cut at different places.
+    """
     groups, flips = plan
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,7 +150,7 @@ def entries(fps: DataFrame, plan: tuple[list[list[int]], tuple[int, ...]]) -> Da
                 batch = whole.slice(at, 2048)
                 fp, margin = _matrix(batch.column(2), BITS // 8), _matrix(batch.column(3), BITS)
                 bits, words = np.unpackbits(fp, axis=1), np.ascontiguousarray(fp).view(np.int64)
-                keys, who = [], []
+                keys, who, rolled = [], [], []
                 for b, (group, t) in enumerate(zip(groups, flips, strict=True)):
                     value = np.left_shift(np.uint64(1), np.arange(len(group), dtype=np.uint64))
                     key = bits[:, group].astype(np.uint64) @ value
@@ -157,8 +162,9 @@ def entries(fps: DataFrame, plan: tuple[list[list[int]], tuple[int, ...]]) -> Da
                                 flip ^= soft[:, q]
                         keys.append(mix(((key ^ flip) + np.uint64(b << 56)) * np.uint64(M)))
                         who.append(np.arange(len(key)))
+                        rolled.append(np.roll(words, b, axis=1))
                 who = np.concatenate(who)
-                cols = [np.concatenate(keys).view(np.int64), batch.column(0).to_numpy()[who], batch.column(1).to_numpy()[who], *words[who].T]
+                cols = [np.concatenate(keys).view(np.int64), batch.column(0).to_numpy()[who], batch.column(1).to_numpy()[who], *np.concatenate(rolled).T]
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols], ["key", "th", "n", "f0", "f1", "f2", "f3"])
 
     return fps.select("th", "n", "fp", "margin").where("n > 0").mapInArrow(of, "key bigint, th bigint, n int, f0 bigint, f1 bigint, f2 bigint, f3 bigint")
@@ -262,7 +268,7 @@ def common_shingles(texts: DataFrame, n: int, sample: int = 20_000, most: int =
 
 
 def prefixes(texts: DataFrame, common: np.ndarray) -> DataFrame:
-    """A row (key, th, n, pos) for each shingle in the prefix of each text; copies may repeat."""
+    """A row (key, th, n, pos) for each shingle in the prefix of each text; copies repeat."""
     order = np.argsort(common)
     names, ranks = common[order], order + 1
 
@@ -286,26 +292,39 @@ def prefixes(texts: DataFrame, common: np.ndarray) -> DataFrame:
     return texts.select("th", "text").mapInArrow(of, "key bigint, th bigint, n int, pos int")
 
 
+def _shared(rows: DataFrame, by: str, total: int) -> DataFrame:
+    """The ``rows`` whose key occurs with more than one ``by``, with ``rows_of_key``; counted before they are shuffled."""
+    keys = rows.groupBy("key").agg(F.min(by).alias("lo"), F.max(by).alias("hi"), F.count("*").alias("rows_of_key"))
+    keys = settle(keys.where("lo <> hi").select("key", "rows_of_key"), "keys")
+    return spread_join(rows, keys, "key", total)
+
+
 def unjoined(texts: DataFrame, n: int, member: DataFrame) -> DataFrame:
     """Every pair (a, b) of texts in different groups of ``member`` that can have a similarity of 0.8, perhaps others."""
-    same = Window.partitionBy("key")
-    met = prefixes(texts, common_shingles(texts, n)).repartition("key").dropDuplicates(["key", "th"])
-    met = met.withColumn("lo", F.min("th").over(same)).withColumn("hi", F.max("th").over(same)).where("lo <> hi")
-    met = settle(met.select("key", "th", "n", "pos"), "prefixes")
+    every = settle(prefixes(texts, common_shingles(texts, n)), "prefixes")
+    met = settle(_shared(every, "th", every.count()).groupBy("key", "th").agg(F.first("n").alias("n"), F.first("pos").alias("pos")), "met")
+    discard(every)
     met = met.join(member.withColumnRenamed("node", "th"), "th", "left").select("key", "th", "n", "pos", F.coalesce("component", "th").alias("c"))
-    met = met.withColumn("lo", F.min("c").over(same)).withColumn("hi", F.max("c").over(same)).where("lo <> hi")
-    met = settle(met.select("key", "th", "n", "pos", "c"), "apart")
-    left, right = (met.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("th", "n", "pos", "c")]) for side in "ab")
-    # at the first shingle two texts share, what follows it bounds what they have in common
+    of_group = settle(met, "of_group")
+    discard(met)
+    apart = settle(_shared(of_group, "c", of_group.count()), "apart")
+    discard(of_group)
+    # a is the smaller of the two; at the first shingle they share, what follows it bounds what they have in common
+    left = apart.where("9 * (n - pos) >= 8 * n").withColumn("salt", F.pmod(F.xxhash64("th"), F.ceil(F.col("rows_of_key") / TOGETHER)))
+    right = apart.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.ceil(F.col("rows_of_key") / TOGETHER) - 1)))
+    left, right = (side.select("key", "salt", *[F.col(c).alias(f"{c}_{x}") for c in ("th", "n", "pos", "c")]) for side, x in ((left, "a"), (right, "b")))
+    order = F.expr("n_a < n_b or n_a = n_b and th_a < th_b")
     able = 9 * F.least(F.expr("n_a - pos_a"), F.expr("n_b - pos_b")) >= 4 * F.expr("n_a + n_b")
-    pairs = left.join(right, "key").where(F.expr("th_a < th_b and c_a <> c_b") & able)
-    return settle(pairs.select(F.col("th_a").alias("a"), F.col("th_b").alias("b")).distinct(), "unjoined")
+    pairs = left.join(right, ["key", "salt"]).where(order & F.expr("5 * n_a >= 4 * n_b and c_a <> c_b") & able)
+    found = settle(pairs.select(F.least("th_a", "th_b").alias("a"), F.greatest("th_a", "th_b").alias("b")).distinct(), "unjoined")
+    discard(apart)
+    return found
 
 
-def verified(found: DataFrame, base: DataFrame, distinct: DataFrame) -> DataFrame:
+def verified(found: DataFrame, base: DataFrame, firsts: DataFrame) -> DataFrame:
     """The pairs (a, b) in ``found`` with a similarity of 0.8 or more."""
     wanted = found.select(F.explode(F.array("a", "b")).alias("th")).distinct()
-    wanted = distinct.join(wanted, "th", "left_semi").select(F.col("th").alias("w"), F.col("first").alias("f"))
+    wanted = firsts.join(wanted, "th", "left_semi").select(F.col("th").alias("w"), F.col("first").alias("f"))
     texts = base.join(wanted, (base["th"] == wanted["w"]) & base["doc_id"].eqNullSafe(wanted["f"])).select("th", "text")
     sets = settle(texts.mapInArrow(_sets, "th bigint, s array<bigint>").dropDuplicates(["th"]), "sets")
     left, right = (sets.select(F.col("th").alias(c), F.col("s").alias(f"s{c}")) for c in "ab")
@@ -333,13 +352,17 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     base = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).select("doc_id", F.xxhash64("text").alias("th"), "text")
     prints = settle(base.mapInArrow(_fingerprints, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, th bigint, n int, fp binary, margin binary"), "prints")
     distinct = settle(prints.groupBy("th").agg(F.min("doc_id").alias("first"), *[F.first(c).alias(c) for c in ("n", "fp", "margin")]), "distinct")
-    met = entries(distinct, plan_for(distinct)).repartition("key").sortWithinPartitions("key", "f0", "f1", "f2", "f3")
+    ids, firsts = settle(prints.select("doc_id", "th"), "ids"), settle(distinct.select("th", "first"), "firsts")
+    discard(prints)
+    met = entries(distinct, plan_for(distinct)).repartitionByRange("key", "f0").sortWithinPartitions("key", "f0", "f1", "f2", "f3")
     found = settle(met.mapInArrow(_meet, "a bigint, b bigint").distinct(), "candidates")
-    close = verified(found, base, distinct)
-    member = components(close)
-    more = verified(unjoined(base, distinct.count(), member), base, distinct)
+    discard(distinct)
+    close = verified(found, base, firsts)
+    more = verified(unjoined(base, firsts.count(), components(close)), base, firsts)
     member = components(close.union(more))
-    fps = distinct.join(member, distinct["th"] == member["node"], "left").select("th", "first", F.coalesce("component", "th").alias("fp"))
-    least = fps.groupBy("fp").agg(F.min("first").alias("component_id"))
-    named = fps.join(least, "fp").select("th", "fp", "component_id")
-    return prints.select("doc_id", "th").join(named, "th").select("doc_id", "th", "fp", "component_id")
+    fps = firsts.join(member, firsts["th"] == member["node"], "left").select("th", "first", F.coalesce("component", "th").alias("fp"))
+    least = fps.groupBy("fp").agg(F.min("first").alias("component_id"), F.count("*").alias("rows_of_key"))
+    named = spread_join(fps, least, "fp", firsts.count()).select("th", "fp", "component_id")
+    copies = ids.groupBy("th").agg(F.count("*").alias("rows_of_key"))
+    named = settle(named.join(copies, "th"), "named")
+    return spread_join(ids, named, "th", ids.count()).select("doc_id", "th", "fp", "component_id")
