@@ -40,6 +40,8 @@ BITS, BANDS, FLIPS, TAU = 256, 12, 2, 52
 SMALL, BLOCK = 8, 512
 #: Rows of a shingle that are joined in one task; more are dealt to several.
 TOGETHER = 2000
+#: First shingles of a prefix that go with each of its rows, so that a pair meets once in most cases.
+HEAD = 3
 #: Odd factors that spread one shingle hash to four words of 64 bits.
 SPREAD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)
 
@@ -299,23 +301,29 @@ def _shared(rows: DataFrame, by: str, total: int) -> DataFrame:
     return spread_join(rows, keys, "key", total)
 
 
-def unjoined(texts: DataFrame, n: int, member: DataFrame) -> DataFrame:
-    """Every pair (a, b) of texts in different groups of ``member`` that can have a similarity of 0.8, perhaps others."""
-    every = settle(prefixes(texts, common_shingles(texts, n)), "prefixes")
-    met = settle(_shared(every, "th", every.count()).groupBy("key", "th").agg(F.first("n").alias("n"), F.first("pos").alias("pos")), "met")
-    discard(every)
-    met = met.join(member.withColumnRenamed("node", "th"), "th", "left").select("key", "th", "n", "pos", F.coalesce("component", "th").alias("c"))
-    of_group = settle(met, "of_group")
-    discard(met)
-    apart = settle(_shared(of_group, "c", of_group.count()), "apart")
-    discard(of_group)
+def unjoined(texts: DataFrame, n: int, total: int, member: DataFrame) -> DataFrame:
+    """Every pair (a, b) of texts in different groups of ``member`` that can have a similarity of 0.8, perhaps others.
+
+    ``n`` is the number of different texts, ``total`` that of the prefixes' rows.
+    """
+    every = prefixes(texts, common_shingles(texts, n))  # made twice: that costs less than a table of it
+    met = settle(_shared(every, "th", total).groupBy("key", "th").agg(F.first("n").alias("n"), F.first("pos").alias("pos")), "met")
+    of_group = met.join(member.withColumnRenamed("node", "th"), "th", "left").select("key", "th", "n", "pos", F.coalesce("component", "th").alias("c"))
+    of_group = settle(of_group, "of_group")
+    heads = met.where(F.col("pos") < HEAD).groupBy("th").agg(*[F.max(F.when(F.col("pos") == i, F.col("key"))).alias(f"h{i}") for i in range(HEAD)])
+    apart = _shared(of_group, "c", of_group.count()).join(heads, "th", "left")
+    before = F.array_compact(F.array(*[F.when(F.col("pos") > i, F.col(f"h{i}")) for i in range(HEAD)]))
+    apart = settle(apart.select("key", "th", "n", "pos", "c", "rows_of_key", before.alias("before")), "apart")
+    discard(met, of_group)
     # a is the smaller of the two; at the first shingle they share, what follows it bounds what they have in common
     left = apart.where("9 * (n - pos) >= 8 * n").withColumn("salt", F.pmod(F.xxhash64("th"), F.ceil(F.col("rows_of_key") / TOGETHER)))
     right = apart.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.ceil(F.col("rows_of_key") / TOGETHER) - 1)))
-    left, right = (side.select("key", "salt", *[F.col(c).alias(f"{c}_{x}") for c in ("th", "n", "pos", "c")]) for side, x in ((left, "a"), (right, "b")))
+    left, right = (side.select("key", "salt", *[F.col(c).alias(f"{c}_{x}") for c in ("th", "n", "pos", "c", "before")]) for side, x in ((left, "a"), (right, "b")))
     order = F.expr("n_a < n_b or n_a = n_b and th_a < th_b")
     able = 9 * F.least(F.expr("n_a - pos_a"), F.expr("n_b - pos_b")) >= 4 * F.expr("n_a + n_b")
-    pairs = left.join(right, ["key", "salt"]).where(order & F.expr("5 * n_a >= 4 * n_b and c_a <> c_b") & able)
+    # a pair that shares one of its first shingles has met there
+    met_before = F.arrays_overlap("before_a", "before_b")
+    pairs = left.join(right, ["key", "salt"]).where(order & F.expr("5 * n_a >= 4 * n_b and c_a <> c_b") & able & ~met_before)
     found = settle(pairs.select(F.least("th_a", "th_b").alias("a"), F.greatest("th_a", "th_b").alias("b")).distinct(), "unjoined")
     discard(apart)
     return found
@@ -352,13 +360,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     base = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).select("doc_id", F.xxhash64("text").alias("th"), "text")
     prints = settle(base.mapInArrow(_fingerprints, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, th bigint, n int, fp binary, margin binary"), "prints")
     distinct = settle(prints.groupBy("th").agg(F.min("doc_id").alias("first"), *[F.first(c).alias(c) for c in ("n", "fp", "margin")]), "distinct")
+    in_prefixes = prints.agg(F.sum(F.expr("if(n > 0, n - (4 * n + 4) div 5 + 1, 0)"))).first()[0] or 0
     ids, firsts = settle(prints.select("doc_id", "th"), "ids"), settle(distinct.select("th", "first"), "firsts")
     discard(prints)
     met = entries(distinct, plan_for(distinct)).repartitionByRange("key", "f0").sortWithinPartitions("key", "f0", "f1", "f2", "f3")
     found = settle(met.mapInArrow(_meet, "a bigint, b bigint").distinct(), "candidates")
     discard(distinct)
     close = verified(found, base, firsts)
-    more = verified(unjoined(base, firsts.count(), components(close)), base, firsts)
+    more = verified(unjoined(base, firsts.count(), in_prefixes, components(close)), base, firsts)
     member = components(close.union(more))
     fps = firsts.join(member, firsts["th"] == member["node"], "left").select("th", "first", F.coalesce("component", "th").alias("fp"))
     least = fps.groupBy("fp").agg(F.min("first").alias("component_id"), F.count("*").alias("rows_of_key"))
