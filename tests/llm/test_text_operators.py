@@ -181,24 +181,57 @@ def test_toxicity(spark):
     assert {r.toxicity.score for r in none.collect()} == {0.0} and toxicity.score(docs.limit(0), labels).count() == 0
 
 
-def test_nearest_examples_are_exact():
-    rng = np.random.default_rng(6)
-    terms, idf = np.arange(1, 41, dtype=np.uint64), rng.uniform(1, 5, 40)
-    vectors = []
-    for _ in range(500):
-        t = np.sort(rng.choice(40, rng.integers(0, 8), replace=False))
-        w = rng.uniform(0.1, 1, len(t)) * idf[t]
-        vectors.append((t, w / (np.linalg.norm(w) or 1)))
-    index = toxicity.Index(terms, idf, np.arange(500), rng.integers(0, 2, 500).astype(float), vectors, 7)
-    dense = np.zeros((500, 40))
-    for i, (t, w) in enumerate(vectors):
-        dense[i, t] = w
-    for q in range(60):
-        t, w = vectors[q]
-        if len(t):
-            sims = np.round(dense[:, t] @ w, 12)
-            want = sorted((-s, i) for i, s in enumerate(sims) if s > 0)[:7]
-            assert [(round(-s, 9), i) for s, i in index.nearest(t, w)] == [(round(s, 9), i) for s, i in want]
+def brute_words(text):
+    h, first, end, _ = words_of(*joined_bytes(pa.array([text or ""])))
+    raw = (text or "").encode().lower()
+    return [(raw[i:j], int(x)) for x, i, j in zip(h, first, end, strict=True)]
+
+
+@pytest.mark.parametrize("weighted", [True, False])
+def test_nearest_examples_are_exact(spark, monkeypatch, weighted):
+    monkeypatch.setattr(toxicity, "BLOCK", 8)
+    rng = random.Random(6)
+    plain, bad = [f"p{i * i // 9}" for i in range(300)], ["vile", "nasty", "Mean"]
+    texts = [" ".join(rng.choices(plain, k=rng.randint(1, 60)) + rng.choices(bad, k=rng.randint(1, 3)) * (i % 6 == 0)) for i in range(500)]
+    texts[7:11] = [None, "", "p1", "P1 p1"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i % 6 == 0)) for i in range(400)], "doc_id bigint, toxic int")
+    index = toxicity.fit(docs, labels, weighted=weighted, k=9)
+    # the index as dictionaries: every word of every text counts
+    words = [brute_words(t) for t in texts]
+    held = {i: words[i] for i in sorted(index.ids.tolist())}
+    vocabulary = {w for ws in held.values() for w, _ in ws}
+    size, label = len(held), sum(i % 6 == 0 for i in held)
+    place = lambda w, h: w if w in vocabulary else h >> 46
+    df, phi = {}, {}
+    for ws in words:
+        for w, h in set(ws):
+            df[place(w, h)] = df.get(place(w, h), 0) + 1
+    for w in vocabulary:
+        x = np.array([any(w == v for v, _ in ws) for ws in held.values()], float)
+        y = np.array([i % 6 == 0 for i in held], float)
+        phi[w] = abs(np.corrcoef(x, y)[0, 1]) if 0 < x.sum() < size else 0.0
+    assert 100 < size < 300 and 10 < label
+
+    def vector(ws):
+        out, noise = {}, size**-0.5
+        for w, h in set(ws):
+            idf = np.log((len(texts) + 1) / (min(df[place(w, h)], len(texts)) + 1)) + 1
+            out[w] = (1 + np.log(sum(w == v for v, _ in ws))) * idf * (noise + max(0, phi.get(w, 0) - 3 * noise) if weighted else 1)
+        norm = sum(x * x for x in out.values()) ** 0.5
+        return {w: x / norm for w, x in out.items()}
+
+    vectors = {i: vector(ws) for i, ws in held.items()}
+    got = index.neighbours(pa.array(texts))
+    for i, t in enumerate(words):
+        mine = vector(t)
+        want = sorted((-round(sum(x * v.get(w, 0) for w, x in mine.items()), 12), j) for j, v in vectors.items())
+        want = [(s, j) for s, j in want if s < 0][:9]
+        assert np.allclose(got[i][0], [-s for s, _ in want], atol=1e-9), texts[i]
+        assert all(abs(dict((j, s) for s, j in want).get(int(j), -x) + x) < 1e-9 for x, j in zip(got[i][0], index.ids[got[i][1]], strict=True))
+    monkeypatch.setattr(toxicity, "ENTRIES", 50)
+    again = index.neighbours(pa.array(texts))
+    assert all((a[1] == b[1]).all() for a, b in zip(got, again, strict=True))
 
 
 def test_digests_are_plain_sha256(spark):

@@ -1,13 +1,18 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Labelled examples lie in an inverted index cut into blocks. For each term a
-block keeps its largest weight, so a query's bound for a block is one dot
-product; blocks are scored exactly in the order of their bounds until the k-th
-best similarity exceeds the next bound, which gives the exact nearest examples.
-Their distance-weighted vote is calibrated on labelled rows outside the index.
-
-Terms are words whose document frequencies differ between the labels beyond
-chance; their inverse document frequencies come from all documents.
+Vectors hold all words of a text: (1 + ln n) for n occurrences, times the inverse
+document frequency over all documents, times the word's evidence. Evidence is the
+word's correlation with the label (phi) in the examples beyond what chance gives;
+words without any keep a floor, so no word is left out, but the few that tell the
+labels apart weigh more than the many that don't.
+
+Labelled examples lie in an inverted index cut into blocks. For each term and
+block the index keeps the largest weight, so a query's bound for a block is one
+sparse product. The blocks with the best bounds are scored exactly; after that
+those whose bound reaches the k-th best similarity so far, which gives the exact
+nearest examples. Terms that many examples hold have full lists, whose sums are
+taken for all examples at once and enter the bounds as they are. Their distance-weighted vote is calibrated on labelled rows
+outside the index.
 """
 
 from __future__ import annotations
@@ -20,109 +25,199 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, joined_bytes, settle, slices
+from .common import discard, fold, joined_bytes, settle, slices
 from .words import words_of
 
 SLICE = 1 << 19
 #: Examples in a block of the index.
 BLOCK = 64
-
-
-def term_counts(texts: pa.Array, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, place in the sorted ``terms`` and count of each of the terms in each text, by row, then place."""
-    rows, at, n = [], [], []
-    seen = np.zeros(1 << 16, bool)
-    seen[(terms & np.uint64(0xFFFF)).astype(np.int64)] = True
+#: Blocks scored first.
+FIRST = 2
+#: Terms in more than this share of the examples have full lists.
+FREQUENT = 0.1
+#: Places in which the documents with words outside the index are counted.
+REST = 1 << 18
+#: Entries of the index that are read at once.
+ENTRIES = 1 << 20
+
+
+def term_counts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, hash and count of each different word of each text, by row, then hash."""
+    rows, terms, n = [], [], []
     for i, j in slices(texts, SLICE):
         h, _, _, row = words_of(*joined_bytes(texts.slice(i, j - i)))
-        some = np.flatnonzero(seen[(h & np.uint64(0xFFFF)).astype(np.int64)])
-        place = np.searchsorted(terms, h[some])
-        hit = place < len(terms)
-        hit[hit] = terms[place[hit]] == h[some[hit]]
-        code, count = np.unique(row[some[hit]] * (len(terms) + 1) + place[hit], return_counts=True)
-        rows.append(code // (len(terms) + 1) + i)
-        at.append(code % (len(terms) + 1))
-        n.append(count)
-    empty = [np.zeros(0, np.int64)]
-    return tuple(np.concatenate(x or empty) for x in (rows, at, n))
+        order = np.lexsort((h, row))
+        h, row = h[order], row[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+        at = np.flatnonzero(new)
+        rows.append(row[at] + i)
+        terms.append(h[at])
+        n.append(np.diff(np.append(at, len(h))))
+    if not rows:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return np.concatenate(rows), np.concatenate(terms), np.concatenate(n)
+
+
+def places(terms: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
+    """The place of each term in the sorted vocabulary; others have one of the ``REST`` places behind it, by their hash."""
+    at = np.searchsorted(vocabulary, terms)
+    own = at < len(vocabulary)
+    own[own] = vocabulary[at[own]] == terms[own]
+    return np.where(own, at, len(vocabulary) + (terms >> np.uint64(46)).astype(np.int64))
+
+
+def _spans(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers first, first + 1, ... of each span, end to end."""
+    return np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
 
 
 @dataclass
 class Index:
-    """Unit TF-IDF vectors of the examples, in blocks of similar ones."""
+    """Unit vectors of the examples in an inverted index with block maxima.
 
-    terms: np.ndarray
-    idf: np.ndarray
+    ``weight`` has idf times evidence for each word of ``vocabulary`` and each of
+    the places behind it.
+    """
+
+    vocabulary: np.ndarray
+    weight: np.ndarray
     ids: np.ndarray
     labels: np.ndarray
-    vectors: list[tuple[np.ndarray, np.ndarray]]
     k: int
-    blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=list)
-    bounds: np.ndarray | None = None
+    #: An entry is a term's part in one block; entries of a term and postings of an entry lie together.
+    term_at: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
+    block: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
+    most: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    entry_at: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
+    member: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
+    value: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    blocks: int = 0
+    #: Row of each term in ``full`` (-1: none), and the full lists.
+    row_of: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    full: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
     curve: tuple[np.ndarray, np.ndarray] = (np.zeros(1), np.zeros(1))
     without: float = 0.0
 
-    def __post_init__(self) -> None:
-        def heaviest(i: int) -> tuple:
-            t, w = self.vectors[i]
-            return tuple(t[np.argsort(-w, kind="stable")][:3].tolist()), int(self.ids[i])
-
-        order = sorted((i for i in range(len(self.ids)) if len(self.vectors[i][0])), key=heaviest)
-        self.bounds = np.zeros((len(self.terms), max(1, -(-len(order) // BLOCK))), np.float64)
-        for b in range(0, len(order), BLOCK):
-            members = np.array(order[b : b + BLOCK])
-            terms = np.unique(np.concatenate([self.vectors[i][0] for i in members]))
-            dense = np.zeros((len(terms), len(members)))
-            for c, i in enumerate(members):
-                t, w = self.vectors[i]
-                dense[np.searchsorted(terms, t), c] = w
-            self.blocks.append((terms, dense, members))
-            self.bounds[terms, b // BLOCK] = dense.max(1)
-
-    def unit(self, at: np.ndarray, n: np.ndarray) -> np.ndarray:
-        w = (1 + np.log(n)) * self.idf[at]
-        return w / np.linalg.norm(w)
-
-    def nearest(self, at: np.ndarray, w: np.ndarray) -> list[tuple[float, int]]:
-        """The k most similar examples (similarity above 0) as (similarity, place), best first, ties by smaller id."""
-        best: list[tuple[float, int, int]] = []
-        bound = w @ self.bounds[at]
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or len(best) >= self.k and best[self.k - 1][0] < -bound[b] - 1e-9:
-                break
-            terms, dense, members = self.blocks[b]
-            place = np.searchsorted(terms, at)
-            own = place < len(terms)
-            own[own] = terms[place[own]] == at[own]
-            sim = w[own] @ dense[place[own]]
-            # sums differ in the last digits with the order of their terms, so similarities are compared at 12 digits
-            best += [(-round(float(s), 12), int(self.ids[m]), int(m)) for s, m in zip(sim, members, strict=True) if s > 0]
-            best = sorted(best)[: self.k]
-            if len(best) >= self.k and best[-1][0] == 0:
-                break
-        return [(-s, m) for s, _, m in sorted(best)[: self.k]]
-
-    def vote(self, near: list[tuple[float, int]]) -> float:
-        """Share of the label among the neighbours, weighted by 1 / (distance + 0.05)."""
-        w = np.array([1 / (1.05 - s) for s, _ in near])
-        return float(w @ self.labels[[m for _, m in near]] / w.sum())
+    def unit(self, rows: np.ndarray, terms: np.ndarray, n: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Place and weight of each word in its row's unit vector."""
+        at = places(terms, self.vocabulary)
+        w = (1 + np.log(n)) * self.weight[at]
+        norm = np.sqrt(np.bincount(rows, w * w, minlength=size))
+        return at, w / np.maximum(norm, 1e-300)[rows]
+
+    def build(self, rows: np.ndarray, terms: np.ndarray, n: np.ndarray) -> None:
+        """Indexes the examples, of which row i has ``ids[i]``; similar ones share a block."""
+        size = len(self.ids)
+        at, w = self.unit(rows, terms, n, size)
+        by = np.lexsort((at, -w, rows))
+        first = np.searchsorted(rows[by], np.arange(size))
+        lead = [np.full(size, len(self.vocabulary)) for _ in range(3)]
+        for q in range(3):
+            there = np.flatnonzero(np.append(rows[by], -1)[np.minimum(first + q, len(by))] == np.arange(size))
+            lead[q][there] = at[by[first[there] + q]]
+        place = np.empty(size, np.int64)
+        place[np.lexsort((self.ids, *lead[::-1]))] = np.arange(size)
+        self.blocks = -(-size // BLOCK)
+        member = place[rows]
+        order = np.lexsort((member, at))
+        at, member, w = at[order], member[order], w[order]
+        held = np.bincount(at, minlength=len(self.vocabulary))
+        many = np.flatnonzero(held > max(BLOCK, FREQUENT * size))
+        self.row_of = np.full(len(self.vocabulary), -1)
+        self.row_of[many] = np.arange(len(many))
+        self.full = np.zeros((len(many), self.blocks * BLOCK))
+        own = self.row_of[at] >= 0
+        self.full[self.row_of[at[own]], member[own]] = w[own]
+        at, member, w = at[~own], member[~own], w[~own]
+        block = member // BLOCK
+        new = np.ones(len(at), bool)
+        new[1:] = (at[1:] != at[:-1]) | (block[1:] != block[:-1])
+        start = np.flatnonzero(new)
+        back = np.argsort(place)
+        self.ids, self.labels = self.ids[back], self.labels[back]
+        self.member, self.value, self.block = member.astype(np.int32), w, block[start].astype(np.int32)
+        self.most = np.maximum.reduceat(w, start) if len(start) else np.zeros(0)
+        self.entry_at = np.append(start, len(at))
+        self.term_at = np.searchsorted(at[start], np.arange(len(self.vocabulary) + 1))
+
+    def nearest(self, rows: np.ndarray, at: np.ndarray, w: np.ndarray, size: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each row the k most similar examples (similarity above 0): similarities and places, best first, ties by smaller id."""
+        if not self.blocks:
+            return [(np.zeros(0), np.zeros(0, np.int64))] * size
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+        known = at < len(self.vocabulary)
+        rows, at, w = rows[known], at[known], w[known]
+        reads = self.term_at[at + 1] - self.term_at[at]
+        cut = np.searchsorted(rows, np.arange(size + 1))
+        per_row = np.concatenate([[0], np.cumsum(reads)])[cut]
+        i = 0
+        while i < size:
+            j = max(i + 1, min(int(np.searchsorted(per_row, per_row[i] + ENTRIES, "right")) - 1, i + 256))
+            a, b = cut[i], cut[j]
+            out += self._nearest(rows[a:b] - i, at[a:b], w[a:b], reads[a:b], j - i)
+            i = j
+        return out
 
-    def score(self, texts: pa.Array, cache: dict) -> list[tuple[float, list[tuple[int, float]]]]:
-        rows, at, n = term_counts(texts, self.terms)
-        cut = np.searchsorted(rows, np.arange(len(texts) + 1))
+    def _nearest(self, rows, at, w, reads, size) -> list[tuple[np.ndarray, np.ndarray]]:
+        query, often = np.zeros((size, len(self.full))), self.row_of[at]
+        query[rows[often >= 0], often[often >= 0]] = w[often >= 0]
+        sims = query @ self.full
+        entry = _spans(self.term_at[at], reads)
+        row, weight = np.repeat(rows, reads), np.repeat(w, reads)
+        cell = row * self.blocks + self.block[entry]
+        bound = np.bincount(cell, weight * self.most[entry], minlength=size * self.blocks).reshape(size, self.blocks)
+        bound = bound + sims.reshape(size, self.blocks, BLOCK).max(2)
+        done = np.zeros(bound.shape, bool)
+
+        def scored(chosen: np.ndarray) -> np.ndarray:
+            """The k-th best similarity of each row after scoring the chosen blocks, too."""
+            done[chosen] = True
+            own = np.flatnonzero(chosen.ravel()[cell])
+            start = self.entry_at[entry[own]]
+            n = self.entry_at[entry[own] + 1] - start
+            p = _spans(start, n)
+            np.add.at(sims.ravel(), np.repeat(row[own] * sims.shape[1], n) + self.member[p], np.repeat(weight[own], n) * self.value[p])
+            seen = np.where(np.repeat(done, BLOCK, axis=1), sims, 0.0)
+            return -np.partition(-seen, k - 1, axis=1)[:, k - 1]
+
+        k = min(self.k, sims.shape[1])
+        first = np.zeros(bound.shape, bool)
+        np.put_along_axis(first, np.argsort(-bound, axis=1, kind="stable")[:, :FIRST], True, axis=1)
+        least = scored(first)
+        least = scored(~first & (bound > 0) & (bound >= least[:, None] - 1e-9))
         out = []
-        for i in range(len(texts)):
-            a, b = cut[i], cut[i + 1]
-            key = (at[a:b].tobytes(), n[a:b].tobytes())
-            if key not in cache:
-                if len(cache) > 50_000:
-                    cache.clear()
-                near = self.nearest(at[a:b], self.unit(at[a:b], n[a:b])) if b > a else []
-                value = float(np.interp(self.vote(near), *self.curve)) if near else self.without
-                cache[key] = (value, [(int(self.ids[m]), s) for s, m in near])
-            out.append(cache[key])
+        for r in range(size):
+            # sums differ in the last digits with the order of their terms, so similarities are compared at 12 digits
+            own = np.flatnonzero((sims[r] >= least[r] - 1e-11) & (sims[r] > 0))
+            own = own[done[r, own // BLOCK]]
+            exact = np.round(sims[r, own], 12)
+            best = np.lexsort((self.ids[own], -exact))[: self.k]
+            out.append((exact[best], own[best]))
         return out
 
+    def vote(self, sims: np.ndarray, near: np.ndarray) -> float:
+        """Share of the label among the neighbours, weighted by 1 / (distance + 0.05)."""
+        w = 1 / (1.05 - sims)
+        return float(w @ self.labels[near] / w.sum())
+
+    def neighbours(self, texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+        rows, terms, n = term_counts(texts)
+        return self.nearest(rows, *self.unit(rows, terms, n, len(texts)), len(texts))
+
+    def score(self, texts: pa.Array) -> pa.StructArray:
+        """Score and neighbours of each text; equal texts are looked up once."""
+        coded = texts.dictionary_encode()
+        values, sizes, ids, sims = [], [], [], []
+        for near_sims, near in (x for i, j in slices(coded.dictionary) for x in self.neighbours(coded.dictionary.slice(i, j - i))):
+            values.append(float(np.interp(self.vote(near_sims, near), *self.curve)) if len(near) else self.without)
+            sizes.append(len(near))
+            ids.append(self.ids[near])
+            sims.append(near_sims)
+        near = pa.StructArray.from_arrays([pa.array(np.concatenate([*ids, np.zeros(0, np.int64)]).astype(np.int64)), pa.array(np.concatenate([*sims, np.zeros(0)]))], ["doc_id", "similarity"])
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), near)
+        return pa.StructArray.from_arrays([pa.array(values, pa.float64()), lists], ["score", "neighbours"]).take(coded.indices)
+
 
 def _isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A rising curve through pooled means (pool adjacent violators), with one case of either label as a prior."""
@@ -139,85 +234,100 @@ def _isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return xs, np.maximum.accumulate(ys)
 
 
-def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", examples: int = 8000, most_terms: int = 2048, chance: float = 24.0, k: int = 15) -> Index:
+def evidence(n: np.ndarray, positive: np.ndarray, size: int, label: int) -> np.ndarray:
+    """Weight of words that stand in ``n`` of ``size`` examples, ``positive`` of them among the ``label`` ones with label 1.
+
+    The correlation with the label beyond three times what chance gives, above a floor of that size.
+    """
+    a, b = positive.astype(float), (n - positive).astype(float)
+    c, d = label - a, size - label - b
+    phi = np.abs(a * d - b * c) / np.sqrt(np.maximum((a + b) * (c + d) * (a + c) * (b + d), 1e-9))
+    noise = max(size, 1) ** -0.5
+    return noise + np.maximum(0, phi - 3 * noise)
+
+
+def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", examples: int = 8000, k: int = 15, weighted: bool = True) -> Index:
     """Learns from labelled rows outside the held-out fold (crc32 of the id mod 4 = 2).
 
     About ``examples`` labelled rows at most are read, picked by a hash of their
-    id; two thirds make the index, one third calibrates. Terms are the
-    ``most_terms`` words with the largest chi-squared statistic, if it is over
-    ``chance``. Document frequencies are counted over all rows of ``docs``.
+    id; two thirds make the index, one third calibrates. The words of the index
+    are those of its examples, all of them. Document frequencies are counted over
+    all rows of ``docs``, exactly for these words; others, which count in a
+    text's length alone, share ``REST`` places. ``weighted=False`` leaves the
+    evidence out.
     """
-    spark = docs.sparkSession
     known = labels.where((fold(doc_id) != 2) & F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("id")).agg(F.max(F.col(label).cast("int")).alias("y"))
     total = known.count()
     u = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("toxicity")), F.lit(1 << 20)) / float(1 << 20)
     known = known.where(u < min(1.0, examples / max(1, total)))
     plain = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t"))
-    sample = settle(plain.join(known, "id").select("id", "y", "t"), "examples")
+    part = F.pmod(F.xxhash64(F.col("id").cast("bigint"), F.lit("calibrate")), F.lit(3))
+    sample = settle(plain.join(known, "id").select(F.col("id").cast("bigint").alias("id"), "y", part.alias("part"), "t"), "examples")
 
-    def df_by_label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            y = batch.column(0).to_numpy(zero_copy_only=False)
-            for i, j in slices(batch.column(1), SLICE):
-                h, _, _, row = words_of(*joined_bytes(batch.column(1).slice(i, j - i)))
-                order = np.lexsort((h, row))
-                h, row = h[order], row[order]
-                first = np.ones(len(h), bool)
-                first[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-                terms, which = np.unique(h[first], return_inverse=True)
-                pos = np.bincount(which, y[i:j][row[first]], minlength=len(terms)).astype(np.int64)
-                n = np.bincount(which, minlength=len(terms)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(n), pa.array(pos)], ["h", "n", "pos"])
-
-    size, positive = sample.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
-    counted = sample.select("y", "t").mapInArrow(df_by_label, "h bigint, n bigint, pos bigint").groupBy("h").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
-    a, b = F.col("pos").cast("double"), (F.col("n") - F.col("pos")).cast("double")
-    c, d = F.lit(float(positive)) - a, F.lit(float(size - positive)) - b
-    chi = F.lit(float(size)) * F.pow(a * d - b * c, F.lit(2.0)) / F.greatest((a + b) * (c + d) * (a + c) * (b + d), F.lit(1e-9))
-    chosen = counted.where("n >= 5").withColumn("chi", chi).where(F.col("chi") > chance).orderBy(F.desc("chi"), "h").limit(most_terms).select("h").collect()
-    terms = np.sort(np.array([r["h"] for r in chosen], np.int64).view(np.uint64))
-    if not len(terms):
-        terms = np.zeros(1, np.uint64)
-
-    def df_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, rows = np.zeros(len(terms) + 1, np.int64), 0
+            rows, terms, n = term_counts(batch.column(3))
+            cut = pa.array(np.searchsorted(rows, np.arange(len(batch) + 1)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(cut, pa.array(x)) for x in (terms.view(np.int64), n)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *lists], ["id", "y", "part", "h", "n"])
+
+    got = sample.mapInArrow(counted, "id bigint, y int, part bigint, h array<bigint>, n array<bigint>").toArrow().combine_chunks()
+    # repeated rows of an id are told apart by their words, so that row order decides nothing
+    ids, y, part = (got[c].to_numpy() for c in ("id", "y", "part"))
+    keys = [(int(i), h.tobytes(), n.tobytes()) for i, h, n in zip(ids, _lists(got["h"]), _lists(got["n"]), strict=True)]
+    order = sorted(range(len(keys)), key=keys.__getitem__)
+    index_rows, rest_rows = [i for i in order if part[i] != 0], [i for i in order if part[i] == 0]
+
+    def flat(chosen: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        hs, ns = ([np.frombuffer(keys[i][q], np.int64) for i in chosen] for q in (1, 2))
+        empty = [np.zeros(0, np.int64)]
+        return np.repeat(np.arange(len(chosen)), [len(h) for h in hs]), np.concatenate(hs or empty).view(np.uint64), np.concatenate(ns or empty)
+
+    rows, terms, n = flat(index_rows)
+    vocabulary, which = np.unique(terms, return_inverse=True)
+    own = y[index_rows].astype(float) if index_rows else np.zeros(0)
+    places_of = len(vocabulary) + REST
+
+    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, size = np.zeros(places_of + 1, np.int64), 0
         for batch in batches:
-            df[:-1] += np.bincount(term_counts(batch.column(0), terms)[1], minlength=len(terms))
-            rows += len(batch)
-        df[-1] = rows
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(df))), pa.array(df)], ["at", "n"])
+            size += len(batch)
+            for i, j in slices(batch.column(0), SLICE):
+                df += np.bincount(places(term_counts(batch.column(0).slice(i, j - i))[1], vocabulary), minlength=places_of + 1)
+        df[-1] = size
+        there = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), pa.array(df[there])], ["at", "n"])
+
+    counts = plain.select("t").mapInArrow(frequencies, "at int, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    df = np.zeros(places_of + 1)
+    df[counts["at"].to_numpy()] = counts["n"].to_numpy()
+    weight = np.log((df[-1] + 1) / (np.minimum(df[:-1], df[-1]) + 1)) + 1
+    if weighted:
+        held = np.bincount(which, minlength=len(vocabulary)), np.bincount(which, own[rows] if len(rows) else None, minlength=len(vocabulary))
+        told = evidence(held[0], held[1], len(own), int(own.sum()))
+        weight *= np.append(told, np.full(REST, max(len(own), 1) ** -0.5))
+    index = Index(vocabulary, weight, ids[index_rows].astype(np.int64) if index_rows else np.zeros(0, np.int64), own, k)
+    if index_rows:
+        index.build(rows, terms, n)
+    rows, terms, n = flat(rest_rows)
+    near = index.nearest(rows, *index.unit(rows, terms, n, len(rest_rows)), len(rest_rows))
+    truth = y[rest_rows].astype(float) if rest_rows else np.zeros(0)
+    some = np.array([len(x[1]) > 0 for x in near], bool)
+    index.curve = _isotonic(np.array([index.vote(*x) for x in near if len(x[1])]), truth[some])
+    none = truth[~some]
+    index.without = float((none.sum() + 0.5) / (len(none) + 5)) if own.sum() else 0.0
+    if not own.sum():
+        index.curve = (np.zeros(1), np.zeros(1))
+    discard(sample)
+    return index
 
-    got = {r["at"]: r["n"] for r in plain.select("t").mapInArrow(df_all, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).collect()}
-    df = np.array([got.get(i, 0) for i in range(len(terms))], float)
-    idf = np.log((got.get(len(terms), 0) + 1) / (df + 1)) + 1
 
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, at, n = term_counts(batch.column(2), terms)
-            cut = np.searchsorted(rows, np.arange(len(batch) + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(cut), pa.array(at)), pa.ListArray.from_arrays(pa.array(cut), pa.array(n))], ["id", "y", "at", "n"])
-
-    rows = sample.select(F.col("id").cast("bigint").alias("id"), "y", "t").mapInArrow(vectors, "id bigint, y int, at array<bigint>, n array<bigint>").withColumn("part", F.pmod(F.xxhash64("id", F.lit("calibrate")), F.lit(3))).orderBy("id", "y", "at", "n").collect()
-    own = [r for r in rows if r["part"] != 0]
-    raw = [(np.array(r["at"], np.int64), np.array(r["n"], float)) for r in own]
-
-    def unit(x: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        w = (1 + np.log(x[1])) * idf[x[0]]
-        return x[0], w / (np.linalg.norm(w) or 1)
-
-    index = Index(terms, idf, np.array([r["id"] for r in own], np.int64), np.array([r["y"] for r in own], float), [unit(x) for x in raw], k)
-    votes, truth, rest = [], [], []
-    for r in rows:
-        if r["part"] == 0:
-            at, n = np.array(r["at"], np.int64), np.array(r["n"], float)
-            near = index.nearest(at, index.unit(at, n)) if len(at) else []
-            (votes if near else rest).append(index.vote(near) if near else r["y"])
-            if near:
-                truth.append(r["y"])
-    index.curve = _isotonic(np.array(votes), np.array(truth, float))
-    none = [r["y"] for r in own if not r["at"]] + rest
-    index.without = (sum(none) + 0.5) / (len(none) + 5) if positive else 0.0
-    return index
+def _lists(column: pa.ChunkedArray) -> list[np.ndarray]:
+    out = []
+    for chunk in column.chunks:
+        cut, values = chunk.offsets.to_numpy(), chunk.values.to_numpy(zero_copy_only=False)
+        out += [values[i:j] for i, j in zip(cut[:-1], cut[1:], strict=True)]
+    return out
 
 
 KIND = "score double, neighbours array<struct<doc_id:bigint,similarity:double>>"
@@ -225,15 +335,10 @@ KIND = "score double, neighbours array<struct<doc_id:bigint,similarity:double>>"
 
 def scored(text: str | Column, index: Index, spark) -> Column:
     shared = spark.sparkContext.broadcast(index)
-    caches: list[dict] = []
 
     @F.arrow_udf(KIND)
     def of(texts: pa.Array) -> pa.Array:
-        if not caches:
-            caches.append({})
-        got = shared.value.score(texts, caches[0])
-        near = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64())]))
-        return pa.StructArray.from_arrays([pa.array([g[0] for g in got], pa.float64()), pa.array([[{"doc_id": i, "similarity": s} for i, s in g[1]] for g in got], near)], ["score", "neighbours"])
+        return shared.value.score(texts)
 
     return of.asNondeterministic()(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
 
@@ -241,10 +346,11 @@ def scored(text: str | Column, index: Index, spark) -> Column:
 def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", out: str = "toxicity", **options) -> DataFrame:
     """``docs`` with a struct column ``out``: ``score`` (0 to 1) and the nearest labelled examples as evidence.
 
-    Scores use the whole text alone. A text without any of the learned terms
+    Scores use the whole text alone. A text without any word of the examples
     (null and empty ones, too) gets the share of the label among such examples.
     If nothing can be learned, every score is 0. Rows stay as they are, repeated
     ones too; a column named ``out`` is replaced. A document with several
-    labels counts as labelled 1 if any is.
+    labels counts as labelled 1 if any is. Of equally similar examples those with
+    smaller ids come first.
     """
     return docs.withColumn(out, scored(text, fit(docs, labels, doc_id, text, label, **options), docs.sparkSession))
