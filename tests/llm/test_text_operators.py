@@ -145,6 +145,25 @@ def test_personal_data(spark):
     assert pii.scan(df.limit(0)).count() == 0
 
 
+def test_very_many_matches(spark):
+    text = " ".join(f"u{i}@x.org 10.0.{i % 256}.7" for i in range(3000))
+    df = docs_of(spark, [text, None])
+    assert [r.d for r in pii.scan(df).orderBy("doc_id").select(pii.digest(F.col("pii")).alias("d")).collect()] == [brute_pii(text), ""]
+
+
+def test_helper_columns_keep_apart(spark):
+    mine = [f"{a} Smithers wrote this. Email: bob@x.org" for a in ("today", "later", "soon", "never")]
+    other = [f"plain filler text number {i} wrote this today. Email: later" for i in range(60)]
+    names = ["__lines", "__th", "th", "lines", "no", "c", "t", "e", "terms", "rows_of_key", "a.b"]
+    df = docs_of(spark, mine + other)
+    for c in names:
+        df = df.withColumn(c, F.concat(F.lit(c), F.col("doc_id")))
+    rows = pii.scan(df).collect()
+    assert all(r[c] == f"{c}{r.doc_id}" for r in rows for c in names)
+    assert [s.value for s in min(rows, key=lambda r: r.doc_id).pii] == ["bob@x.org", "Smithers"]
+    assert pii.sanitise(df).columns == df.columns
+
+
 def test_disclosing_terms(spark):
     mine = [f"write {a} Smithers at bob@x.org {b} today" for a, b in (("now", "quickly"), ("later", "please"), ("soon", "again"), ("never", "maybe"))]
     copies = ["Jones has jones@x.org since May"] * 50

@@ -14,10 +14,12 @@ restricted early to lines with an entity and to the terms in them.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import discard, settle, spread_join
 
 # The patterns of personal data, in the order in which kinds are listed. Possessive
 # groups and \G keep them linear on long runs; they match what the plain forms match.
@@ -34,19 +36,27 @@ WORD = r"[\p{L}\p{N}_]+"
 KINDS = (*PATTERNS, "term")
 
 
+#: Matches that are gathered by appending one to the other; more are gathered in chunks of as many.
+CHUNK = 256
+
+
 def matches(text: Column, pattern: str) -> Column:
     """``start``, ``end`` (code points) and ``value`` of the leftmost non-overlapping matches."""
     parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
-    none = F.lit(None).cast("array<struct<start:int,end:int,value:string>>")
+    kind = "array<struct<start:int,end:int,value:string>>"
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["gap"])
         end = start + F.coalesce(F.length(x["hit"]), F.lit(0))
         one = F.array(F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("value")))
-        return F.struct(end.alias("at"), F.when(x["hit"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], one)).alias("out"))
+        full = F.size(acc["out"]) >= CHUNK
+        out = F.when(x["hit"].isNull(), acc["out"]).when(full, one).otherwise(F.concat(acc["out"], one))
+        return F.struct(end.alias("at"), out.alias("out"), F.when(full & x["hit"].isNotNull(), F.concat(acc["done"], F.array(acc["out"]))).otherwise(acc["done"]).alias("done"))
 
-    empty = F.coalesce(none, F.array().cast("array<struct<start:int,end:int,value:string>>"))
-    return F.aggregate(parts, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
+    # coalesce makes the types nullable, as those of the steps are
+    empty = F.coalesce(F.lit(None).cast(kind), F.array().cast(kind))
+    nothing = F.coalesce(F.lit(None).cast(f"array<{kind}>"), F.array().cast(f"array<{kind}>"))
+    return F.aggregate(parts, F.struct(F.lit(0).alias("at"), empty.alias("out"), nothing.alias("done")), step, lambda acc: F.concat(F.flatten(acc["done"]), acc["out"]))
 
 
 def luhn(digits: Column) -> Column:
@@ -121,29 +131,36 @@ def disclosing(docs: DataFrame, text: str = "text", alpha: float = 0.8, support:
     passage are no evidence, however many there are.
     """
     plain = docs.select(F.coalesce(F.col(text), F.lit("")).alias("t"))
-    holding = plain.where(F.size(base_spans(F.col("t"))) > 0).select(F.explode(lines_of(F.col("t"))).alias("line"))
+    holders = plain.where(F.size(base_spans(F.col("t"))) > 0)
+    holding = holders.select(F.explode(lines_of(F.col("t"))).alias("line"))
     holding = holding.where(F.size(base_spans(F.col("line"))) > 0).groupBy("line").agg(F.count("*").alias("n"))
     spotted = holding.withColumn("s", base_spans(F.col("line"))).withColumn("rest", _outside(F.col("line"), F.col("s")))
     each = spotted.select("n", terms_of(F.col("rest")).alias("terms"), F.explode("s").alias("e"))
     each = settle(each.select("n", "terms", entity(F.col("e")).alias("c"), F.xxhash64("terms").alias("ctx")), "entity-lines")
-    known = each.groupBy("c").agg(F.sum("n").alias("n_c"), F.count_distinct("ctx").alias("contexts")).where(F.col("contexts") >= support)
-    pairs = each.join(known.select("c", "n_c"), "c").select("c", "n_c", "n", "ctx", F.explode("terms").alias("t"))
+    known = each.groupBy("c").agg(F.sum("n").alias("n_c"), F.count_distinct("ctx").alias("contexts"), F.count("*").alias("rows_of_key")).where(F.col("contexts") >= support)
+    known = settle(known.select("c", "n_c", "rows_of_key"), "entities")
+    # an entity on very many lines, such as a support address, isn't gathered in one task
+    pairs = spread_join(each, known, "c", each.count()).select("c", "n_c", "n", "ctx", F.explode("terms").alias("t"))
     pairs = pairs.groupBy("c", "n_c", "t").agg(F.sum("n").alias("n_ct"), F.count_distinct("ctx").alias("contexts")).where(F.col("contexts") >= support)
     pairs = settle(pairs.select("c", "n_c", "t", "n_ct"), "pairs")
+    discard(each, known)
     if pairs.isEmpty():
         return None
     total = float(plain.agg(F.sum(F.size(lines_of(F.col("t"))))).first()[0])
     # PMI >= alpha IC means n_t <= n_ct (N / n_c)^(1 - alpha). The texts that hold an entity give a lower
     # bound of n_t, which rules out common words, so that only rare ones are counted in the whole corpus.
     most = F.col("n_ct") * F.pow(F.lit(total) / F.col("n_c"), F.lit(1 - alpha)) * (1 + 1e-9)
-    near = _term_lines(plain.where(F.size(base_spans(F.col("t"))) > 0)).groupBy("t").agg(F.count("*").alias("n_near"))
-    pairs = settle(pairs.join(near, "t", "left").where(F.coalesce("n_near", F.lit(0)) <= most).drop("n_near"), "rare-pairs")
-    if pairs.isEmpty():
+    near = _term_lines(holders).groupBy("t").agg(F.count("*").alias("n_near"))
+    rare = settle(pairs.join(near, "t", "left").where(F.coalesce("n_near", F.lit(0)) <= most).drop("n_near"), "rare-pairs")
+    discard(pairs)
+    if rare.isEmpty():
         return None
-    seen = _term_lines(plain).join(pairs.select("t").distinct(), "t", "left_semi").groupBy("t").agg(F.count("*").alias("n_t"))
+    seen = _term_lines(plain).join(rare.select("t").distinct(), "t", "left_semi").groupBy("t").agg(F.count("*").alias("n_t"))
     pmi = F.log2(F.col("n_ct") * total / (F.col("n_c") * F.col("n_t")))
     ic = F.log2(total / F.col("n_c"))
-    return settle(pairs.join(seen, "t").where((ic > 0) & (pmi >= alpha * ic)).select("c", "t"), "disclosing")
+    out = settle(rare.join(seen, "t").where((ic > 0) & (pmi >= alpha * ic)).select("c", "t"), "disclosing")
+    discard(rare)
+    return out
 
 
 def _term_lines(plain: DataFrame) -> DataFrame:
@@ -180,15 +197,21 @@ def scan(docs: DataFrame, text: str = "text", out: str = "pii", alpha: float = 0
     pairs = disclosing(docs, text, alpha, support)
     if pairs is None:
         return marked
+    tag = f"_{uuid.uuid4().hex}"
     entities = docs.select(t.alias("t")).where(F.size(base_spans(F.col("t"))) > 0).select(F.xxhash64("t").alias("th"), F.posexplode(lines_of(F.col("t"))).alias("no", "line"))
-    entities = entities.select("th", "no", F.explode(base_spans(F.col("line"))).alias("e")).select("th", "no", entity(F.col("e")).alias("c")).distinct()
-    told = entities.join(pairs, "c").groupBy("th", "no").agg(F.sort_array(F.collect_set("t")).alias("terms")).groupBy("th").agg(F.sort_array(F.collect_list(F.struct("no", "terms"))).alias("__lines"))
-    keyed = marked.withColumn("__th", F.when(F.size(out) > 0, F.xxhash64(t)))
+    entities = settle(entities.select("th", "no", F.explode(base_spans(F.col("line"))).alias("e")).select("th", "no", entity(F.col("e")).alias("c")), "entities")
+    copies = entities.groupBy("c").agg(F.count("*").alias("rows_of_key"))
+    revealed = pairs.groupBy("c").agg(F.collect_set("t").alias("ts")).join(copies, "c")
+    told = spread_join(entities, revealed, "c", entities.count())
+    told = told.select("th", "no", F.explode("ts").alias("t")).groupBy("th", "no").agg(F.sort_array(F.collect_set("t")).alias("terms"))
+    told = told.groupBy("th").agg(F.sort_array(F.collect_list(F.struct("no", "terms"))).alias(f"lines{tag}")).withColumnRenamed("th", f"th{tag}")
+    keyed = marked.withColumn(f"of{tag}", F.when(F.size(out) > 0, F.xxhash64(t)))
     # only texts with an entity meet the join; the others pass by
-    own = keyed.where("__th is not null").join(told.withColumnRenamed("th", "__th"), "__th", "left")
-    own = own.withColumn(out, F.when(F.col("__lines").isNull(), F.col(out)).otherwise(F.concat(F.col(out), _term_spans(t, F.col("__lines")))))
-    names = marked.columns
-    return own.select(*names).union(keyed.where("__th is null").select(*names))
+    own = keyed.where(F.col(f"of{tag}").isNotNull()).join(told, F.col(f"of{tag}") == F.col(f"th{tag}"), "left")
+    lines = F.col(f"lines{tag}")
+    own = own.withColumn(out, F.when(lines.isNull(), F.col(out)).otherwise(F.concat(F.col(out), _term_spans(t, lines))))
+    names = [F.col(f"`{c}`") for c in marked.columns]
+    return own.select(*names).union(keyed.where(F.col(f"of{tag}").isNull()).select(*names))
 
 
 def sanitise(docs: DataFrame, text: str = "text", **options) -> DataFrame:
@@ -197,16 +220,18 @@ def sanitise(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     A pattern match becomes its kind in brackets, a disclosing number
     ``[NUMBER]``, a disclosing capitalised word ``[NAME]``, and any other
     disclosing word is removed. Overlapping spans become what the first of them
-    becomes. Texts without personal data come back unchanged.
+    becomes. Texts without personal data come back unchanged, null stays null;
+    rows, repeated ones too, and other columns stay as they are.
     """
-    found = scan(docs, text, "__pii", **options)
+    own = f"pii_{uuid.uuid4().hex}"
+    found = scan(docs, text, own, **options)
     t = F.coalesce(F.col(text), F.lit(""))
 
     def mark(s: Column) -> Column:
         word = F.when(s["value"].rlike("^[0-9]+$"), "[NUMBER]").when(s["value"].rlike(r"^\p{Lu}"), "[NAME]").otherwise("")
         return F.when(s["kind"] == "term", word).otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
 
-    ordered = F.array_sort(F.transform("__pii", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), mark(s).alias("mark"))))
+    ordered = F.array_sort(F.transform(own, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), mark(s).alias("mark"))))
 
     def step(acc: Column, s: Column) -> Column:
         free = s["start"] >= acc["at"]
@@ -214,7 +239,7 @@ def sanitise(docs: DataFrame, text: str = "text", **options) -> DataFrame:
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(free, F.concat(acc["out"], gap, s["mark"])).otherwise(acc["out"]).alias("out"))
 
     clean = F.aggregate(ordered, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(t, acc["at"] + 1, F.length(t))))
-    return found.withColumn(text, F.when(F.size("__pii") > 0, clean).otherwise(F.col(text))).drop("__pii")
+    return found.withColumn(text, F.when(F.size(own) > 0, clean).otherwise(F.col(text))).drop(own)
 
 
 def digest(spans: Column) -> Column:

@@ -10,6 +10,7 @@ from .common import held_out, read
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the number of secrets a kind and the places of all spans; a null text holds none."""
     found = secrets.scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter("secrets", lambda s: s["kind"].isin(*secrets.BASE_KINDS))
 
@@ -25,11 +26,13 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the language its text is in, `und` for a text that is null or has no letter."""
     found = langid.identify(read(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     return found.select("doc_id", held_out("doc_id").alias("held_out"), "language.lang_pred", "language.score")
 
 
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector with its links, its component and whether it is the component's first; unsound vectors link with nothing."""
     return embedding_dedup.near_duplicates(read(spark, sf_dir, "embeddings"))
 
 
@@ -47,11 +50,13 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with both views' calibrated scores and the combined one; null texts and metadata are scored, too."""
     found = quality.score(read(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"), read(spark, sf_dir, "labels"))
     return found.select("doc_id", held_out("doc_id").alias("held_out"), "quality.score_text", "quality.score_meta", "quality.score")
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its score, the decision at 0.3 and the labelled documents nearest to it; null texts are scored, too."""
     found = toxicity.score(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels"))
     near = F.array_join(F.transform("toxicity.neighbours", lambda x: x["doc_id"].cast("string")), ",")
     score = F.col("toxicity.score")
@@ -59,16 +64,19 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the number of matches a kind and the places of all spans, disclosing terms last; a null text holds none."""
     found = pii.scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
     def n(kind: str):
         return F.size(F.filter("pii", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
 
     base = F.filter("pii", lambda s: s["kind"] != "term")
-    return found.select("doc_id", *[n(k) for k in pii.PATTERNS], F.sha2(pii.digest(base), 256).alias("base_sha256"), pii.digest(F.col("pii")).alias("spans"), n("term"))
+    every = F.size(base).cast("bigint").alias("n_base")
+    return found.select("doc_id", *[n(k) for k in pii.PATTERNS], F.sha2(pii.digest(base), 256).alias("base_sha256"), pii.digest(F.col("pii")).alias("spans"), n("term"), every)
 
 
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its fingerprint and the smallest doc_id of its group; a null text has fingerprint zero."""
     near = simhash.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return near.select("doc_id", F.col("fp").alias("fingerprint"), "component_id")
 

@@ -283,7 +283,10 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         empty = [np.zeros(0, np.int64)]
         return np.repeat(np.arange(len(chosen)), [len(h) for h in hs]), np.concatenate(hs or empty).view(np.uint64), np.concatenate(ns or empty)
 
+    truth = y[rest_rows].astype(float) if rest_rows else np.zeros(0)
+    rest = flat(rest_rows)
     rows, terms, n = flat(index_rows)
+    del got, keys
     vocabulary, which = np.unique(terms, return_inverse=True)
     own = y[index_rows].astype(float) if index_rows else np.zeros(0)
     places_of = len(vocabulary) + REST
@@ -309,9 +312,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     index = Index(vocabulary, weight, ids[index_rows].astype(np.int64) if index_rows else np.zeros(0, np.int64), own, k)
     if index_rows:
         index.build(rows, terms, n)
-    rows, terms, n = flat(rest_rows)
-    near = index.nearest(rows, *index.unit(rows, terms, n, len(rest_rows)), len(rest_rows))
-    truth = y[rest_rows].astype(float) if rest_rows else np.zeros(0)
+    del rows, terms, n, which
+    near = index.nearest(rest[0], *index.unit(*rest, len(rest_rows)), len(rest_rows))
     some = np.array([len(x[1]) > 0 for x in near], bool)
     index.curve = _isotonic(np.array([index.vote(*x) for x in near if len(x[1])]), truth[some])
     none = truth[~some]
