@@ -119,6 +119,30 @@ def test_blocks_count_like_one(spark, monkeypatch):
     whole = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(df).collect()}
     monkeypatch.setattr(embedding_dedup, "BLOCK", 8)
     assert {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(df).collect()} == whole
+    monkeypatch.setattr(embedding_dedup, "RUN", 2)
+    assert {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(df).collect()} == whole
+
+
+def test_pairs_in_a_dense_cone_link(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "QUERIES", 1 << 20)  # all vectors are asked
+    rng = np.random.default_rng(9)
+
+    def near(x, cosine):
+        y = rng.standard_normal(x.shape)
+        y -= (y * x).sum(1, keepdims=True) * x
+        y /= np.linalg.norm(y, axis=1, keepdims=True)
+        return cosine * x + (1 - cosine**2) ** 0.5 * y
+
+    centre = rng.standard_normal((1, 64))
+    cone = near(np.repeat(centre / np.linalg.norm(centre), 1500, axis=0), 0.8**0.5)
+    x = np.concatenate([cone, near(cone[:150], 0.91)])
+    link = x @ x.T >= 0.9
+    np.fill_diagonal(link, False)
+    df = spark.createDataFrame([(i, e.tolist()) for i, e in enumerate(x)], "vec_id bigint, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(df).collect()}
+    want = united(len(x), [(i, j) for i, j in zip(*np.nonzero(link), strict=True)])
+    right = [got[i] == (link[i].sum(), want[i]) for i in range(len(x)) if link[i].any()]
+    assert len(right) >= 300 and np.mean(right) >= 0.99 and all(want[c] == want[i] for i, (_, c) in got.items())
 
 
 def test_mixture_meets_its_targets(spark, monkeypatch):

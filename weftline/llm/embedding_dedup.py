@@ -2,10 +2,16 @@
 
 Each pass orders the vectors lexicographically by concatenated random hashes
 (signs of random projections) and compares every vector with the few that
-follow it in that order. Verified pairs from all passes are united into
-components. Links are then counted exactly inside each component, block against
-block; a block pair whose centres and radii settle the answer isn't compared
-vector by vector, so a dense group costs little more than its size.
+follow it in that order; the spanning forest of the verified pairs is kept.
+Forests of all passes are united into components. How many passes it takes
+depends on how crowded the space is, so it is measured: a query set is compared
+with all vectors, and passes are added until it finds its links inside the
+components.
+
+Links are then counted exactly inside each component, block against block.
+Blocks are cut in the order of a projection and have a centre and a radius;
+where those of two blocks, or of two runs of blocks, settle whether all or none
+link, no vector is moved. What is left is compared vector by vector.
 
 Exact copies are one class from the start and never paired with each other.
 """
@@ -20,12 +26,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
-from .components import components
+from .common import settle, spread_join
+from .components import _forest, components
 
 BITS = 62
 #: Vectors in a block of a component.
 BLOCK = 1024
+#: Blocks in a run, which is settled as a whole where it can be.
+RUN = 64
+#: Vectors of the query set that measures recall.
+QUERIES = 512
 #: Passes whose rows are shuffled in one job.
 AT_ONCE = 8
 
@@ -103,7 +113,7 @@ def _windowed(window: int, least: float):
                 kept = (p[i], d[i], own[-window:], x[-window:])
                 if a and sum(map(len, a)):
                     a, b = np.concatenate(a), np.concatenate(b)
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                    yield from _forest([pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])])
 
     return run
 
@@ -157,6 +167,154 @@ def _degrees(least: float):
     return run
 
 
+def _missed(queries: list[tuple], least: float):
+    """Links of the query set in each batch: how many, how many inside components, and a link to each component missed."""
+    by_dim: dict[int, tuple] = {}
+    for d in {q[1] for q in queries}:
+        own = [q for q in queries if q[1] == d]
+        by_dim[d] = np.array([q[0] for q in own], np.int64), np.array([q[2] for q in own], np.int64), _matrix(pa.array([q[3] for q in own]))[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims = batch.column(2).to_numpy(zero_copy_only=False)
+            for d in np.unique(dims):
+                if d not in by_dim:
+                    continue
+                part = batch.filter(pa.array(dims == d)) if (dims != d).any() else batch
+                ids, member = part.column(0).to_numpy(zero_copy_only=False), part.column(3).to_numpy(zero_copy_only=False)
+                q, group, y = by_dim[int(d)]
+                i, j = np.nonzero(y @ _matrix(part.column(1))[0].T >= least)
+                other = q[i] != ids[j]
+                i, j = i[other], j[other]
+                apart = group[i] != member[j]
+                _, one = np.unique(np.stack([i[apart], member[j[apart]]]), axis=1, return_index=True) if apart.any() else (None, np.zeros(0, np.int64))
+                n = np.bincount(i, minlength=len(q))
+                joined = n - np.bincount(i[apart], minlength=len(q))
+                some = np.flatnonzero(n)
+                a = np.concatenate([q[some], q[i[apart][one]]])
+                b = np.concatenate([q[some], ids[j[apart][one]]])
+                zero = np.zeros(len(one), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.concatenate([n[some], zero]).astype(np.int64)), pa.array(np.concatenate([joined[some], zero]).astype(np.int64))], ["a", "b", "links", "joined"])
+
+    return run
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of the vectors in batches sorted by component and projection: a row (kind 0) a vector, then one (1) a block and one (2) a run of blocks.
+
+    ``run`` and ``block`` are names; centre, radius and weight describe a block or run.
+    """
+    from pyspark import TaskContext
+
+    base, blocks, runs = TaskContext.get().partitionId() << 32, 0, 0
+    held: list[tuple] = []  # parts of the block: ids, weights, vectors as they came
+    done: list[tuple] = []  # blocks of the run: centre, radius, weight
+    now = None
+    kind = None
+
+    def row(what: int, block: int | None, centre: np.ndarray, radius: float, weight: int) -> pa.RecordBatch:
+        none = pa.nulls(1)
+        cols = [pa.array([what], pa.int32()), pa.array([now], pa.int64()), pa.array([base + runs]), pa.array([block], pa.int64()), none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.int32()), none.cast(kind), pa.array([centre.tolist()], pa.list_(pa.float64())), pa.array([float(radius)]), pa.array([int(weight)], pa.int64())]
+        return pa.RecordBatch.from_arrays(cols, FIELDS)
+
+    def close_block() -> Iterator[pa.RecordBatch]:
+        nonlocal blocks
+        if not held:
+            return
+        ids, w, dim, v = (pa.concat_arrays([h[q] for h in held]) for q in range(4))
+        x = _matrix(v)[0]
+        centre = x.sum(0)
+        centre /= max(np.linalg.norm(centre), 1e-12)
+        radius, weight = float(np.arccos(np.clip((x @ centre).min(), -1, 1))), int(w.to_numpy(zero_copy_only=False).sum())
+        n = len(ids)
+        name = base + blocks
+        cols = [pa.array(np.zeros(n, np.int32)), pa.array(np.full(n, now)), pa.array(np.full(n, base + runs)), pa.array(np.full(n, name)), ids, w, dim, v, pa.nulls(n).cast(pa.list_(pa.float64())), pa.nulls(n).cast(pa.float64()), pa.nulls(n).cast(pa.int64())]
+        yield pa.RecordBatch.from_arrays(cols, FIELDS)
+        yield row(1, name, centre, radius, weight)
+        done.append((centre, radius, weight))
+        held.clear()
+        blocks += 1
+
+    def close_run() -> Iterator[pa.RecordBatch]:
+        nonlocal runs
+        yield from close_block()
+        if done:
+            centre = sum(c * w for c, _, w in done)
+            centre = centre / max(np.linalg.norm(centre), 1e-12)
+            yield row(2, None, centre, max(float(np.arccos(np.clip(c @ centre, -1, 1))) + r for c, r, _ in done), sum(w for _, _, w in done))
+            done.clear()
+            runs += 1
+
+    for batch in batches:
+        kind = batch.column(4).type
+        component = batch.column(0).to_numpy(zero_copy_only=False)
+        for i, j in _runs(component):
+            if component[i] != now:
+                yield from close_run()
+                now = int(component[i])
+            while i < j:
+                k = min(j, i + BLOCK - sum(len(h[0]) for h in held))
+                held.append(tuple(batch.column(q).slice(i, k - i) for q in range(1, 5)))
+                i = k
+                if sum(len(h[0]) for h in held) >= BLOCK:
+                    yield from close_block()
+                    if len(done) >= RUN:
+                        yield from close_run()
+    if now is not None:
+        yield from close_run()
+
+
+FIELDS = ["kind", "component", "run", "block", "id", "w", "dim", "v", "centre", "radius", "weight"]
+
+
+def _settled(pairs: DataFrame, name: str, least: float) -> tuple[DataFrame, DataFrame]:
+    """Of pairs with centre, radius and weight of sides a and b: what decided ones add to each side, and the others."""
+    far = math.acos(least)
+    dot = F.aggregate(F.zip_with("centre_a", "centre_b", lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
+    apart, reach = F.acos(F.greatest(F.least(dot, F.lit(1.0)), F.lit(-1.0))), F.col("radius_a") + F.col("radius_b")
+    same = F.col(f"{name}_a") == F.col(f"{name}_b")
+    # acos is blunt near 0, by about 1e-8
+    pairs = pairs.withColumn("all", F.when(F.when(same, F.lit(0.0)).otherwise(apart) + reach < far - 1e-6, True).when(~same & (apart - reach > far + 1e-6), False))
+    both = F.array(F.struct(F.col(f"{name}_a").alias("at"), F.col("weight_b").alias("n"), same.cast("long").alias("own")), F.struct(F.col(f"{name}_b").alias("at"), F.when(same, 0).otherwise(F.col("weight_a")).alias("n"), F.lit(0).cast("long").alias("own")))
+    added = pairs.where("all").select(F.explode(both).alias("x")).groupBy(F.col("x.at").alias(name)).agg(F.sum("x.n").alias(f"{name}_n"), F.max("x.own").alias(f"{name}_own"))
+    return added, pairs.where("all is null")
+
+
+def _counted(parts: DataFrame, least: float) -> DataFrame:
+    """``id`` and ``n``, its links to others of its component, copies included, for rows (component, key, id, w, dim, v)."""
+    kind = parts.schema["v"].dataType.simpleString()
+    ordered = parts.repartitionByRange("component", "key", "id").sortWithinPartitions("component", "key", "id").select("component", "id", "w", "dim", "v")
+    fields = f"kind int, component bigint, run bigint, block bigint, id bigint, w bigint, dim int, v {kind}, centre array<double>, radius double, weight bigint"
+    cut = settle(ordered.mapInArrow(_cut, fields), "blocks")
+    runs = cut.where("kind = 2").select("component", "run", "centre", "radius", "weight")
+    runs = runs.join(runs.groupBy("component").agg(F.ceil(F.count("*") / RUN).alias("deals")), "component")
+
+    def side(df: DataFrame, names: list[str], x: str) -> DataFrame:
+        return df.select(*[F.col(c) for c in df.columns if c not in names], *[F.col(c).alias(f"{c}_{x}") for c in names])
+
+    told = ["run", "centre", "radius", "weight"]
+    left = side(runs.withColumn("deal", F.pmod(F.xxhash64("run"), "deals")), told, "a")
+    right = side(runs.withColumn("deal", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("deals") - 1))), told, "b")
+    of_runs, open_runs = _settled(left.join(right, ["component", "deal"]).where("run_a <= run_b"), "run", least)
+    blocks = cut.where("kind = 1").select("run", "block", "centre", "radius", "weight")
+    told = ["run", "block", "centre", "radius", "weight"]
+    pairs = open_runs.select("run_a", "run_b").join(side(blocks, told, "a"), "run_a").join(side(blocks, told, "b"), "run_b")
+    of_blocks, open_blocks = _settled(pairs.where("run_a < run_b or block_a <= block_b"), "block", least)
+    open_blocks = settle(open_blocks.select(F.least("block_a", "block_b").alias("lo"), F.greatest("block_a", "block_b").alias("hi")), "open-blocks")
+    vectors = cut.where("kind = 0").select("component", "run", "block", "id", "w", "dim", "v")
+    ends = open_blocks.withColumn("block", F.explode(F.array_distinct(F.array("lo", "hi"))))
+    near = ends.join(vectors, "block").select("component", "lo", "hi", F.col("block").alias("chunk"), "id", "w", "dim", "v")
+    near = near.repartition("lo", "hi").sortWithinPartitions("lo", "hi", "chunk", "id")
+    one_by_one = near.mapInArrow(_degrees(least), "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
+    named = vectors.select("run", "block", "id", "w").join(of_runs, "run", "left").join(of_blocks, "block", "left").join(one_by_one, "id", "left")
+
+    def or_zero(c: str):
+        return F.coalesce(F.col(c), F.lit(0))
+
+    own = F.when(or_zero("run_own") + or_zero("block_own") > 0, F.col("w")).otherwise(0)
+    return settle(named.select("id", (or_zero("run_n") + or_zero("block_n") + or_zero("n") - own).alias("n")), "degrees")
+
+
 def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", least: float = 0.9, window: int = 32, recall: float = 0.99) -> DataFrame:
     """One row for each row of ``vectors``: ``vec_id``, ``n_links``, ``component_id`` and ``kept``.
 
@@ -169,33 +327,50 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     nothing, has a null component and is kept. Extra columns are ignored; an
     empty table gives an empty one.
 
-    ``window`` and ``recall`` steer the passes: a pair at the threshold meets
-    with probability ``recall``, closer ones more surely.
+    ``window`` and ``recall`` steer the passes: so many that a pair at the
+    threshold meets with probability ``recall`` among evenly spread vectors, then
+    twice as many again and again until the links of about ``QUERIES`` vectors,
+    compared with all others, lie inside components to that share.
     """
     v = F.col(embedding)
+    kind = vectors.schema[embedding].dataType
+    stored = "array<float>" if kind.simpleString() == "array<float>" else "array<double>"
     sound = F.col(vec_id).isNotNull() & v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = vectors.select(F.col(vec_id).cast("bigint").alias("vec_id"), F.when(sound, v.cast("array<double>")).alias("v"))
-    classes = rows.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("id"), F.count_distinct("vec_id").alias("w"))
-    classes = settle(classes.select("id", "v", F.size("v").alias("dim"), "w"), "classes")
-    n, found = classes.count(), None
-    total = passes_for(n, window, least, recall)
-    for at in range(0, total, AT_ONCE):
-        keyed = classes.select("id", "v", "dim").mapInArrow(_keyed(list(range(at, min(total, at + AT_ONCE)))), "pass int, dim int, key bigint, id bigint, v array<double>")
-        # the id splits equal keys, so a large group of near copies spreads over partitions
-        ordered = keyed.repartitionByRange("pass", "dim", "key", "id").sortWithinPartitions("pass", "dim", "key", "id")
-        links = settle(ordered.select("pass", "dim", "id", "v").mapInArrow(_windowed(window, least), "a bigint, b bigint").distinct(), "pairs")
-        found = links if found is None else found.union(links)
-    member = components(found).withColumnRenamed("node", "id")
-    groups = settle(member.join(member.groupBy("component").agg(F.count("*").alias("g")), "component"), "members")
-    blocks = F.ceil(F.col("g") / BLOCK).cast("int")
-    parts = groups.withColumn("chunk", F.pmod(F.xxhash64("id"), blocks).cast("int")).join(classes, "id")
-    other = F.explode(F.sequence(F.lit(0), blocks - 1))
-    parts = parts.select("component", "chunk", "id", "w", "dim", "v", other.alias("o"))
-    parts = parts.select("component", F.least("chunk", "o").alias("lo"), F.greatest("chunk", "o").alias("hi"), "chunk", "id", "w", "dim", "v")
-    parts = parts.repartition("component", "lo", "hi").sortWithinPartitions("component", "lo", "hi", "chunk", "id")
-    degree = parts.mapInArrow(_degrees(least), "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
-    named = classes.select("id", "v", "w").join(degree, "id", "left").join(groups.select("id", "component"), "id", "left")
-    named = named.groupBy("v", "w").agg(F.sum("n").alias("n"), F.min(F.coalesce("component", "id")).alias("component"))
+    rows = vectors.select(F.col(vec_id).cast("bigint").alias("vec_id"), F.when(sound, v.cast(stored)).alias("v"))
+    # a vec_id with several vectors is one node: its vectors are named by the smallest id they share with others
+    classes = rows.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("first"), F.count_distinct("vec_id").alias("w"))
+    classes = settle(classes.select(F.xxhash64("v", "first").alias("id"), "first", "v", F.size("v").alias("dim"), "w"), "classes")
+    several = rows.where("v is not null").groupBy("vec_id").agg(F.min("v").alias("p"), F.max("v").alias("q")).where("p <> q").select("vec_id")
+    several = settle(rows.join(several, "vec_id").select("vec_id", "v").distinct().join(classes.select("v", "id"), "v").select("vec_id", "id"), "several")
+    same = several.join(several.groupBy("vec_id").agg(F.min("id").alias("b")), "vec_id").select(F.col("id").alias("a"), "b")
+    n, done, total = classes.count(), 0, 0
+    found = same
+    u = F.pmod(F.xxhash64("id", F.lit("queries")), F.lit(1 << 20))
+    queries = classes.where(u < max(1, (QUERIES << 20) // max(n, 1)))
+    while True:
+        total = max(2 * total, passes_for(n, window, least, recall))
+        for at in range(done, total, AT_ONCE):
+            keyed = classes.select("id", "v", "dim").mapInArrow(_keyed(list(range(at, min(total, at + AT_ONCE)))), f"pass int, dim int, key bigint, id bigint, v {stored}")
+            # the id splits equal keys, so a large group of near copies spreads over partitions
+            ordered = keyed.repartitionByRange("pass", "dim", "key", "id").sortWithinPartitions("pass", "dim", "key", "id")
+            found = found.union(settle(ordered.select("pass", "dim", "id", "v").mapInArrow(_windowed(window, least), "a bigint, b bigint").distinct(), "pairs"))
+        done = total
+        member = components(found).withColumnRenamed("node", "id")
+        grouped = classes.join(member, "id", "left").select("id", "v", "dim", F.coalesce("component", "id").alias("component"))
+        asked = [(r["id"], r["dim"], r["component"], r["v"]) for r in grouped.join(F.broadcast(queries.select("id")), "id", "left_semi").collect()]
+        told = settle(grouped.mapInArrow(_missed(asked, least), "a bigint, b bigint, links bigint, joined bigint"), "missed")
+        links, joined = told.agg(F.sum("links"), F.sum("joined")).first()
+        missed = told.where("a <> b").select("a", "b")
+        if (joined or 0) >= recall * (links or 0):
+            break
+        found = found.union(missed)
+    member = components(found.union(missed)).withColumnRenamed("node", "id") if links != joined else member
+    groups = settle(member.join(classes, "id"), "members")
+    keyed = groups.select("id", "v", "dim").mapInArrow(_keyed([0]), f"pass int, dim int, key bigint, id bigint, v {stored}").select("id", "key")
+    degree = _counted(groups.join(keyed, "id").select("component", "key", "id", "w", "dim", "v"), least)
+    named = classes.join(degree, "id", "left").join(groups.select("id", "component"), "id", "left").select("v", "w", "n", F.coalesce("component", "id").alias("component"), "first")
+    least_id = named.groupBy("component").agg(F.min("first").alias("component_id"), F.count("*").alias("rows_of_key"))
+    named = spread_join(named, least_id, "component", n).select("v", "w", "n", "component_id")
     out = rows.join(named, "v", "left")
-    component = F.coalesce("component", "vec_id")
+    component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", (F.coalesce("n", F.lit(0)) + F.coalesce(F.col("w") - 1, F.lit(0))).cast("bigint").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
