@@ -160,11 +160,18 @@ def test_mixture_meets_its_targets(spark, monkeypatch):
             assert all(abs(got[k] - v) < close for k, v in want.items())
         assert abs(p.tokens.sum() / sum(r[3] for r in rows) - 0.3) < 0.05
 
-    check(mixing.mix(df, targets, share=0.3), 0.08)
+    def exact(out):
+        return {r.doc_id: (r.probability, r.weight) for r in out.collect()}
+
+    few, absent = mixing.mix(df, targets, share=0.3), mixing.mix(df, {"source": {"zz": 1.0}, "lang": 0.5}, share=0.3)
+    check(few, 0.08)
+    few, absent = exact(few), exact(absent)
     monkeypatch.setattr(mixing, "DRIVER_CELLS", 2)
     small = df.limit(0)
     assert mixing.mix(small, targets).count() == 0
-    check(mixing.mix(df, targets, share=0.3), 0.08)
+    for want, other in ((few, targets), (absent, {"source": {"zz": 1.0}, "lang": 0.5})):  # a target that no value has means even shares
+        got = exact(mixing.mix(df, other, share=0.3))
+        assert got.keys() == want.keys() and np.allclose([got[k] for k in want], [want[k] for k in want], rtol=1e-6)
 
 
 def test_raking():
@@ -243,6 +250,49 @@ def test_quality(spark):
     assert quality.score(docs.limit(0), labels).count() == 0
 
 
+def test_quality_does_not_depend_on_row_order(spark):
+    rng = random.Random(18)
+    rows = [(i, " ".join(rng.choices(["good", "bad", "so", "what"][i % 2 :], k=20)), f"s{i % 3}", "en") for i in range(300)]
+    rows += [(300 + i, "one text for all", f"s{i % 3}", "en") for i in range(900)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id bigint, quality int")
+    scores = []
+    for order, parts in ((rows, 3), (rows[::-1], 5)):
+        docs = spark.createDataFrame(order, "doc_id bigint, text string, source string, lang string").repartition(parts)
+        scores.append({r.doc_id: (r.quality.score, r.quality.score_meta) for r in quality.score(docs, labels).collect()})
+    assert np.allclose([scores[0][r[0]] for r in rows], [scores[1][r[0]] for r in rows], atol=1e-12)
+
+
+ODD_TABLES = "doc_id bigint, text string, lang string, source string, n_chars bigint, th string, fp string, language string, passages string, n bigint, component_id string"
+
+
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(19)
+    vocabulary = ["the", "and", "thing", "house"] + [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200)]
+    text = [" ".join(rng.choices(vocabulary, k=50)) for _ in range(30)]
+    rest = ("th", "fp", "language", "passages", 7, "component")
+    rows = [(i, t, "en", "s", 1, *rest) for i, t in enumerate(text)]
+    rows += [rows[0], rows[0], (None, text[1] + " " + text[2], None, None, None, *rest), (None, None, "en", "s", 1, *rest), (0, text[5] + " " + text[6], "en", "s", 1, *rest), (50, "", None, "s", 0, *rest), (51, "long " * 60_000, "en", "s", 1, *rest)]
+    for name, own in (("some", rows), ("none", [])):
+        at = f"{tmp_path}/{name}"
+        spark.createDataFrame(own, ODD_TABLES).write.parquet(f"{at}/documents.parquet")
+        spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"{at}/benchmark.parquet")
+        now = spark.read.parquet(f"{at}/documents.parquet")
+        for stage, f in corpus_pipeline.STAGES[:-1]:
+            now = f(spark, now, at)
+            assert now.columns == ODD_TABLES.replace(" bigint", "").replace(" string", "").split(", "), stage
+        kept = now.collect()
+        assert all(tuple(r[5:]) == rest for r in kept)
+        ids = [r.doc_id for r in kept if r.doc_id is not None]
+        if own:
+            assert set(range(1, 30)) | {51} <= set(ids) and ids.count(0) == 2 and 50 not in ids
+            assert [r.text for r in kept if r.doc_id is None] == [text[1] + " " + text[2]]
+        else:
+            assert not kept
+        assert corpus_pipeline.run(spark, at).count() <= len(kept)
+
+
 def test_pipeline_keeps_clean_documents(spark, tmp_path):
     import corpus_pipeline
 

@@ -113,6 +113,43 @@ def test_contamination(spark):
     assert decontam.passages(df, spark.createDataFrame([], "item_id bigint, text string")).where("size(passages) > 0").count() == 0
 
 
+def brute_passages(text, items, least=0.8):
+    """Items some part of the text is within their word edits of (Sellers' algorithm over the whole text)."""
+    words, out = [w for w, _ in brute_words(text)], set()
+    for i, item in items:
+        own = [w for w, _ in brute_words(item)]
+        row = list(range(len(own) + 1))
+        best = row[-1]
+        for w in words:
+            new = [0]
+            for j, v in enumerate(own):
+                new.append(min(row[j] + (w != v), row[j + 1] + 1, new[j] + 1))
+            row, best = new, min(best, new[-1])
+        if own and best <= np.floor(len(own) * (1 - least) + 1e-9):
+            out.add(i)
+    return out
+
+
+@pytest.mark.parametrize("at_once", [20_000, 7])
+def test_passages_against_an_edit_distance_scan(spark, monkeypatch, at_once):
+    monkeypatch.setattr(decontam, "ITEMS_AT_ONCE", at_once)
+    rng = random.Random(21)
+    vocabulary = [f"w{i}" for i in range(500)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=rng.choice([1, 2, 3, 4, 6, 12, 30])))) for i in range(30)] + [(90, ""), (91, None)]
+    texts = [None, "", *ODD]
+    for n in range(150):
+        i, own = items[n % 30]
+        words = own.split()
+        for _ in range(rng.randint(0, len(words) // 10)):
+            words[rng.randrange(len(words))] = rng.choice(vocabulary)
+        texts.append(" ".join([*rng.choices(vocabulary, k=rng.randint(0, 40)), *words, *rng.choices(vocabulary, k=rng.randint(0, 40))]))
+    got = decontam.passages(docs_of(spark, texts), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    found = {r.doc_id: {p.item_id for p in r.passages} for r in got}
+    want = {d: brute_passages(t, [x for x in items if x[1]]) for d, t in enumerate(texts)}
+    assert all(found[d] <= want[d] for d in want)
+    assert sum(len(found[d]) for d in want) >= 0.99 * sum(map(len, want.values())) > 150
+
+
 def test_edit_distance_of_parts():
     h = lambda s: words_of(*joined_bytes(pa.array([s])))[0]
     assert decontam.best_match(h("a b c d"), h("x a b c d y")) == (0, 1, 5)
@@ -253,6 +290,15 @@ def test_nearest_examples_are_exact(spark, monkeypatch, weighted):
     assert all((a[1] == b[1]).all() for a, b in zip(got, again, strict=True))
 
 
+def test_private_keys_go_whole(spark):
+    body = "\n".join("A1b+/" * 12 for _ in range(5))
+    pem = f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\n{body}\nQ==\n-----END RSA PRIVATE KEY-----"
+    cut = f"-----BEGIN PRIVATE KEY-----\n{body}"
+    texts = [f"before {pem} after", f"x {cut}\nplain words go on", "-----BEGIN PRIVATE KEY----- alone", "-----BEGIN PRIVATE KEY-----" * 500]
+    got = [r.text for r in secrets.redact(docs_of(spark, texts)).orderBy("doc_id").collect()]
+    assert got[:3] == ["before [SECRET] after", "x [SECRET]\nplain words go on", "[SECRET] alone"] and got[3] == "[SECRET]" * 500
+
+
 def test_digests_are_plain_sha256(spark):
     r = docs_of(spark, ["x " + ODD[-1]]).select(F.sha2(secrets.digest(secrets.secret_spans("text")), 256).alias("h")).first()
     assert r.h == hashlib.sha256(",".join(f"{s['kind']}:{s['start']}:{s['end']}" for s in brute_secrets("x " + ODD[-1])).encode()).hexdigest()

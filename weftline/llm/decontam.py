@@ -16,13 +16,14 @@ place. That test loses nothing and is one hash lookup for each word of the text.
 from __future__ import annotations
 
 import math
+import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import joined_bytes, slices
+from .common import discard, joined_bytes, settle, slices
 from .words import A, M, mix, words_of
 
 #: Bytes of text that are taken at once; a longer text is taken alone.
@@ -176,28 +177,39 @@ def walks_for(recall: float, apart: float, samples: int, keys: int) -> int:
 SPANS = "array<struct<item_id:bigint,start:int,end:int,distance:int>>"
 
 
-def passages(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", out: str = "passages", least: float = 0.8, least_words: int = 5, recall: float = 0.99, apart: float = 0.5, samples: int = 2, keys: int = 6) -> DataFrame:
+def passages(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", out: str = "passages", least: float = 0.8, least_words: int = 1, recall: float = 0.99, apart: float = 0.5, samples: int = 2, keys: int = 6) -> DataFrame:
     """``docs`` with the benchmark passages in each whole text: item, start and end (code points), word edits.
 
     A passage is a part of the text whose word edit distance to the item is at
-    most 1 - ``least`` of the item's words. Items with fewer than
-    ``least_words`` words, null ones too, match nothing. Null and empty texts
+    most 1 - ``least`` of the item's words, so an item of four words or fewer
+    matches only as it is. Items with fewer than ``least_words`` words, null and
+    empty ones too, match nothing. Null and empty texts
     have none. Overlapping parts that match an item as well are one passage, the
     best. The same rows come back, in any number; a column named ``out`` is
-    replaced. Items are searched for in blocks, so any number of them will do.
+    replaced. Items are searched for in blocks, one after the other, so that one
+    block at most is held in memory; from two blocks on the rows are written between them.
     """
     spark = docs.sparkSession
     named = items.where(F.col(item_text).isNotNull()).select(F.col(item_id).cast("bigint").alias("i"), F.col(item_text).alias("t"))
     blocks = max(1, math.ceil(named.count() / ITEMS_AT_ONCE))
     walks = walks_for(recall, apart, samples, keys)
     col = F.coalesce(F.col(text), F.lit(""))
-    spans = []
+    tag, before = f"_{uuid.uuid4().hex}", None
+    found = docs
     for b in range(blocks):
         rows = named.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).orderBy("i", "t").collect()
         hashed = [(r["i"], words_of(*joined_bytes(pa.array([r["t"]])))[0]) for r in rows]
-        index = Index([x for x in hashed if x[0] is not None and len(x[1]) >= least_words], least, samples, walks, keys)
-        spans.append(_searched(spark, index)(col))
-    return docs.withColumn(out, spans[0] if blocks == 1 else F.concat(*spans))
+        index = Index([x for x in hashed if x[0] is not None and len(x[1]) >= max(1, least_words)], least, samples, walks, keys)
+        spans = _searched(spark, index)(col)
+        if b:
+            spans = F.concat(F.col(f"found{tag}"), spans)
+        if blocks == 1:
+            return docs.withColumn(out, spans)
+        found = settle(found.withColumn(f"found{tag}", spans), "passages")
+        if before is not None:
+            discard(before)
+        before = found
+    return found.withColumn(out, F.col(f"found{tag}")).drop(f"found{tag}")
 
 
 def _searched(spark, index: Index):
@@ -229,6 +241,10 @@ def _searched(spark, index: Index):
 
 
 def without_passages(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` whose text holds no benchmark passage; columns stay as they are."""
-    names = docs.columns
-    return passages(docs, items, out="__passages", **options).where(F.size("__passages") == 0).select(*names)
+    """The rows of ``docs`` whose text holds no benchmark passage; columns stay as they are.
+
+    Items under five words are left out here unless ``least_words`` says otherwise:
+    every text may hold those by chance, and clean documents are to stay.
+    """
+    own = f"passages_{uuid.uuid4().hex}"
+    return passages(docs, items, out=own, **{"least_words": 5} | options).where(F.size(own) == 0).drop(own)

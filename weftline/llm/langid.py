@@ -12,6 +12,7 @@ nowhere else much more frequent.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import fold, slices
+from .common import discard, fold, settle, slices
 
 UNKNOWN = "und"
 SIZES = (3, 4)
@@ -135,17 +136,18 @@ class Model:
         return [self.langs[j] if h else UNKNOWN for j, h in zip(best, has, strict=True)], score
 
 
-def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_lang: int = 3000, grams_each: int = 40_000, bits_each: int = 16, k: int = 4, most_langs: int = 512) -> Model | None:
+def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_lang: int = 3000, grams_each: int = 40_000, bits_each: int = 16, k: int = 4) -> Model | None:
     """Learns from rows outside the held-out fold (crc32 of the id mod 4 = 2) with a language; None if there are none.
 
     At most about ``per_lang`` rows a language are read as examples: rows are
     picked by a hash of their id, in proportion to the language's count. Each
     language's filter takes its ``grams_each`` most frequent characteristic
     n-grams (at least half as frequent there as in any other language), so the
-    model's size is bounded by the number of languages, ``most_langs`` at most.
+    model grows with the number of languages alone. N-grams seen once count only
+    for languages that have no others. Languages are all values of ``lang``.
     """
     own = docs.where((fold(doc_id) != 2) & F.col(lang).isNotNull())
-    counts = own.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(most_langs).collect()
+    counts = own.groupBy(lang).count().orderBy(F.desc("count"), lang).collect()
     if not counts:
         return None
     langs = tuple(r[0] for r in counts)
@@ -164,7 +166,10 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
                     g, n = np.unique(h[which == q], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(g), pa.string()), pa.array(g.view(np.int64)), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
 
-    n = sample.mapInArrow(counted, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")).where("n > 1")
+    n = sample.mapInArrow(counted, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    n = seen = settle(n, "grams")
+    scarce = [r["lang"] for r in n.groupBy("lang").agg(F.max("n").alias("most")).where("most = 1").collect()]
+    n = n.where((F.col("n") > 1) | F.col("lang").isin(scarce)) if scarce else n.where("n > 1")
     totals = {r["lang"]: r["n"] for r in n.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     if not totals:
         return Model(langs, np.zeros((2, 1), np.uint64), np.zeros(len(langs)), k)
@@ -172,6 +177,7 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     rated = n.withColumn("rate", rate).withColumn("top", F.max("rate").over(Window.partitionBy("gram"))).where("rate * 2 >= top")
     ranked = rated.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("r") <= grams_each)
     chosen = ranked.select("lang", "gram").toPandas()
+    discard(seen)
     size = 1 << max(10, int(np.ceil(np.log2(max(1, chosen.groupby("lang").size().max()) * bits_each))))
     model = Model(langs, np.zeros((size, (len(langs) + 63) // 64), np.uint64), np.zeros(len(langs)), k)
     for j, name in enumerate(langs):
@@ -220,6 +226,6 @@ def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
 
 def keep_known(docs: DataFrame, least: float = 0.0, **columns) -> DataFrame:
     """The rows whose text has a language: not ``und``, and a score above ``least``; columns stay as they are."""
-    names = docs.columns
-    found = identify(docs, out="__language", **columns)
-    return found.where((F.col("__language.lang_pred") != UNKNOWN) & (F.col("__language.score") > least)).select(*names)
+    own = f"language_{uuid.uuid4().hex}"
+    found = identify(docs, out=own, **columns)
+    return found.where((F.col(f"{own}.lang_pred") != UNKNOWN) & (F.col(f"{own}.score") > least)).drop(own)

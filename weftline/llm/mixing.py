@@ -20,6 +20,8 @@ from .words import words_of
 
 #: Cells up to which raking runs on the driver; more of them are raked as a table.
 DRIVER_CELLS = 100_000
+#: Raking ends when no marginal is off by more than this share of the tokens, or after as many rounds.
+CLOSE, ROUNDS = 1e-9, 500
 TOPICS = 8
 
 
@@ -60,7 +62,7 @@ def marginal(shares: dict, target: dict | float) -> dict:
     return {v: x / total for v, x in raw.items()} if total > 0 else {v: 1 / len(raw) for v in raw}
 
 
-def rake(tokens: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray], rounds: int = 500, close: float = 1e-10) -> np.ndarray:
+def rake(tokens: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray], rounds: int = ROUNDS, close: float = CLOSE) -> np.ndarray:
     """Cell weights w such that tokens x w has the target marginals (as far as the cells allow)."""
     w = np.ones(len(tokens)) / max(tokens.sum(), 1e-300)
     for _ in range(rounds):
@@ -93,32 +95,56 @@ def calibrate(tokens: np.ndarray, w: np.ndarray, share: float) -> float:
     return 1 / v[-1]
 
 
-def _rake_table(cells: DataFrame, dims: list[str], targets: dict[str, dict | float], rounds: int = 30) -> DataFrame:
-    """Raking where the cells are too many for the driver: each dimension is an aggregation and a join."""
+def _rake_table(cells: DataFrame, dims: list[str], targets: dict[str, dict | float], rounds: int = ROUNDS, close: float = CLOSE) -> DataFrame:
+    """``rake`` where the cells are too many for the driver: each dimension is an aggregation and a join."""
     total = cells.agg(F.sum("tokens")).first()[0] or 1
     now = settle(cells.withColumn("w", F.lit(1.0 / total)), "cells")
-    goals = {}
+    goals, tag = {}, f"_{uuid.uuid4().hex}"
     for d in dims:
-        seen = now.groupBy(d).agg(F.sum("tokens").alias("n"))
+        seen = now.groupBy(d).agg(F.sum("tokens").alias(f"n{tag}"))
         t = targets[d]
         if isinstance(t, dict):
-            table = now.sparkSession.createDataFrame([(k, float(x)) for k, x in t.items()], f"{d} {dict(now.dtypes)[d]}, raw double")
-            raw = seen.join(table, seen[d].eqNullSafe(table[d]), "left").select(seen[d], F.coalesce("raw", F.lit(0.0)).alias("raw"))
+            table = now.sparkSession.createDataFrame([(k, float(x)) for k, x in t.items()], f"`{d}` {dict(now.dtypes)[d]}, raw{tag} double")
+            raw = seen.join(table, seen[d].eqNullSafe(table[d]), "left").select(seen[d], F.coalesce(f"raw{tag}", F.lit(0.0)).alias(f"raw{tag}"))
         else:
-            raw = seen.select(d, F.pow(F.col("n") / F.lit(float(total)), F.lit(float(t))).alias("raw"))
-        norm = raw.agg(F.sum("raw")).first()[0] or 1.0
-        goals[d] = settle(raw.select(d, (F.col("raw") / norm).alias("goal")), "goal")
+            raw = seen.select(d, F.pow(F.col(f"n{tag}") / F.lit(float(total)), F.lit(float(t))).alias(f"raw{tag}"))
+        norm, values = raw.agg(F.sum(f"raw{tag}"), F.count("*")).first()
+        share = F.col(f"raw{tag}") / norm if norm else F.lit(1.0 / max(1, values))
+        goals[d] = settle(raw.select(d, share.alias(f"goal{tag}")), "goal")
     for _ in range(rounds):
+        off = 0.0
         for d in dims:
-            have = now.groupBy(d).agg(F.sum(F.col("tokens") * F.col("w")).alias("have"))
-            factor = have.join(goals[d], have[d].eqNullSafe(goals[d][d])).select(have[d].alias("__d"), F.when(F.col("have") > 0, F.col("goal") / F.col("have")).otherwise(0.0).alias("f"))
-            after = now.join(factor, now[d].eqNullSafe(F.col("__d"))).select(*dims, "tokens", (F.col("w") * F.col("f")).alias("w"))
-            after = settle(after, "cells")
-            discard(now)
+            have = now.groupBy(d).agg(F.sum(F.col("tokens") * F.col("w")).alias(f"have{tag}"))
+            factor = have.join(goals[d], have[d].eqNullSafe(goals[d][d])).select(have[d].alias(f"d{tag}"), f"have{tag}", f"goal{tag}")
+            factor = settle(factor, "factors")
+            gap = factor.where(F.col(f"have{tag}") > 0).agg(F.max(F.abs(F.col(f"have{tag}") - F.col(f"goal{tag}")))).first()[0]
+            off = max(off, gap or 0.0)
+            scale = F.when(F.col(f"have{tag}") > 0, F.col(f"goal{tag}") / F.col(f"have{tag}")).otherwise(0.0)
+            after = settle(now.join(factor, now[d].eqNullSafe(F.col(f"d{tag}"))).select(*[now[c] for c in dims], "tokens", (F.col("w") * scale).alias("w")), "cells")
+            discard(now, factor)
             now = after
+        if off < close:
+            break
+    discard(*goals.values())
     return now
 
 
+def _calibrate_table(cells: DataFrame, share: float) -> float:
+    """``calibrate`` for a table of cells, to 12 digits."""
+    total, least = cells.agg(F.sum("tokens"), F.min(F.when(F.col("w") > 0, F.col("w")))).first()
+    if least is None:
+        return 0.0
+    lo, hi = 0.0, 1.0 / least
+    while hi - lo > 1e-13 * hi:  # each round tries 16 values in one aggregation
+        tries = [lo + (hi - lo) * i / 16 for i in range(17)]
+        got = cells.agg(*[F.sum(F.col("tokens") * F.least(F.lit(1.0), F.col("w") * float(c))) for c in tries]).first()
+        at = next((i for i, g in enumerate(got) if g >= share * total), 16)
+        lo, hi, before = tries[max(0, at - 1)], tries[at], (lo, hi)
+        if (lo, hi) == before:
+            break
+    return hi
+
+
 def mix(docs: DataFrame, targets: dict[str, dict | float], tokens: str = "tokens", share: float = 0.5, key: tuple[str, ...] = ("doc_id",), seed: int = 0) -> DataFrame:
     """A sample of ``docs`` whose expected token weights have the target marginals.
 
@@ -154,15 +180,9 @@ def mix(docs: DataFrame, targets: dict[str, dict | float], tokens: str = "tokens
         kind = ", ".join(f"{a} {dict(docs.dtypes)[d]}" for a, d in zip(names, dims, strict=True))
         table = F.broadcast(spark.createDataFrame([(*r[:-1], float(c * x)) for r, x in zip(rows, w, strict=True)], f"{kind}, __{tag}_w double"))
     else:
-        raked = settle(_rake_table(cells, dims, targets), "raked")
-        total = raked.agg(F.sum("tokens")).first()[0]
-        lo, hi = 0.0, 1.0 / max(raked.where("w > 0").agg(F.min("w")).first()[0] or 1.0, 1e-300)
-        for _ in range(8):  # each round tries 16 values in one aggregation
-            tries = list(np.linspace(lo, hi, 17))
-            got = raked.agg(*[F.sum(F.col("tokens") * F.least(F.lit(1.0), F.col("w") * float(c))) for c in tries]).first()
-            at = next((i for i, g in enumerate(got) if g >= share * total), 16)
-            lo, hi = tries[max(0, at - 1)], tries[at]
-        table = raked.select(*[F.col(d).alias(a) for a, d in zip(names, dims, strict=True)], (F.col("w") * float(hi)).alias(f"__{tag}_w"))
+        raked = _rake_table(cells, dims, targets)
+        c = _calibrate_table(raked, share)
+        table = raked.select(*[F.col(d).alias(a) for a, d in zip(names, dims, strict=True)], (F.col("w") * float(c)).alias(f"__{tag}_w"))
     on = F.lit(True)
     for a, d in zip(names, dims, strict=True):
         on &= docs[d].eqNullSafe(table[a])
@@ -177,6 +197,11 @@ TARGETS: dict[str, dict | float] = {"source": 0.5, "lang": 0.7, "topic": 0.0}
 
 
 def sample_documents(docs: DataFrame, share: float = 0.5, targets: dict[str, dict | float] = TARGETS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``mix`` over documents, with tokens and topic taken from the text (columns of those names are replaced)."""
-    got = docs.withColumn("__profile", profile(text)).withColumns({"tokens": F.col("__profile.tokens"), "topic": F.col("__profile.topic")}).drop("__profile")
+    """``mix`` over documents, with tokens and topic taken from the text (columns of those names are replaced).
+
+    Null and empty texts have no tokens and are left out. Rows with the same id
+    share their fate, null ids too. Null sources and languages are values of their own.
+    """
+    own = f"profile_{uuid.uuid4().hex}"
+    got = docs.withColumn(own, profile(text)).withColumns({"tokens": F.col(f"{own}.tokens"), "topic": F.col(f"{own}.topic")}).drop(own)
     return mix(got, targets, share=share, key=(doc_id,))

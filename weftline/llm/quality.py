@@ -143,7 +143,9 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     """Learns from rows outside the held-out fold (crc32 of the id mod 4 = 2); None without rows of both labels.
 
     About ``examples`` labelled and ``pool`` unlabelled rows at most are read,
-    picked by a hash of their id. A third of the labelled ones calibrates.
+    picked by a hash of their id. A third of the labelled ones calibrates. Ties
+    in confidence go to the smaller id as text, then to the smaller hash of text
+    and metadata.
     Features are made on the executors; the driver gets these rows' features.
     """
     known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("id")).agg(F.max(F.col(label).cast("int")).alias("y"))
@@ -160,13 +162,15 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         for batch in batches:
             for i, j in slices(batch.column(0), SLICE):
                 a, b = _features(*(batch.column(q).slice(i, j - i) for q in (0, 1, 2)))
-                yield pa.RecordBatch.from_arrays([batch.column(3).slice(i, j - i), batch.column(4).slice(i, j - i), pa.array(list(a.astype(np.float32))), pa.array(list(b.astype(np.float32)))], ["y", "part", "a", "b"])
+                yield pa.RecordBatch.from_arrays([batch.column(3).slice(i, j - i), batch.column(4).slice(i, j - i), pa.array(list(a.astype(np.float32))), pa.array(list(b.astype(np.float32))), batch.column(5).slice(i, j - i), batch.column(6).slice(i, j - i)], ["y", "part", "a", "b", "id", "th"])
 
     part = F.pmod(F.xxhash64("id", F.lit("calibrate")), F.lit(3))
-    got = rows.select("t", "source", "lang", "y", part.cast("int").alias("part"), "id").mapInArrow(made, "y int, part int, a array<float>, b array<float>").toArrow()
+    got = rows.select("t", "source", "lang", "y", part.cast("int").alias("part"), F.col("id").cast("string").alias("id"), F.xxhash64("t", "source", "lang").alias("th"))
+    got = got.mapInArrow(made, "y int, part int, a array<float>, b array<float>, id string, th bigint").toArrow()
     y = got.column("y").to_pandas().to_numpy(float)
     views = tuple(np.stack(got.column(c).to_pandas().to_numpy()).astype(float) if len(got) else np.zeros((0, 1)) for c in ("a", "b"))
-    order = np.lexsort((*views[0].T[:4], y)) if len(y) else np.zeros(0, int)
+    # by id, then text and metadata, so that neither row order nor partitions decide ties
+    order = np.lexsort((got.column("th").to_numpy(), got.column("id").to_pandas().to_numpy(str))) if len(y) else np.zeros(0, int)
     y, cal, views = y[order], got.column("part").to_numpy()[order] == 0, tuple(x[order] for x in views)
     train, hold, free = ~np.isnan(y) & ~cal, ~np.isnan(y) & cal, np.isnan(y)
     if len(set(y[train].tolist())) < 2 or len(set(y[hold].tolist())) < 2:

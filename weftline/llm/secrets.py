@@ -50,7 +50,7 @@ RULES = (
     Rule("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 8, 2, True),
     Rule("access", r"AKIA[A-Z0-9]+", 16),
     Rule("hex", r"[0-9a-f]+", 32),
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 1),
+    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:\r?\n[A-Za-z]+-[A-Za-z]+:[^\n]*)*(?:[\x20\r\n]*[A-Za-z0-9+/=]{16,})*(?:[\x20\r\n]*[A-Za-z0-9+/=]*[\x20\r\n]*-----END [A-Z ]*PRIVATE KEY-----)?", 1),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]+", 40),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]+", 15),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 30),

@@ -235,9 +235,9 @@ def links(fps: DataFrame, tau: int = 2, plan: Plan | None = None) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 3, tau: int = 2) -> DataFrame:
-    """One row for each row of ``docs``: ``doc_id``, ``th`` (a hash of the text), ``fp`` and ``component_id``.
+    """One row for each row of ``docs``: ``doc_id``, ``th`` (a hash of the text), ``fp``, ``component_id`` and ``part``.
 
-    ``fp`` is the fingerprint's 16 hex digits. ``component_id`` is the smallest
+    ``part`` names the component, even where ids repeat or are null; ``fp`` is the fingerprint's 16 hex digits. ``component_id`` is the smallest
     doc_id among all documents reachable over links of ``tau`` bits or fewer,
     the row's own included. Null and empty texts have fingerprint 0 and link
     like any other; rows with a null doc_id keep it and count for a component's
@@ -250,16 +250,16 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     total = fps.count()
     fps = fps.join(member, fps["fp"] == member["node"], "left").select("fp", "first", "copies", F.coalesce("component", "fp").alias("component"))
     least = fps.groupBy("component").agg(F.min("first").alias("component_id"), F.count("*").alias("rows_of_key"))
-    named = spread_join(fps, least, "component", total).select("fp", "component_id", F.col("copies").alias("rows_of_key"))
-    return spread_join(base, settle(named, "named"), "fp", base.count()).select("doc_id", "th", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fp"), "component_id")
+    named = spread_join(fps, least, "component", total).select("fp", "component_id", F.col("component").alias("part"), F.col("copies").alias("rows_of_key"))
+    return spread_join(base, settle(named, "named"), "fp", base.count()).select("doc_id", "th", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fp"), "component_id", "part")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", near: DataFrame | None = None) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each component the row with its smallest doc_id.
 
     ``near`` names the components as ``near_duplicates`` does, which is also what
-    gives them by default. Of rows that share that doc_id (null: only if all in
-    the component are null) one stays: the one with the smallest hash of its
+    gives them by default. Of a component's rows that share that doc_id (null:
+    only if all in it are null) one stays: the one with the smallest hash of its
     text, and of those equal in both the one whose columns as JSON come first.
     Columns stay as they are, whatever their names. Null and empty texts are
     equal; an empty table gives an empty one.
@@ -267,9 +267,8 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", near:
     tag = f"_{uuid.uuid4().hex}"
     near = near_duplicates(docs, doc_id, text) if near is None else near
     keep = near.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    # a component is named by an id, but null ids name many: those are told apart by their fingerprint
-    group = F.when(F.col("component_id").isNull(), F.col("fp"))
-    keep = keep.groupBy("component_id", group.alias("g")).agg(F.min("th").alias("th"), F.count("*").alias("n"))
+    # ids may repeat in other components, which keep their own row
+    keep = keep.groupBy("component_id", "part").agg(F.min("th").alias("th"), F.count("*").alias("n"))
     keep = keep.select(F.col("component_id").alias(f"id{tag}"), F.col("th").alias(f"th{tag}"), F.col("n").alias(f"n{tag}"))
     own = docs.withColumn(f"own{tag}", F.xxhash64(F.coalesce(docs[text], F.lit(""))))
     out = own.join(keep, own[doc_id].eqNullSafe(keep[f"id{tag}"]) & (own[f"own{tag}"] == keep[f"th{tag}"]))

@@ -344,7 +344,7 @@ def verified(found: DataFrame, base: DataFrame, firsts: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each row of ``docs``: ``doc_id``, ``th`` (a hash of the text), ``fp`` (its group) and ``component_id``.
+    """One row for each row of ``docs``: ``doc_id``, ``th`` (a hash of the text), ``part`` (its group) and ``component_id``.
 
     Texts link if their sets of five-word shingles have a Jaccard similarity of
     0.8 or more (A-Z lower-cased, words are runs without ASCII white space, fewer
@@ -374,4 +374,4 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     named = spread_join(fps, least, "fp", firsts.count()).select("th", "fp", "component_id")
     copies = ids.groupBy("th").agg(F.count("*").alias("rows_of_key"))
     named = settle(named.join(copies, "th"), "named")
-    return spread_join(ids, named, "th", ids.count()).select("doc_id", "th", "fp", "component_id")
+    return spread_join(ids, named, "th", ids.count()).select("doc_id", "th", F.col("fp").alias("part"), "component_id")
