@@ -127,3 +127,40 @@ def test_stream_gives_what_batch_gives(spark, tmp_path):
     own = Q.repeats(Q.since_reset(batch, bad, ~bad, ["user_id"], ["ts", "event_id"], "failures"), F.col("event_type"), ["user_id"], ["ts", "event_id"])
     want = {r.user_id: (r.n, r.m, r.a, r.b) for r in own.groupBy("user_id").agg(F.count("*").alias("n"), F.max("repeats").alias("m"), F.max_by("repeats", "ts").alias("a"), F.max_by("failures", "ts").alias("b")).collect()}
     assert out == want
+
+
+def test_deep_and_unclosed_markup():
+    from weftline.sources import html as H
+
+    for piece in ("<b>x", "<li>x", "<p>x", "<div>x", "<td>x"):
+        page = H.readable("u", piece * 5000)
+        assert page["text"].count("x") == 5000 and page["cleaned_html"]
+        assert H.elements(piece * 3000 + "<a href=q>go</a>")[0]["href"] == "q"
+    page = H.readable("u", "<body><ul><li>one<li>two <ul><li>in</ul><li>three</ul><table><tr><td>a<td>b<tr><th>c</table><p>first<p>second<div>third</div></body>")
+    assert page["cleaned_html"] == "<ul><li>one</li><li>two <ul><li>in</li></ul></li><li>three</li></ul><table><tr><td>a</td><td>b</td></tr><tr><th>c</th></tr></table><p>first</p><p>second</p><div>third</div>"
+    assert page["tables"] == [[["a", "b"], ["c"]]]
+
+
+def test_result_cards():
+    from weftline.sources import html as H
+
+    page = """<div class="x g"><a href="/one"><h3>First  title</h3></a><div class="snippet">About one</div></div><article><a href="https://b.org/two">Two</a><p>About <b>two</b></p></article>
+    <div class="g"><a href="/one">again</a></div><div class="result"><h2>No link</h2></div><li class="b_algo"><a href="javascript:x()">odd</a></li><div class="b_caption"><p>x</p></div><a href="/menu">A menu entry</a>"""
+    assert H.result_cards("https://s.org/q", page) == [
+        {"href": "https://s.org/one", "title": "First title", "snippet": "About one"},
+        {"href": "https://b.org/two", "title": "Two", "snippet": "About two"},
+    ]
+    plain = '<li>Around <a href="up">A longer text</a></li><a href="/b">short</a><a href="/c" aria-label="Label of it"></a>'
+    assert H.result_cards("https://s.org/a/q", plain) == [
+        {"href": "https://s.org/a/up", "title": "A longer text", "snippet": "Around A longer text"},
+        {"href": "https://s.org/c", "title": "Label of it", "snippet": ""},
+    ]
+    assert H.result_cards(None, None) == []
+
+
+def test_a_page_captured_twice_is_two_sources(spark):
+    from weftline.plans import pipelines as PL
+
+    html = "<title>t</title><body><h1>A title</h1>words of {}</body>"
+    pages = spark.createDataFrame([(1, "https://a.org/x", html.format("one")), (51, "https://a.org/x", html.format("two")), (2, "https://b.org/y", html.format("three"))], "page_id bigint, url string, html string")
+    assert sorted(r.url for r in PL.research(pages, []).collect()) == ["https://a.org/x", "https://b.org/y"]

@@ -12,7 +12,11 @@ from pyspark.sql import functions as F
 from ..functions.text import normalize, or_empty
 from ..functions.urls import host_of
 
-LINK = r'<a href="([^"]*)">([^<]*)</a>'
+#: A link: its address in double, single or no quotes, and what it holds, tags included.
+LINK = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))[^>]*>(.*?)</a\s*>"""
+#: The root and the folder of an address.
+ROOT = r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+)"
+FOLDER = r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+(?:/[^?#]*)?)"
 HEADING = r"(?s)<h[123][^>]*>(.*?)</h[123]>"
 # Hosts that are search engines themselves (tested as parts of the host, so look-alikes are excluded as well).
 SEARCH_HOSTS = ("google.com", "bing.com", "duckduckgo.com")
@@ -50,11 +54,24 @@ def fields(pages: DataFrame) -> DataFrame:
 def links(pages: DataFrame) -> DataFrame:
     """A row for each link: ``page_id``, ``url``, ``pos`` (from 1), ``href`` made absolute, ``text``."""
     h = or_empty(F.col("html"))
-    pairs = F.arrays_zip(F.regexp_extract_all(h, F.lit(LINK), F.lit(1)).alias("href"), F.regexp_extract_all(h, F.lit(LINK), F.lit(2)).alias("text"))
+    found = [F.regexp_extract_all(h, F.lit(LINK), F.lit(i)) for i in (1, 2, 3, 4)]
+    pairs = F.transform(F.arrays_zip(*[x.alias(n) for x, n in zip(found, "abct", strict=True)]), lambda x: F.struct(F.concat(x["a"], x["b"], x["c"]).alias("href"), x["t"].alias("text")))
     rows = pages.select("page_id", "url", F.posexplode(pairs).alias("i", "l"))
-    root = F.regexp_extract("url", r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+)", 1)
-    href = F.when(F.startswith(F.col("l.href"), F.lit("/")), F.concat(root, F.col("l.href"))).otherwise(F.col("l.href"))
-    return rows.select("page_id", "url", (F.col("i") + 1).alias("pos"), href.alias("href"), plain(F.col("l.text")).alias("text"))
+    return rows.select("page_id", "url", (F.col("i") + 1).alias("pos"), absolute(F.col("url"), F.replace(F.trim("l.href"), F.lit("&amp;"), F.lit("&"))).alias("href"), plain(F.col("l.text")).alias("text"))
+
+
+def absolute(url: Column, href: Column) -> Column:
+    """``href`` as it stands on the page ``url``; steps such as ``..`` are kept."""
+    page = F.regexp_extract(url, FOLDER, 1)
+    folder = F.when(page == F.regexp_extract(url, ROOT, 1), F.concat(page, F.lit("/"))).otherwise(F.regexp_replace(page, "/[^/]*$", "/"))
+    return (
+        F.when(href.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), href)
+        .when(F.startswith(href, F.lit("//")), F.concat(F.regexp_extract(url, "^([a-zA-Z][a-zA-Z0-9+.-]*:)", 1), href))
+        .when(F.startswith(href, F.lit("/")), F.concat(F.regexp_extract(url, ROOT, 1), href))
+        .when(F.startswith(href, F.lit("#")), F.concat(F.regexp_replace(url, "#.*$", ""), href))
+        .when(F.startswith(href, F.lit("?")), F.concat(page, href))
+        .otherwise(F.concat(folder, href))
+    )
 
 
 def is_web_url(url: Column) -> Column:

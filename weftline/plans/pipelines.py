@@ -16,8 +16,9 @@ CALLS_AT_ONCE = 3
 
 def research(pages: DataFrame, preferred: list[str], most: int = 6, model: Callable[[str], str] = M.stub) -> DataFrame:
     """Ranked, diversified sources of each task with their digests: ``task_id``, ``rank``, ``url``, ``summary``, ``confidence``."""
-    picked = P.diversified(P.candidates_of(pages), ["task_id"], preferred, most)
-    read = picked.join(P.fields(pages).select("url", "text"), "url")
+    # a candidate's position is its page's id; a page may be captured twice, so its URL is no key
+    picked = P.diversified(P.candidates_of(pages), ["task_id"], preferred, most).withColumnRenamed("pos", "page_id")
+    read = picked.join(P.fields(pages).select("page_id", "text"), "page_id")
     asked = read.select("task_id", "rank", "url", "text", F.concat(F.lit("Summarise: "), F.substring("text", 1, 5200)).alias("prompt"))
     return M.digested(M.answered(asked, "prompt", model, CALLS_AT_ONCE), "text").select("task_id", "rank", "url", "summary", "confidence")
 

@@ -8,7 +8,8 @@ from ..operators import models as M
 from ..streaming import steps as ST
 from . import pipelines as PL
 from .q_pages import PREFERRED
-from .registry import query, table
+from . import q_sequences  # noqa: F401  its SQL is that of the stream, too
+from .registry import ORACLES, query, table
 
 BY_ROLE = "SELECT role AS model, sum(length(text))::BIGINT AS prompt_tokens, sum(turn * 10)::BIGINT AS completion_tokens FROM conversations GROUP BY role"
 
@@ -34,11 +35,10 @@ def r_scrape(spark, sf):
     return PL.scrape(table(spark, sf, "pages"))
 
 
-@query("r02_session_stream", "SELECT user_id, count(*) AS steps FROM events GROUP BY user_id")
+@query("r02_session_stream", ORACLES["r02_session_state"])
 def r02_stream(spark, sf):
     stream = ST.session_state(ST.read_steps(spark, f"{sf}/events.parquet", table(spark, sf, "events").schema))
-    out = ST.drain(stream, "weftline_sessions", "update")[1]
-    return out.groupBy("user_id").agg(F.max("steps").alias("steps"))
+    return ST.latest(ST.drain(stream, "weftline_sessions", "update")[1], ["user_id"], "steps")
 
 
 @query("r04_steps_once", "SELECT DISTINCT user_id, event_id FROM events")

@@ -25,8 +25,23 @@ def plain_sql(x: str) -> str:
 TITLE = plain_sql("regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1)")
 HEADS = f"list_filter(list_transform(regexp_extract_all(html, {D.lit(P.HEADING)}, 1), lambda h: {plain_sql('h')}), lambda h: h <> '')[1:20]"
 BODY = f"substr({plain_sql('''regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script>', ' ', 'g'), '(?is)<style\\b.*?</style>', ' ', 'g'), '(?is)<noscript\\b.*?</noscript>', ' ', 'g'), '(?is)<head\\b.*?</head>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g')''')}, 1, 18000)"
-LINKS = f"""(SELECT page_id, url, pos, CASE WHEN starts_with(h, '/') THEN regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+)', 1) || h ELSE h END AS href, {plain_sql('t')} AS text
-FROM (SELECT page_id, url, unnest(range(1, len(hs) + 1)) AS pos, unnest(hs) AS h, unnest(ts) AS t FROM (SELECT page_id, url, regexp_extract_all(html, {D.lit(P.LINK)}, 1) AS hs, regexp_extract_all(html, {D.lit(P.LINK)}, 2) AS ts FROM pages)))"""
+PAGE, ROOT = f"regexp_extract(url, {D.lit(P.FOLDER)}, 1)", f"regexp_extract(url, {D.lit(P.ROOT)}, 1)"
+ABSOLUTE = f"""CASE WHEN regexp_matches(h, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN h WHEN starts_with(h, '//') THEN regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*:)', 1) || h WHEN starts_with(h, '/') THEN {ROOT} || h
+WHEN starts_with(h, '#') THEN regexp_replace(url, '#.*$', '') || h WHEN starts_with(h, '?') THEN {PAGE} || h ELSE CASE WHEN {PAGE} = {ROOT} THEN {PAGE} || '/' ELSE regexp_replace({PAGE}, '/[^/]*$', '/') END || h END"""
+
+
+def links_sql(pages: str) -> str:
+    found = ", ".join(f"regexp_extract_all(html, {D.lit(P.LINK)}, {i}) AS x{i}" for i in (1, 2, 3, 4))
+    return f"""(SELECT page_id, url, pos, {ABSOLUTE} AS href, {plain_sql('t')} AS text
+FROM (SELECT page_id, url, pos, replace(trim(concat(a, b, c)), '&amp;', '&') AS h, coalesce(t, '') AS t FROM (SELECT page_id, url, unnest(range(1, len(x1) + 1)) AS pos, unnest(x1) AS a, unnest(x2) AS b, unnest(x3) AS c, unnest(x4) AS t FROM (SELECT page_id, url, {found} FROM {pages}))))"""
+
+
+LINKS = links_sql("pages")
+#: Pages with links as they are written by hand: quotes, attributes, tags inside, relative addresses.
+WRITTEN = D.rows("page_id, url, html",
+    """(1, 'https://a.org/x/y.html?q=1#z', '<a class="k" href="/p">One</a><A HREF=''b.html'' id=q>Two <b>bold</b></A><a href=c target=_blank>Three</a><a name="no">anchor</a><a data-href="d" href="//e.org/f">Four</a>')""",
+    """(2, 'https://b.org', '<a href="g?x=1&amp;y=2">Five</a><a href="#top">Six</a><a href="?s=1">Seven</a><a href="mailto:h@i.org">Eight</a><a\nhref = "/j">Nine <!-- c --> more</a><abbr href="n">no</abbr>')""",
+    """(3, 'https://c.org/d/', '<a href="e">open <a href="f">Ten</a><p>no link</p>')""", "(4, 'https://d.org/', NULL)")
 H1 = plain_sql("regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1)")
 CANDIDATES = f"(SELECT page_id % 50 AS task_id, page_id % 4 AS query_idx, page_id AS pos, url, {D.host_of('url')} AS host, {H1} AS title FROM pages)"
 
@@ -70,6 +85,16 @@ def f03(spark, sf):
     return spark.sql(SEARCHED).union(table(spark, sf, "pages").select(host_of(F.col("url")))).where(~P.is_search_host(F.col("host")))
 
 
+@query("s01_written_links", f"SELECT page_id, pos::BIGINT AS pos, href, text FROM {links_sql(f'({WRITTEN})')}")
+def s01_written(spark, sf):
+    return P.links(spark.sql(WRITTEN)).select("page_id", F.col("pos").cast("bigint").alias("pos"), "href", "text")
+
+
+@query("s03_result_cards")
+def s03_cards(spark, sf):
+    return H.search_cards(table(spark, sf, "pages"))
+
+
 @query("f04_fallback_links", f"SELECT page_id, count(*) FILTER (length(text) >= 8) AS usable, count(*) AS n FROM {LINKS} GROUP BY page_id")
 def f04(spark, sf):
     return P.links(table(spark, sf, "pages")).groupBy("page_id").agg(F.count_if(F.length("text") >= 8).alias("usable"), F.count("*").alias("n"))

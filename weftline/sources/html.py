@@ -9,6 +9,7 @@ import html as entities
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from urllib.parse import urljoin
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -54,26 +55,59 @@ class Node:
         return "".join(out)
 
 
+#: Elements that end an open one of these kinds (a list item ends the list item before it), up to the nearest of the limits.
+ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "p": ({"p"}, {"div", "article", "section", "main", "body", "td", "th", "li", "blockquote"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
+        "tr": ({"tr"}, {"table", "tbody", "thead", "tfoot"}), "option": ({"option"}, {"select", "datalist"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"})}
+#: Block elements end an open paragraph.
+BLOCKS = {"address", "article", "aside", "blockquote", "div", "dl", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "pre", "section", "table", "ul"}
+
+
 class _Builder(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("#root", {}, None)
+        self.open: dict[str, int] = {}
+
+    def _end(self, kinds: set[str], limits: set[str]) -> None:
+        """Closes the innermost open element of one of the kinds, if none of the limits is nearer."""
+        if not any(self.open.get(k) for k in kinds):
+            return
+        node = self.at
+        while node.parent is not None and node.tag not in kinds:
+            if node.tag in limits:
+                return
+            node = node.parent
+        if node.parent is not None:
+            self._close(node)
+
+    def _close(self, node: Node) -> None:
+        while self.at is not node:
+            self.open[self.at.tag] -= 1
+            self.at = self.at.parent
+        self.open[node.tag] -= 1
+        self.at = node.parent
 
     def handle_starttag(self, tag, attrs):
+        if tag in ENDS:
+            self._end(*ENDS[tag])
+        if tag in BLOCKS:
+            self._end(*ENDS["p"])
         node = Node(tag, {k: v or "" for k, v in attrs}, self.at)
         self.at.kids.append(node)
         if tag not in VOID:
             self.at = node
+            self.open[tag] = self.open.get(tag, 0) + 1
 
     def handle_startendtag(self, tag, attrs):
         self.at.kids.append(Node(tag, {k: v or "" for k, v in attrs}, self.at))
 
     def handle_endtag(self, tag):
+        if not self.open.get(tag):  # an end tag that nothing opened is ignored
+            return
         node = self.at
-        while node.parent is not None and node.tag != tag:
+        while node.tag != tag:
             node = node.parent
-        if node.parent is not None:  # an end tag that nothing opened is ignored
-            self.at = node.parent
+        self._close(node)
 
     def handle_data(self, data):
         self.at.kids.append(data)
@@ -101,13 +135,23 @@ def _container(root: Node) -> Node:
     return best
 
 
-def _cleaned(node: Node) -> str:
-    if node.tag in NOISE:
-        return ""
-    inner = "".join(entities.escape(k, False) if isinstance(k, str) else _cleaned(k) for k in node.kids)
-    keep = {"a": ("href",), "img": ("src", "alt")}.get(node.tag, ())
-    attrs = "".join(f' {k}="{entities.escape(node.attrs[k])}"' for k in keep if node.attrs.get(k))
-    return f"<{node.tag}{attrs}>" if node.tag in VOID else f"<{node.tag}{attrs}>{inner}</{node.tag}>"
+def _cleaned(nodes: list) -> str:
+    """Markup without noise, with few attributes; nesting may be as deep as it likes."""
+    out: list[str] = []
+    stack = list(reversed(nodes))  # nodes and texts to come, and end tags in a tuple
+    while stack:
+        node = stack.pop()
+        if isinstance(node, tuple):
+            out.append(node[0])
+        elif isinstance(node, str):
+            out.append(entities.escape(node, False))
+        elif node.tag not in NOISE:
+            keep = {"a": ("href",), "img": ("src", "alt")}.get(node.tag, ())
+            out.append(f"<{node.tag}{''.join(f' {k}="{entities.escape(node.attrs[k])}"' for k in keep if node.attrs.get(k))}>")
+            if node.tag not in VOID:
+                stack.append((f"</{node.tag}>",))
+                stack += reversed(node.kids)
+    return "".join(out)
 
 
 def readable(url: str | None, html: str | None) -> dict:
@@ -129,10 +173,59 @@ def readable(url: str | None, html: str | None) -> dict:
         "url": url or "", "title": norm("".join(k for k in top.kids if isinstance(k, str))) if top else "", "text": norm(text)[:18000],
         "headings": [h for h in heads if h][:20], "links": [{"text": a, "href": b} for a, b in links if a][:40], "tables": tables,
         "emails": list(dict.fromkeys(map(norm, EMAIL.findall(text))))[:30], "phones": list(dict.fromkeys(map(norm, PHONE.findall(text))))[:30],
-        "description": about, "cleaned_html": norm("".join(entities.escape(k, False) if isinstance(k, str) else _cleaned(k) for k in box.kids))[:25000],
+        "description": about, "cleaned_html": norm(_cleaned(box.kids))[:25000],
     }
 
 
+# What marks a result card, its title and its snippet, in the order in which they are tried.
+CARDS = ("div.g", "div[data-snc]", "article", ".result", ".b_algo", ".web-result")
+CARD_TITLES = ("h3", "h2", "[role=heading]")
+SNIPPETS = (".VwiC3b", ".snippet", ".b_caption p", ".result__snippet", "p")
+#: Characters a link's text must have where no card is found.
+LINK_TEXT = 8
+
+
+def _matches(node: Node, selector: str) -> bool:
+    """Whether a node matches a selector of the kinds above: tag, class, attribute, one ancestor."""
+    *above, own = selector.split()
+    m = re.fullmatch(r"([a-z0-9]*)(?:\.([\w-]+))?(?:\[([\w-]+)(?:=([\w-]+))?\])?", own)
+    tag, cls, attr, value = m.groups()
+    if tag and node.tag != tag or cls and cls not in node.attrs.get("class", "").split() or attr and (attr not in node.attrs or value and node.attrs[attr] != value):
+        return False
+    at = node.parent
+    while above and at is not None and not _matches(at, above[-1]):
+        at = at.parent
+    return not above or at is not None
+
+
+def result_cards(url: str | None, html: str | None) -> list[dict]:
+    """The results on a search page: card by card, each address once; where there is no card, links with longer texts."""
+    root, out = parse(html), {}
+    shown = list(root.walk())
+
+    def add(href: str, title: str, snippet: str) -> None:
+        href = urljoin(url or "", href.strip()) if href else ""
+        if re.match("https?:", href, re.I) and norm(title) and href not in out:
+            out[href] = {"href": href, "title": norm(title), "snippet": norm(snippet)}
+
+    for selector in CARDS:
+        for card in (n for n in shown if _matches(n, selector)):
+            inner = list(card.walk())[1:]
+            link = next((n for n in inner if n.tag == "a" and n.attrs.get("href")), None)
+            title = next((n for n in inner if any(_matches(n, t) for t in CARD_TITLES)), None)
+            snippet = next((n for n in inner if any(_matches(n, t) for t in SNIPPETS)), None)
+            if link is not None:
+                add(link.attrs["href"], norm(title.text() if title is not None else "") or link.text(), snippet.text() if snippet is not None else "")
+    if not out:
+        for link in (n for n in shown if n.tag == "a" and n.attrs.get("href")):
+            title, around = norm(link.text()) or norm(link.attrs.get("aria-label")), link.parent
+            if len(title) >= LINK_TEXT:
+                while around is not None and around.tag not in ("article", "div", "li"):
+                    around = around.parent
+                add(link.attrs["href"], title, around.text() if around is not None else "")
+    return list(out.values())
+
+
 def dom_path(node: Node) -> str:
     """Up to four steps toward the root, ended early by an id; at most 180 characters."""
     parts: list[str] = []
@@ -183,6 +276,21 @@ def readable_pages(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", "html").mapInPandas(run, PAGE)
 
 
+CARD = "page_id bigint, pos int, href string, title string, snippet string"
+
+
+def search_cards(pages: DataFrame) -> DataFrame:
+    """A row for each result on each page (page_id, url, html), ``pos`` from 1; pages without any have none."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = [{"page_id": i, "pos": k, **c} for i, u, h in zip(part.page_id, part.url, part.html, strict=True) for k, c in enumerate(result_cards(u, h), 1)]
+            if rows:
+                yield pd.DataFrame(rows)
+
+    return pages.select("page_id", "url", "html").mapInPandas(run, CARD)
+
+
 def page_elements(pages: DataFrame) -> DataFrame:
     """A row for each interactive element of each page; ``pos`` from 1."""
 

@@ -6,6 +6,7 @@ log; the tests hold the two against each other.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -36,10 +37,14 @@ def session_state(steps: DataFrame) -> DataFrame:
     def update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, repeats, failures, n, longest = state.get if state.exists else (None, 0, 0, 0, 0)
         own = pd.concat(list(parts)).sort_values(["ts", "event_id"])
-        for kind in own.event_type:
-            repeats = repeats + 1 if last is not None and kind == last else 0
-            failures = failures + 1 if kind == "error" else 0
-            last, n, longest = kind, n + 1, max(longest, repeats)
+        # a run ends where the type changes; the first goes on with the state's run
+        kinds = own.event_type.reset_index(drop=True)
+        start = kinds.ne(kinds.shift())
+        run = kinds.groupby(start.cumsum()).cumcount() + ((repeats + 1) if last is not None and kinds[0] == last else 0) * (start.cumsum() == 1)
+        wrong = kinds.eq("error")
+        since = int((~wrong[::-1]).to_numpy().argmax()) if not wrong.all() else len(kinds)
+        failures = since + (failures if since == len(kinds) else 0)
+        last, repeats, n, longest = kinds.iloc[-1], int(run.iloc[-1]), n + len(kinds), max(longest, int(run.max()))
         state.update((last, repeats, failures, n, longest))
         yield pd.DataFrame({"user_id": [key[0]], "steps": [n], "longest": [longest], "repeats": [repeats], "failures": [failures]})
 
@@ -78,10 +83,19 @@ def upsert_to(path: str, keys: list[str]):
 
 
 def drain(stream: DataFrame, name: str, mode: str) -> tuple[StreamingQuery, DataFrame]:
-    """Runs a stream over all that is available into a table in memory."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """Runs a stream over all that is available into Parquet files in the shared folder; an epoch that is repeated replaces its files."""
+    spark = stream.sparkSession
+    sc = spark.sparkContext
+    shared = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir() or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_streams"
+    at = f"{shared}/{name}-{uuid.uuid4().hex}"
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{at}/rows/epoch={epoch}")
+
+    spark.createDataFrame([], stream.schema).write.parquet(f"{at}/rows/epoch=-1")
+    q = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{at}/state").outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination()
-    return q, stream.sparkSession.table(name)
+    return q, spark.read.schema(stream.schema).parquet(f"{at}/rows").select(*stream.columns)
 
 
 def latest(out: DataFrame, keys: list[str], order: str) -> DataFrame:
