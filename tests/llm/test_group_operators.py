@@ -232,6 +232,23 @@ def test_warc_round_trip():
     assert [(r["headers"]["warc-target-uri"], r["http"], r["body"]) for r in got] == [(f"http://h/{i}", {"etag": '"x"', "a": "b: c"}, b"body WARC/1.1 \r\n\r\n" * i) for i in range(3)]
 
 
+def test_captures_of_files(spark, tmp_path):
+    import gzip
+
+    parts = [
+        warc.write_record("response", "http://h.org/a", "2024-01-01T00:00:00Z", "<1>", {"ETag": '"x"'}, b"body" * 30_000),
+        warc.write_record("revisit", "https://www.h.org/a#b", "2024-01-02T00:00:00Z", "<2>", {"ETag": 'W/"x"', "Date": "d"}, status="304 Not Modified"),
+        warc.write_record("revisit", "http://h.org/c", "no date", "<3>", {}),
+    ]
+    (tmp_path / "one.warc.gz").write_bytes(b"".join(map(gzip.compress, parts)) + gzip.compress(parts[0])[:-20])
+    (tmp_path / "two.warc").write_bytes(b"".join(warc.write_record("revisit", "http://h.org/a", "2023-01-01T00:00:00Z", "<4>", {}) for _ in range(2)))
+    (tmp_path / "none.warc.gz").write_bytes(b"")
+    rows = warc.read_captures(spark, str(tmp_path))
+    assert sorted(r.record_id for r in rows.collect()) == ["<1>", "<2>", "<3>", "<4>", "<4>"]
+    got = sorted((r.record_id, r.response_id, r.verdict, r.headers) for r in warc.resolve_revisits(rows).collect())
+    assert got == [("<2>", "<1>", "resolved", {"etag": 'W/"x"', "date": "d"}), ("<3>", None, "orphan", {}), ("<4>", None, "orphan", {}), ("<4>", None, "orphan", {})]
+
+
 def test_quality(spark):
     rng = random.Random(8)
     good, junk = [f"word{i}" for i in range(50)], ["%%%", "$$$", "!!", "buy"]

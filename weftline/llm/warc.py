@@ -10,9 +10,12 @@ captures spreads over the buckets.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
+from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -60,9 +63,9 @@ def resolve_revisits(records: DataFrame, record_id: str = "record_id", url: str
     low = F.map_from_entries(F.array_sort(F.transform(F.array_distinct(F.transform(F.map_keys(h), lambda k: F.lower(k))), lambda k: F.struct(k.alias("key"), F.get(F.filter(F.array_sort(F.map_entries(h)), lambda e: F.lower(e["key"]) == k), 0)["value"].alias("value")))))
     rows = records.where(F.col(kind).isin("response", "revisit")).select(
         F.col(record_id).alias("record_id"), canonical_url(F.col(url)).alias("canonical"), F.col(time).cast("double").alias("ts"), (F.col(kind) == "response").alias("full"), low.alias("h"), F.col(digest).alias("digest"))
-    lo, hi = rows.agg(F.min("ts"), F.max("ts")).first()
-    width = ((hi - lo) / BUCKETS or 1.0) if lo is not None else 1.0
-    rows = rows.withColumn("bucket", F.floor((F.col("ts") - F.lit(lo or 0.0)) / width).cast("int"))
+    # buckets hold about equally many records, so that those of one URL never gather in one of them, whatever its times
+    cuts = sorted(set(rows.agg(F.percentile_approx("ts", [i / BUCKETS for i in range(1, BUCKETS)], 100 * BUCKETS)).first()[0] or []))
+    rows = rows.withColumn("bucket", F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]).cast("array<double>"), lambda c: c <= F.col("ts"))))
     usable = F.col("canonical").isNotNull() & F.col("ts").isNotNull()
     stored = F.when(F.col("full") & usable, F.struct("record_id", "h", "digest"))
     last = rows.where(F.col("full") & usable).groupBy("canonical", "bucket").agg(F.max_by(F.struct("record_id", "h", "digest"), F.struct("ts", "record_id")).alias("own"))
@@ -111,6 +114,62 @@ def parse_records(data: bytes) -> Iterator[dict]:
         at = end + 4 + size
 
 
+def _members(data: bytes, step: int = 1 << 16) -> Iterator[bytes]:
+    """The members of a gzip file one by one, or the whole of another file; a truncated member is left out."""
+    if data[:2] != b"\x1f\x8b":
+        yield data
+        return
+    view, at = memoryview(data), 0
+    while at < len(view):
+        one, out = zlib.decompressobj(31), []
+        try:
+            while not one.eof and at < len(view):
+                part = view[at : at + step]
+                out.append(one.decompress(part))
+                at += len(part) - len(one.unused_data)
+        except zlib.error:
+            return
+        if one.eof:
+            yield b"".join(out)
+
+
+CAPTURE = "path string, record_id string, url string, ts double, type string, headers map<string,string>, digest string"
+
+
+def _captures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = [pa.string(), pa.string(), pa.string(), pa.float64(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string()]
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["path", "record_id", "url", "ts", "type", "headers", "digest"])
+
+    for batch in batches:
+        for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            rows: list[tuple] = []
+            for member in _members(content.as_py()):
+                for r in parse_records(member):
+                    h = r["headers"]
+                    try:
+                        ts = datetime.fromisoformat(h.get("warc-date", "")).timestamp()
+                    except ValueError:
+                        ts = None
+                    url = h.get("warc-target-uri", "").strip("<>") or None
+                    rows.append((path, h.get("warc-record-id"), url, ts, h.get("warc-type"), list(r["http"].items()), h.get("warc-payload-digest")))
+                    if len(rows) >= 4096:
+                        yield batch_of(rows)
+                        rows = []
+            if rows:
+                yield batch_of(rows)
+
+
+def read_captures(spark: SparkSession, path: str) -> DataFrame:
+    """The records of WARC files, plain or gzip members, in the columns that ``resolve_revisits`` takes.
+
+    A file is one row of one task, and a member at a time is unpacked; truncated
+    records are left out, a date that can't be read is null.
+    """
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(_captures, CAPTURE)
+
+
 def write_record(kind: str, url: str, date: str, record_id: str, http: dict[str, str], body: bytes = b"", status: str = "200 OK") -> bytes:
     """One WARC record with an HTTP message as its block; ``parse_records`` reads it back."""
     message = f"HTTP/1.1 {status}\r\n" + "".join(f"{k}: {v}\r\n" for k, v in http.items()) + "\r\n"
