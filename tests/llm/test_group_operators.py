@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -279,6 +280,26 @@ def test_quality_does_not_depend_on_row_order(spark):
     assert np.allclose([scores[0][r[0]] for r in rows], [scores[1][r[0]] for r in rows], atol=1e-12)
 
 
+def test_the_surest_rows_are_picked(monkeypatch):
+    rng = np.random.default_rng(20)
+    monkeypatch.setattr(quality, "CONTENT", 3)
+    x = rng.standard_normal((400, 5)).astype(np.float16)
+    x[100:140] = x[:40]
+    keys = np.concatenate([np.arange(100), np.arange(40), np.arange(140, 400)])
+    models, handed = [rng.standard_normal(4), rng.standard_normal(3)], [[3, 5], []]
+    batches = [pa.RecordBatch.from_arrays([pa.array(keys[i : i + 64]), quality._stored(x[i : i + 64, :3], x[i : i + 64, 3:])], ["th", "x"]) for i in range(0, 400, 64)]
+    got = {}
+    for b in quality._surest(models, handed, 7, 0.6)(iter(batches)):
+        for v, label, conf, key, row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            got.setdefault((v, label), []).append((-conf, key))
+            assert (np.frombuffer(row, np.float16) == x[list(keys).index(key)]).all()
+    for v in (0, 1):
+        p = 1 / (1 + np.exp(-((x[:, :3] if v == 0 else x[:, 3:]).astype(float) @ models[v][:-1] + models[v][-1])))
+        for label in (0.0, 1.0):
+            want = sorted({(-round(q if label else 1 - q, 12), int(k)) for q, k in zip(p, keys, strict=True) if (q if label else 1 - q) >= 0.6 and k not in handed[v]})[:7]
+            assert [(round(c, 9), k) for c, k in got[v, label]] == [(round(c, 9), k) for c, k in want]
+
+
 ODD_TABLES = "doc_id bigint, text string, lang string, source string, n_chars bigint, th string, fp string, language string, passages string, n bigint, component_id string"
 
 

@@ -1,22 +1,23 @@
 """A quality classifier by co-training.
 
 Two views of a document, the content of its text and its metadata, train a
-classifier each. In every round each classifier labels the pool's rows it is
-surest of, for the other one to learn from. Both views are calibrated on
+classifier each. In every round each classifier goes over all unlabelled documents and labels
+those it is surest of, for the other one to learn from. Both views are calibrated on
 labelled rows kept apart, and a logistic combination scores all documents.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fold, joined_bytes, slices
+from .common import discard, fold, joined_bytes, settle, slices
 from .words import words_of
 
 SLICE = 1 << 19
@@ -97,37 +98,76 @@ class Model:
         return _p(z[0]), _p(z[1]), _p(_line(np.stack(z, axis=1), self.joint))
 
 
-def cotrain(labelled: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np.ndarray, np.ndarray], rounds: int = 5, each: int = 200, sure: float = 0.95) -> tuple[np.ndarray, np.ndarray]:
+def cotrain(labelled: tuple[np.ndarray, np.ndarray], y: np.ndarray, pick: Callable, rounds: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """The coefficients of both views after ``rounds`` of exchanging pseudo-labels.
 
-    In a round each view hands over at most ``each`` pool rows a class, those it
-    is surest of, with probability ``sure`` at least; a row is handed over once.
+    ``pick(models, handed)`` gives a view, label, key and both views' features of
+    each row that a view is surest of, without the keys it has handed over before.
     """
-    extra: list[list[tuple[int, float]]] = [[], []]
+    extra: list[list[tuple[float, np.ndarray]]] = [[], []]
+    handed: list[list[int]] = [[], []]
     models = [logistic(labelled[v], y) for v in (0, 1)]
     for _ in range(rounds):
-        gained = 0
-        for v in (0, 1):
-            if not len(pool[v]):
-                continue
-            p = _p(_line(pool[v], models[v]))
-            known = np.zeros(len(p), bool)
-            known[[i for i, _ in extra[1 - v]]] = True
-            for label in (0.0, 1.0):
-                own = p if label else 1 - p
-                picked = [int(i) for i in np.argsort(-own, kind="stable") if own[i] >= sure and not known[i]][:each]
-                extra[1 - v] += [(i, label) for i in picked]
-                gained += len(picked)
-        if not gained:
+        picked = pick(models, handed)
+        if not picked:
             break
+        for v, label, key, features in picked:
+            handed[v].append(key)
+            extra[1 - v].append((label, features[1 - v]))
         for v in (0, 1):
             if extra[v]:
-                at, told = np.array([i for i, _ in extra[v]]), np.array([label for _, label in extra[v]])
-                weight = np.concatenate([np.ones(len(y)), np.full(len(at), 0.3)])
-                models[v] = logistic(np.concatenate([labelled[v], pool[v][at]]), np.concatenate([y, told]), weight)
+                told = np.array([label for label, _ in extra[v]])
+                weight = np.concatenate([np.ones(len(y)), np.full(len(told), 0.3)])
+                models[v] = logistic(np.concatenate([labelled[v], np.stack([x for _, x in extra[v]])]), np.concatenate([y, told]), weight)
     return models[0], models[1]
 
 
+#: Features of the text's view in a stored row; those of the metadata follow.
+CONTENT = 256 + WORD_BUCKETS + 2
+
+
+def _stored(a: np.ndarray, b: np.ndarray) -> pa.Array:
+    x = np.ascontiguousarray(np.concatenate([a, b], axis=1).astype(np.float16))
+    width = x.shape[1] * 2
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(np.arange(0, (len(x) + 1) * width, width, dtype=np.int32)), pa.py_buffer(x.tobytes())])
+
+
+def _read(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    x = np.frombuffer(b"".join(column.to_pylist()), np.float16).reshape(len(column), -1).astype(float)
+    return x[:, :CONTENT], x[:, CONTENT:]
+
+
+def _surest(models: list[np.ndarray], handed: list[list[int]], each: int, sure: float):
+    """Of all batches the ``each`` rows that each view is surest of, for either label; equal keys are one row, ties go to smaller keys."""
+    gone = [np.array(sorted(h), np.int64) for h in handed]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[tuple[int, float], tuple] = {}
+        for batch in batches:
+            keys, first = np.unique(batch.column(0).to_numpy(zero_copy_only=False), return_index=True)
+            views, x = _read(batch.column(1)), batch.column(1)
+            for v in (0, 1):
+                p = _p(_line(views[v][first], models[v]))
+                for label in (0.0, 1.0):
+                    own = np.round(p if label else 1 - p, 12)
+                    at = np.flatnonzero((own >= sure) & ~np.isin(keys, gone[v]))
+                    conf, key, row = own[at], keys[at], [x[int(first[i])].as_py() for i in at[np.lexsort((keys[at], -own[at]))][:each]]
+                    order = np.lexsort((key, -conf))[:each]
+                    conf, key = conf[order], key[order]
+                    if (v, label) in best:
+                        c, k, r = best[v, label]
+                        conf, key, row = np.concatenate([c, conf]), np.concatenate([k, key]), r + row
+                        _, one = np.unique(key, return_index=True)
+                        one = one[np.lexsort((key[one], -conf[one]))][:each]
+                        conf, key, row = conf[one], key[one], [row[i] for i in one]
+                    best[v, label] = conf, key, row
+        for (v, label), (conf, key, row) in best.items():
+            if len(key):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), v, np.int32)), pa.array(np.full(len(key), label)), pa.array(conf), pa.array(key), pa.array(row, pa.binary())], ["v", "label", "conf", "th", "x"])
+
+    return run
+
+
 def _narrow(docs: DataFrame, doc_id: str, text: str, source: str, lang: str) -> DataFrame:
     t = F.coalesce(F.col(text), F.lit(""))
     return docs.select(F.col(doc_id).alias("id"), t.alias("t"), F.col(source).cast("string").alias("source"), F.col(lang).cast("string").alias("lang"))
@@ -139,43 +179,54 @@ def _features(t: pa.Array, source: pa.Array, lang: pa.Array) -> tuple[np.ndarray
     return content_features(t), metadata_features(source.to_pylist(), lang.to_pylist(), np.diff(off), breaks[off[1:]] - breaks[off[:-1]] + 1)
 
 
-def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", label: str = "quality", examples: int = 3000, pool: int = 3000) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", label: str = "quality", examples: int = 3000, each: int = 200, sure: float = 0.95) -> Model | None:
     """Learns from rows outside the held-out fold (crc32 of the id mod 4 = 2); None without rows of both labels.
 
-    About ``examples`` labelled and ``pool`` unlabelled rows at most are read,
-    picked by a hash of their id. A third of the labelled ones calibrates. Ties
-    in confidence go to the smaller id as text, then to the smaller hash of text
-    and metadata.
-    Features are made on the executors; the driver gets these rows' features.
+    About ``examples`` labelled rows at most are read, picked by a hash of their
+    id; a third of them calibrates. All unlabelled rows are the pool: in a round
+    each view hands over at most ``each`` a label, those it is surest of among
+    all, with probability ``sure`` at least. Equal texts with equal metadata are
+    one row there and are handed over once. Ties go to the smaller hash of text
+    and metadata, so neither row order nor partitions decide them. Features are
+    made once, on the executors; the driver gets those of examples and picked rows.
     """
     known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("id")).agg(F.max(F.col(label).cast("int")).alias("y"))
-    u = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("quality")), F.lit(1 << 20)) / float(1 << 20)
-    ids = docs.select(F.col(doc_id).alias("id")).where((fold(F.col("id")) != 2) & F.col("id").isNotNull())
-    total, tagged = ids.count(), known.where(fold(F.col("id")) != 2).count()
+    known = known.where(fold(F.col("id")) != 2)
+    tagged = known.count()
     if not tagged:
         return None
-    some = ids.join(known, "id", "left").withColumn("u", u).where(F.col("u") < F.when(F.col("y").isNull(), pool / max(1, total - tagged)).otherwise(examples / tagged))
-    some = some.select("id", "y", "u").distinct()
-    rows = _narrow(docs, doc_id, text, source, lang).join(some, "id")
 
     def made(batches):
         for batch in batches:
             for i, j in slices(batch.column(0), SLICE):
-                a, b = _features(*(batch.column(q).slice(i, j - i) for q in (0, 1, 2)))
-                yield pa.RecordBatch.from_arrays([batch.column(3).slice(i, j - i), batch.column(4).slice(i, j - i), pa.array(list(a.astype(np.float32))), pa.array(list(b.astype(np.float32))), batch.column(5).slice(i, j - i), batch.column(6).slice(i, j - i)], ["y", "part", "a", "b", "id", "th"])
+                x = _stored(*_features(*(batch.column(q).slice(i, j - i) for q in (0, 1, 2))))
+                yield pa.RecordBatch.from_arrays([batch.column(3).slice(i, j - i), batch.column(4).slice(i, j - i), x], ["id", "th", "x"])
 
+    rows = _narrow(docs, doc_id, text, source, lang).where((fold(F.col("id")) != 2) & F.col("id").isNotNull())
+    rows = rows.select("t", "source", "lang", "id", F.xxhash64("t", "source", "lang").alias("th"))
+    rows = rows.mapInArrow(made, f"id {docs.schema[doc_id].dataType.simpleString()}, th bigint, x binary")
+    rows = settle(rows.join(known, "id", "left"), "features")
+    u = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("quality")), F.lit(1 << 20)) / float(1 << 20)
     part = F.pmod(F.xxhash64("id", F.lit("calibrate")), F.lit(3))
-    got = rows.select("t", "source", "lang", "y", part.cast("int").alias("part"), F.col("id").cast("string").alias("id"), F.xxhash64("t", "source", "lang").alias("th"))
-    got = got.mapInArrow(made, "y int, part int, a array<float>, b array<float>, id string, th bigint").toArrow()
-    y = got.column("y").to_pandas().to_numpy(float)
-    views = tuple(np.stack(got.column(c).to_pandas().to_numpy()).astype(float) if len(got) else np.zeros((0, 1)) for c in ("a", "b"))
-    # by id, then text and metadata, so that neither row order nor partitions decide ties
-    order = np.lexsort((got.column("th").to_numpy(), got.column("id").to_pandas().to_numpy(str))) if len(y) else np.zeros(0, int)
-    y, cal, views = y[order], got.column("part").to_numpy()[order] == 0, tuple(x[order] for x in views)
-    train, hold, free = ~np.isnan(y) & ~cal, ~np.isnan(y) & cal, np.isnan(y)
+    got = rows.where(F.col("y").isNotNull() & (u < examples / tagged)).select("y", part.cast("int").alias("part"), F.col("id").cast("string").alias("id"), "th", "x").toArrow().combine_chunks()
+    if not len(got):
+        return None
+    order = np.lexsort((got.column("th").to_numpy(), got.column("id").to_pandas().to_numpy(str)))
+    y, cal = got.column("y").to_numpy()[order].astype(float), got.column("part").to_numpy()[order] == 0
+    views = tuple(x[order] for x in _read(got.column("x")))
+    train, hold = ~cal, cal
     if len(set(y[train].tolist())) < 2 or len(set(y[hold].tolist())) < 2:
         return None
-    own = cotrain(tuple(x[train] for x in views), y[train], tuple(x[free] for x in views))
+    pool = rows.where("y is null").select("th", "x")
+
+    def pick(models: list[np.ndarray], handed: list[list[int]]) -> list[tuple]:
+        near = pool.mapInArrow(_surest(models, handed, each, sure), "v int, label double, conf double, th bigint, x binary").dropDuplicates(["v", "label", "th"])
+        rank = F.row_number().over(Window.partitionBy("v", "label").orderBy(F.desc("conf"), "th"))
+        best = near.withColumn("r", rank).where(F.col("r") <= each).collect()
+        return [(r["v"], r["label"], r["th"], tuple(f[0] for f in _read(pa.array([bytes(r["x"])], pa.binary())))) for r in sorted(best, key=lambda r: (r["v"], r["label"], r["r"]))]
+
+    own = cotrain(tuple(x[train] for x in views), y[train], pick)
+    discard(rows)
     z = [_line(x[hold], b) for x, b in zip(views, own, strict=True)]
     scales = tuple(logistic(a[:, None], y[hold], ridge=0.1) for a in z)
     joint = logistic(np.stack([_line(a[:, None], s) for a, s in zip(z, scales, strict=True)], axis=1), y[hold], ridge=0.1)
