@@ -123,3 +123,43 @@ def match_targets(actions: DataFrame, elements: DataFrame, least: float = 0.34)
     both = both.withColumn("score", score).withColumn("tier", tier).where("tier is not null")
     w = Window.partitionBy("action_id").orderBy("tier", F.when(F.col("tier") == 6, -F.col("score")).otherwise(0.0), "pos")
     return both.withColumn("__n", F.row_number().over(w)).where("__n = 1").select("action_id", "page_id", "pos", "tier", F.col("e_selector").alias("selector"))
+
+
+#: Limits of an element in a compacted page: field, minimal, compact (0: left empty).
+ELEMENT_CAPS = {"text": (42, 80), "label": (48, 100), "ax_name": (48, 100), "placeholder": (42, 80), "href": (0, 120), "dom_path": (0, 160), "stable_key": (80, 220)}
+#: Elements of a compacted page: minimal, compact.
+ELEMENTS_KEPT = (18, 32)
+
+
+def compacted(elements: DataFrame, by: str = "page_id", pos: str = "pos") -> DataFrame:
+    """Elements as a prompt carries them in their page's ``mode``: the first ones, fields cut; ``normal`` leaves all as they are.
+
+    Label and name fall back on each other and on the text before they are cut.
+    """
+    own = complete(elements)
+    mode = F.col("mode")
+    raw = {c: T.or_empty(F.col(c)) for c in ELEMENT_CAPS if c != "stable_key"} | {"stable_key": T.or_empty(F.col("stable_key")) if "stable_key" in own.columns else stable_key()}
+    raw |= {"label": T.first_of(F.col("label"), F.col("ax_name"), F.col("text")), "ax_name": T.first_of(F.col("ax_name"), F.col("aria_label"), F.col("text"))}
+    cut = {c: F.when(mode == "minimal", F.substring(raw[c], 1, a)).when(mode == "compact", F.substring(raw[c], 1, b)).otherwise(raw[c] if c == "stable_key" else F.col(c)) for c, (a, b) in ELEMENT_CAPS.items()}
+    place = F.row_number().over(Window.partitionBy(by).orderBy(pos))
+    most = F.when(mode == "minimal", ELEMENTS_KEPT[0]).when(mode == "compact", ELEMENTS_KEPT[1])
+    return own.withColumn("__place", place).where(most.isNull() | (F.col("__place") <= most)).drop("__place").withColumns(cut)
+
+
+def search_input_score(hints: Column, kind: Column, top: Column, width: Column, window_height: Column) -> Column:
+    """How much a field looks like the page's search box, from its type, the words in its attributes and its place."""
+    low = F.lower(T.or_empty(hints))
+
+    def points(test: Column, n: int) -> Column:
+        return F.when(F.coalesce(test, F.lit(False)), n).otherwise(0)
+
+    return (
+        points(F.lower(T.or_empty(kind)) == "search", 6) + points(F.contains(low, F.lit("search")), 5) + points(F.contains(low, F.lit("find")), 4) + points(F.contains(low, F.lit("query")), 3)
+        + points(low.rlike(r"\bqs?\b"), 3) + points(top < window_height * 0.45, 2) + points(width > 120, 1)
+    )
+
+
+def best_search_input(inputs: DataFrame, by: str = "page_id", pos: str = "pos") -> DataFrame:
+    """The field of each page with the highest ``score``, the first of equal ones."""
+    w = Window.partitionBy(by).orderBy(F.desc("score"), pos)
+    return inputs.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")

@@ -7,6 +7,7 @@ only the final text of one dataset is gathered.
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -85,9 +86,18 @@ def labelled_text(rows: DataFrame, columns: list[str], pos: str, title: str, not
     return _lines(rows, line, pos).select(F.array_join(F.concat(F.array(*map(F.lit, top)), body), "\n").alias("content"))
 
 
-def json_rows(rows: DataFrame, columns: list[str], pos: str) -> DataFrame:
-    """One row, ``content``: the rows as a compact JSON array."""
-    return _lines(rows, F.to_json(F.struct(*columns)), pos).select(F.concat(F.lit("["), F.array_join("lines", ","), F.lit("]")).alias("content"))
+def json_rows(rows: DataFrame, columns: list[str], pos: str, pretty: bool = False) -> DataFrame:
+    """One row, ``content``: the rows as a JSON array, compact or indented by two blanks (columns of plain values)."""
+    if not pretty:
+        return _lines(rows, F.to_json(F.struct(*columns)), pos).select(F.concat(F.lit("["), F.array_join("lines", ","), F.lit("]")).alias("content"))
+
+    def value(c: str) -> Column:
+        one = F.to_json(F.struct(F.col(c).alias("v")), {"ignoreNullFields": "false"})
+        return F.concat(F.lit(f"    {json.dumps(c, ensure_ascii=False)}: "), F.substring(one, F.lit(6), F.length(one) - 6))
+
+    line = F.concat(F.lit("  {\n"), F.concat_ws(",\n", *map(value, columns)), F.lit("\n  }"))
+    body = F.concat(F.lit("[\n"), F.array_join("lines", ",\n"), F.lit("\n]"))
+    return _lines(rows, line, pos).select(F.when(F.size("lines") > 0, body).otherwise("[]").alias("content"))
 
 
 def rendered(rows: DataFrame, columns: list[str], pos: str, form: str, title: str = "", summary: str = "") -> DataFrame:
@@ -119,7 +129,29 @@ def concatenated(parts: list[DataFrame]) -> DataFrame:
 
 
 def fallback_dataset(pages: DataFrame, links: DataFrame) -> DataFrame:
-    """The rows a page gives without a model: up to 12 headings, then up to 20 links, in order."""
+    """The rows a page gives without a model: up to 12 headings, then up to 20 links, in order, then cells of ``tables``, where there are any."""
     heads = pages.select("page_id", "url", F.posexplode(F.slice("headings", 1, 12)).alias("p", "value")).select("page_id", F.lit(0).alias("section"), (F.col("p") + 1).alias("pos"), F.lit("heading").alias("type"), "value", "url")
     own = links.where("pos <= 20").select("page_id", F.lit(1).alias("section"), "pos", F.lit("link").alias("type"), "text", "href", "url")
-    return concatenated([heads, own])
+    cells = [table_rows(pages)] if "tables" in pages.columns else []
+    return concatenated([heads, own, *cells])
+
+
+def export_files(rows: DataFrame, columns: list[str], pos: str, name: str, formats: list[str], folder: str, title: str = "", summary: str = "") -> DataFrame:
+    """Writes the dataset once a format into text files under ``folder`` and returns the log: place, format, filename.
+
+    Unknown formats count as JSON, and a format named twice is written once. A
+    file is a folder of one part, as Spark writes it; it replaces an older one.
+    """
+    spark = rows.sparkSession
+    kinds = list(dict.fromkeys({"markdown": "md"}.get(f.lower(), f.lower() if f.lower() in FORMATS else "json") for f in formats or ["json"]))
+    for form in kinds:
+        rendered(rows, columns, pos, form, title, summary).coalesce(1).write.mode("overwrite").option("lineSep", "\n").text(f"{folder}/{name}.{form}")
+    return spark.createDataFrame([(i, form, f"{name}.{form}") for i, form in enumerate(kinds, 1)], "place int, format string, filename string")
+
+
+def table_rows(pages: DataFrame, tables: int = 2, most: int = 8) -> DataFrame:
+    """The first rows of the first tables of readable pages, as cells by column name (``Column 1`` and so on)."""
+    own = pages.select("page_id", "url", F.posexplode(F.slice("tables", 1, tables)).alias("t", "rows"))
+    own = own.select("page_id", "url", "t", F.posexplode(F.slice("rows", 1, most)).alias("r", "cells"))
+    names = F.transform("cells", lambda _, i: F.concat(F.lit("Column "), (i + 1).cast("string")))
+    return own.select("page_id", "url", F.lit(2).alias("section"), (F.col("t") * most + F.col("r") + 1).alias("pos"), F.map_from_arrays(names, "cells").alias("cells"))

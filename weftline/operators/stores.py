@@ -40,7 +40,7 @@ def cost(prompt: Column, completion: Column, prompt_price: Column, completion_pr
 
 def priced(usage: DataFrame, prices: DataFrame) -> DataFrame:
     """Usage rows (model, prompt_tokens, completion_tokens) with their cost; unknown models cost nothing."""
-    out = usage.join(F.broadcast(prices), "model", "left")
+    out = usage.join(prices, "model", "left")  # broadcast by size, which Spark checks
     return out.withColumn("cost", cost(F.col("prompt_tokens"), F.col("completion_tokens"), F.col("prompt_price"), F.col("completion_price")))
 
 
@@ -65,3 +65,18 @@ def upserted(stored: DataFrame, changes: DataFrame, key: str = "id", pos: str =
     kept = stored.join(last.select(key), key, "left_anti").select(*names, F.col(pos).cast("bigint").alias("place"))
     hit = last.select(*names, "__first").join(stored.select(key, F.col(pos).alias("__at")), key, "left")
     return kept.unionByName(hit.select(*names, F.coalesce(F.col("__at").cast("bigint"), -F.col("__first").cast("bigint") - 1).alias("place")))
+
+
+def with_defaults(stored: DataFrame, defaults: DataFrame, key: str = "key", value: str = "value") -> DataFrame:
+    """Every setting once: the stored value, where there is none the default; settings without a default stay."""
+    mine, usual = stored.select(key, F.col(value).alias("__mine"), F.lit(True).alias("__has")), defaults.select(key, F.col(value).alias("__usual"))
+    return usual.join(mine, key, "full").select(key, F.when(F.col("__has"), F.col("__mine")).otherwise(F.col("__usual")).alias(value))
+
+
+# The search services in the order in which a configured one is chosen.
+SEARCH_SERVICES = ("tavily", "langsearch", "brave", "serper")
+
+
+def search_service(keys: dict[str, Column]) -> Column:
+    """The first search service that has a key (null: none)."""
+    return F.coalesce(*[F.when(F.coalesce(keys[s], F.lit("")) != "", F.lit(s)) for s in SEARCH_SERVICES])

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..functions.urls import url_component
 from ..operators import exports as X
 from ..operators import pages as P
+from ..sources.html import readable_pages
 from . import duck as D
-from .q_pages import HEADS, LINKS
+from .q_pages import BODY, HEADS, LINKS, TITLE
 from .registry import query, table
 
 COLUMNS = ["n_nationkey", "n_name", "n_regionkey"]
@@ -34,9 +38,13 @@ def k02(spark, sf):
 JSON = "'{\"r_regionkey\":' || r_regionkey || ',\"r_name\":\"' || r_name || '\"}'"
 
 
-@query("k03_json", f"SELECT '[' || string_agg({JSON}, ',' ORDER BY r_regionkey) || ']' AS content FROM region")
+PRETTY = "'  {' || chr(10) || '    \"r_regionkey\": ' || r_regionkey || ',' || chr(10) || '    \"r_name\": ' || coalesce('\"' || nullif(r_name, 'ASIA') || '\"', 'null') || chr(10) || '  }'"
+
+
+@query("k03_json", f"SELECT '[' || chr(10) || string_agg({PRETTY}, ',' || chr(10) ORDER BY r_regionkey) || chr(10) || ']' AS content FROM region")
 def k03(spark, sf):
-    return X.json_rows(table(spark, sf, "region"), ["r_regionkey", "r_name"], "r_regionkey")
+    own = table(spark, sf, "region").withColumn("r_name", F.nullif("r_name", F.lit("ASIA")))
+    return X.json_rows(own, ["r_regionkey", "r_name"], "r_regionkey", pretty=True)
 
 
 @query("k04_text", f"SELECT 'Regions' || chr(10) || chr(10) || 'All of them' || chr(10) || chr(10) || 'Columns: r_regionkey, r_name' || chr(10) || chr(10) || 'Rows:' || chr(10) || string_agg((r_regionkey + 1) || '. ' || {JSON}, chr(10) ORDER BY r_regionkey) AS content FROM region")
@@ -145,14 +153,29 @@ def t08(spark, sf):
     return P.links(table(spark, sf, "pages")).where("pos <= 3").groupBy("page_id").agg(F.count("*").alias("n"))
 
 
-@query("k14_export_log", "SELECT i AS place, f AS format, 'Exports/Default/nation.' || f AS filename FROM (VALUES (1, 'csv'), (2, 'md')) AS t(i, f)")
+CSV_FILE = f"'{','.join(chr(34) + c + chr(34) for c in COLUMNS)}' || chr(13) || chr(10) || string_agg({' || chr(44) || '.join(CELLS.values())}, chr(13) || chr(10) ORDER BY n_nationkey)"
+MD_FILE = f"{HEAD} || chr(10) || chr(10) || '| --- | --- | --- |' || chr(10) || chr(10) || string_agg({ROW}, chr(10) || chr(10) ORDER BY n_nationkey)"
+
+
+@query("k14_export_log", f"SELECT 1 AS place, 'csv' AS format, 'nation.csv' AS filename, sha256({CSV_FILE}) AS content FROM nation UNION ALL SELECT 2, 'md', 'nation.md', sha256({MD_FILE}) FROM nation")
 def k14(spark, sf):
-    formats = X.normalized_formats(F.array(F.lit("CSV"), F.lit("md"), F.lit("pdf")))
-    return spark.range(1).select(F.posexplode(formats).alias("i", "format")).select((F.col("i") + 1).alias("place"), "format", F.concat(F.lit("Exports/Default/nation."), "format").alias("filename"))
+    sc = spark.sparkContext
+    folder = f"{sc.getConf().get('spark.checkpoint.dir') or spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/exports-{uuid.uuid4().hex}"
+    log = X.export_files(nation(spark, sf), COLUMNS, "n_nationkey", "nation", ["CSV", "md", "Markdown"], folder)
+    back = [spark.read.text(f"{folder}/{r['filename']}", wholetext=True).select(F.lit(r["filename"]).alias("filename"), F.sha2(F.regexp_replace("value", r"\n\z", ""), 256).alias("content")) for r in log.collect()]
+    return log.join(reduce(lambda a, b: a.union(b), back), "filename").select(F.col("place"), "format", "filename", "content")
 
 
-@query("p25_source_prompt", f"SELECT page_id, '[1] ' || url || chr(10) || 'URL: ' || url || chr(10) || substr({D.normalize('url')}, 1, 1200) AS block FROM pages")
+@query("p25_source_prompt", f"SELECT page_id, '[1] ' || {TITLE} || chr(10) || 'URL: ' || url || chr(10) || substr({BODY}, 1, 1200) AS block FROM pages")
 def p25(spark, sf):
-    from ..functions.text import normalize
+    own = P.fields(table(spark, sf, "pages"))
+    return own.select("page_id", F.concat(F.lit("[1] "), "title", F.lit("\nURL: "), "url", F.lit("\n"), F.substring("text", 1, 1200)).alias("block"))
+
+
+TABLES = "<body><table><tr><th>a<th>b</tr><tr><td>1<td>2</tr></table><table><tr><td>x</td></tr></table><table><tr><td>no</td></tr></table></body>"
+
 
-    return table(spark, sf, "pages").select("page_id", F.concat(F.lit("[1] "), "url", F.lit("\nURL: "), "url", F.lit("\n"), F.substring(normalize(F.col("url")), 1, 1200)).alias("block"))
+@query("p16_table_rows", "SELECT 7 AS page_id, * FROM (VALUES (1, 'a', 'b'), (2, '1', '2'), (9, 'x', NULL)) AS t(pos, c1, c2)")
+def p16_tables(spark, sf):
+    own = X.table_rows(readable_pages(spark.createDataFrame([(7, "u", TABLES)], "page_id bigint, url string, html string")))
+    return own.select(F.col("page_id").cast("int").alias("page_id"), F.col("pos").cast("int").alias("pos"), F.try_element_at("cells", F.lit("Column 1")).alias("c1"), F.try_element_at("cells", F.lit("Column 2")).alias("c2"))

@@ -317,3 +317,30 @@ def j12(spark, sf):
 def j14(spark, sf):
     own = link_elements(spark, sf).where((F.col("pos") == 4) | (F.lower(F.trim("text")) == "the"))
     return own.groupBy("page_id").agg(F.min("pos").cast("bigint").alias("pos"))
+
+
+FIELDS_OF_PAGES = D.rows("page_id, pos, kind, hints, top, width",
+    "(1, 1, 'text', 'text email', 10, 300)", "(1, 2, 'Search', 'Find it', 900, 100)", "(1, 3, 'text', 'q', 10, 300)", "(2, 1, 'text', 'my query', 500, 121)", "(2, 2, 'text', 'QUERY', 500, 200)", "(3, 1, NULL, NULL, NULL, NULL)")
+POINTS = """(CASE WHEN lower(coalesce(kind, '')) = 'search' THEN 6 ELSE 0 END + CASE WHEN contains(h, 'search') THEN 5 ELSE 0 END + CASE WHEN contains(h, 'find') THEN 4 ELSE 0 END + CASE WHEN contains(h, 'query') THEN 3 ELSE 0 END
++ CASE WHEN regexp_matches(h, '\\bqs?\\b') THEN 3 ELSE 0 END + CASE WHEN top < 1000 * 0.45 THEN 2 ELSE 0 END + CASE WHEN width > 120 THEN 1 ELSE 0 END)"""
+
+
+@query("t06_search_input", f"SELECT page_id, pos, score FROM (SELECT *, {POINTS} AS score FROM (SELECT *, lower(coalesce(hints, '')) AS h FROM ({FIELDS_OF_PAGES}))) QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY score DESC, pos) = 1")
+def t06(spark, sf):
+    own = spark.sql(FIELDS_OF_PAGES).withColumn("score", E.search_input_score(F.col("hints"), F.col("kind"), F.col("top"), F.col("width"), F.lit(1000)))
+    return E.best_search_input(own).select("page_id", "pos", "score")
+
+
+MODED = f"(SELECT *, CASE page_id % 3 WHEN 0 THEN 'normal' WHEN 1 THEN 'compact' ELSE 'minimal' END AS mode FROM {LINKS})"
+
+
+def cut_sql(x: str, field: str) -> str:
+    a, b = E.ELEMENT_CAPS[field]
+    return f"CASE mode WHEN 'minimal' THEN substr({x}, 1, {a}) WHEN 'compact' THEN substr({x}, 1, {b}) ELSE {x} END"
+
+
+@query("p10_compacted_elements", f"SELECT page_id, pos::BIGINT AS pos, mode, {cut_sql('text', 'text')} AS text, CASE mode WHEN 'normal' THEN '' ELSE {cut_sql('text', 'label')} END AS label, {cut_sql('href', 'href')} AS href, {cut_sql(KEY, 'stable_key')} AS stable_key FROM {MODED} WHERE mode = 'normal' OR pos <= CASE mode WHEN 'minimal' THEN 18 ELSE 32 END")
+def p10_elements(spark, sf):
+    k = F.col("page_id") % 3
+    own = link_elements(spark, sf).withColumn("mode", F.when(k == 0, "normal").when(k == 1, "compact").otherwise("minimal"))
+    return E.compacted(own).select("page_id", F.col("pos").cast("bigint").alias("pos"), "mode", "text", "label", "href", "stable_key")

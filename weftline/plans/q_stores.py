@@ -127,3 +127,20 @@ def s08(spark, sf):
     sees = F.exists(F.array(*[F.lit(x.strip(" '")) for x in VISION.split(",")]), lambda x: F.contains(F.lower("name"), x))
     own = own.withColumn("sees", sees)
     return own.select("name", "sees", F.row_number().over(Window.orderBy(F.desc("sees"), "pos")).cast("bigint").alias("place"))
+
+
+SETTINGS_KEPT = D.rows("key, value", "('theme', 'dark')", "('folder', NULL)", "('extra', 'x')")
+SETTINGS_USUAL = D.rows("key, value", "('theme', 'light')", "('folder', 'Exports')", "('format', 'json')")
+
+
+@query("s09_settings", "SELECT * FROM (VALUES ('theme', 'dark'), ('folder', NULL), ('extra', 'x'), ('format', 'json')) AS t(key, value)")
+def s09(spark, sf):
+    return S.with_defaults(spark.sql(SETTINGS_KEPT), spark.sql(SETTINGS_USUAL))
+
+
+SERVICE_KEYS = D.rows("id, tavily, langsearch, brave, serper", "(1, 'a', 'b', 'c', 'd')", "(2, '', NULL, 'c', 'd')", "(3, NULL, 'b', '', '')", "(4, '', '', '', '')", "(5, '', '', '', 's')")
+
+
+@query("s07_search_service", f"SELECT id, CASE WHEN coalesce(tavily, '') <> '' THEN 'tavily' WHEN coalesce(langsearch, '') <> '' THEN 'langsearch' WHEN coalesce(brave, '') <> '' THEN 'brave' WHEN coalesce(serper, '') <> '' THEN 'serper' END AS service FROM ({SERVICE_KEYS})")
+def s07(spark, sf):
+    return spark.sql(SERVICE_KEYS).select("id", S.search_service({k: F.col(k) for k in S.SEARCH_SERVICES}).alias("service"))
