@@ -5,6 +5,7 @@ import os
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 from weftline.llm.queries import ORACLES, QUERIES
@@ -14,7 +15,7 @@ SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 def cell(v):
     """Pandas turns whole numbers with nulls into floats, and nulls into nan."""
-    return "null" if v is None or v != v else str(int(v) if isinstance(v, float | np.floating) and v == int(v) else v)
+    return "null" if pd.isna(v) else str(int(v) if isinstance(v, float | np.floating) and v == int(v) else v)
 
 
 def rows(df):
