@@ -113,6 +113,21 @@ def test_contamination(spark):
     assert decontam.passages(df, spark.createDataFrame([], "item_id bigint, text string")).where("size(passages) > 0").count() == 0
 
 
+def test_language_masks_against_exact_sets():
+    rng = np.random.default_rng(31)
+    langs = tuple(f"l{j}" for j in range(70))  # two words of bits
+    own = [rng.integers(0, 1 << 63, int(n), dtype=np.uint64) for n in rng.integers(0, 3000, 70)]
+    own[5] = np.concatenate([own[5], own[66][:50]])
+    model = langid.filters(langs, own)
+    asked = np.concatenate([*(h[:40] for h in own), rng.integers(0, 1 << 63, 20_000, dtype=np.uint64)])
+    masks = model.masks(asked)
+    bits = np.stack([(masks[:, j // 64] >> np.uint64(j % 64)) & np.uint64(1) for j in range(70)], axis=1).astype(bool)
+    exact = np.stack([np.isin(asked, h) for h in own], axis=1)
+    assert not (exact & ~bits).any()  # what a language holds is always found
+    wrong = (bits & ~exact).sum(0) / (~exact).sum(0)
+    assert np.allclose(wrong, model.false, atol=0.005)  # and no more of the rest than is corrected for
+
+
 def brute_passages(text, items, least=0.8):
     """Items some part of the text is within their word edits of (Sellers' algorithm over the whole text)."""
     words, out = [w for w, _ in brute_words(text)], set()

@@ -136,6 +136,18 @@ class Model:
         return [self.langs[j] if h else UNKNOWN for j, h in zip(best, has, strict=True)], score
 
 
+def filters(langs: tuple[str, ...], own: list[np.ndarray], bits_each: int = 16, k: int = 4) -> Model:
+    """The filter of all languages together, from the n-grams of each."""
+    size = 1 << max(10, int(np.ceil(np.log2(max(1, *map(len, own)) * bits_each))))
+    model = Model(langs, np.zeros((size, (len(langs) + 63) // 64), np.uint64), np.zeros(len(langs)), k)
+    for j, h in enumerate(own):
+        for at in model.positions(h):
+            model.words[at, j // 64] |= np.uint64(1 << (j % 64))
+        fill = ((model.words[:, j // 64] >> np.uint64(j % 64)) & np.uint64(1)).mean()
+        model.false[j] = min(fill**k, 0.99)
+    return model
+
+
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_lang: int = 3000, grams_each: int = 40_000, bits_each: int = 16, k: int = 4) -> Model | None:
     """Learns from rows outside the held-out fold (crc32 of the id mod 4 = 2) with a language; None if there are none.
 
@@ -178,15 +190,7 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     ranked = rated.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("r") <= grams_each)
     chosen = ranked.select("lang", "gram").toPandas()
     discard(seen)
-    size = 1 << max(10, int(np.ceil(np.log2(max(1, chosen.groupby("lang").size().max()) * bits_each))))
-    model = Model(langs, np.zeros((size, (len(langs) + 63) // 64), np.uint64), np.zeros(len(langs)), k)
-    for j, name in enumerate(langs):
-        h = chosen.gram[chosen.lang == name].to_numpy(np.int64).view(np.uint64)
-        for at in model.positions(h):
-            model.words[at, j // 64] |= np.uint64(1 << (j % 64))
-        fill = ((model.words[:, j // 64] >> np.uint64(j % 64)) & np.uint64(1)).mean()
-        model.false[j] = min(fill**k, 0.99)
-    return model
+    return filters(langs, [chosen.gram[chosen.lang == name].to_numpy(np.int64).view(np.uint64) for name in langs], bits_each, k)
 
 
 KIND = pa.struct([("lang_pred", pa.string()), ("score", pa.float64())])
