@@ -66,3 +66,21 @@ a AS (SELECT *, list_filter(vh, lambda e: e[1] NOT IN ({kept})) AS own FROM w)
 SELECT record_id, canonical, CASE WHEN verdict IN ('resolved', 'unchecked') THEN sid END AS response_id, verdict,
   array_to_string(list_transform(list_sort(CASE WHEN verdict IN ('resolved', 'unchecked') THEN list_concat(list_filter(sh, lambda e: NOT list_contains(list_transform(own, lambda x: x[1]), e[1])), own) ELSE vh END), lambda e: e[1] || ': ' || e[2]), chr(10)) AS headers
 FROM a"""
+
+
+COLLOCATIONS = r"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents WHERE text IS NOT NULL),
+p AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS x FROM t),
+w AS (SELECT lang, list_filter(string_split_regex(x, '[\x20\x09]+'), lambda a: a <> '') AS w FROM p),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(list_slice(w, i, i + k - 1), ' '))) AS phrase FROM w CROSS JOIN (VALUES (1), (2), (3), (4)) AS v(k) WHERE len(w) >= k),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k >= 2 AND f >= 30),
+s AS (SELECT c.lang, c.phrase, c.a, cut, x.f AS l, y.f AS r, (2000000::HUGEINT * c.a // (x.f + y.f))::BIGINT AS score
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM c) c
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:c.cut], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.cut + 1:], ' ')),
+m AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+d AS (SELECT DISTINCT b.lang, b.phrase FROM c b JOIN c o ON o.lang = b.lang AND o.k > b.k AND 100 * o.a >= 80 * b.a AND contains(' ' || o.phrase || ' ', ' ' || b.phrase || ' '))
+SELECT m.lang, row_number() OVER (PARTITION BY m.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM m JOIN n ON n.lang = m.lang WHERE (m.lang, phrase) NOT IN (SELECT (lang, phrase) FROM d)
+QUALIFY rank <= 2000"""

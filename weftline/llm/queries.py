@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, embedding_dedup, langid, mixing, oracles, pii, quality, secrets, simhash, toxicity, warc
+from . import changes, collocations, decontam, embedding_dedup, langid, mixing, oracles, pii, quality, secrets, simhash, toxicity, warc
 from .common import held_out, read
 
 
@@ -81,6 +81,17 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("doc_id", F.col("fp").alias("fingerprint"), "component_id")
 
 
+def op11_sequenced_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every numbered change with its fate and the client's city and cents after it; rows without valid_at vanish."""
+    log = read(spark, sf_dir, "client_changes").select("change_id", "client_id", "seq", "op", "valid_at", "source", "segment", "city", "balance")
+    return changes.applied_changes(log)
+
+
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The strongest 2,000 collocations of each language; null texts have no words, a null language is `und`."""
+    return collocations.collocations(read(spark, sf_dir, "documents").select("text", "lang"))
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_source_mixing": op2_source_mixing,
@@ -92,10 +103,13 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_pii": op9_pii,
     "op10_simhash_dedup": op10_simhash_dedup,
+    "op11_sequenced_changes": op11_sequenced_changes,
+    "op12_phrase_collocations": op12_phrase_collocations,
 }
 
 ORACLES: dict[str, str] = {
     "op1_secret_scan": oracles.secret_scan(),
     "op4_embedding_dedup": oracles.EMBEDDING_LINKS,
     "op5_warc_revisits": oracles.warc_revisits(),
+    "op12_phrase_collocations": oracles.COLLOCATIONS,
 }
