@@ -84,3 +84,13 @@ d AS (SELECT DISTINCT b.lang, b.phrase FROM c b JOIN c o ON o.lang = b.lang AND
 SELECT m.lang, row_number() OVER (PARTITION BY m.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
 FROM m JOIN n ON n.lang = m.lang WHERE (m.lang, phrase) NOT IN (SELECT (lang, phrase) FROM d)
 QUALIFY rank <= 2000"""
+
+
+LINE_DEDUP = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+x AS (SELECT rid, doc_id, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS i FROM d),
+k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM x),
+s AS (SELECT key, min(doc_id) AS first FROM k WHERE length(key) >= 10 AND doc_id IS NOT NULL GROUP BY key HAVING count(DISTINCT doc_id) >= 2),
+j AS (SELECT k.*, coalesce(s.first <> k.doc_id, false) AS gone FROM k LEFT JOIN s USING (key))
+SELECT doc_id, count(*) AS n_lines, (count(*) FILTER (gone))::BIGINT AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM j GROUP BY rid, doc_id"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import changes, collocations, decontam, embedding_dedup, langid, mixing, oracles, pii, quality, secrets, simhash, toxicity, warc
+from . import changes, collocations, decontam, embedding_dedup, langid, line_dedup, mixing, oracles, pii, quality, secrets, simhash, toxicity, warc
 from .common import held_out, read
 
 
@@ -92,6 +92,13 @@ def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(read(spark, sf_dir, "documents").select("text", "lang"))
 
 
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its lines, those it loses to earlier documents, and the hash of what stays; a null text is one empty line."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = line_dedup.index_of(docs).dedup(docs)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_source_mixing": op2_source_mixing,
@@ -105,6 +112,7 @@ QUERIES = {
     "op10_simhash_dedup": op10_simhash_dedup,
     "op11_sequenced_changes": op11_sequenced_changes,
     "op12_phrase_collocations": op12_phrase_collocations,
+    "op13_line_dedup": op13_line_dedup,
 }
 
 ORACLES: dict[str, str] = {
@@ -112,4 +120,5 @@ ORACLES: dict[str, str] = {
     "op4_embedding_dedup": oracles.EMBEDDING_LINKS,
     "op5_warc_revisits": oracles.warc_revisits(),
     "op12_phrase_collocations": oracles.COLLOCATIONS,
+    "op13_line_dedup": oracles.LINE_DEDUP,
 }
