@@ -10,7 +10,7 @@ anti-join, and a window ranks each language.
 Defined results: a null text has no words, a null language is ``und``; repeated
 rows count again; ties are ordered by count, then by the phrase's bytes; an
 empty table gives no rows; other columns are not read. Long texts are cut nowhere.
-A phrase whose 64-bit hash is that of a commoner one within a few megabytes of text
+A phrase whose 64-bit hash is that of a commoner one within a megabyte of text
 would be counted as that one.
 """
 
@@ -28,7 +28,7 @@ from .common import discard, joined_bytes, settle, slices
 from .words import M, mix, words_of
 
 #: Bytes of text that a task looks at together.
-SLICE = 1 << 22
+SLICE = 1 << 20
 #: Bits of the filter of frequent hashes at most (16 MB); a fuller filter lets more through to the exact count.
 FILTER_BITS = 1 << 27
 FOLD = bytes(range(256)).lower()
