@@ -266,7 +266,7 @@ class LineIndex:
     def dropped(self, docs: DataFrame) -> DataFrame:
         """``doc_id``, ``k1``, ``k2`` of the lines that documents of the index lose, each once a document."""
         shared = self.refs.where("refs >= 2").select(*KEY, "first", F.col("refs").alias("rows_of_key"))
-        own = self._maybe_shared(keys_of(docs.where("doc_id is not null"), "doc_id"))
+        own = settle(self._maybe_shared(keys_of(docs.where("doc_id is not null"), "doc_id")), "maybe-shared")
         total = self.refs.agg(F.sum("refs")).first()[0] or 0
         at = F.struct(*KEY).alias("key")
         found = spread_join(own.withColumn("key", at), shared.withColumn("key", at).drop(*KEY), "key", total)
