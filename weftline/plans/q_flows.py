@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import models as M
+from ..streaming import approvals as AP
+from ..streaming import fanout as FO
+from ..streaming import hydration as HY
 from ..streaming import steps as ST
 from . import pipelines as PL
 from .q_pages import PREFERRED
@@ -59,3 +62,63 @@ def r05(spark, sf):
     tokens = own.select(F.col("role").alias("model"), F.length("text").cast("bigint").alias("prompt_tokens"), (F.col("turn") * 10).cast("bigint").alias("completion_tokens"))
     out = ST.drain(ST.running_usage(tokens), "weftline_usage", "update")[1]
     return out.groupBy("model").agg(F.max("prompt_tokens").alias("prompt_tokens"), F.max("completion_tokens").alias("completion_tokens"))
+
+
+#: Purchases are guarded steps, signups decisions (approved from a value of 20 on); 2 days of patience, an hour of watermark delay.
+APPROVALS = """
+WITH e AS (SELECT user_id AS session, event_id AS step, epoch_us(ts) // 1000 AS ms, event_type = 'purchase' AS guarded, CASE WHEN event_type = 'signup' THEN CASE WHEN value >= 20 THEN 'approved' ELSE 'cancelled' END END AS decision FROM events),
+s AS (SELECT *, count(decision) OVER (PARTITION BY session ORDER BY ms, step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS segment FROM e),
+h AS (SELECT *, min(ms) FILTER (guarded) OVER w + 172800000 AS due, min(ms) FILTER (decision IS NOT NULL) OVER w AS ended, min(decision) OVER w AS fate,
+  sum(guarded::INT) OVER (PARTITION BY session, segment ORDER BY ms, step) > 0 AS waits FROM s WINDOW w AS (PARTITION BY session, segment)),
+c AS (SELECT *, CASE WHEN NOT waits THEN 'run' WHEN ended <= due THEN fate WHEN ended IS NOT NULL OR due <= (SELECT max(ms) FROM e) - 3600000 THEN 'expired' END AS status FROM h WHERE decision IS NULL)
+SELECT session, step, status, CASE status WHEN 'run' THEN ms WHEN 'expired' THEN greatest(ms, due) ELSE ended END AS at_ms FROM c WHERE status IS NOT NULL"""
+
+
+@query("r06_approvals", APPROVALS)
+def r06(spark, sf):
+    own = ST.read_steps(spark, f"{sf}/events.parquet", table(spark, sf, "events").schema)
+    own = own.select(F.col("user_id").alias("session"), F.col("event_id").alias("step"), "ts", "event_type", "value")
+    steps = own.where("event_type <> 'signup'").withColumn("guarded", F.col("event_type") == "purchase")
+    decisions = own.where("event_type = 'signup'").withColumn("decision", F.when(F.col("value") >= 20, "approve_once").otherwise("cancel"))
+    with ST.settings(spark, AP.ROCKSDB):
+        return ST.drain(AP.gated(steps, decisions), "weftline_approvals", "append")[1]
+
+
+#: Sessions are weeks of a user; the panel was closed at the turn of the 16th, and the running session is sent again from its start.
+REHYDRATED = """
+WITH e AS (SELECT user_id AS panel, event_id AS step, ts, (epoch_us(ts) // 604800000000)::VARCHAR AS session FROM events),
+p AS (SELECT *, row_number() OVER (PARTITION BY panel, session ORDER BY ts, step) AS place FROM e)
+SELECT panel, session, step, place, place = 1 AS reset FROM p WHERE ts >= TIMESTAMP '2024-01-16'"""
+
+
+@query("r04_rehydrated", REHYDRATED)
+def r04_rehydrated(spark, sf):
+    def own(df):
+        return df.select(F.col("user_id").alias("panel"), F.col("event_id").alias("step"), F.col("ts").cast("timestamp").alias("ts"), F.floor(F.unix_millis(F.col("ts").cast("timestamp")) / 604_800_000).cast("string").alias("session"))
+
+    closed = F.col("ts") < F.lit("2024-01-16").cast("timestamp")
+    history = HY.history_of(own(table(spark, sf, "events")).where(closed))
+    again = ST.read_steps(spark, f"{sf}/events.parquet", table(spark, sf, "events").schema)
+    last = history.select("panel", F.col("session").alias("shown"))
+    sent = own(again).join(last, "panel", "left").where(~closed | (F.col("session") == F.col("shown")))
+    with ST.settings(spark, AP.ROCKSDB):
+        return ST.drain(HY.rehydrated(sent, history), "weftline_panels", "append")[1]
+
+
+#: A view is a screenshot, with an image in two of three cases; the tabs come from the event's own numbers.
+FANNED_OUT = """
+WITH e AS (SELECT *, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE event_type <> 'view' OR value >= 10),
+t AS (SELECT 'panel' AS target, event_id FROM e UNION SELECT 'tab-' || (k % 5), event_id FROM e UNION SELECT 'tab-' || (k % 3), event_id FROM e WHERE event_type <> 'error' UNION SELECT 'tab-' || (k % 7), event_id FROM e)
+SELECT target, event_id FROM t WHERE target IS NOT NULL"""
+
+
+@query("k20_fan_out", FANNED_OUT)
+def k20(spark, sf):
+    own = ST.read_steps(spark, f"{sf}/events.parquet", table(spark, sf, "events").schema)
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    steps = own.select("event_id", F.when(F.col("event_type") == "view", "screenshot").otherwise(F.col("event_type")).alias("type"), F.when(F.col("value") >= 10, "data:image/png").alias("image"), (k % 5).alias("current_tab"), F.when(F.col("event_type") != "error", k % 3).alias("agent_tab"), F.array(k % 7).alias("task_tabs"))
+    rows = FO.fanned_out(steps).select("target", "event_id")
+    at = ST.shared_folder(spark, "weftline_fan_out")
+    spark.dataSource.register(FO.FanOut)
+    rows.writeStream.format("fan_out").option("path", f"{at}/sent").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    return FO.committed(spark, f"{at}/sent", rows.schema)

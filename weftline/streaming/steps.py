@@ -6,6 +6,7 @@ log; the tests hold the two against each other.
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 from collections.abc import Iterator
 
@@ -82,12 +83,34 @@ def upsert_to(path: str, keys: list[str]):
     return write
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in ``spark.checkpoint.dir``; a session of one machine without that setting, as in tests, takes its warehouse."""
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        named = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_streams"
+    return f"{named}/{name}-{uuid.uuid4().hex}"
+
+
+@contextlib.contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session settings for a while."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def drain(stream: DataFrame, name: str, mode: str) -> tuple[StreamingQuery, DataFrame]:
     """Runs a stream over all that is available into Parquet files in the shared folder; an epoch that is repeated replaces its files."""
     spark = stream.sparkSession
-    sc = spark.sparkContext
-    shared = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir() or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_streams"
-    at = f"{shared}/{name}-{uuid.uuid4().hex}"
+    at = shared_folder(spark, name)
 
     def write(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{at}/rows/epoch={epoch}")
@@ -101,5 +124,3 @@ def drain(stream: DataFrame, name: str, mode: str) -> tuple[StreamingQuery, Data
 def latest(out: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The row of each key with the largest ``order`` (updates repeat a key)."""
     return out.groupBy(*keys).agg(*[F.max_by(c, order).alias(c) for c in out.columns if c not in keys])
-
-
