@@ -146,6 +146,35 @@ def test_pairs_in_a_dense_cone_link(spark, monkeypatch):
     assert len(right) >= 300 and np.mean(right) >= 0.99 and all(want[c] == want[i] for i, (_, c) in got.items())
 
 
+def test_links_in_a_cone_are_found_by_passes(spark):
+    """Vectors at a cosine of 0.78 of each other: fresh query sets ask for more passes until 0.99 of the links are found."""
+    rng, n = np.random.default_rng(11), 12_000
+    axis = rng.standard_normal(64)
+    axis /= np.linalg.norm(axis)
+
+    def unit(x):
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    own = rng.standard_normal((n, 64))
+    own = unit(own - np.outer(own @ axis, axis))
+    other = rng.standard_normal((1500, 64))
+    other -= np.outer(other @ axis, axis)
+    own[1::2][:1500] = 0.6 * own[::2][:1500] + 0.8 * unit(other - (other * own[::2][:1500]).sum(1, keepdims=True) * own[::2][:1500])
+    x = unit(0.78**0.5 * axis + 0.22**0.5 * own)
+    links = np.concatenate([(x[i : i + 2000] @ x.T >= 0.9).sum(1) - 1 for i in range(0, n, 2000)])
+    df = spark.createDataFrame([(i, e.tolist()) for i, e in enumerate(x)] + [(n + i, x[0].tolist()) for i in range(300)] + [(None, None)] * 300, "vec_id bigint, embedding array<double>")
+    got = embedding_dedup.near_duplicates(df.repartition(4)).collect()
+    assert len(got) == n + 600
+    found = np.zeros(n, np.int64)
+    for r in got:
+        if r.vec_id is None:
+            assert (r.n_links, r.component_id, r.kept) == (0, None, True)
+        elif r.vec_id < n:
+            found[r.vec_id] = r.n_links
+    links[x @ x[0] >= 0.9] += 300
+    assert (found <= links).all() and found.sum() >= 0.99 * links.sum() and (links > 0).sum() > 2500
+
+
 def test_mixture_meets_its_targets(spark, monkeypatch):
     rng = random.Random(6)
     rows = [(i, rng.choice(["a"] * 6 + ["b", None]), rng.choice(["x", "y"]), rng.randint(0, 50)) for i in range(3000)]

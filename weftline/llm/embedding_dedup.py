@@ -4,9 +4,10 @@ Each pass orders the vectors lexicographically by concatenated random hashes
 (signs of random projections) and compares every vector with the few that
 follow it in that order; the spanning forest of the verified pairs is kept.
 Forests of all passes are united into components. How many passes it takes
-depends on how crowded the space is, so it is measured: a query set is compared
-with all vectors, and passes are added until it finds its links inside the
-components.
+depends on how crowded the space is, so it is measured: each round compares a
+query set of its own with all vectors, and passes with longer windows are added until a
+fresh set finds its links inside the components. What the sets missed is added
+after the last round only, so it can't flatter a measurement.
 
 Links are then counted exactly inside each component, block against block.
 Blocks are cut in the order of a projection and have a centre and a radius;
@@ -18,6 +19,7 @@ Exact copies are one class from the start and never paired with each other.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -34,8 +36,12 @@ BITS = 62
 BLOCK = 1024
 #: Blocks in a run, which is settled as a whole where it can be.
 RUN = 64
-#: Vectors of the query set that measures recall.
+#: Vectors of the first round's query set; each round's is new and twice as large, up to eight times.
 QUERIES = 512
+#: Places that a window has at most; each round's windows are four times as long, as a crowded space needs.
+WIDEST = 1024
+#: Vectors that are compared with their windows at once.
+ROWS = 256
 #: Passes whose rows are shuffled in one job.
 AT_ONCE = 8
 
@@ -105,11 +111,11 @@ def _windowed(window: int, least: float):
                     before = len(kept[2])
                     own, x = np.concatenate([kept[2], own]), np.concatenate([kept[3], x])
                 a, b = [], []
-                for s in range(1, min(window, len(x) - 1) + 1):
-                    lo = max(0, before - s)
-                    hit = np.flatnonzero(np.einsum("ij,ij->i", x[lo:-s], x[lo + s :]) >= least) + lo
-                    a.append(own[hit])
-                    b.append(own[hit + s])
+                for lo in range(max(0, before - window), len(x), ROWS):
+                    one, two = np.nonzero(x[lo : lo + ROWS] @ x[lo : lo + ROWS + window].T >= least)
+                    new = (two > one) & (two - one <= window) & (two + lo >= before)
+                    a.append(own[one[new] + lo])
+                    b.append(own[two[new] + lo])
                 kept = (p[i], d[i], own[-window:], x[-window:])
                 if a and sum(map(len, a)):
                     a, b = np.concatenate(a), np.concatenate(b)
@@ -329,8 +335,10 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
 
     ``window`` and ``recall`` steer the passes: so many that a pair at the
     threshold meets with probability ``recall`` among evenly spread vectors, then
-    twice as many again and again until the links of about ``QUERIES`` vectors,
-    compared with all others, lie inside components to that share.
+    twice as many again and again, with windows four times as long up to
+    ``WIDEST``, until the links of vectors not asked before, compared with all others, lie
+    inside components to that share. Copies of a vector and rows without a sound
+    one are kept apart from the join that names the rest.
     """
     v = F.col(embedding)
     kind = vectors.schema[embedding].dataType
@@ -338,39 +346,42 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     sound = F.col(vec_id).isNotNull() & v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = vectors.select(F.col(vec_id).cast("bigint").alias("vec_id"), F.when(sound, v.cast(stored)).alias("v"))
     # a vec_id with several vectors is one node: its vectors are named by the smallest id they share with others
-    classes = rows.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("first"), F.count_distinct("vec_id").alias("w"))
-    classes = settle(classes.select(F.xxhash64("v", "first").alias("id"), "first", "v", F.size("v").alias("dim"), "w"), "classes")
+    classes = rows.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("first"), F.count_distinct("vec_id").alias("w"), F.count("*").alias("rows"))
+    classes = settle(classes.select(F.xxhash64("v", "first").alias("id"), "first", "v", F.size("v").alias("dim"), "w", "rows"), "classes")
     several = rows.where("v is not null").groupBy("vec_id").agg(F.min("v").alias("p"), F.max("v").alias("q")).where("p <> q").select("vec_id")
     several = settle(rows.join(several, "vec_id").select("vec_id", "v").distinct().join(classes.select("v", "id"), "v").select("vec_id", "id"), "several")
     same = several.join(several.groupBy("vec_id").agg(F.min("id").alias("b")), "vec_id").select(F.col("id").alias("a"), "b")
-    n, done, total = classes.count(), 0, 0
-    found = same
-    u = F.pmod(F.xxhash64("id", F.lit("queries")), F.lit(1 << 20))
-    queries = classes.where(u < max(1, (QUERIES << 20) // max(n, 1)))
-    while True:
-        total = max(2 * total, passes_for(n, window, least, recall))
+    n, done, total, found, repairs = classes.count(), 0, 0, same, []
+    for turn in itertools.count():
+        total, places = max(2 * total, passes_for(n, window, least, recall)), min(window * 4**turn, max(window, WIDEST))
         for at in range(done, total, AT_ONCE):
             keyed = classes.select("id", "v", "dim").mapInArrow(_keyed(list(range(at, min(total, at + AT_ONCE)))), f"pass int, dim int, key bigint, id bigint, v {stored}")
             # the id splits equal keys, so a large group of near copies spreads over partitions
             ordered = keyed.repartitionByRange("pass", "dim", "key", "id").sortWithinPartitions("pass", "dim", "key", "id")
-            found = found.union(settle(ordered.select("pass", "dim", "id", "v").mapInArrow(_windowed(window, least), "a bigint, b bigint").distinct(), "pairs"))
+            found = found.union(settle(ordered.select("pass", "dim", "id", "v").mapInArrow(_windowed(places, least), "a bigint, b bigint").distinct(), "pairs"))
         done = total
         member = components(found).withColumnRenamed("node", "id")
         grouped = classes.join(member, "id", "left").select("id", "v", "dim", F.coalesce("component", "id").alias("component"))
-        asked = [(r["id"], r["dim"], r["component"], r["v"]) for r in grouped.join(F.broadcast(queries.select("id")), "id", "left_semi").collect()]
+        u = F.pmod(F.xxhash64("id", F.lit(f"queries {turn}")), F.lit(1 << 30))
+        asked = grouped.where(u < max(1, ((QUERIES << min(turn, 3)) << 30) // max(n, 1)))
+        asked = [(r["id"], r["dim"], r["component"], r["v"]) for r in asked.collect()]  # a set of stated size
         told = settle(grouped.mapInArrow(_missed(asked, least), "a bigint, b bigint, links bigint, joined bigint"), "missed")
         links, joined = told.agg(F.sum("links"), F.sum("joined")).first()
-        missed = told.where("a <> b").select("a", "b")
+        repairs.append(told)
         if (joined or 0) >= recall * (links or 0):
             break
-        found = found.union(missed)
-    member = components(found.union(missed)).withColumnRenamed("node", "id") if links != joined else member
+    if turn or links != joined:
+        for told in repairs:
+            found = found.union(told.where("a <> b").select("a", "b"))
+        member = components(found).withColumnRenamed("node", "id")
     groups = settle(member.join(classes, "id"), "members")
     keyed = groups.select("id", "v", "dim").mapInArrow(_keyed([0]), f"pass int, dim int, key bigint, id bigint, v {stored}").select("id", "key")
     degree = _counted(groups.join(keyed, "id").select("component", "key", "id", "w", "dim", "v"), least)
-    named = classes.join(degree, "id", "left").join(groups.select("id", "component"), "id", "left").select("v", "w", "n", F.coalesce("component", "id").alias("component"), "first")
+    named = classes.join(degree, "id", "left").join(groups.select("id", "component"), "id", "left").select("v", "w", "rows", "n", F.coalesce("component", "id").alias("component"), "first")
     least_id = named.groupBy("component").agg(F.min("first").alias("component_id"), F.count("*").alias("rows_of_key"))
-    named = spread_join(named, least_id, "component", n).select("v", "w", "n", "component_id")
-    out = rows.join(named, "v", "left")
+    named = spread_join(named, least_id, "component", n).select("v", "w", F.col("rows").alias("rows_of_key"), "n", "component_id")
+    named = settle(named, "named")
+    sound = spread_join(rows.where("v is not null"), named, "v", named.agg(F.sum("rows_of_key")).first()[0] or 0)
+    out = rows.where("v is null").unionByName(sound.drop("rows_of_key"), allowMissingColumns=True)
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", (F.coalesce("n", F.lit(0)) + F.coalesce(F.col("w") - 1, F.lit(0))).cast("bigint").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
