@@ -111,3 +111,36 @@ def test_targets(spark):
     df = spark.createDataFrame(rows, "event_id bigint, type string, image string, current_tab bigint, agent_tab bigint, task_tabs array<bigint>")
     got = sorted((r.event_id, r.target) for r in FO.fanned_out(df).collect())
     assert got == [(1, "panel"), (1, "tab-7"), (1, "tab-8"), (3, "panel"), (4, "panel"), (4, "tab-9")]
+
+
+def test_ladder(spark, tmp_path):
+    from weftline.operators import models as M
+
+    asked = tmp_path / "asked"
+    asked.mkdir()
+
+    def call(prompt, images, json_mode):
+        import uuid
+
+        (asked / uuid.uuid4().hex).write_text(f"{prompt.removesuffix(M.JSON_HINT)}|{len(images)}|{json_mode}|{prompt.endswith(M.JSON_HINT)}")
+        if prompt.startswith("fatal") or prompt.startswith("picky") and (images or json_mode):
+            raise ValueError("quota" if prompt.startswith("fatal") else "vision unsupported, no image")
+        return "abcd"
+
+    rows = [(1, "compatible", "picky", ["x"]), (2, "compatible", "picky", None), (3, "image_fallback", "picky", ["x"]), (4, "other", None, []), (5, None, "fatal", ["x"]), (6, "compatible", "fatal", ["x"]), (6, "compatible", "fatal", ["x"])]
+    df = spark.createDataFrame([(*r, "old") for r in rows], "id int, service string, prompt string, images array<string>, reply string")
+    out = M.laddered(df, call, str(tmp_path / "calls"))
+    got = sorted((r.id, r.rung, r.attempts, r.reply, r.error, r.prompt_tokens, r.completion_tokens) for r in out.collect())
+    hint, no = len(M.JSON_HINT), "vision unsupported, no image"
+    assert got == [
+        (1, "text-only-json", 3, "abcd", None, 1 + 2 * ((5 + hint) // 4), 1),
+        (2, "prompt-json", 2, "abcd", None, 1 + (5 + hint) // 4, 1),
+        (3, "text", 2, None, no, 2, 0),
+        (4, "call", 1, "abcd", None, 0, 1),
+        (5, "call", 1, None, "quota", 1, 0),
+        (6, "json-mode", 1, None, "quota", 1, 0),
+        (6, "json-mode", 1, None, "quota", 1, 0),
+    ]
+    out.count()
+    assert len(list(asked.iterdir())) == 11  # reading the result asks nobody again
+    assert M.laddered(df.limit(0), call, str(tmp_path / "none")).count() == 0

@@ -7,13 +7,16 @@ the fallback, and usage comes back as columns instead of side effects.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import agents as A
 
 #: Characters that count as one token where a model reports no usage.
 PER_TOKEN = 4
@@ -62,3 +65,89 @@ def rows_of(answers: DataFrame, keep: list[str]) -> DataFrame:
     j = T.json_text(T.block_text(F.col("reply")))
     items = F.from_json(F.get_json_object(j, "$.rows"), "array<string>")
     return answers.select(*keep, F.posexplode(items).alias("pos", "row"))
+
+
+# --- retries ---------------------------------------------------------------
+
+#: What a request says where a service has no JSON mode; a fixed value.
+JSON_HINT = "\n\nReturn only a valid JSON object."
+
+
+@dataclass(frozen=True)
+class Rung:
+    """One way to ask: with or without images, JSON mode and hint. ``go_on`` are the parts of an error after which the next rung is tried."""
+
+    name: str
+    images: bool = True
+    json_mode: bool = True
+    hint: bool = False
+    go_on: tuple[str, ...] = ()
+
+
+#: The ways that a service is asked in, in order. A rung that drops images is left out where there are none, as it asks the same again.
+LADDERS = {
+    "image_fallback": (Rung("vision", go_on=A.IMAGE_ERRORS), Rung("text", images=False)),
+    "compatible": (
+        Rung("json-mode", go_on=A.COMPATIBILITY_ERRORS),
+        Rung("prompt-json", json_mode=False, hint=True, go_on=A.COMPATIBILITY_ERRORS),
+        Rung("text-only-json", images=False, json_mode=False, hint=True),
+    ),
+    "single": (Rung("call"),),
+}
+
+
+def laddered(rows: DataFrame, call: Callable[[str, list[str], bool], str], folder: str, service: str = "service", prompt: str = "prompt", images: str = "images") -> DataFrame:
+    """``rows`` with ``reply`` (null if all tries failed), ``rung`` (the last one tried), ``attempts``, ``error`` (the last one's) and the tokens of all tries.
+
+    A round asks what is still open: rows that the round before left unanswered
+    with an error that allows another try. ``call`` takes the prompt, the images and whether
+    JSON mode is on. Each round is written to ``folder``, which all executors
+    share, so no answered call is made again for a later round or a lost
+    executor's sake. A null prompt is empty, null images are none, an unknown service has the
+    ladder ``single``; repeated rows are asked for each; the columns named above are replaced.
+    """
+    known = F.coalesce(F.when(F.col(service).isin(*LADDERS), F.col(service)), F.lit("single"))
+    own = ["reply", "rung", "attempts", "error", "prompt_tokens", "completion_tokens"]
+    start = rows.drop(*own).withColumns({"__service": known, "__images": F.coalesce(F.col(images), F.array().cast("array<string>"))})
+    open_rows = start.withColumns({"attempts": F.lit(0), "prompt_tokens": F.lit(0).cast("bigint")})
+    spark, done = rows.sparkSession, []
+    keep = [c for c in rows.columns if c not in own]
+
+    def ask(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            replies, errors = [], []
+            for p, pictures, mode in zip(part["__prompt"], part["__sent"], part["__json"], strict=True):
+                try:
+                    replies.append(call(p, list(pictures), bool(mode)))
+                    errors.append(None)
+                except Exception as e:  # it decides the next rung
+                    replies.append(None)
+                    errors.append(str(e))
+            yield part.assign(reply=replies, error=errors)
+
+    for turn in range(max(map(len, LADDERS.values()))):
+        def of(value: Callable[[Rung], object], turn: int = turn):
+            out = F.lit(None)
+            for name, ladder in LADDERS.items():
+                if turn < len(ladder):
+                    out = F.when(F.col("__service") == name, F.lit(value(ladder[turn]))).otherwise(out)
+            return out
+
+        request = open_rows.withColumns({"rung": of(lambda r: r.name), "__json": of(lambda r: r.json_mode), "__prompt": F.concat(T.or_empty(F.col(prompt)), F.when(of(lambda r: r.hint), F.lit(JSON_HINT)).otherwise(F.lit(""))), "__sent": F.when(of(lambda r: r.images), F.col("__images")).otherwise(F.array().cast("array<string>"))})
+        request = request.withColumns({"attempts": F.col("attempts") + 1, "prompt_tokens": F.col("prompt_tokens") + F.floor(F.char_length("__prompt") / PER_TOKEN)})
+        schema = request.withColumns({"reply": F.lit(None).cast("string"), "error": F.lit(None).cast("string")}).schema
+        at = f"{folder}/calls-{uuid.uuid4().hex}"
+        request.mapInPandas(ask, schema).write.parquet(at)
+        tried = spark.read.schema(schema).parquet(at)
+        further = F.lit(False)
+        for name, ladder in LADDERS.items():
+            if turn + 1 < len(ladder):
+                asks_anew = (F.size("__images") > 0) if ladder[turn].images and not ladder[turn + 1].images else F.lit(True)
+                further |= (F.col("__service") == name) & asks_anew & A.says_any(F.col("error"), ladder[turn].go_on)
+        going_on = F.col("reply").isNull() & further
+        done.append(tried.where(~going_on).select(*keep, *own[:5], F.coalesce(F.floor(F.char_length("reply") / PER_TOKEN), F.lit(0)).alias("completion_tokens")))
+        open_rows = tried.where(going_on).drop("rung", "__json", "__prompt", "__sent", "reply", "error")
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out

@@ -122,3 +122,32 @@ def k20(spark, sf):
     spark.dataSource.register(FO.FanOut)
     rows.writeStream.format("fan_out").option("path", f"{at}/sent").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
     return FO.committed(spark, f"{at}/sent", rows.schema)
+
+
+def answer_or_fail(prompt: str, images: list[str], json_mode: bool) -> str:
+    """A service that fails by class: the length of the prompt without the hint decides."""
+    kind = len(prompt.removesuffix(M.JSON_HINT)) % 7
+    if kind == 0:
+        raise RuntimeError("401 Unauthorized")
+    if kind == 1 and images:
+        raise RuntimeError("Context length exceeded")
+    if kind == 2 and json_mode:
+        raise RuntimeError("unsupported response_format")
+    if kind == 3 and images:
+        raise RuntimeError("HTTP 400: image_url")
+    return "yes"
+
+
+LADDERED = f"""
+WITH c AS (SELECT conv_id, turn, (conv_id + turn) % 3 AS s, turn % 2 = 1 AS pictures, length(coalesce(text, '')) AS n FROM conversations),
+r AS (SELECT *, n % 7 AS k, CASE WHEN s = 0 AND pictures AND n % 7 IN (1, 3) THEN 2 WHEN s = 1 AND n % 7 = 2 THEN 2 WHEN s = 1 AND pictures AND n % 7 = 3 THEN 3 ELSE 1 END AS attempts FROM c)
+SELECT conv_id, turn, attempts, CASE s WHEN 0 THEN ['vision', 'text'][attempts] WHEN 1 THEN ['json-mode', 'prompt-json', 'text-only-json'][attempts] ELSE 'call' END AS rung,
+  CASE WHEN attempts > 1 THEN NULL WHEN k = 0 THEN '401 Unauthorized' WHEN k = 1 AND pictures THEN 'Context length exceeded' WHEN k = 2 THEN 'unsupported response_format' WHEN k = 3 AND pictures THEN 'HTTP 400: image_url' END AS error,
+  n // 4 + CASE WHEN s = 1 THEN (attempts - 1) * ((n + {len(M.JSON_HINT)}) // 4) ELSE (attempts - 1) * (n // 4) END AS prompt_tokens FROM r"""
+
+
+@query("d01_retry_ladder", LADDERED)
+def d01_ladder(spark, sf):
+    service = F.element_at(F.array(F.lit("image_fallback"), F.lit("compatible"), F.lit("single")), ((F.col("conv_id") + F.col("turn")) % 3 + 1).cast("int"))
+    own = table(spark, sf, "conversations").select("conv_id", "turn", F.col("text").alias("prompt"), service.alias("service"), F.when(F.col("turn") % 2 == 1, F.array(F.lit("data:image/png"))).alias("images"))
+    return M.laddered(own, answer_or_fail, ST.shared_folder(spark, "weftline_calls")).select("conv_id", "turn", "attempts", "rung", "error", "prompt_tokens")
