@@ -10,7 +10,7 @@ from ..operators import agents as A
 from ..operators import pages as P
 from . import duck as D
 from .q_pages import BODY, LINKS
-from .registry import query, table
+from .registry import derived, query, table
 
 
 def says_sql(x: str, parts) -> str:
@@ -35,27 +35,27 @@ def f06(spark, sf):
     return A.unapproved_hosts(own, approved).select("page_id", "host")
 
 
-ERRORS = D.rows("i, message", "(1, 'HTTP 401 Unauthorized')", "(2, 'Quota exceeded')", "(3, 'timeout')", "(4, 'unsupported response_format')", "(5, 'Context length 400')", "(6, NULL)", "(7, 'billing')", "(8, 'unable to download all specified images')")
+ERRORS = """SELECT conv_id * 100 + turn AS i, CASE (conv_id + turn) % 8 WHEN 0 THEN 'HTTP 401 Unauthorized ' WHEN 1 THEN 'Quota exceeded ' WHEN 2 THEN 'timeout ' WHEN 3 THEN 'unsupported response_format ' WHEN 4 THEN 'Context length 400 ' WHEN 5 THEN 'Billing ' WHEN 6 THEN 'unable to download all specified images ' ELSE '' END || text AS message FROM conversations"""
 
 
 @query("f07_error_kinds", f"SELECT i, {says_sql('message', A.FATAL)} AS fatal, {says_sql('message', A.IMAGE_ERRORS)} AS image, {says_sql('message', A.COMPATIBILITY_ERRORS)} AS compat FROM ({ERRORS})")
 def f07(spark, sf):
     m = F.col("message")
-    return spark.sql(ERRORS).select("i", A.says_any(m, A.FATAL).alias("fatal"), A.says_any(m, A.IMAGE_ERRORS).alias("image"), A.says_any(m, A.COMPATIBILITY_ERRORS).alias("compat"))
+    return derived(spark, sf, ERRORS).select("i", A.says_any(m, A.FATAL).alias("fatal"), A.says_any(m, A.IMAGE_ERRORS).alias("image"), A.says_any(m, A.COMPATIBILITY_ERRORS).alias("compat"))
 
 
 @query("f08_compact_retry", f"SELECT i FROM ({ERRORS}) WHERE {says_sql('message', ('context length', 'prompt'))}")
 def f08(spark, sf):
-    return spark.sql(ERRORS).where(A.says_any(F.col("message"), ("context length", "prompt"))).select("i")
+    return derived(spark, sf, ERRORS).where(A.says_any(F.col("message"), ("context length", "prompt"))).select("i")
 
 
-MODELS = D.rows("i, name", *[f"({i}, {D.lit(n)})" for i, n in enumerate(("llama3.2:3b", "x:0.5b", "x:4b", "x:4.1b", "deepseek-r1:7b", "mistral:7b", "TinyLlama", "", "phi4-mini:latest", "q:70b"))])
+MODELS = """SELECT p_partkey AS i, CASE p_partkey % 6 WHEN 0 THEN 'llama3.2:3b' WHEN 1 THEN p_name || ':' || p_size || 'b' WHEN 2 THEN lower(p_brand) || ':' || (p_size % 6) || '.5b' WHEN 3 THEN 'TinyLlama ' || p_name WHEN 4 THEN NULL ELSE p_name END AS name FROM part"""
 SMALL = f"({says_sql('name', A.SMALL_MODELS)} OR coalesce(nullif(regexp_extract(lower(coalesce(name, '')), ':(\\d+(\\.\\d+)?)b', 1), '')::DOUBLE <= 4, false))"
 
 
 @query("p09_small_models", f"SELECT i, {SMALL} AS small FROM ({MODELS})")
 def p09(spark, sf):
-    return spark.sql(MODELS).select("i", A.small_model(F.col("name")).alias("small"))
+    return derived(spark, sf, MODELS).select("i", A.small_model(F.col("name")).alias("small"))
 
 
 SETTINGS = f"""(SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'openai' WHEN 1 THEN 'Mistral' WHEN 2 THEN 'ollama' ELSE '' END AS provider, CASE page_id % 3 WHEN 0 THEN 'navigator' WHEN 1 THEN 'extractor' ELSE 'synthesizer' END AS role,
@@ -167,19 +167,19 @@ def p28(spark, sf):
     return spark.sql(STEPS.replace("FROM events", "FROM events_in")).select("event_id", A.display_kind(F.col("type")).alias("kind"), T.without_leading_symbol(F.col("text")).alias("text"))
 
 
-PROFILES = D.rows("i, explicit, ids", "(1, 'default', 'builtin_summarise')", "(2, 'shopping', 'builtin_summarise')", "(3, '', 'x,BUILTIN_RESEARCH_DEEP')", "(4, NULL, 'builtin_multi_source')", "(5, NULL, '')")
+PROFILES = """SELECT event_id AS i, CASE event_id % 5 WHEN 0 THEN 'default' WHEN 1 THEN 'shopping' WHEN 2 THEN '' WHEN 3 THEN event_type ELSE NULL END AS explicit, CASE event_type WHEN 'view' THEN 'builtin_summarise' WHEN 'click' THEN 'x,BUILTIN_RESEARCH_DEEP' WHEN 'error' THEN 'builtin_research_deep,y' WHEN 'signup' THEN 'z,builtin_multi_source' ELSE 'x' END AS ids FROM events"""
 
 
 @query("p23_task_profile", f"SELECT i, CASE WHEN coalesce(explicit, '') NOT IN ('', 'default') THEN explicit WHEN list_contains(l, 'builtin_summarise') THEN 'summarize' WHEN list_contains(l, 'builtin_research_deep') OR list_contains(l, 'builtin_multi_source') THEN 'deep_research' ELSE 'default' END AS profile FROM (SELECT *, string_split(lower(ids), ',') AS l FROM ({PROFILES}))")
 def p23(spark, sf):
-    return spark.sql(PROFILES).select("i", A.task_profile(F.col("explicit"), F.split("ids", ",")).alias("profile"))
+    return derived(spark, sf, PROFILES).select("i", A.task_profile(F.col("explicit"), F.split("ids", ",")).alias("profile"))
 
 
-PROVIDERS = D.rows("i, provider, model, vision_model, custom", "(1, 'openai', '', '', false)", "(2, 'groq', 'x-vision', '', false)", "(3, 'mistral', '', '', false)", "(4, 'mistral', 'open-7b', '', false)", "(5, 'ollama', 'llama3', '', false)", "(6, 'ollama', '', 'llava', false)", "(7, 'kimi', '', '', false)", "(8, 'glm', 'glm-4.5v', '', false)", "(9, 'custom', 'm', '', true)", "(10, 'custom', 'gpt-4o', '', false)", "(11, '', '', '', false)", "(12, 'odd', 'vision', '', false)")
+PROVIDERS = """SELECT p_partkey AS i, CASE p_partkey % 10 WHEN 0 THEN 'openai' WHEN 1 THEN 'groq' WHEN 2 THEN 'mistral' WHEN 3 THEN 'Ollama' WHEN 4 THEN 'kimi' WHEN 5 THEN 'glm' WHEN 6 THEN 'custom' WHEN 7 THEN '' WHEN 8 THEN NULL ELSE 'other' END AS provider, CASE p_size % 4 WHEN 0 THEN '' WHEN 1 THEN p_name || '-vision' WHEN 2 THEN 'pixtral-' || p_size ELSE p_name END AS model, CASE p_size % 3 WHEN 0 THEN '' WHEN 1 THEN 'llava' ELSE lower(p_brand) END AS vision_model, p_size > 25 AS custom FROM part"""
 
 
 @query("p24_provider_vision", f"""SELECT i, CASE WHEN p IN ('openai', 'anthropic', 'gemini') THEN true WHEN p = 'mistral' THEN {says_sql("coalesce(nullif(model, ''), 'mistral-small-2506')", A.MISTRAL_VISION)}
 WHEN p = 'ollama' THEN {says_sql("coalesce(nullif(vision_model, ''), nullif(model, ''), 'llava:7b')", A.LOCAL_VISION)} WHEN p = 'kimi' THEN {says_sql("coalesce(nullif(model, ''), 'kimi-k2.5')", A.MODEL_VISION)}
 WHEN p = 'glm' THEN {says_sql("coalesce(nullif(model, ''), 'glm-4.7')", A.MODEL_VISION)} WHEN p = 'custom' THEN custom OR {says_sql('model', A.MODEL_VISION)} ELSE false END AS vision FROM (SELECT *, lower(coalesce(nullif(provider, ''), 'openai')) AS p FROM ({PROVIDERS}))""")
 def p24(spark, sf):
-    return spark.sql(PROVIDERS).select("i", A.provider_vision(F.col("provider"), F.col("model"), F.lit(""), F.col("vision_model"), F.col("custom")).alias("vision"))
+    return derived(spark, sf, PROVIDERS).select("i", A.provider_vision(F.col("provider"), F.col("model"), F.lit(""), F.col("vision_model"), F.col("custom")).alias("vision"))

@@ -13,7 +13,7 @@ from ..operators import pages as P
 from ..sources.html import readable_pages
 from . import duck as D
 from .q_pages import BODY, HEADS, LINKS, TITLE
-from .registry import query, table
+from .registry import derived, query, table
 
 COLUMNS = ["n_nationkey", "n_name", "n_regionkey"]
 CELLS = {c: f"'\"' || replace({c}::VARCHAR, '\"', '\"\"') || '\"'" for c in COLUMNS}
@@ -93,12 +93,12 @@ def k11(spark, sf):
     return table(spark, sf, "documents").select("doc_id", X.base_name(F.col("text")).alias("name"))
 
 
-FORMATS = D.rows("i, v", "(1, 'CSV,json,csv')", "(2, 'pdf')", "(3, '')", "(4, 'md,TXT')")
+FORMATS = """SELECT conv_id * 100 + turn AS i, CASE turn % 5 WHEN 0 THEN 'CSV,json,' || role WHEN 1 THEN role WHEN 2 THEN '' WHEN 3 THEN 'md,TXT,csv' ELSE 'Markdown,' || substr(text, 1, 9) END AS v FROM conversations"""
 
 
 @query("k12_formats", f"SELECT i, CASE WHEN len(k) > 0 THEN array_to_string(list_sort(k), ',') ELSE 'json' END AS formats FROM (SELECT i, list_distinct(list_filter(string_split(lower(v), ','), lambda x: x IN ('json', 'csv', 'txt', 'md'))) AS k FROM ({FORMATS}))")
 def k12(spark, sf):
-    return spark.sql(FORMATS).select("i", F.array_join(F.array_sort(X.normalized_formats(F.split("v", ","))), ",").alias("formats"))
+    return derived(spark, sf, FORMATS).select("i", F.array_join(F.array_sort(X.normalized_formats(F.split("v", ","))), ",").alias("formats"))
 
 
 @query("k13_data_urls", "SELECT r_regionkey, 'data:text/csv;charset=utf-8,' || url_encode(r_name || ' 1') AS url FROM region")

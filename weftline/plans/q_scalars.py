@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import urls as U
 from . import duck as D
-from .registry import query, table
+from .registry import derived, query, table
 
 
 def sorted_text(c):
@@ -108,20 +108,20 @@ def x17(spark, sf):
     return r.select("event_id", T.json_text(F.col("reply")).alias("j")).select("event_id", F.col("j").isNotNull().alias("parsed"), F.get_json_object("j", "$.k").cast("bigint").alias("k"))
 
 
-BLOCKS = D.rows("i, v", "(1, '<blocks>{\"a\": 1}</blocks>')", "(2, 'x <BLOCKS>one</blocks> <blocks>two</blocks>')", "(3, 'none')", "(4, '')", "(5, '<blocks></blocks>')", "(6, NULL)")
+BLOCKS = """SELECT conv_id * 100 + turn AS i, CASE turn % 5 WHEN 0 THEN '<blocks>' || text || '</blocks>' WHEN 1 THEN 'x <BLOCKS>' || substr(text, 1, 40) || '</blocks> <blocks>two</blocks>' WHEN 2 THEN text WHEN 3 THEN '<blocks></blocks>' || role ELSE NULL END AS v FROM conversations"""
 
 
 @query("x18_block_text", f"SELECT i, CASE WHEN b <> '' THEN b ELSE coalesce(v, '') END AS block FROM (SELECT i, v, regexp_extract(coalesce(v, ''), '(?is)<blocks>(.*?)</blocks>', 1) AS b FROM ({BLOCKS}))")
 def x18(spark, sf):
-    return spark.sql(BLOCKS).select("i", T.block_text(F.col("v")).alias("block"))
+    return derived(spark, sf, BLOCKS).select("i", T.block_text(F.col("v")).alias("block"))
 
 
-MARKS = D.rows("i, v", "(1, 'x [DONE: Page fully scrolled] y [done:All emails extracted]')", "(2, '[DONE: ] [DONE:a]')", "(3, 'none')", "(4, NULL)", "(5, '[DONE: Results structured by type, and more]')")
+MARKS = """SELECT conv_id * 100 + turn AS i, CASE turn % 4 WHEN 0 THEN 'x [DONE: ' || substr(replace(text, chr(10), ' '), 1, 50) || '] y [done:All ' || role || ']' WHEN 1 THEN '[DONE: ] [DONE:' || role || ']' WHEN 2 THEN text ELSE NULL END AS v FROM conversations"""
 
 
 @query("x19_done_items", f"SELECT i, array_to_string(list_filter(list_transform(regexp_extract_all(coalesce(v, ''), '(?i)\\[DONE:\\s*([^\\]]+)\\]', 1), lambda x: trim(x)), lambda x: x <> ''), '|') AS items FROM ({MARKS})")
 def x19(spark, sf):
-    return spark.sql(MARKS).select("i", F.array_join(T.done_items(F.col("v")), "|").alias("items"))
+    return derived(spark, sf, MARKS).select("i", F.array_join(T.done_items(F.col("v")), "|").alias("items"))
 
 
 ESCAPES = "replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
@@ -150,12 +150,12 @@ def x23(spark, sf):
 
 
 STATES = ", ".join(f"WHEN '{k}' THEN '{v}'" for k, v in T.STATUS_LABELS.items()).replace(", WHEN", " WHEN")
-SPANS = D.rows("i, s, state", "(1, 0.5e0, 'idle')", "(2, 59.9e0, 'done')", "(3, 60.0e0, 'running')", "(4, 83.2e0, 'paused')", "(5, 3600.0e0, 'odd')", "(6, 125.0e0, 'incomplete')")
+SPANS = """SELECT event_id AS i, value * 40 AS s, CASE event_type WHEN 'view' THEN 'idle' WHEN 'click' THEN 'done' WHEN 'error' THEN 'running' WHEN 'signup' THEN 'paused' ELSE event_type END AS state FROM events"""
 
 
 @query("x24_session_labels", f"SELECT i, CASE WHEN s < 60 THEN floor(s)::BIGINT || 's' ELSE (floor(s)::BIGINT // 60) || 'm ' || (floor(s)::BIGINT % 60) || 's' END AS elapsed, CASE state {STATES} ELSE state END AS status FROM ({SPANS})")
 def x24(spark, sf):
-    return spark.sql(SPANS).select("i", T.elapsed_label(F.col("s")).alias("elapsed"), T.status_label(F.col("state")).alias("status"))
+    return derived(spark, sf, SPANS).select("i", T.elapsed_label(F.col("s")).alias("elapsed"), T.status_label(F.col("state")).alias("status"))
 
 
 def _markdown_sql(x: str) -> str:
@@ -180,26 +180,26 @@ def x25b(spark, sf):
     return spark.sql(MARKDOWN.replace("FROM documents", "FROM documents_in")).select("doc_id", T.result_to_html(F.col("md")).alias("html"))
 
 
-SCROLLS = D.rows("i, top, ch, h", "(1, 0, 800, 3000)", "(2, 1100, 800, 3000)", "(3, 2200, 800, 3000)", "(4, 0, 800, 500)", "(5, 4, 800, 812)", "(6, 333, 700, 1999)")
+SCROLLS = """SELECT l_orderkey * 10 + l_linenumber AS i, l_partkey * 37 % 3000 AS top, 800 AS ch, 300 + l_suppkey * 7 * l_linenumber % 3000 AS h FROM lineitem"""
 
 
 @query("x29_scroll_state", f"SELECT i, CASE WHEN h > ch THEN floor(top * 100.0e0 / (h - ch) + 0.5e0)::BIGINT ELSE 100 END AS percent, top <= 4 AS at_top, top + ch >= h - 8 AS at_bottom FROM ({SCROLLS})")
 def x29(spark, sf):
     top, ch, h = F.col("top"), F.col("ch"), F.col("h")
     percent = F.when(h > ch, F.floor(top * 100.0 / (h - ch) + 0.5)).otherwise(100).cast("bigint")
-    return spark.sql(SCROLLS).select("i", percent.alias("percent"), (top <= 4).alias("at_top"), (top + ch >= h - 8).alias("at_bottom"))
+    return derived(spark, sf, SCROLLS).select("i", percent.alias("percent"), (top <= 4).alias("at_top"), (top + ch >= h - 8).alias("at_bottom"))
 
 
-MEDIA = D.rows("i, mime, data", "(1, 'image/PNG', 'data:image/png;base64,AB CD')", "(2, 'x/jpg', 'QUJD')", "(3, NULL, NULL)", "(4, 'webp', 'data:image/x')", "(5, 'image/gif', '  A\tB ')")
+MEDIA = """SELECT conv_id * 100 + turn AS i, CASE turn % 5 WHEN 0 THEN 'image/PNG' WHEN 1 THEN 'x/jpg' WHEN 2 THEN NULL WHEN 3 THEN 'webp' ELSE 'image/gif ' || role END AS mime, CASE (conv_id + turn) % 4 WHEN 0 THEN 'data:image/png;base64,' || text WHEN 1 THEN 'data:image/x' WHEN 2 THEN NULL ELSE text END AS data FROM conversations"""
 
 
 @query("x30_media", f"""SELECT i, CASE WHEN contains(m, 'png') THEN 'image/png' WHEN contains(m, 'webp') THEN 'image/webp' WHEN contains(m, 'gif') THEN 'image/gif' ELSE 'image/jpeg' END AS mime,
 CASE WHEN starts_with(b, 'data:image') AND contains(b, ',') THEN regexp_replace(b, '^[^,]*,', '') ELSE b END AS data FROM (SELECT i, lower(coalesce(mime, '')) AS m, regexp_replace(coalesce(data, ''), '\\s+', '', 'g') AS b FROM ({MEDIA}))""")
 def x30(spark, sf):
-    return spark.sql(MEDIA).select("i", T.mime_type(F.col("mime")).alias("mime"), T.base64_text(F.col("data")).alias("data"))
+    return derived(spark, sf, MEDIA).select("i", T.mime_type(F.col("mime")).alias("mime"), T.base64_text(F.col("data")).alias("data"))
 
 
-SERVICES = D.rows("i, provider, custom", "(1, 'deepseek', '')", "(2, 'kimi', NULL)", "(3, 'glm', ' ')", "(4, 'custom', 'http://h:1/')", "(5, 'custom', 'http://h/v1/chat/completions')", "(6, 'custom', 'http://h/api/x')", "(7, 'other', '')", "(8, 'custom', 'https://h/V4//')", "(9, NULL, 'http://h/completions')")
+SERVICES = """SELECT page_id AS i, CASE page_id % 6 WHEN 0 THEN 'deepseek' WHEN 1 THEN 'kimi' WHEN 2 THEN 'GLM' WHEN 3 THEN 'custom' WHEN 4 THEN 'other' ELSE NULL END AS provider, CASE page_id % 7 WHEN 0 THEN url WHEN 1 THEN ' ' WHEN 2 THEN url || '/v1/' WHEN 3 THEN url || '/chat/completions' WHEN 4 THEN NULL WHEN 5 THEN url || '/api/x' ELSE url || '/V4//' END AS custom FROM pages"""
 SERVICE_CASES = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in U.SERVICE_URLS.items())
 
 
@@ -207,7 +207,7 @@ SERVICE_CASES = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in U.SERVICE_URLS.ite
 regexp_replace(trim(CASE WHEN coalesce(custom, '') = '' THEN 'http://127.0.0.1:11434' ELSE custom END), '/+$', '') AS local_base
 FROM (SELECT *, regexp_replace(regexp_replace(trim(coalesce(custom, '')), '/+$', ''), '/+(chat/)?completions$', '') AS o FROM ({SERVICES}))""")
 def x31(spark, sf):
-    return spark.sql(SERVICES).select("i", U.service_base_url(F.col("provider"), F.col("custom")).alias("base"), U.local_base_url(F.col("custom")).alias("local_base"))
+    return derived(spark, sf, SERVICES).select("i", U.service_base_url(F.col("provider"), F.col("custom")).alias("base"), U.local_base_url(F.col("custom")).alias("local_base"))
 
 
 @query("s04_search_url", """SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'https://duckduckgo.com/?q=' || q || '&ia=web' WHEN turn % 3 = 1 THEN 'https://www.bing.com/search?q=' || q ELSE 'https://www.google.com/search?q=' || q END AS url
@@ -217,18 +217,18 @@ def s04(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", U.search_url(engine, F.col("text")).alias("url"))
 
 
-HINTS = D.rows("i, v", "(1, 'https://WWW.A.com/x, b.org')", "(2, 'a.com\na.com,,c.net ')", "(3, '')", "(4, NULL)", "(5, 'sub.a.com')")
+HINTS = """SELECT page_id AS i, CASE page_id % 5 WHEN 0 THEN url || ', b.org' WHEN 1 THEN 'a.com' || chr(10) || url || ',,c.net ' WHEN 2 THEN '' WHEN 3 THEN NULL ELSE substr(url, 9) END AS v FROM pages"""
 
 
 @query("p21_site_hints", f"SELECT i, array_to_string(list_sort(list_distinct(list_filter(list_transform(string_split_regex(coalesce(v, ''), '[\\n,]'), lambda x: {D.normalize_host('x')}), lambda h: h <> ''))), '|') AS hosts FROM ({HINTS})")
 def p21(spark, sf):
-    return spark.sql(HINTS).select("i", sorted_text(U.site_hints(F.col("v"))).alias("hosts"))
+    return derived(spark, sf, HINTS).select("i", sorted_text(U.site_hints(F.col("v"))).alias("hosts"))
 
 
-NUMBERS = D.rows("v", "('12abc')", "(' 7')", "('-3')", "('')", "(NULL)", "('3.9')", "('1e3')", "('+5')", "('x')")
+NUMBERS = """SELECT CASE event_id % 5 WHEN 0 THEN event_id % 20 || 'abc' WHEN 1 THEN ' ' || event_id % 9 WHEN 2 THEN '-' || event_id % 5 WHEN 3 THEN NULL ELSE substr(props, 7, 3) END AS v FROM events"""
 
 
 @query("t09_clamp", f"SELECT v, CASE WHEN n = '' THEN 4 ELSE greatest(1, least(6, n::BIGINT)) END::BIGINT AS queries, CASE WHEN n = '' THEN 50 ELSE greatest(2, least(12, n::BIGINT)) END::BIGINT AS sites FROM (SELECT v, regexp_extract(coalesce(v, ''), '^\\s*([+-]?\\d+)', 1) AS n FROM ({NUMBERS}))")
 def t09(spark, sf):
     v = F.col("v")
-    return spark.sql(NUMBERS).select("v", T.clamp_int(v, 1, 6, 4).alias("queries"), T.clamp_int(v, 2, 12, 50).alias("sites"))
+    return derived(spark, sf, NUMBERS).select("v", T.clamp_int(v, 1, 6, 4).alias("queries"), T.clamp_int(v, 2, 12, 50).alias("sites"))

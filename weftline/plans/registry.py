@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,3 +28,10 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def derived(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """Rows that SQL, which both engines read, makes of the given tables; these are views by their names."""
+    for name in set(re.findall(r"FROM (\w+)", sql)):
+        table(spark, sf_dir, name).createOrReplaceTempView(name)
+    return spark.sql(sql)
