@@ -11,7 +11,7 @@ from ..operators import pages as P
 from ..operators import skills as S
 from . import duck as D
 from .q_pages import LINKS
-from .registry import query, table
+from .registry import derived, query, table
 
 
 def link_elements(spark, sf):
@@ -78,14 +78,14 @@ def p07(spark, sf):
     return own.select("page_id", F.sha2(F.array_join(F.transform("l", lambda x: x["part"]), "\n"), 256).alias("signature"))
 
 
-BOUNDS = D.rows("page, pos, x, y, w, h", "(1, 1, 10, 20, 31, 11)", "(1, 2, -7, -3, 4, 3)", "(1, 3, 0, 0, 0, 5)", "(1, 4, 5, 5, 10, 0)", "(2, 24, 1, 1, 1, 1)", "(2, 48, 1, 1, 200, 100)", "(2, 49, 1, 1, 2, 2)", "(3, 1, 0, 0, 2000, 2000)", "(3, 2, 0, 0, 40, 30)")
+BOUNDS = "SELECT page, pos, o_orderkey % 50 - 10 AS x, o_custkey % 90 - 20 AS y, o_orderkey % 30 * 30 - 30 AS w, o_orderkey % 7 * 45 AS h FROM (SELECT *, CAST(floor(o_custkey / 10) AS BIGINT) AS page, CAST(row_number() OVER (PARTITION BY floor(o_custkey / 10) ORDER BY o_orderkey) AS BIGINT) AS pos FROM orders)"
 
 
 @query("p05_screenshot_anchors", f"SELECT page, pos, n, floor(x + w / 2.0e0 + 0.5e0)::BIGINT AS cx, floor(y + h / 2.0e0 + 0.5e0)::BIGINT AS cy FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY pos) AS n FROM ({BOUNDS}) WHERE w > 0 AND h > 0) WHERE n <= 24")
 def p05(spark, sf):
     from pyspark.sql import Window
 
-    own = spark.sql(BOUNDS).where("w > 0 and h > 0").withColumn("n", F.row_number().over(Window.partitionBy("page").orderBy("pos")).cast("bigint")).where("n <= 24")
+    own = derived(spark, sf, BOUNDS).where("w > 0 and h > 0").withColumn("n", F.row_number().over(Window.partitionBy("page").orderBy("pos")).cast("bigint")).where("n <= 24")
 
     def centre(a, size):
         return F.floor(F.col(a) + F.col(size) / 2.0 + 0.5).cast("bigint")
@@ -95,12 +95,12 @@ def p05(spark, sf):
 
 @query("p06_overlay_items", f"SELECT page, pos FROM ({BOUNDS}) WHERE pos <= 48 AND w > 0 AND h > 0")
 def p06(spark, sf):
-    return spark.sql(BOUNDS).where("pos <= 48").where("w > 0 and h > 0").select("page", "pos")
+    return derived(spark, sf, BOUNDS).where("pos <= 48").where("w > 0 and h > 0").select("page", "pos")
 
 
 @query("x11_size_boost", f"SELECT page, pos, round(0.5e0 + CASE WHEN w * h > 1000 AND w * h < 200000 THEN 0.03e0 ELSE 0 END, 6) AS score FROM ({BOUNDS})")
 def x11(spark, sf):
-    return spark.sql(BOUNDS).select("page", "pos", F.round(E.boosted(F.lit(0.5), F.col("w"), F.col("h")), 6).alias("score"))
+    return derived(spark, sf, BOUNDS).select("page", "pos", F.round(E.boosted(F.lit(0.5), F.col("w"), F.col("h")), 6).alias("score"))
 
 
 #: Each page's action names its second link by text; the target is matched against all links of the page.

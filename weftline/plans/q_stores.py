@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import skills as SK
 from ..operators import stores as S
 from . import duck as D
-from .registry import query, table
+from .registry import derived, query, table
 
 USAGE = "SELECT CASE role WHEN 'user' THEN 'gpt-4o' WHEN 'assistant' THEN 'gemini-1.5-pro' ELSE 'unknown-model' END AS model, length(text)::BIGINT AS prompt_tokens, (turn * 10)::BIGINT AS completion_tokens, conv_id, turn FROM conversations"
 PRICES = D.rows("model, pp, cp", *[f"('{m}', {a!r}e0, {b!r}e0)" for m, a, b in S.PRICING])
@@ -48,13 +48,13 @@ def g03(spark, sf):
     return own.rollup("model").agg(F.sum("total_tokens").alias("total_tokens"), F.round(F.sum("cost"), 6).alias("cost")).select(F.coalesce("model", F.lit("all")).alias("model"), "total_tokens", "cost")
 
 
-SKILL_ROWS = D.rows("id, category, pos", *[f"({D.lit(s[0])}, {D.lit(s[3])}, {i})" for i, s in enumerate(SK.BUILT_IN)], "('u1', 'Odd', 5)", "('u2', 'Custom', 6)", "('u3', '', 7)")
+SKILL_ROWS = D.rows("id, category, pos", *[f"({D.lit(s[0])}, {D.lit(s[3])}, {i})" for i, s in enumerate(SK.BUILT_IN)]) + " UNION ALL SELECT 'u' || p_partkey, CASE p_size % 6 WHEN 0 THEN 'Odd' WHEN 1 THEN '' ELSE p_brand END, p_partkey + 5 FROM part"
 RANKS = " ".join(f"WHEN '{c}' THEN {i}" for i, c in enumerate(SK.CATEGORIES))
 
 
 @query("g04_skills_by_category", f"SELECT category, string_agg(id, ',' ORDER BY pos) AS ids, row_number() OVER (ORDER BY CASE category {RANKS} ELSE 99 END, min(pos)) AS place FROM (SELECT id, pos, coalesce(nullif(category, ''), 'Custom') AS category FROM ({SKILL_ROWS})) GROUP BY category")
 def g04(spark, sf):
-    own = spark.sql(SKILL_ROWS).withColumn("category", F.coalesce(F.nullif("category", F.lit("")), F.lit("Custom")))
+    own = derived(spark, sf, SKILL_ROWS).withColumn("category", F.coalesce(F.nullif("category", F.lit("")), F.lit("Custom")))
     rank = F.coalesce(F.create_map(*[x for i, c in enumerate(SK.CATEGORIES) for x in (F.lit(c), F.lit(i))])[F.col("category")], F.lit(99))
     groups = own.groupBy("category").agg(F.sort_array(F.collect_list(F.struct("pos", "id"))).alias("l"), F.min("pos").alias("first"))
     place = F.row_number().over(Window.orderBy(rank, "first"))  # one row a category
@@ -71,25 +71,29 @@ def k16(spark, sf):
     return S.newest(table(spark, sf, "events"), S.EXPORTS, [F.desc("ts"), F.desc("event_id")], ["user_id"]).select("user_id", "event_id", F.col("place").cast("bigint").alias("place"))
 
 
-STORED, CHANGES = D.rows("id, name, pos", "('a', 'A', 0)", "('b', 'B', 1)", "('c', 'C', 2)"), D.rows("id, name, pos", "('b', 'B2', 0)", "('d', 'D', 1)", "('e', 'E', 2)", "('d', 'D2', 3)")
+STORED = "SELECT 'p' || p_partkey AS id, p_name AS name, p_partkey AS pos FROM part WHERE p_partkey % 3 > 0"
+CHANGES = "SELECT 'p' || p_partkey AS id, p_name || ' 2' AS name, p_partkey AS pos FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT 'p' || p_partkey, upper(p_name), p_partkey + 1000000000 FROM part WHERE p_partkey % 8 = 0"
 
 
 @query("k18_skill_upsert", f"""WITH s AS ({STORED}), c AS ({CHANGES}), l AS (SELECT id, arg_max(name, pos) AS name, min(pos) AS first FROM c GROUP BY id)
 SELECT id, name, pos::BIGINT AS place FROM s WHERE id NOT IN (SELECT id FROM l) UNION ALL SELECT l.id, l.name, coalesce(s.pos, -l.first - 1)::BIGINT FROM l LEFT JOIN s USING (id)""")
 def k18(spark, sf):
-    return S.upserted(spark.sql(STORED), spark.sql(CHANGES))
+    return S.upserted(derived(spark, sf, STORED), derived(spark, sf, CHANGES))
 
 
-@query("k18b_skill_delete", f"SELECT id, name FROM ({STORED}) WHERE id <> 'b'")
+@query("k18b_skill_delete", f"SELECT id, name FROM ({STORED}) WHERE id <> 'p7'")
 def k18b(spark, sf):
-    return spark.sql(STORED).where("id <> 'b'").select("id", "name")
+    return derived(spark, sf, STORED).where("id <> 'p7'").select("id", "name")
 
 
-@query("k19_settings_merge", "SELECT k, coalesce(n.v, o.v) AS v FROM (VALUES ('provider', 'openai'), ('maxSteps', '25'), ('profile.name', 'x')) AS o(k, v) FULL JOIN (VALUES ('maxSteps', '20'), ('profile.mail', 'm')) AS n(k, v) USING (k)")
+SETTINGS_KEPT = "SELECT 'k' || c_custkey AS key, CASE c_nationkey % 4 WHEN 0 THEN NULL ELSE c_name END AS value FROM customer WHERE c_custkey % 3 > 0"
+SETTINGS_USUAL = "SELECT 'k' || c_custkey AS key, c_mktsegment AS value FROM customer WHERE c_custkey % 2 = 0"
+
+
+@query("k19_settings_merge", f"SELECT key AS k, coalesce(n.value, o.value) AS v FROM ({SETTINGS_KEPT}) o FULL JOIN ({SETTINGS_USUAL}) n USING (key)")
 def k19(spark, sf):
-    old = spark.createDataFrame([("provider", "openai"), ("maxSteps", "25"), ("profile.name", "x")], "k string, v string")
-    new = spark.createDataFrame([("maxSteps", "20"), ("profile.mail", "m")], "k string, w string")
-    return old.join(new, "k", "full").select("k", F.coalesce("w", "v").alias("v"))
+    old, new = derived(spark, sf, SETTINGS_KEPT), derived(spark, sf, SETTINGS_USUAL).withColumnRenamed("value", "new")
+    return old.join(new, "key", "full").select(F.col("key").alias("k"), F.coalesce("new", "value").alias("v"))
 
 
 @query("u03_set_difference", "SELECT DISTINCT user_id FROM events WHERE event_type = 'view' EXCEPT SELECT user_id FROM events WHERE event_type = 'error' AND value > 49 AND user_id % 2 = 0")
@@ -117,30 +121,26 @@ def g13(spark, sf):
     return table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.max_by("props", "event_id").alias("props"))
 
 
-MODELS = D.rows("pos, name", "(0, 'llava:7b')", "(1, ' llama3.2:3b ')", "(2, '')", "(3, NULL)", "(4, 'gemma3:4b')", "(5, 'llava:7b')", "(6, 'qwen')")
+MODELS = "SELECT p_partkey AS pos, CASE p_partkey % 5 WHEN 0 THEN 'llava:' || p_size || 'b' WHEN 1 THEN ' ' || lower(p_brand) || ' ' WHEN 2 THEN '' WHEN 3 THEN NULL ELSE p_brand || '-Vision' END AS name FROM part"
 VISION = "'llava', 'bakllava', 'vision', 'qwen2.5vl', 'qwen2-vl', 'gemma3', 'minicpm-v', 'moondream'"
 
 
 @query("s08_model_catalogue", f"SELECT name, sees, row_number() OVER (ORDER BY sees DESC, pos) AS place FROM (SELECT n AS name, min(pos) AS pos, len(list_filter([{VISION}], lambda x: contains(lower(n), x))) > 0 AS sees FROM (SELECT pos, trim(name) AS n FROM ({MODELS})) WHERE coalesce(n, '') <> '' GROUP BY n)")
 def s08(spark, sf):
-    own = spark.sql(MODELS).withColumn("name", F.trim("name")).where("coalesce(name, '') <> ''").groupBy("name").agg(F.min("pos").alias("pos"))
+    own = derived(spark, sf, MODELS).withColumn("name", F.trim("name")).where("coalesce(name, '') <> ''").groupBy("name").agg(F.min("pos").alias("pos"))
     sees = F.exists(F.array(*[F.lit(x.strip(" '")) for x in VISION.split(",")]), lambda x: F.contains(F.lower("name"), x))
     own = own.withColumn("sees", sees)
     return own.select("name", "sees", F.row_number().over(Window.orderBy(F.desc("sees"), "pos")).cast("bigint").alias("place"))
 
 
-SETTINGS_KEPT = D.rows("key, value", "('theme', 'dark')", "('folder', NULL)", "('extra', 'x')")
-SETTINGS_USUAL = D.rows("key, value", "('theme', 'light')", "('folder', 'Exports')", "('format', 'json')")
-
-
-@query("s09_settings", "SELECT * FROM (VALUES ('theme', 'dark'), ('folder', NULL), ('extra', 'x'), ('format', 'json')) AS t(key, value)")
+@query("s09_settings", f"SELECT key, value FROM ({SETTINGS_KEPT}) UNION ALL SELECT key, value FROM ({SETTINGS_USUAL}) WHERE key NOT IN (SELECT key FROM ({SETTINGS_KEPT}))")
 def s09(spark, sf):
-    return S.with_defaults(spark.sql(SETTINGS_KEPT), spark.sql(SETTINGS_USUAL))
+    return S.with_defaults(derived(spark, sf, SETTINGS_KEPT), derived(spark, sf, SETTINGS_USUAL))
 
 
-SERVICE_KEYS = D.rows("id, tavily, langsearch, brave, serper", "(1, 'a', 'b', 'c', 'd')", "(2, '', NULL, 'c', 'd')", "(3, NULL, 'b', '', '')", "(4, '', '', '', '')", "(5, '', '', '', 's')")
+SERVICE_KEYS = "SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN c_mktsegment WHEN 1 THEN '' END AS tavily, CASE c_nationkey % 3 WHEN 0 THEN c_name END AS langsearch, CASE c_nationkey % 5 WHEN 0 THEN 'b' ELSE '' END AS brave, CASE c_custkey % 7 WHEN 0 THEN NULL ELSE c_mktsegment END AS serper FROM customer"
 
 
 @query("s07_search_service", f"SELECT id, CASE WHEN coalesce(tavily, '') <> '' THEN 'tavily' WHEN coalesce(langsearch, '') <> '' THEN 'langsearch' WHEN coalesce(brave, '') <> '' THEN 'brave' WHEN coalesce(serper, '') <> '' THEN 'serper' END AS service FROM ({SERVICE_KEYS})")
 def s07(spark, sf):
-    return spark.sql(SERVICE_KEYS).select("id", S.search_service({k: F.col(k) for k in S.SEARCH_SERVICES}).alias("service"))
+    return derived(spark, sf, SERVICE_KEYS).select("id", S.search_service({k: F.col(k) for k in S.SEARCH_SERVICES}).alias("service"))
