@@ -172,10 +172,11 @@ def p25(spark, sf):
     return own.select("page_id", F.concat(F.lit("[1] "), "title", F.lit("\nURL: "), "url", F.lit("\n"), F.substring("text", 1, 1200)).alias("block"))
 
 
-TABLES = "<body><table><tr><th>a<th>b</tr><tr><td>1<td>2</tr></table><table><tr><td>x</td></tr></table><table><tr><td>no</td></tr></table></body>"
+#: Each page with three tables before its own text; the first two count.
+TABLES = """SELECT page_id, url, '<body><table><tr><th>a<th>b</tr><tr><td>' || page_id || '<td>' || length(html) || '</tr></table><table><tr><td>x</td></tr></table><table><tr><td>no</td></tr></table>' || html || '</body>' AS html FROM pages"""
 
 
-@query("p16_table_rows", "SELECT 7 AS page_id, * FROM (VALUES (1, 'a', 'b'), (2, '1', '2'), (9, 'x', NULL)) AS t(pos, c1, c2)")
+@query("p16_table_rows", "SELECT page_id::INT AS page_id, unnest([1, 2, 9]) AS pos, unnest(['a', page_id::VARCHAR, 'x']) AS c1, unnest(['b', length(html)::VARCHAR, NULL]) AS c2 FROM pages")
 def p16_tables(spark, sf):
-    own = X.table_rows(readable_pages(spark.createDataFrame([(7, "u", TABLES)], "page_id bigint, url string, html string")))
+    own = X.table_rows(readable_pages(derived(spark, sf, TABLES)))
     return own.select(F.col("page_id").cast("int").alias("page_id"), F.col("pos").cast("int").alias("pos"), F.try_element_at("cells", F.lit("Column 1")).alias("c1"), F.try_element_at("cells", F.lit("Column 2")).alias("c2"))

@@ -164,6 +164,8 @@ def j03(spark, sf):
 
 
 SKILLS = D.rows("id, name, description, hosts, built_in, pos", *[f"({D.lit(s[0])}, {D.lit(s[1])}, {D.lit(s[2])}, {D.lit(','.join(s[4]))}, true, {i})" for i, s in enumerate(S.BUILT_IN)], "('user_vague', 'The onon thing', 'anre the tion of heer', '', false, 5)", "('user_hosts', 'Own site', 'eron', 'example.com, X.example.net', false, 6)")
+#: The catalogue and users' own skills, one a part.
+MORE_SKILLS = f"{SKILLS} UNION ALL SELECT 'user_' || p_partkey, p_name, p_type, 'a' || p_size || '.com, B' || p_partkey || '.net', false, p_partkey + 100 FROM part"
 WORDS_CASE = " ".join(f"WHEN {D.lit(k)} THEN [{', '.join(map(D.lit, v))}]" for k, v in S.KEY_WORDS.items())
 TASKS = "SELECT conv_id * 100 + turn AS task_id, CASE conv_id % 4 WHEN 0 THEN 'Please summarize and explain: ' WHEN 1 THEN 'buy cheap, compare price: ' WHEN 2 THEN 'email contact ' ELSE '' END || text AS task, CASE WHEN conv_id % 3 = 0 THEN 'https://www.amazon.in/x' WHEN conv_id % 3 = 1 THEN 'https://m.example.com/' ELSE '' END AS page_url FROM conversations WHERE role = 'user'"
 SCORE = f"""(SELECT task_id, id, pos, least(1.0e0, CASE WHEN host <> '' AND len(list_filter(hosts, lambda x: contains(host, x) OR contains(x, host))) > 0 THEN 0.55e0 ELSE 0 END
@@ -178,6 +180,10 @@ def tasks_and_skills(spark, sf):
     return spark.sql(TASKS.replace("FROM conversations", "FROM conversations_in")), S.cleaned(own)
 
 
+def more_skills(spark, sf):
+    return derived(spark, sf, MORE_SKILLS.replace("SELECT *", "SELECT id, name, description, hosts, built_in, pos")).withColumns({"allowed_hosts": F.split("hosts", ","), "checklist": F.array().cast("array<string>"), "category": F.lit("Custom")})
+
+
 @query("x12_skill_score", f"SELECT task_id, id, round(score, 6) AS score FROM {SCORE}")
 def x12(spark, sf):
     return S.scored(*tasks_and_skills(spark, sf)).select("task_id", "id", F.round("score", 6).alias("score"))
@@ -193,30 +199,35 @@ def t04(spark, sf):
     return S.chosen(*tasks_and_skills(spark, sf)).where("rank = 1").select("task_id", "id")
 
 
-@query("j05_inactive_skills", f"SELECT id FROM ({SKILLS}) WHERE id NOT IN ('builtin_fill_form', 'user_hosts')")
+#: Skills that are active: those that tasks name.
+ACTIVE = "SELECT DISTINCT CASE conv_id % 3 WHEN 0 THEN 'builtin_fill_form' ELSE 'user_' || conv_id END AS id FROM conversations"
+
+
+@query("j05_inactive_skills", f"SELECT id FROM ({MORE_SKILLS}) WHERE id NOT IN ({ACTIVE})")
 def j05(spark, sf):
-    _, skills = tasks_and_skills(spark, sf)
-    active = spark.createDataFrame([("builtin_fill_form",), ("user_hosts",)], "id string")
-    return skills.join(F.broadcast(active), "id", "left_anti").select("id")
+    return more_skills(spark, sf).join(derived(spark, sf, ACTIVE), "id", "left_anti").select("id")
 
 
-@query("f11_skill_search", f"SELECT id FROM ({SKILLS}) WHERE contains(lower(name), 'page') OR contains(lower('Custom'), 'page')")
+@query("f11_skill_search", f"SELECT id FROM ({MORE_SKILLS}) WHERE contains(lower(name), 'page') OR contains(lower(name), 'an') OR contains(lower('Custom'), 'page')")
 def f11(spark, sf):
-    _, skills = tasks_and_skills(spark, sf)
-    return skills.where(F.contains(F.lower("name"), F.lit("page")) | F.contains(F.lower("category"), F.lit("page"))).select("id")
+    def says(word):
+        return F.contains(F.lower("name"), F.lit(word))
+
+    return more_skills(spark, sf).where(says("page") | says("an") | F.contains(F.lower("category"), F.lit("page"))).select("id")
 
 
-@query("s10_skill_catalogue", f"SELECT id, pos::BIGINT AS pos FROM ({SKILLS})")
+@query("s10_skill_catalogue", f"SELECT id, pos::BIGINT AS pos FROM ({MORE_SKILLS})")
 def s10(spark, sf):
-    own = spark.sql(SKILLS).where("not built_in").withColumns({"allowed_hosts": F.split("hosts", ","), "checklist": F.array().cast("array<string>"), "category": F.lit("Custom"), "pos": F.col("pos") - 5})
+    own = more_skills(spark, sf).where("not built_in").withColumn("pos", F.col("pos") - 5)
     return S.catalogue(spark, own.select("id", "name", "description", "category", "allowed_hosts", "checklist", "built_in", "pos")).select("id", F.col("pos").cast("bigint").alias("pos"))
 
 
-@query("j13_skill_lookup", f"SELECT w.k, s.id, s.name FROM (VALUES (1, 'user_vague'), (2, 'builtin_fill_form'), (3, 'missing')) AS w(k, id) JOIN ({SKILLS}) s USING (id)")
+WANTED = "SELECT conv_id * 100 + turn AS k, CASE turn % 3 WHEN 0 THEN 'builtin_fill_form' WHEN 1 THEN 'user_' || conv_id ELSE 'missing' END AS id FROM conversations"
+
+
+@query("j13_skill_lookup", f"SELECT w.k, s.id, s.name FROM ({WANTED}) w JOIN ({MORE_SKILLS}) s USING (id)")
 def j13(spark, sf):
-    _, skills = tasks_and_skills(spark, sf)
-    wanted = spark.createDataFrame([(1, "user_vague"), (2, "builtin_fill_form"), (3, "missing")], "k int, id string")
-    return wanted.join(skills, "id").select("k", "id", "name")
+    return derived(spark, sf, WANTED).join(more_skills(spark, sf), "id").select("k", "id", "name")
 
 
 @query("j11_host_allowed", f"SELECT p.page_id, s.id FROM pages p, ({SKILLS}) s WHERE {D.host_of('p.url')} <> '' AND len(list_filter(list_filter(list_transform(string_split(s.hosts, ','), lambda x: lower(trim(x))), lambda x: x <> ''), lambda x: contains({D.host_of('p.url')}, x) OR contains(x, {D.host_of('p.url')}))) > 0")
@@ -272,9 +283,9 @@ def j10(spark, sf):
     return S.checklist_marks(spark.sql(REPLIES.replace("FROM conversations", "FROM conversations_in")), S.catalogue(spark))
 
 
-@query("p13_clean_skills", f"SELECT id, substr(trim(name), 1, 80) AS name, CASE WHEN pos % 2 = 0 THEN 'Research' ELSE 'Custom' END AS category, array_to_string(list_filter(list_transform(string_split(hosts, ','), lambda x: lower(trim(x))), lambda x: x <> ''), '|') AS hosts FROM ({SKILLS})")
+@query("p13_clean_skills", f"SELECT id, substr(trim(name), 1, 80) AS name, CASE WHEN pos % 2 = 0 THEN 'Research' ELSE 'Custom' END AS category, array_to_string(list_filter(list_transform(string_split(hosts, ','), lambda x: lower(trim(x))), lambda x: x <> ''), '|') AS hosts FROM ({MORE_SKILLS})")
 def p13(spark, sf):
-    own = spark.sql(SKILLS).withColumns({"allowed_hosts": F.split("hosts", ","), "checklist": F.array().cast("array<string>"), "category": F.when(F.col("pos") % 2 == 0, "Research").otherwise("Odd")})
+    own = more_skills(spark, sf).withColumns({"category": F.when(F.col("pos") % 2 == 0, "Research").otherwise("Odd")})
     return S.cleaned(own).select("id", "name", "category", F.array_join("allowed_hosts", "|").alias("hosts"))
 
 
@@ -319,15 +330,15 @@ def j14(spark, sf):
     return own.groupBy("page_id").agg(F.min("pos").cast("bigint").alias("pos"))
 
 
-FIELDS_OF_PAGES = D.rows("page_id, pos, kind, hints, top, width",
-    "(1, 1, 'text', 'text email', 10, 300)", "(1, 2, 'Search', 'Find it', 900, 100)", "(1, 3, 'text', 'q', 10, 300)", "(2, 1, 'text', 'my query', 500, 121)", "(2, 2, 'text', 'QUERY', 500, 200)", "(3, 1, NULL, NULL, NULL, NULL)")
+FIELDS_OF_PAGES = """SELECT CAST(floor(event_id / 7) AS BIGINT) AS page_id, event_id % 7 AS pos, CASE event_type WHEN 'view' THEN 'Search' WHEN 'error' THEN NULL ELSE event_type END AS kind,
+CASE event_id % 6 WHEN 0 THEN 'text email ' || props WHEN 1 THEN 'Find it' WHEN 2 THEN 'my query' WHEN 3 THEN 'q' WHEN 4 THEN NULL ELSE 'QUERY search' END AS hints, CAST(floor(value * 20) AS INT) AS top, CAST(user_id % 300 AS INT) AS width FROM events"""
 POINTS = """(CASE WHEN lower(coalesce(kind, '')) = 'search' THEN 6 ELSE 0 END + CASE WHEN contains(h, 'search') THEN 5 ELSE 0 END + CASE WHEN contains(h, 'find') THEN 4 ELSE 0 END + CASE WHEN contains(h, 'query') THEN 3 ELSE 0 END
 + CASE WHEN regexp_matches(h, '\\bqs?\\b') THEN 3 ELSE 0 END + CASE WHEN top < 1000 * 0.45 THEN 2 ELSE 0 END + CASE WHEN width > 120 THEN 1 ELSE 0 END)"""
 
 
 @query("t06_search_input", f"SELECT page_id, pos, score FROM (SELECT *, {POINTS} AS score FROM (SELECT *, lower(coalesce(hints, '')) AS h FROM ({FIELDS_OF_PAGES}))) QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY score DESC, pos) = 1")
 def t06(spark, sf):
-    own = spark.sql(FIELDS_OF_PAGES).withColumn("score", E.search_input_score(F.col("hints"), F.col("kind"), F.col("top"), F.col("width"), F.lit(1000)))
+    own = derived(spark, sf, FIELDS_OF_PAGES).withColumn("score", E.search_input_score(F.col("hints"), F.col("kind"), F.col("top"), F.col("width"), F.lit(1000)))
     return E.best_search_input(own).select("page_id", "pos", "score")
 
 

@@ -9,7 +9,7 @@ from ..functions.urls import host_of
 from ..operators import pages as P
 from ..sources import html as H
 from . import duck as D
-from .registry import query, table
+from .registry import derived, query, table
 
 PREFERRED = ["m.ththth.example.net", "ththre.example.com", "blog.thth.example.com"]
 PREFERRED_SQL = ", ".join(D.lit(h) for h in PREFERRED)
@@ -38,10 +38,10 @@ FROM (SELECT page_id, url, pos, replace(trim(concat(a, b, c)), '&amp;', '&') AS
 
 LINKS = links_sql("pages")
 #: Pages with links as they are written by hand: quotes, attributes, tags inside, relative addresses.
-WRITTEN = D.rows("page_id, url, html",
-    """(1, 'https://a.org/x/y.html?q=1#z', '<a class="k" href="/p">One</a><A HREF=''b.html'' id=q>Two <b>bold</b></A><a href=c target=_blank>Three</a><a name="no">anchor</a><a data-href="d" href="//e.org/f">Four</a>')""",
-    """(2, 'https://b.org', '<a href="g?x=1&amp;y=2">Five</a><a href="#top">Six</a><a href="?s=1">Seven</a><a href="mailto:h@i.org">Eight</a><a\nhref = "/j">Nine <!-- c --> more</a><abbr href="n">no</abbr>')""",
-    """(3, 'https://c.org/d/', '<a href="e">open <a href="f">Ten</a><p>no link</p>')""", "(4, 'https://d.org/', NULL)")
+WRITTEN = """SELECT page_id, CASE page_id % 2 WHEN 0 THEN url ELSE url || '/x/y.html?q=1#z' END AS url, CASE page_id % 4 WHEN 0 THEN '<a class="k" href="/p">One</a><A HREF=''b.html'' id=q>Two <b>bold</b></A><a href=c target=_blank>Three</a><a name="no">anchor</a><a data-href="d" href="//e.org/f">Four</a>'
+WHEN 1 THEN '<a href="g?x=1&amp;y=2">Five</a><a href="#top">Six</a><a href="?s=1">Seven</a><a href="mailto:h@i.org">Eight</a><a
+href = "/j">Nine <!-- c --> more</a><abbr href="n">no</abbr>'
+WHEN 2 THEN '<a href="e">open <a href="f">Ten</a><p>no link</p>' || html ELSE NULL END AS html FROM pages"""
 H1 = plain_sql("regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1)")
 CANDIDATES = f"(SELECT page_id % 50 AS task_id, page_id % 4 AS query_idx, page_id AS pos, url, {D.host_of('url')} AS host, {H1} AS title FROM pages)"
 
@@ -87,7 +87,7 @@ def f03(spark, sf):
 
 @query("s01_written_links", f"SELECT page_id, pos::BIGINT AS pos, href, text FROM {links_sql(f'({WRITTEN})')}")
 def s01_written(spark, sf):
-    return P.links(spark.sql(WRITTEN)).select("page_id", F.col("pos").cast("bigint").alias("pos"), "href", "text")
+    return P.links(derived(spark, sf, WRITTEN)).select("page_id", F.col("pos").cast("bigint").alias("pos"), "href", "text")
 
 
 @query("s03_result_cards")
