@@ -279,6 +279,22 @@ def test_captures_of_files(spark, tmp_path):
     assert got == [("<2>", "<1>", "resolved", {"etag": 'W/"x"', "date": "d"}), ("<3>", None, "orphan", {}), ("<4>", None, "orphan", {}), ("<4>", None, "orphan", {})]
 
 
+def test_records_with_broken_headers():
+    def record(name, length, body=b"text"):
+        return b"WARC/1.0\r\nWARC-Record-ID: " + name + b"\r\n" + (b"Content-Length: " + length + b"\r\n" if length else b"") + b"\r\n" + body + b"\r\n\r\n"
+
+    def names(data):
+        return [r["headers"].get("warc-record-id") for r in warc.parse_records(data)]
+
+    good = record(b"<g>", b"4")
+    assert names(record(b"<a>", b"abc") + good) == ["<g>"]
+    assert names(record(b"<a>", b"-400") + good + record(b"<b>", b"-1")) == ["<g>"]
+    assert names(record(b"<a>", "\u00b2".encode()) + good) == ["<g>"]
+    assert names(good + record(b"<a>", b"4000")) == ["<g>"]
+    assert names(record(b"<a>", None, b"") + good) == ["<a>", "<g>"]
+    assert names(b"no archive at all") == names(b"") == names(b"WARC/1.0\r\nno end") == []
+
+
 def test_quality(spark):
     rng = random.Random(8)
     good, junk = [f"word{i}" for i in range(50)], ["%%%", "$$$", "!!", "buy"]

@@ -93,7 +93,8 @@ def resolve_revisits(records: DataFrame, record_id: str = "record_id", url: str
 def parse_records(data: bytes) -> Iterator[dict]:
     """The records of an uncompressed WARC file: ``headers`` of the record, ``http`` headers (lower-cased) and ``body``.
 
-    Bytes after a truncated record are ignored.
+    Bytes after a truncated record are ignored. A record whose length is no number, or
+    a negative one, is left out; the next record is the next header after an empty line.
     """
     at = 0
     while (at := data.find(b"WARC/", at)) >= 0:
@@ -102,7 +103,14 @@ def parse_records(data: bytes) -> Iterator[dict]:
             return
         head = dict(x.split(":", 1) for x in data[at:end].decode("utf-8", "replace").split("\r\n")[1:] if ":" in x)
         head = {k.strip().lower(): v.strip() for k, v in head.items()}
-        size = int(head.get("content-length", "0"))
+        length = head.get("content-length", "0")
+        if not (length.isascii() and length.isdigit()):
+            at = data.find(b"\r\n\r\nWARC/", end)
+            if at < 0:
+                return
+            at += 4
+            continue
+        size = int(length)
         block = data[end + 4 : end + 4 + size]
         if len(block) < size:
             return
