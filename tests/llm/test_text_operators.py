@@ -258,8 +258,7 @@ def brute_words(text):
     return [(raw[i:j], int(x)) for x, i, j in zip(h, first, end, strict=True)]
 
 
-@pytest.mark.parametrize("weighted", [True, False])
-def test_nearest_examples_are_exact(spark, monkeypatch, weighted):
+def test_nearest_examples_are_exact(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "BLOCK", 8)
     rng = random.Random(6)
     plain, bad = [f"p{i * i // 9}" for i in range(300)], ["vile", "nasty", "Mean"]
@@ -267,7 +266,7 @@ def test_nearest_examples_are_exact(spark, monkeypatch, weighted):
     texts[7:11] = [None, "", "p1", "P1 p1"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     labels = spark.createDataFrame([(i, int(i % 6 == 0)) for i in range(400)], "doc_id bigint, toxic int")
-    index = toxicity.fit(docs, labels, weighted=weighted, k=9)
+    index = toxicity.fit(docs, labels, k=9)
     # the index as dictionaries: every word of every text counts
     words = [brute_words(t) for t in texts]
     held = {i: words[i] for i in sorted(index.ids.tolist())}
@@ -285,10 +284,10 @@ def test_nearest_examples_are_exact(spark, monkeypatch, weighted):
     assert 100 < size < 300 and 10 < label
 
     def vector(ws):
-        out, noise = {}, size**-0.5
+        out = {}
         for w, h in set(ws):
             idf = np.log((len(texts) + 1) / (min(df[place(w, h)], len(texts)) + 1)) + 1
-            out[w] = (1 + np.log(sum(w == v for v, _ in ws))) * idf * (noise + max(0, phi.get(w, 0) - 3 * noise) if weighted else 1)
+            out[w] = (1 + np.log(sum(w == v for v, _ in ws))) * idf
         norm = sum(x * x for x in out.values()) ** 0.5
         return {w: x / norm for w, x in out.items()}
 
@@ -300,6 +299,13 @@ def test_nearest_examples_are_exact(spark, monkeypatch, weighted):
         want = [(s, j) for s, j in want if s < 0][:9]
         assert np.allclose(got[i][0], [-s for s, _ in want], atol=1e-9), texts[i]
         assert all(abs(dict((j, s) for s, j in want).get(int(j), -x) + x) < 1e-9 for x, j in zip(got[i][0], index.ids[got[i][1]], strict=True))
+        # the part of the cosine that comes from words with evidence, and the vote by it
+        told = lambda w: max(0, phi.get(w, 0) - 3 * size**-0.5)
+        proof = [sum(x * vectors[int(j)].get(w, 0) * told(w) for w, x in mine.items()) for j in index.ids[got[i][1]]]
+        assert np.allclose(got[i][2], proof, atol=1e-9)
+        if proof:
+            part = [(x + toxicity.LEAST) / (1.05 - s) for x, s in zip(proof, got[i][0], strict=True)]
+            assert abs(index.vote(*got[i]) - sum(x for x, j in zip(part, index.ids[got[i][1]], strict=True) if j % 6 == 0) / sum(part)) < 1e-9
     monkeypatch.setattr(toxicity, "ENTRIES", 50)
     again = index.neighbours(pa.array(texts))
     assert all((a[1] == b[1]).all() for a, b in zip(got, again, strict=True))

@@ -1,18 +1,19 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
 Vectors hold all words of a text: (1 + ln n) for n occurrences, times the inverse
-document frequency over all documents, times the word's evidence. Evidence is the
-word's correlation with the label (phi) in the examples beyond what chance gives;
-words without any keep a floor, so no word is left out, but the few that tell the
-labels apart weigh more than the many that don't.
+document frequency over all documents. Labels have no part in the similarity.
 
 Labelled examples lie in an inverted index cut into blocks. For each term and
 block the index keeps the largest weight, so a query's bound for a block is one
 sparse product. The blocks with the best bounds are scored exactly; after that
 those whose bound reaches the k-th best similarity so far, which gives the exact
 nearest examples. Terms that many examples hold have full lists, whose sums are
-taken for all examples at once and enter the bounds as they are. Their distance-weighted vote is calibrated on labelled rows
-outside the index.
+taken for all examples at once and enter the bounds as they are.
+
+In the vote a neighbour weighs by its distance and by what its similarity comes
+from: each shared word adds its part of the cosine times its evidence, which is the
+word's correlation with the label (phi) in the examples beyond what chance gives.
+The vote is calibrated on labelled rows outside the index.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ FIRST = 2
 FREQUENT = 0.1
 #: Places in which the documents with words outside the index are counted.
 REST = 1 << 18
+#: Weight in the vote of a neighbour that shares no word with evidence.
+LEAST = 1e-4
 #: Entries of the index that are read at once.
 ENTRIES = 1 << 20
 
@@ -76,8 +79,8 @@ def _spans(first: np.ndarray, size: np.ndarray) -> np.ndarray:
 class Index:
     """Unit vectors of the examples in an inverted index with block maxima.
 
-    ``weight`` has idf times evidence for each word of ``vocabulary`` and each of
-    the places behind it.
+    ``weight`` has the idf of each word of ``vocabulary`` and each of the places
+    behind it, ``told`` the evidence of each word of ``vocabulary``.
     """
 
     vocabulary: np.ndarray
@@ -85,6 +88,11 @@ class Index:
     ids: np.ndarray
     labels: np.ndarray
     k: int
+    told: np.ndarray
+    #: Words with evidence of each example, as numbers among all such words, and their weights times evidence.
+    proof_at: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
+    proof: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
+    proof_value: np.ndarray = field(default_factory=lambda: np.zeros(0))
     #: An entry is a term's part in one block; entries of a term and postings of an entry lie together.
     term_at: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
     block: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
@@ -118,6 +126,10 @@ class Index:
             lead[q][there] = at[by[first[there] + q]]
         place = np.empty(size, np.int64)
         place[np.lexsort((self.ids, *lead[::-1]))] = np.arange(size)
+        own = np.flatnonzero(self.told[at] > 0)
+        own = own[np.argsort(place[rows[own]], kind="stable")]
+        self.proof, self.proof_value = self.numbers()[at[own]], w[own] * self.told[at[own]]
+        self.proof_at = np.searchsorted(place[rows[own]], np.arange(size + 1))
         self.blocks = -(-size // BLOCK)
         member = place[rows]
         order = np.lexsort((member, at))
@@ -196,21 +208,47 @@ class Index:
             out.append((exact[best], own[best]))
         return out
 
-    def vote(self, sims: np.ndarray, near: np.ndarray) -> float:
-        """Share of the label among the neighbours, weighted by 1 / (distance + 0.05)."""
-        w = 1 / (1.05 - sims)
+    def numbers(self) -> np.ndarray:
+        """The number of each word of the vocabulary among those with evidence; -1 for others."""
+        own = self.told > 0
+        return np.where(own, np.cumsum(own) - 1, -1).astype(np.int32)
+
+    def proofs(self, rows: np.ndarray, at: np.ndarray, w: np.ndarray, near: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+        """For each row and neighbour the part of the cosine that comes from words with evidence, times it."""
+        number = np.append(self.numbers(), -1)[np.minimum(at, len(self.told))]
+        own = number >= 0
+        rows, number, w = rows[own], number[own], w[own]
+        cut = np.searchsorted(rows, np.arange(len(near) + 1))
+        query, out = np.zeros(int((self.told > 0).sum())), []
+        for r, (_, members) in enumerate(near):
+            held = number[cut[r] : cut[r + 1]]
+            query[held] = w[cut[r] : cut[r + 1]]
+            size = self.proof_at[members + 1] - self.proof_at[members]
+            p = _spans(self.proof_at[members], size)
+            out.append(np.bincount(np.repeat(np.arange(len(members)), size), query[self.proof[p]] * self.proof_value[p], minlength=len(members)))
+            query[held] = 0
+        return out
+
+    def vote(self, sims: np.ndarray, near: np.ndarray, proof: np.ndarray) -> float:
+        """Share of the label among the neighbours, weighted by (evidence shared + ``LEAST``) / (distance + 0.05)."""
+        w = (proof + LEAST) / (1.05 - sims)
         return float(w @ self.labels[near] / w.sum())
 
-    def neighbours(self, texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
-        rows, terms, n = term_counts(texts)
-        return self.nearest(rows, *self.unit(rows, terms, n, len(texts)), len(texts))
+    def neighbours(self, texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Similarities, places and shared evidence of the nearest examples of each text."""
+        return self.searched(*term_counts(texts), len(texts))
+
+    def searched(self, rows: np.ndarray, terms: np.ndarray, n: np.ndarray, size: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        at, w = self.unit(rows, terms, n, size)
+        near = self.nearest(rows, at, w, size)
+        return [(*x, proof) for x, proof in zip(near, self.proofs(rows, at, w, near), strict=True)]
 
     def score(self, texts: pa.Array) -> pa.StructArray:
         """Score and neighbours of each text; equal texts are looked up once."""
         coded = texts.dictionary_encode()
         values, sizes, ids, sims = [], [], [], []
-        for near_sims, near in (x for i, j in slices(coded.dictionary) for x in self.neighbours(coded.dictionary.slice(i, j - i))):
-            values.append(float(np.interp(self.vote(near_sims, near), *self.curve)) if len(near) else self.without)
+        for near_sims, near, proof in (x for i, j in slices(coded.dictionary) for x in self.neighbours(coded.dictionary.slice(i, j - i))):
+            values.append(float(np.interp(self.vote(near_sims, near, proof), *self.curve)) if len(near) else self.without)
             sizes.append(len(near))
             ids.append(self.ids[near])
             sims.append(near_sims)
@@ -237,24 +275,24 @@ def _isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def evidence(n: np.ndarray, positive: np.ndarray, size: int, label: int) -> np.ndarray:
     """Weight of words that stand in ``n`` of ``size`` examples, ``positive`` of them among the ``label`` ones with label 1.
 
-    The correlation with the label beyond three times what chance gives, above a floor of that size.
+    The correlation with the label beyond three times what chance gives; zero for most words.
     """
     a, b = positive.astype(float), (n - positive).astype(float)
     c, d = label - a, size - label - b
     phi = np.abs(a * d - b * c) / np.sqrt(np.maximum((a + b) * (c + d) * (a + c) * (b + d), 1e-9))
     noise = max(size, 1) ** -0.5
-    return noise + np.maximum(0, phi - 3 * noise)
+    return np.maximum(0, phi - 3 * noise)
 
 
-def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", examples: int = 8000, k: int = 15, weighted: bool = True) -> Index:
+def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", examples: int = 8000, k: int = 50) -> Index:
     """Learns from labelled rows outside the held-out fold (crc32 of the id mod 4 = 2).
 
     About ``examples`` labelled rows at most are read, picked by a hash of their
     id; two thirds make the index, one third calibrates. The words of the index
     are those of its examples, all of them. Document frequencies are counted over
-    all rows of ``docs``, exactly for these words; others, which count in a
-    text's length alone, share ``REST`` places. ``weighted=False`` leaves the
-    evidence out.
+    all rows of ``docs``, exactly for these words; others, which count in the
+    length of a text outside the index alone, share ``REST`` places, so which
+    examples are nearest, and in which order, is exact.
     """
     known = labels.where((fold(doc_id) != 2) & F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("id")).agg(F.max(F.col(label).cast("int")).alias("y"))
     total = known.count()
@@ -305,15 +343,13 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     df = np.zeros(places_of + 1)
     df[counts["at"].to_numpy()] = counts["n"].to_numpy()
     weight = np.log((df[-1] + 1) / (np.minimum(df[:-1], df[-1]) + 1)) + 1
-    if weighted:
-        held = np.bincount(which, minlength=len(vocabulary)), np.bincount(which, own[rows] if len(rows) else None, minlength=len(vocabulary))
-        told = evidence(held[0], held[1], len(own), int(own.sum()))
-        weight *= np.append(told, np.full(REST, max(len(own), 1) ** -0.5))
-    index = Index(vocabulary, weight, ids[index_rows].astype(np.int64) if index_rows else np.zeros(0, np.int64), own, k)
+    held = np.bincount(which, minlength=len(vocabulary)), np.bincount(which, own[rows] if len(rows) else None, minlength=len(vocabulary))
+    told = evidence(held[0], held[1], len(own), int(own.sum()))
+    index = Index(vocabulary, weight, ids[index_rows].astype(np.int64) if index_rows else np.zeros(0, np.int64), own, k, told)
     if index_rows:
         index.build(rows, terms, n)
     del rows, terms, n, which
-    near = index.nearest(rest[0], *index.unit(*rest, len(rest_rows)), len(rest_rows))
+    near = index.searched(*rest, len(rest_rows))
     some = np.array([len(x[1]) > 0 for x in near], bool)
     index.curve = _isotonic(np.array([index.vote(*x) for x in near if len(x[1])]), truth[some])
     none = truth[~some]
