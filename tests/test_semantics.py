@@ -147,15 +147,48 @@ def test_result_cards():
     page = """<div class="x g"><a href="/one"><h3>First  title</h3></a><div class="snippet">About one</div></div><article><a href="https://b.org/two">Two</a><p>About <b>two</b></p></article>
     <div class="g"><a href="/one">again</a></div><div class="result"><h2>No link</h2></div><li class="b_algo"><a href="javascript:x()">odd</a></li><div class="b_caption"><p>x</p></div><a href="/menu">A menu entry</a>"""
     assert H.result_cards("https://s.org/q", page) == [
-        {"href": "https://s.org/one", "title": "First title", "snippet": "About one"},
-        {"href": "https://b.org/two", "title": "Two", "snippet": "About two"},
+        {"href": "https://s.org/one", "host": "s.org", "title": "First title", "snippet": "About one"},
+        {"href": "https://b.org/two", "host": "b.org", "title": "Two", "snippet": "About two"},
     ]
     plain = '<li>Around <a href="up">A longer text</a></li><a href="/b">short</a><a href="/c" aria-label="Label of it"></a>'
     assert H.result_cards("https://s.org/a/q", plain) == [
-        {"href": "https://s.org/a/up", "title": "A longer text", "snippet": "Around A longer text"},
-        {"href": "https://s.org/c", "title": "Label of it", "snippet": ""},
+        {"href": "https://s.org/a/up", "host": "s.org", "title": "A longer text", "snippet": "Around A longer text"},
+        {"href": "https://s.org/c", "host": "s.org", "title": "Label of it", "snippet": ""},
     ]
-    assert H.result_cards(None, None) == []
+    assert H.result_cards(None, None) == [] and H.result_cards("x", '<a href="http://[x">A broken address</a>') == []
+
+
+def test_cards_without_titles_search_hosts_and_order():
+    from weftline.sources import html as H
+
+    def card(href, inner=""):
+        return f'<div class=g><a href="{href}"></a>{inner}</div>'
+
+    page = card("https://www.x.org/1") + card("https://google.com/a", "<h3>Long search title</h3>") + card("https://y.org", "<h3>Tiny</h3>") + card("https://z.org", "<h3>A much longer one</h3>") + '<div style="display:none">' + card("https://h.org", "<h3>Hidden</h3>") + "</div>"
+    assert [(c["host"], c["title"]) for c in H.result_cards(None, page, ["y.org"])] == [("y.org", "Tiny"), ("z.org", "A much longer one"), ("x.org", "x.org")]
+    assert len(H.result_cards(None, page, most=1)) == 1
+    # only a search engine's card: the fallback takes links
+    only = card("https://google.com/a", "<h3>Search</h3>") + '<a href="https://q.org">A long enough link</a>'
+    assert [c["host"] for c in H.result_cards(None, only)] == ["q.org"]
+
+
+def test_nested_cards_take_linear_time():
+    import time
+
+    from weftline.sources import html as H
+
+    page = "<article><p>x<a href=/q>some longer text</a>"
+    start = time.perf_counter()
+    assert len(H.result_cards("https://s.org/", page * 3000)) == 1
+    assert time.perf_counter() - start < 10
+
+
+def test_scraped_datasets_hold_table_rows(spark):
+    from weftline.plans import pipelines as PL
+
+    pages = spark.createDataFrame([(1, "https://a.org/x", "<body><h1>Head</h1><a href=/l>Link</a><table><tr><td>a<td>b</table></body>"), (2, None, None)], "page_id bigint, url string, html string")
+    got = [(r.section, r.value, r.text, r.cells) for r in PL.scrape(pages).orderBy("section").collect()]
+    assert got == [(0, "Head", None, None), (1, None, "Link", None), (2, None, None, {"Column 1": "a", "Column 2": "b"})]
 
 
 def test_a_page_captured_twice_is_two_sources(spark):

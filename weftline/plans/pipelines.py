@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import exports as X
 from ..operators import models as M
 from ..operators import pages as P
+from ..sources.html import readable_pages
 
 CALLS_AT_ONCE = 3
 
@@ -24,8 +25,10 @@ def research(pages: DataFrame, preferred: list[str], most: int = 6, model: Calla
 
 
 def scrape(pages: DataFrame) -> DataFrame:
-    """The rows of each page's dataset, with the page they come from."""
-    return X.fallback_dataset(P.fields(pages), P.links(pages)).withColumn("source_parent_url", F.col("url"))
+    """The rows of each page's dataset, headings, links and table rows, with the page they come from."""
+    read = readable_pages(pages)
+    links = read.select("page_id", "url", F.posexplode("links").alias("i", "l")).select("page_id", "url", (F.col("i") + 1).alias("pos"), "l.text", "l.href")
+    return X.fallback_dataset(read, links).withColumn("source_parent_url", F.col("url"))
 
 
 def summarise(pages: DataFrame, model: Callable[[str], str] = M.stub) -> DataFrame:

@@ -90,9 +90,30 @@ def s01_written(spark, sf):
     return P.links(derived(spark, sf, WRITTEN)).select("page_id", F.col("pos").cast("bigint").alias("pos"), "href", "text")
 
 
-@query("s03_result_cards")
+#: No page has a card with a link, so each list item with a longer link is a result, whose text is its snippet, too.
+@query("s03_result_cards", f"SELECT page_id, rank, href, host, title, substr(title, 1, 300) AS snippet FROM ({SERP})")
 def s03_cards(spark, sf):
-    return H.search_cards(table(spark, sf, "pages"))
+    return H.search_cards(table(spark, sf, "pages"), PREFERRED).withColumn("rank", F.col("rank").cast("bigint"))
+
+
+#: Each page with written cards before its own text: preferred and search hosts, no title, a repeated and a hidden card, a nested one.
+CARDED = """SELECT page_id, url, '<body><div class=g><a href="https://b.example.org/' || page_id || '">Link</a><h3>A longer title of ' || page_id || '</h3><p>Snip <b>one</b></p></div><div class="result x"><a href="https://www.c.example.org/"></a><span class=snippet>' || repeat('ab ', 150) || '</span></div>
+<div class=g style="Display: none"><a href="https://hidden.example.org">Hidden title</a></div><article><a href="https://www.google.com/x">Search again</a><h2>Search</h2><article hidden><p>no</p></article></article><article><a href="https://ththre.example.com/p">Own</a><article><h2>Inner title</h2><a href="https://b.example.org/' || page_id || '">Repeated</a></article></article></body>' || html AS html FROM pages"""
+
+
+@query("s03_written_cards", """SELECT page_id, unnest([1, 2, 3]) AS rank, unnest(['https://ththre.example.com/p', 'https://b.example.org/' || page_id, 'https://www.c.example.org/']) AS href, unnest(['ththre.example.com', 'b.example.org', 'c.example.org']) AS host,
+unnest(['Inner title', 'A longer title of ' || page_id, 'c.example.org']) AS title, unnest(['', 'Snip one', substr(repeat('ab ', 150), 1, 300)]) AS snippet FROM pages""")
+def s03_written(spark, sf):
+    return H.search_cards(derived(spark, sf, CARDED), PREFERRED)
+
+
+#: Each page's address and size in elements of which some lie in hidden ones.
+HIDING = """SELECT page_id, '<body><nav style="visibility:hidden"><ul><li><a href="/no">no</a></ul></nav><div hidden><form><input name=q><button>go</button></form></div><input type=hidden name=t value=1><a href="' || url || '">Page ' || page_id || '</a><p style="display : block">x <button disabled>' || length(html) || '</button></p><div style="color:red; display:none"><select></select></div><input type=search placeholder="Find ' || page_id || '"></body>' AS html FROM pages"""
+
+
+@query("f01_shown_elements", "SELECT page_id, unnest([1, 2, 3]) AS pos, unnest(['link', 'button', 'searchbox']) AS role, unnest(['Page ' || page_id, length(html)::VARCHAR, '']) AS text, unnest([url, '', '']) AS href, unnest(['', '', 'Find ' || page_id]) AS placeholder, unnest([false, true, false]) AS disabled FROM pages")
+def f01(spark, sf):
+    return H.page_elements(derived(spark, sf, HIDING)).select("page_id", "pos", "role", "text", "href", "placeholder", "disabled")
 
 
 @query("f04_fallback_links", f"SELECT page_id, count(*) FILTER (length(text) >= 8) AS usable, count(*) AS n FROM {LINKS} GROUP BY page_id")

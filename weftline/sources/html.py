@@ -7,17 +7,21 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Collection, Iterator
 from html.parser import HTMLParser
-from urllib.parse import urljoin
+from urllib.parse import urljoin, urlsplit
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from ..operators.pages import SEARCH_HOSTS
+
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 SILENT = {"script", "style", "noscript", "template", "head", "title"}
 # What is dropped from cleaned markup ("asides" as it stands, so aside elements stay).
 NOISE = {"script", "style", "noscript", "asides", "svg", "iframe", "nav", "footer", "button", "form"}
+HIDING = re.compile(r"display:\s*none|visibility:\s*hidden", re.I)
 SPACE = re.compile(r"[\s﻿]+")
 EMAIL = re.compile(r"[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}", re.I)
 PHONE = re.compile(r"\+?\d[\d\s()-]{7,}\d")
@@ -40,15 +44,37 @@ class Node:
             yield node
             stack += [k for k in reversed(node.kids) if isinstance(k, Node)]
 
-    def text(self) -> str:
-        """The text that would be shown; scripts, styles and hidden elements are left out."""
+    def hidden(self) -> bool:
+        """Whether the element says of itself that it isn't shown; what lies in it isn't shown either."""
+        return "hidden" in self.attrs or self.tag == "input" and self.attrs.get("type", "").lower() == "hidden" or bool(HIDING.search(self.attrs.get("style", "")))
+
+    def shown(self) -> Iterator[tuple[int, int, Node]]:
+        """The shown elements with their numbers in document order; those in an element lie between its number and the second one."""
+        stack: list = [(self, 0)]
+        found: list[list] = []
+        while stack:
+            node, entry = stack.pop()
+            if node is None:
+                found[entry][1] = len(found)
+            elif not node.hidden():
+                stack.append((None, len(found)))
+                found.append([len(found), 0, node])
+                stack += [(k, 0) for k in reversed(node.kids) if isinstance(k, Node)]
+        yield from map(tuple, found)
+
+    def text(self, most: int | None = None) -> str:
+        """The text that would be shown; scripts, styles and hidden elements are left out.
+
+        With ``most``, reading ends once that many characters other than spaces are there.
+        """
         out: list[str] = []
         stack: list = [self]
-        while stack:
+        while stack and (most is None or most > 0):
             node = stack.pop()
             if isinstance(node, str):
                 out.append(node)
-            elif node.tag not in SILENT and not re.search(r"display:\s*none|visibility:\s*hidden", node.attrs.get("style", "")):
+                most = None if most is None else most - sum(map(len, node.split()))
+            elif node.tag not in SILENT and not node.hidden():
                 if node.tag in ("br", "p", "div", "li", "tr", "article", "section", "h1", "h2", "h3", "td", "th"):
                     out.append(" ")
                 stack += reversed(node.kids)
@@ -56,7 +82,7 @@ class Node:
 
 
 #: Elements that end an open one of these kinds (a list item ends the list item before it), up to the nearest of the limits.
-ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "p": ({"p"}, {"div", "article", "section", "main", "body", "td", "th", "li", "blockquote"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
+ENDS = {"a": ({"a"}, {"td", "th", "li", "article"}), "li": ({"li"}, {"ul", "ol", "menu"}), "p": ({"p"}, {"div", "article", "section", "main", "body", "td", "th", "li", "blockquote"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
         "tr": ({"tr"}, {"table", "tbody", "thead", "tfoot"}), "option": ({"option"}, {"select", "datalist"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"})}
 #: Block elements end an open paragraph.
 BLOCKS = {"address", "article", "aside", "blockquote", "div", "dl", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "pre", "section", "table", "ul"}
@@ -177,12 +203,12 @@ def readable(url: str | None, html: str | None) -> dict:
     }
 
 
-# What marks a result card, its title and its snippet, in the order in which they are tried.
+# What marks a result card, its title and its snippet, in the order in which they are tried; hosts that are left out are in operators/pages.py.
 CARDS = ("div.g", "div[data-snc]", "article", ".result", ".b_algo", ".web-result")
 CARD_TITLES = ("h3", "h2", "[role=heading]")
-SNIPPETS = (".VwiC3b", ".snippet", ".b_caption p", ".result__snippet", "p")
-#: Characters a link's text must have where no card is found.
-LINK_TEXT = 8
+SNIPPETS = (".VwiC3b", ".snippet", ".result__snippet", "p", ".b_caption p")
+#: Characters a link's text must have where no card is found, characters of a snippet, and results of a page.
+LINK_TEXT, SNIPPET, RESULTS = 8, 300, 8
 
 
 def _matches(node: Node, selector: str) -> bool:
@@ -198,32 +224,58 @@ def _matches(node: Node, selector: str) -> bool:
     return not above or at is not None
 
 
-def result_cards(url: str | None, html: str | None) -> list[dict]:
-    """The results on a search page: card by card, each address once; where there is no card, links with longer texts."""
-    root, out = parse(html), {}
-    shown = list(root.walk())
-
-    def add(href: str, title: str, snippet: str) -> None:
-        href = urljoin(url or "", href.strip()) if href else ""
-        if re.match("https?:", href, re.I) and norm(title) and href not in out:
-            out[href] = {"href": href, "title": norm(title), "snippet": norm(snippet)}
+def _host(address: str) -> str:
+    try:
+        return re.sub("^www[.]", "", (urlsplit(address).hostname or "").lower())
+    except ValueError:
+        return ""
+
+
+def result_cards(url: str | None, html: str | None, preferred: Collection[str] = (), most: int | None = RESULTS) -> list[dict]:
+    """The results on a search page: card by card, each address once; where there is none, links with longer texts.
+
+    Results of search engines themselves are left out, a result without a title
+    has its host for one. Preferred hosts come first, then longer titles. What
+    isn't shown counts neither as a card nor as part of one. The page is walked
+    once; a card finds its parts by their numbers, so nested cards cost no more.
+    """
+    shown, out = list(parse(html).shown()), {}
+    parts: dict[str, list[int]] = {"link": [], "title": [], "snippet": []}
+    for i, _, n in shown:
+        if n.tag == "a" and n.attrs.get("href"):
+            parts["link"].append(i)
+        if any(_matches(n, t) for t in CARD_TITLES):
+            parts["title"].append(i)
+        if any(_matches(n, t) for t in SNIPPETS):
+            parts["snippet"].append(i)
+
+    def within(kind: str, start: int, end: int) -> Node | None:
+        """The first part of the kind in a card."""
+        k = bisect_right(parts[kind], start)
+        return shown[parts[kind][k]][2] if k < len(parts[kind]) and parts[kind][k] < end else None
+
+    def add(link: Node, title: Node | None, snippet: Node | None) -> None:
+        try:
+            href = urljoin(url or "", link.attrs["href"].strip())
+        except ValueError:
+            return
+        host = _host(href)
+        if re.match("https?:", href, re.I) and host and href not in out and not any(h in host for h in SEARCH_HOSTS):
+            name = norm(title.text() if title is not None else "") or norm(link.text()) or norm(link.attrs.get("aria-label"))
+            out[href] = {"href": href, "host": host, "title": name or host, "snippet": norm(snippet.text(SNIPPET) if snippet is not None else "")[:SNIPPET]}
 
     for selector in CARDS:
-        for card in (n for n in shown if _matches(n, selector)):
-            inner = list(card.walk())[1:]
-            link = next((n for n in inner if n.tag == "a" and n.attrs.get("href")), None)
-            title = next((n for n in inner if any(_matches(n, t) for t in CARD_TITLES)), None)
-            snippet = next((n for n in inner if any(_matches(n, t) for t in SNIPPETS)), None)
-            if link is not None:
-                add(link.attrs["href"], norm(title.text() if title is not None else "") or link.text(), snippet.text() if snippet is not None else "")
+        for start, end, card in shown:
+            if _matches(card, selector) and (link := within("link", start, end)) is not None:
+                add(link, within("title", start, end), within("snippet", start, end))
     if not out:
-        for link in (n for n in shown if n.tag == "a" and n.attrs.get("href")):
-            title, around = norm(link.text()) or norm(link.attrs.get("aria-label")), link.parent
-            if len(title) >= LINK_TEXT:
+        for i in parts["link"]:
+            link = around = shown[i][2]
+            if len(norm(link.text()) or norm(link.attrs.get("aria-label"))) >= LINK_TEXT:
                 while around is not None and around.tag not in ("article", "div", "li"):
                     around = around.parent
-                add(link.attrs["href"], title, around.text() if around is not None else "")
-    return list(out.values())
+                add(link, None, around)
+    return sorted(out.values(), key=lambda r: (r["host"] not in preferred, -len(r["title"])))[:most]
 
 
 def dom_path(node: Node) -> str:
@@ -240,10 +292,10 @@ def dom_path(node: Node) -> str:
 
 
 def elements(html: str | None, most: int = 80) -> list[dict]:
-    """The interactive elements of a page in document order, without repeats (role, texts, href and path), at most ``most``."""
+    """The interactive elements of a page that are shown, in document order, without repeats (role, texts, href and path), at most ``most``."""
     out: list[dict] = []
     seen: set[str] = set()
-    for n in parse(html).walk():
+    for _, _, n in parse(html).shown():
         a = n.attrs
         if not (n.tag in ("button", "input", "textarea", "select") or n.tag == "a" and "href" in a or a.get("role") in ("button", "link", "textbox", "searchbox") or a.get("contenteditable") == "true"):
             continue
@@ -276,15 +328,15 @@ def readable_pages(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", "html").mapInPandas(run, PAGE)
 
 
-CARD = "page_id bigint, pos int, href string, title string, snippet string"
+CARD = "page_id bigint, rank int, href string, host string, title string, snippet string"
 
 
-def search_cards(pages: DataFrame) -> DataFrame:
-    """A row for each result on each page (page_id, url, html), ``pos`` from 1; pages without any have none."""
+def search_cards(pages: DataFrame, preferred: Collection[str] = (), most: int | None = RESULTS) -> DataFrame:
+    """A row for each result on each page (page_id, url, html), ``rank`` from 1; pages without any have none."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            rows = [{"page_id": i, "pos": k, **c} for i, u, h in zip(part.page_id, part.url, part.html, strict=True) for k, c in enumerate(result_cards(u, h), 1)]
+            rows = [{"page_id": i, "rank": k, **c} for i, u, h in zip(part.page_id, part.url, part.html, strict=True) for k, c in enumerate(result_cards(u, h, preferred, most), 1)]
             if rows:
                 yield pd.DataFrame(rows)
 
