@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import models as M
+from ..sources.search import searched
 from ..streaming import approvals as AP
 from ..streaming import fanout as FO
 from ..streaming import hydration as HY
@@ -12,7 +13,7 @@ from ..streaming import steps as ST
 from . import pipelines as PL
 from .q_pages import PREFERRED
 from . import q_sequences  # noqa: F401  its SQL is that of the stream, too
-from .registry import ORACLES, query, table
+from .registry import ORACLES, derived, query, table
 
 BY_ROLE = "SELECT role AS model, sum(length(text))::BIGINT AS prompt_tokens, sum(turn * 10)::BIGINT AS completion_tokens FROM conversations GROUP BY role"
 
@@ -151,3 +152,32 @@ def d01_ladder(spark, sf):
     service = F.element_at(F.array(F.lit("image_fallback"), F.lit("compatible"), F.lit("single")), ((F.col("conv_id") + F.col("turn")) % 3 + 1).cast("int"))
     own = table(spark, sf, "conversations").select("conv_id", "turn", F.col("text").alias("prompt"), service.alias("service"), F.when(F.col("turn") % 2 == 1, F.array(F.lit("data:image/png"))).alias("images"))
     return M.laddered(own, answer_or_fail, ST.shared_folder(spark, "weftline_calls")).select("conv_id", "turn", "attempts", "rung", "error", "prompt_tokens")
+
+
+def offline_search(query: str, most: int) -> dict:
+    """A service that answers by the length of the query; it fails where seven divides it, and may answer more than was asked for."""
+    n = len(query)
+    if n % 7 == 0:
+        raise RuntimeError(f"HTTP 429 for {n} characters")
+    return {"results": [{"url": f"https://r.example.org/{n}/{i}", "title": f"Result {i}" if i % 3 < 2 else None, "content": query[:20]} for i in range(n % 9)]}
+
+
+ASKED = "SELECT conv_id, turn, CASE conv_id % 4 WHEN 0 THEN 'brave' WHEN 1 THEN 'serper' WHEN 2 THEN 'other' ELSE 'tavily' END AS service, coalesce(text, '') AS query FROM conversations WHERE role = 'user'"
+
+
+@query("s05_search_service", f"SELECT conv_id, turn, pos, 'https://r.example.org/' || n || '/' || pos AS url, CASE WHEN pos % 3 < 2 THEN 'Result ' || pos ELSE '' END AS title, substr(query, 1, 20) AS snippet FROM (SELECT *, length(query) AS n, unnest(range(least(length(query) % 9, 5))) AS pos FROM ({ASKED})) WHERE service = 'tavily' AND n % 7 <> 0")
+def s05(spark, sf):
+    return searched(derived(spark, sf, ASKED), {"tavily": offline_search}).select("conv_id", "turn", F.col("pos").cast("bigint").alias("pos"), "url", "title", "snippet")
+
+
+@query("s06_services_without_results", f"SELECT service, count(*) AS asked, 0::BIGINT AS found, count(*) FILTER (service = 'brave' AND length(query) % 7 = 0) AS failed FROM ({ASKED}) GROUP BY service")
+def s06(spark, sf):
+    """Only brave is open here, and it never answers with results; the others are stubs."""
+
+    def silent(query: str, most: int) -> dict:
+        return offline_search(query, most) and {}
+
+    own = derived(spark, sf, ASKED)
+    found = searched(own, {"brave": silent}, errors=True).groupBy("service").agg(F.count_if(F.col("error").isNull()).alias("found"), F.count("error").alias("failed"))
+    asked = own.groupBy("service").agg(F.count("*").alias("asked"))
+    return asked.join(found, "service", "left").select("service", "asked", F.coalesce("found", F.lit(0)).cast("bigint").alias("found"), F.coalesce("failed", F.lit(0)).cast("bigint").alias("failed"))
