@@ -197,3 +197,24 @@ def test_a_page_captured_twice_is_two_sources(spark):
     html = "<title>t</title><body><h1>A title</h1>words of {}</body>"
     pages = spark.createDataFrame([(1, "https://a.org/x", html.format("one")), (51, "https://a.org/x", html.format("two")), (2, "https://b.org/y", html.format("three"))], "page_id bigint, url string, html string")
     assert sorted(r.url for r in PL.research(pages, []).collect()) == ["https://a.org/x", "https://b.org/y"]
+
+
+def test_compacted_page(spark):
+    from weftline.operators import agents as A
+
+    schema = """id int, mode string, text string, readable_text string, headings array<string>, tables array<array<array<string>>>, links array<struct<text:string,href:string,selector:string>>,
+        elements array<struct<uid:string,label:string,ax_name:string,text:string,href:string>>, anchors array<struct<badge:int,label:string,center:struct<x:int,y:int>>>, other string"""
+    long = "x" * 9000
+    full = (long, None, ["h"] * 30, [[["c"]]] * 5, [("l" * 99, None, "s")] * 12, [("u", None, "", "t" * 200, "e" * 300)] * 40, [(1, long, (2, 3))] * 20, "kept")
+    none = (None, None, None, None, None, None, None, None)
+    df = spark.createDataFrame([(0, "minimal", *full), (1, "compact", *full), (2, "normal", *full), (3, None, *full), (4, "minimal", *none), (5, "normal", *none)], schema)
+    got = {r["id"]: r for r in A.compacted_page(df).collect()}
+    a, b = got[0], got[1]
+    assert (len(a["text"]), len(b["text"]), len(a["readable_text"]), len(b["readable_text"])) == (700, 1800, 2200, 5200)
+    assert [len(r[c]) for r in (a, b) for c in ("headings", "tables", "links", "elements", "anchors")] == [8, 1, 4, 18, 10, 16, 2, 10, 32, 18]
+    assert a["links"][0] == ("l" * 60, "", "s")
+    assert a["elements"][0] == ("u", "t" * 48, "t" * 48, "t" * 42, "") and b["elements"][0] == ("u", "t" * 100, "t" * 100, "t" * 80, "e" * 120)
+    assert a["anchors"][0]["center"] is None and b["anchors"][0]["center"] == (2, 3) and len(b["anchors"][0]["label"]) == 90
+    assert all(r["other"] == "kept" for r in (a, b))
+    assert tuple(got[2])[2:] == tuple(got[3])[2:] == tuple(df.where("id = 2").first())[2:]
+    assert got[4]["text"] == "" and got[4]["links"] == [] and got[4]["anchors"] == [] and got[5]["links"] is None

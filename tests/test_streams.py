@@ -9,6 +9,7 @@ from pyspark.sql import Row
 from weftline.streaming import approvals as AP
 from weftline.streaming import fanout as FO
 from weftline.streaming import hydration as HY
+from weftline.streaming import memory as ME
 from weftline.streaming import steps as ST
 
 START = dt.datetime(2024, 1, 1, tzinfo=dt.UTC)
@@ -144,3 +145,72 @@ def test_ladder(spark, tmp_path):
     out.count()
     assert len(list(asked.iterdir())) == 11  # reading the result asks nobody again
     assert M.laddered(df.limit(0), call, str(tmp_path / "none")).count() == 0
+
+
+def remembered(rows):
+    """A session's memory as one loop; each row is (host, page, plan, wanted)."""
+    hosts, pages, plan, at = [], [], [], 0
+    for host, page, new, wanted in rows:
+        if host and host not in hosts:
+            hosts = (hosts + [host])[-12:]
+        if page:
+            pages = (pages + [page])[-8:]
+        if new:
+            plan, at = list(new), 0
+        elif plan and wanted is not None:
+            at = min(max(wanted, 0), len(plan) - 1)
+            for i, s in enumerate(plan):
+                if i < at and s in ("pending", "current"):
+                    plan[i] = "done"
+                elif i == at:
+                    plan[i] = "current"
+                elif i > at and s == "current":
+                    plan[i] = "pending"
+    return hosts, pages, plan, at
+
+
+def test_memory_after_a_restart(spark, tmp_path):
+    rng = random.Random(5)
+    rows, log = [], {0: [], 1: [], 2: []}
+    for i in range(300):
+        host = rng.choice([None, "", *[f"h{j}" for j in range(20)]])
+        new = rng.choice([None] * 18 + [[], ["current", "pending", "skipped", "done"]])
+        wanted = rng.choice([None, None, -3, 0, 1, 2, 99])
+        page = rng.choice([None, "", f"p{i}", "again"])
+        if i % 3 != 2:  # the third session has rows of nothing
+            log[i % 3].append((host, page, new, wanted))
+            rows.append((i % 3, START + dt.timedelta(seconds=i // 9), i, host, page, new, wanted))
+        else:
+            log[2].append((None, None, None, 1))
+            rows.append((2, START + dt.timedelta(seconds=i // 9), i, None, None, None, 1))
+    schema = "session bigint, ts timestamp, step bigint, host string, page string, plan array<string>, wanted int"
+    (tmp_path / "in").mkdir()
+    for batch in (rows[:110], rows[110:111], rows[111:]):  # started anew for each on one checkpoint; rows arrive shuffled
+        shuffled = rng.sample(batch, len(batch))
+        spark.createDataFrame(shuffled, schema).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+
+        def keep(out, epoch):
+            out.write.mode("overwrite").parquet(f"{tmp_path}/out/epoch={epoch}")
+
+        q = ME.task_memory(stream).writeStream.foreachBatch(keep).option("checkpointLocation", f"{tmp_path}/state").outputMode("update").trigger(availableNow=True).start()
+        q.awaitTermination()
+    got = ST.latest(spark.read.parquet(f"{tmp_path}/out").drop("epoch"), ["session"], "steps").collect()
+    assert len(got) == 3
+    for r in got:
+        assert (r["hosts"], r["pages"], r["plan"], r["at"]) == remembered(log[r["session"]])
+        assert r["steps"] == len(log[r["session"]])
+
+
+def test_plan_states(spark):
+    from weftline.operators import agents as A
+
+    cases = [(["odd", None, "done"], ["current", "pending", "done"]), (["done", "pending", "pending"], ["done", "current", "pending"]), (["skipped", "done"], ["skipped", "done"]), ([], [])]
+    df = spark.createDataFrame([(a,) for a, _ in cases], "raw array<string>")
+    assert [r[0] for r in df.coalesce(1).select(A.plan_states(df["raw"])).collect()] == [b for _, b in cases]
+
+
+def test_typed_fields(spark):
+    rows = [(1, START, 1, " q ", "a"), (1, START, 2, "q", None), (1, START, 3, "  ", "x"), (2, START, 1, None, "x")]
+    df = spark.createDataFrame(rows, "session bigint, ts timestamp, step bigint, field string, value string")
+    assert [(r["session"], r["field"], r["value"], r["typed_in"]) for r in ME.typed_fields(df).collect()] == [(1, "q", "", 2)]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.urls import host_of
+from .elements import ELEMENT_CAPS
 
 # Ordered guards (kind, pattern on the action's joined, lower-cased fields); the first that matches counts.
 GUARDS = (
@@ -14,7 +15,8 @@ GUARDS = (
     ("account", r"\b(sign up|register|create account)\b"), ("auth", r"\b(sign in|log in|password|otp|2fa|mfa)\b"),
     ("permissions", r"\b(permission|allow notifications|camera|microphone|location)\b"), ("destructive", r"\b(delete|remove|erase|clear all|close account)\b"),
 )
-# Parts of error messages that tell their kind, host patterns of heavy pages, names of small local models.
+# Parts of error messages that tell their kind, host patterns of heavy pages, names of small local
+# models, actions to verify, names of models that see, states of steps, limits, kinds of steps as they are shown.
 FATAL = ("unauthorized", "401", "invalid api key", "insufficient_quota", "quota", "credit", "billing")
 IMAGE_ERRORS = ("unable to download all specified images", "prompt contains", "context length", "image", "400")
 COMPATIBILITY_ERRORS = ("response_format", "json_object", "image_url", "content", "vision", "multimodal", "unsupported", "invalid format", "400")
@@ -27,6 +29,9 @@ MODEL_VISION = ("vision", "vl", "4o", "omni", "gemini", "pixtral", "llava", "qwe
 STATES = ("pending", "current", "done", "skipped")
 #: Limits of a compacted page by mode: field, minimal, compact.
 CAPS = {"text": (700, 1800), "readable_text": (2200, 5200), "headings": (8, 16), "tables": (1, 2), "links": (4, 10), "inputs": (6, 10), "clickables": (10, 18), "elements": (18, 32), "anchors": (10, 18), "selectors": (12, 20), "tabs": (4, 8), "element_text": (42, 80), "element_label": (48, 100), "stable_key": (80, 220)}
+LISTS = ("headings", "tables", "links", "inputs", "clickables", "elements", "anchors", "selectors", "tabs")
+#: Limits of the texts within a list's items by mode, minimal and compact (fixed values, too).
+FIELD_CAPS = {"links": {"text": (60, 60), "href": (120, 120)}, "inputs": {"name": (42, 80)}, "clickables": ELEMENT_CAPS, "elements": ELEMENT_CAPS, "anchors": {"label": (48, 90)}, "selectors": {"text": (42, 80), "ax_name": (42, 80), "dom_path": (0, 120)}, "tabs": {"title": (44, 80), "url": (80, 160)}}
 STEP_KINDS = {"thinking": "thinking", "screenshot": "screenshot", "api": "bullet", "action": "action", "plan_ready": "bullet", "executing": "spin", "done": "done", "error": "error", "stopped": "stopped", "checklist_update": "checklist"}
 
 
@@ -71,11 +76,60 @@ def capped(value: Column, field: str, mode: Column) -> Column:
     least, more = CAPS[field]
 
     def cut(n: int) -> Column:
-        return F.slice(value, 1, n) if field in ("headings", "tables", "links", "inputs", "clickables", "elements", "anchors", "selectors", "tabs") else F.substring(value, 1, n)
+        return F.slice(value, 1, n) if field in LISTS else F.substring(value, 1, n)
 
     return F.when(mode == "minimal", cut(least)).when(mode == "compact", cut(more)).otherwise(value)
 
 
+def compacted_page(pages: DataFrame, mode: str = "mode") -> DataFrame:
+    """Pages as a prompt carries them in their ``mode``: every part of ``CAPS`` that is a column is cut, with what lies in it.
+
+    ``headings`` are texts, ``tables`` arrays of rows; ``links``, ``inputs``,
+    ``clickables``, ``elements``, ``anchors``, ``selectors`` and ``tabs`` arrays of
+    structs, of which the fields in ``FIELD_CAPS`` are cut where they exist. The
+    readable text falls back on the text, an element's label and name on each
+    other and its text. Minimal anchors lose their ``center``. Nulls become empty
+    texts and lists; a page in ``normal`` mode, or a null one, stays as it is.
+    """
+    m = F.col(mode)
+    small = m.isin("minimal", "compact")
+
+    def cut_item(part: str, x: Column, fields: list[str]) -> Column:
+        own = {c: T.or_empty(x[c]) for c in FIELD_CAPS[part] if c in fields}
+        if part in ("clickables", "elements"):
+            given = {c: x[c] if c in fields else F.lit("") for c in ("label", "ax_name", "aria_label", "text")}
+            fallback = {"label": T.first_of(given["label"], given["ax_name"], given["text"]), "ax_name": T.first_of(given["ax_name"], given["aria_label"], given["text"])}
+            own |= {c: f for c, f in fallback.items() if c in fields}
+        out = x
+        for c, value in own.items():
+            least, more = FIELD_CAPS[part][c]
+            out = out.withField(c, F.when(m == "minimal", F.substring(value, 1, least)).otherwise(F.substring(value, 1, more)))
+        return out.withField("center", F.when(m != "minimal", x["center"])) if "center" in fields else out
+
+    def cutter(part: str, fields: list[str]):
+        return lambda x: cut_item(part, x, fields)
+
+    parts = {}
+    for name in [c for c in ("text", "readable_text") if c in pages.columns]:
+        whole = T.first_of(F.col(name), F.col("text")) if "text" in pages.columns else T.or_empty(F.col(name))
+        parts[name] = F.when(small, capped(whole, name, m)).otherwise(F.col(name))
+    for name in [c for c in LISTS if c in pages.columns]:
+        kind = pages.schema[name].dataType
+        kept = capped(F.coalesce(F.col(name), F.array().cast(kind)), name, m)
+        if name in FIELD_CAPS:
+            fields = kind.elementType.names
+            kept = F.transform(kept, cutter(name, fields))
+        parts[name] = F.when(small, kept).otherwise(F.col(name))
+    return pages.withColumns(parts)
+
+
+def plan_states(raw: Column) -> Column:
+    """The states of a new plan's steps, given as an array: odd ones are pending, the first one current; one is current if any is pending."""
+    valid = F.transform(raw, lambda s, i: F.when(s.isin(*STATES), s).when(i == 0, "current").otherwise("pending"))
+    first = F.array_position(valid, "pending")
+    return F.when(F.array_contains(valid, "current") | (first == 0), valid).otherwise(F.transform(valid, lambda s, i: F.when(i + 1 == first, "current").otherwise(s)))
+
+
 def normalized_plan(steps: DataFrame, plan: str = "plan_id", pos: str = "pos") -> DataFrame:
     """Plan steps with valid states: the first is current by default, and the first pending one if none is current."""
     first = F.col(pos) == 0

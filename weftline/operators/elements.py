@@ -125,7 +125,7 @@ def match_targets(actions: DataFrame, elements: DataFrame, least: float = 0.34)
     return both.withColumn("__n", F.row_number().over(w)).where("__n = 1").select("action_id", "page_id", "pos", "tier", F.col("e_selector").alias("selector"))
 
 
-#: Limits of an element in a compacted page: field, minimal, compact (0: left empty).
+#: Fixed values. Limits of an element in a compacted page: field, minimal, compact (0: left empty).
 ELEMENT_CAPS = {"text": (42, 80), "label": (48, 100), "ax_name": (48, 100), "placeholder": (42, 80), "href": (0, 120), "dom_path": (0, 160), "stable_key": (80, 220)}
 #: Elements of a compacted page: minimal, compact.
 ELEMENTS_KEPT = (18, 32)

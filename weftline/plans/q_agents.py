@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -95,6 +96,54 @@ def p10(spark, sf):
     return own.select("page_id", "mode", A.capped(F.col("text"), "text", mode).alias("text"), A.capped(F.col("text"), "readable_text", mode).alias("readable_text"), F.array_join(A.capped(F.col("links"), "links", mode), "|").alias("links"))
 
 
+#: The parts of a page that lie in lists, made of its links four times over, in the page's mode.
+PARTS = f"""(SELECT m.page_id, mode, l, CASE mode WHEN 'minimal' THEN 1 WHEN 'compact' THEN 2 END AS g FROM (SELECT page_id, {MODE} AS mode FROM {SETTINGS}) m LEFT JOIN (SELECT page_id, list_concat(l, l, l, l) AS l FROM (SELECT page_id, list({{'t': text, 'h': href}} ORDER BY pos) AS l FROM {LINKS} GROUP BY page_id)) k USING (page_id))"""
+
+
+def part_sql(name: str, each: str) -> str:
+    least, more = A.CAPS[name]
+    return f"array_to_string(list_transform(coalesce(list_slice(l, 1, [{least}, {more}, len(l)][coalesce(g, 3)]), []), lambda x, i: {each}), chr(10))"
+
+
+def field_sql(x: str, part: str, field: str) -> str:
+    least, more = A.FIELD_CAPS[part][field]
+    return f"substr({x}, 1, [{least}, {more}, 100000][coalesce(g, 3)])"
+
+
+@query("p10_compacted_parts", f"""SELECT page_id, mode, {part_sql('tables', "x.t || '|' || x.h")} AS tables, {part_sql('inputs', f"'text|' || {field_sql('(x.t || x.h)', 'inputs', 'name')}")} AS inputs,
+{part_sql('anchors', f"i || '|' || {field_sql('(x.t || x.h)', 'anchors', 'label')} || CASE mode WHEN 'minimal' THEN '' ELSE '|' || length(x.t) END")} AS anchors,
+{part_sql('selectors', f"'nx-' || i || '|' || {field_sql('x.t', 'selectors', 'text')} || '|' || {field_sql('(x.t || x.h)', 'selectors', 'ax_name')} || '|' || {field_sql('x.h', 'selectors', 'dom_path')}")} AS selectors,
+{part_sql('tabs', f"{field_sql('(x.t || x.h)', 'tabs', 'title')} || '|' || {field_sql('x.h', 'tabs', 'url')}")} AS tabs,
+{part_sql('clickables', f"{field_sql('x.h', 'clickables', 'text')} || '|' || CASE mode WHEN 'normal' THEN '' ELSE {field_sql('x.h', 'clickables', 'label')} END")} AS clickables FROM {PARTS}""")
+def p10_parts(spark, sf):
+    item = F.struct(F.col("text").alias("t"), F.col("href").alias("h"))
+    own = P.links(table(spark, sf, "pages")).groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("pos", item.alias("l")))).alias("l"))
+    own = moded(spark, sf).select("page_id", "mode").join(own, "page_id", "left").withColumn("l", F.flatten(F.array_repeat(F.transform("l", lambda x: x["l"]), 4)))
+
+    def of(make) -> Column:
+        return F.transform("l", make)
+
+    both = lambda x: F.concat(x["t"], x["h"])
+    uid = lambda i: F.concat(F.lit("nx-"), (i + 1).cast("string"))
+    own = own.select(
+        "page_id", "mode",
+        of(lambda x: F.array(F.array(x["t"], x["h"]))).alias("tables"),
+        of(lambda x: F.struct(F.lit("text").alias("type"), both(x).alias("name"), F.lit("").alias("selector"))).alias("inputs"),
+        of(lambda x, i: F.struct((i + 1).alias("badge"), both(x).alias("label"), F.length(x["t"]).alias("center"))).alias("anchors"),
+        of(lambda x, i: F.struct(uid(i).alias("uid"), x["t"].alias("text"), both(x).alias("ax_name"), x["h"].alias("dom_path"))).alias("selectors"),
+        of(lambda x: F.struct(both(x).alias("title"), x["h"].alias("url"))).alias("tabs"),
+        of(lambda x: F.struct(x["h"].alias("text"), F.lit("").alias("label"))).alias("clickables"),
+    )
+    got = A.compacted_page(own)
+
+    def lines(name: str, *fields: str) -> Column:
+        each = F.transform(name, lambda x: F.concat_ws("|", *[x[f].cast("string") for f in fields]))
+        return F.coalesce(F.array_join(each, "\n"), F.lit("")).alias(name)
+
+    tables = F.coalesce(F.array_join(F.transform("tables", lambda t: F.array_join(t[0], "|")), "\n"), F.lit("")).alias("tables")
+    return got.select("page_id", "mode", tables, lines("inputs", "type", "name"), lines("anchors", "badge", "label", "center"), lines("selectors", "uid", "text", "ax_name", "dom_path"), lines("tabs", "title", "url"), lines("clickables", "text", "label"))
+
+
 #: Conversations as plans: a turn is a step; states come from the conversation's and the turn's number.
 PLANS = "SELECT conv_id AS plan_id, turn AS pos, CASE WHEN turn % 4 = 3 THEN '' ELSE role END AS text, CASE WHEN conv_id % 3 = 0 THEN 'done' WHEN conv_id % 3 = 1 THEN CASE turn % 3 WHEN 0 THEN 'skipped' WHEN 1 THEN 'pending' ELSE 'odd' END END AS status FROM conversations"
 STATE = "CASE WHEN status IN ('pending', 'current', 'done', 'skipped') THEN status WHEN pos = 0 THEN 'current' ELSE 'pending' END"

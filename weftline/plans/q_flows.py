@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import agents as A
 from ..operators import models as M
 from ..sources.search import searched
 from ..streaming import approvals as AP
 from ..streaming import fanout as FO
 from ..streaming import hydration as HY
+from ..streaming import memory as ME
 from ..streaming import steps as ST
 from . import pipelines as PL
 from .q_pages import PREFERRED
@@ -45,6 +47,41 @@ def r02_stream(spark, sf):
     return ST.latest(ST.drain(stream, "weftline_sessions", "update")[1], ["user_id"], "steps")
 
 
+#: Views and clicks visit a host, views are pages, a signup brings a new plan, and a purchase says which step is next.
+TASK_MEMORY = """
+WITH e AS (SELECT user_id, ts, event_id, event_type, props, 'site-' || (CAST(json_extract(props, '$.k') AS BIGINT) % 17) AS host, CAST(floor(value / 40) AS BIGINT) - 1 AS wanted FROM events),
+h AS (SELECT user_id, list_reduce(list([host] ORDER BY ts, event_id), lambda a, x: CASE WHEN list_contains(a, x[1]) THEN a ELSE list_concat(a, x)[-12:] END) AS hosts FROM e WHERE event_type IN ('view', 'click') AND host IS NOT NULL GROUP BY user_id),
+g AS (SELECT user_id, list(props ORDER BY ts, event_id)[-8:] AS pages FROM e WHERE event_type = 'view' AND props <> '' GROUP BY user_id),
+n AS (SELECT *, sum((event_type = 'signup')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS plan_no FROM e),
+p AS (SELECT *, CASE event_type WHEN 'signup' THEN list_transform(range(3 + event_id % 4), lambda i: CASE (event_id + i) % 5 WHEN 0 THEN 'done' WHEN 1 THEN 'skipped' WHEN 2 THEN CASE i WHEN 0 THEN 'current' ELSE 'pending' END ELSE 'pending' END) ELSE [wanted::VARCHAR] END AS l
+  FROM (SELECT * FROM n QUALIFY plan_no = max(plan_no) OVER (PARTITION BY user_id)) WHERE plan_no > 0 AND (event_type = 'signup' OR event_type = 'purchase' AND wanted IS NOT NULL)),
+q AS (SELECT *, CASE WHEN event_type = 'purchase' OR list_contains(l, 'current') THEN l ELSE list_transform(l, lambda s, i: CASE WHEN i = list_position(l, 'pending') THEN 'current' ELSE s END) END AS m FROM p),
+f AS (SELECT user_id, list_reduce(list(m ORDER BY ts, event_id), lambda a, x: list_transform(a, lambda s, i: CASE WHEN i - 1 = greatest(0, least(x[1]::BIGINT, len(a) - 1)) THEN 'current' WHEN i - 1 < greatest(0, least(x[1]::BIGINT, len(a) - 1)) AND s IN ('pending', 'current') THEN 'done' WHEN i - 1 > greatest(0, least(x[1]::BIGINT, len(a) - 1)) AND s = 'current' THEN 'pending' ELSE s END)) AS plan,
+  arg_max(wanted, (ts, event_id)) FILTER (event_type = 'purchase') AS wanted FROM q GROUP BY user_id)
+SELECT c.user_id AS session, steps, array_to_string(coalesce(hosts, []), ',') AS hosts, array_to_string(coalesce(pages, []), ',') AS pages, array_to_string(coalesce(plan, []), ',') AS plan, CASE WHEN wanted IS NULL THEN 0 ELSE greatest(0, least(wanted, len(plan) - 1)) END AS at
+FROM (SELECT user_id, count(*) AS steps FROM events GROUP BY user_id) c LEFT JOIN h USING (user_id) LEFT JOIN g USING (user_id) LEFT JOIN f USING (user_id)"""
+
+
+@query("r02_task_memory", TASK_MEMORY)
+def r02_memory(spark, sf):
+    own = ST.read_steps(spark, f"{sf}/events.parquet", table(spark, sf, "events").schema)
+    kind, k = F.col("event_type"), F.get_json_object("props", "$.k").cast("bigint")
+    raw = F.transform(F.sequence(F.lit(0), (2 + F.col("event_id") % 4).cast("int")), lambda i: F.element_at(F.array(*map(F.lit, ("done", "skipped", "odd", "pending", "pending"))), ((F.col("event_id") + i) % 5 + 1).cast("int")))
+    steps = own.select(
+        F.col("user_id").alias("session"), "ts", F.col("event_id").alias("step"), F.when(kind.isin("view", "click"), F.concat(F.lit("site-"), (k % 17).cast("string"))).alias("host"), F.when(kind == "view", F.col("props")).alias("page"),
+        F.when(kind == "signup", A.plan_states(raw)).alias("plan"), F.when(kind == "purchase", F.floor(F.col("value") / 40) - 1).alias("wanted"))
+    got = ST.latest(ST.drain(ME.task_memory(steps), "weftline_memory", "update")[1], ["session"], "steps")
+    return got.select("session", "steps", *[F.array_join(c, ",").alias(c) for c in ("hosts", "pages", "plan")], F.col("at").cast("bigint").alias("at"))
+
+
+@query("r02_typed_fields", "SELECT user_id AS session, props AS field, arg_max(event_type, (ts, event_id)) AS \"value\", arg_max(event_id, (ts, event_id)) AS typed_in FROM events WHERE trim(props) <> '' GROUP BY user_id, props")
+def r02_typed(spark, sf):
+    own = ST.read_steps(spark, f"{sf}/events.parquet", table(spark, sf, "events").schema)
+    steps = own.select(F.col("user_id").alias("session"), "ts", F.col("event_id").alias("step"), F.col("props").alias("field"), F.col("event_type").alias("value"))
+    out = ST.drain(ME.typed_fields(steps), "weftline_typed", "update")[1]
+    return ST.latest(out.withColumn("order", F.struct("typed_at", "typed_in")), ["session", "field"], "order").select("session", "field", "value", "typed_in")
+
+
 @query("r04_steps_once", "SELECT DISTINCT user_id, event_id FROM events")
 def r04(spark, sf):
     stream = ST.steps_once(ST.read_steps(spark, f"{sf}/events.parquet", table(spark, sf, "events").schema))

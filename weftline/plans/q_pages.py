@@ -121,6 +121,29 @@ def f04(spark, sf):
     return P.links(table(spark, sf, "pages")).groupBy("page_id").agg(F.count_if(F.length("text") >= 8).alias("usable"), F.count("*").alias("n"))
 
 
+@query("f04_usable_links", f"SELECT page_id, pos::BIGINT AS pos, href, text FROM {LINKS} WHERE length(text) >= 8")
+def f04_usable(spark, sf):
+    return P.links(table(spark, sf, "pages")).where(F.length("text") >= 8).select("page_id", F.col("pos").cast("bigint").alias("pos"), "href", "text")
+
+
+@query("t08_first_links", f"SELECT page_id, pos::BIGINT AS pos, href FROM {LINKS} QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY pos) <= 3")
+def t08_first(spark, sf):
+    return P.links(table(spark, sf, "pages")).where("pos <= 3").select("page_id", F.col("pos").cast("bigint").alias("pos"), "href")
+
+
+#: A task's queries, of which each finds the pages of its number and, before them, the links they hold.
+FOUND = f"(SELECT page_id % 10 AS task_id, page_id % 4 AS query_idx, page_id * 1000 + pos AS place, href AS url FROM {LINKS} UNION ALL SELECT page_id % 10, page_id % 4, page_id * 1000, url FROM pages)"
+
+
+@query("g07_first_by_url", f"SELECT task_id, query_idx, place, url FROM {FOUND} WHERE coalesce(url, '') <> '' QUALIFY row_number() OVER (PARTITION BY task_id, url ORDER BY query_idx, place) = 1")
+def g07_by_url(spark, sf):
+    own = table(spark, sf, "pages")
+    i = F.col("page_id")
+    links = P.links(own).select((i % 10).alias("task_id"), (i % 4).alias("query_idx"), (i * 1000 + F.col("pos")).alias("place"), F.col("href").alias("url"))
+    found = links.union(own.select(i % 10, i % 4, i * 1000, "url")).where(F.coalesce("url", F.lit("")) != "")
+    return P.first_per_key(found, ["task_id", "url"], ["query_idx", "place"])
+
+
 @query("g07_first_by_host", f"SELECT host, query_idx, pos, url FROM {CANDIDATES} QUALIFY row_number() OVER (PARTITION BY host ORDER BY query_idx, pos) = 1")
 def g07(spark, sf):
     return P.first_per_key(P.candidates_of(table(spark, sf, "pages")), ["host"], ["query_idx", "pos"]).select("host", "query_idx", "pos", "url")
