@@ -204,6 +204,32 @@ def test_mixture_meets_its_targets(spark, monkeypatch):
         assert got.keys() == want.keys() and np.allclose([got[k] for k in want], [want[k] for k in want], rtol=1e-6)
 
 
+def test_samples_of_odd_documents(spark):
+    texts = [None, "", " \t ", "a b", "word " * 50_000, *[f"longer words number{i} here" for i in range(60)]]
+    rows = [(i if i % 9 else None, t, (None, "s1", "s2")[i % 3], (None, "aa")[i % 2]) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows + rows[10:20], "doc_id bigint, text string, source string, lang string")
+    for c in ("tokens", "topic", "probability", "weight", "goal", "w"):
+        df = df.withColumn(c, F.lit("old"))
+    got = mixing.sample_documents(df, share=1.0)
+    assert sorted(got.columns) == sorted(df.columns) and dict(got.dtypes)["tokens"] == "bigint" and dict(got.dtypes)["probability"] == "double"
+    kept = [r for r in got.collect()]
+    assert all(r.text and r.text.strip() and 0 < r.probability <= 1 and r.weight >= 1 and r.w == r.goal == "old" for r in kept)
+    times = {}
+    for r in kept:
+        times[r.doc_id, r.text] = times.get((r.doc_id, r.text), 0) + 1
+    own = {}
+    for i, t, _, _ in rows + rows[10:20]:
+        own[i, t] = own.get((i, t), 0) + 1
+    assert times and all(n == own[k] for k, n in times.items())  # repeated rows share their fate
+    assert mixing.sample_documents(df.limit(0)).count() == 0
+
+
+def test_raking_that_cannot_close_says_so():
+    code = np.array([0, 1])
+    with pytest.warns(UserWarning, match="still off"):
+        mixing.rake(np.array([1.0, 1.0]), [code, code], [np.array([0.9, 0.1]), np.array([0.2, 0.8])], rounds=20)
+
+
 def test_raking():
     tokens = np.array([10.0, 20, 30, 40])
     w = mixing.rake(tokens, [np.array([0, 0, 1, 1]), np.array([0, 1, 0, 1])], [np.array([0.7, 0.3]), np.array([0.2, 0.8])])

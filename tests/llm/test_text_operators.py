@@ -165,6 +165,26 @@ def test_passages_against_an_edit_distance_scan(spark, monkeypatch, at_once):
     assert sum(len(found[d]) for d in want) >= 0.99 * sum(map(len, want.values())) > 150
 
 
+def test_recall_of_passages_with_many_edits(spark):
+    """15 and 20 % of the words substituted, inserted or deleted, held to the scan over whole texts."""
+    rng = random.Random(29)
+    vocabulary = [f"w{i}" for i in range(500)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=rng.choice([20, 30, 60])))) for i in range(40)]
+    texts, share = [], []
+    for n in range(240):
+        words = items[n % 40][1].split()
+        share.append((0.15, 0.2)[n // 40 % 2])
+        own = edited(rng, words, int(len(words) * share[-1]), vocabulary)
+        texts.append(" ".join([*rng.choices(vocabulary, k=rng.randint(0, 60)), *own, *rng.choices(vocabulary, k=rng.randint(0, 60))]))
+    got = decontam.passages(docs_of(spark, texts), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    found = {r.doc_id: {p.item_id for p in r.passages} for r in got}
+    want = {d: brute_passages(t, items) for d, t in enumerate(texts)}
+    assert all(found[d] <= want[d] for d in want)
+    for s in (0.15, 0.2):
+        due = [d for d in want if share[d] == s]
+        assert sum(len(found[d]) for d in due) >= 0.95 * sum(len(want[d]) for d in due) > 100
+
+
 def test_edit_distance_of_parts():
     h = lambda s: words_of(*joined_bytes(pa.array([s])))[0]
     assert decontam.best_match(h("a b c d"), h("x a b c d y")) == (0, 1, 5)
@@ -186,6 +206,12 @@ def brute_pii(t):
     return ",".join(out)
 
 
+def spans_of(text):
+    """Start, end and kind of each match, from the digest of the plain version."""
+    parts = [x.split(":") for x in brute_pii(text).split(",") if x]
+    return [(int(s), int(e), kind) for kind, s, e in parts]
+
+
 def test_personal_data(spark):
     rng = random.Random(4)
     pieces = ["a@b.c", "_d@e.f", "1.2.3.4", ".5", "999.1.1.1", "4111 1111 1111 1111", "4111-1111-1111-1111", "5", " ", "  ", "-", "+1 (974) 555-3436", "+12", "é", "word", "@", ".", "\n", "0" * 17, "378282246310005"]
@@ -228,6 +254,30 @@ def test_disclosing_terms(spark):
     assert clean[0] == "write now [NAME] at [EMAIL] quickly today" and clean[4] == "Jones has [EMAIL] since May" and clean[60] == other[6]
 
 
+def test_copies_of_a_text_with_an_entity(spark, monkeypatch):
+    mine = [f"write {a} Smithers at bob@x.org {b} today" for a, b in (("now", "quickly"), ("later", "please"), ("soon", "again"), ("never", "maybe"))]
+    other = [f"plain filler text number {i} write today" for i in range(400)]
+    df = docs_of(spark, mine + [mine[0]] * 40 + ["call +1 974 555 3436"] * 9 + [None, ""] + other).withColumn("rows_of_key", F.lit("own"))
+    want = sorted((r.doc_id, [tuple(s) for s in r.pii], r.rows_of_key) for r in pii.scan(df).collect())
+    assert all(("term", "Smithers") in [(s[0], s[3]) for s in want[i][1]] for i in [*range(4), *range(4, 44)])
+    monkeypatch.setattr(pii, "HOT_ROWS", 5)  # the copies stay where they are
+    assert sorted((r.doc_id, [tuple(s) for s in r.pii], r.rows_of_key) for r in pii.scan(df).collect()) == want
+
+
+def test_sanitised_overlaps(spark):
+    texts = ["+1 974 555 3436@x.org.", "4111 1111 1111 1111", "ip 10.0.0.7@x.org", None, "", "none", "4111 1111 1111 1111"]
+    df = docs_of(spark, texts).withColumn("pii", F.lit("kept"))
+    got = {r.doc_id: r for r in pii.sanitise(df).collect()}
+    assert len(got) == len(texts) and all(r.pii == "kept" for r in got.values())
+    for i, t in enumerate(texts):
+        spans, clean, at = sorted((m[0], m[1], m[2]) for m in spans_of(t)), "", 0
+        for s, e, kind in spans:
+            clean += (t[at:s] + f"[{kind.upper()}]") if s >= at else ""
+            at = max(at, e)
+        assert got[i].text == (None if t is None else clean + t[at:])
+    assert pii.sanitise(df.limit(0)).count() == 0
+
+
 def test_terms_in_one_frame_disclose(spark):
     mine = [f"{a} Smithers wrote this. Email: bob@x.org" for a in ("today", "later", "soon", "never")]
     copies = ["Jones has jones@x.org since May"] * 50

@@ -19,12 +19,14 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``, which driver and executors share.
 
-    Where a session names none, as in tests, a folder beside the warehouse is set,
-    which executors reach, too.
+    A session of one machine that names none, as in tests, takes a folder beside
+    the warehouse; on a cluster that is an error.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_intermediate-{uuid.uuid4().hex}"
         sc.setCheckpointDir(named)
     return named
@@ -67,16 +69,19 @@ def discard(*dfs: DataFrame) -> None:
 HOT_KEYS = 10_000
 
 
-def spread_join(rows: DataFrame, table: DataFrame, key: str, total: int, least: int = 1000) -> DataFrame:
+def spread_join(rows: DataFrame, table: DataFrame, key: str, total: int, least: int = 1000, keep: bool = True) -> DataFrame:
     """``rows`` joined to ``table``, which has one row a ``key`` and in ``rows_of_key`` how many of ``rows`` hold it.
 
     Rows of a hot key stay where they are: hot keys are those with more than
     ``least`` rows and more than one in ``HOT_KEYS`` of all, so there are
     ``HOT_KEYS`` of them at most, and only they are broadcast. The rest is
-    shuffled by the key. ``rows_of_key`` is kept; ``total`` is the number of rows.
+    shuffled by the key. ``rows_of_key`` stays in the result, unless ``keep`` is false,
+    so that ``rows`` may have a column of that name; ``total`` is the number of rows.
     """
     bound = max(least, total // HOT_KEYS)
     hot, cold = table.where(F.col("rows_of_key") > bound), table.where(F.col("rows_of_key") <= bound)
+    if not keep:
+        hot, cold = hot.drop("rows_of_key"), cold.drop("rows_of_key")
     few = F.broadcast(hot)
     return rows.join(few, key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key))
 

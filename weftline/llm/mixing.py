@@ -9,6 +9,7 @@ p = min(1, c w), with c such that the expected tokens meet the wanted share.
 from __future__ import annotations
 
 import uuid
+import warnings
 
 import numpy as np
 import pyarrow as pa
@@ -62,9 +63,13 @@ def marginal(shares: dict, target: dict | float) -> dict:
     return {v: x / total for v, x in raw.items()} if total > 0 else {v: 1 / len(raw) for v in raw}
 
 
+def _left_open(off: float, rounds: int) -> None:
+    warnings.warn(f"a marginal is still off by {off:.3g} of the tokens after {rounds} rounds: the cells may not allow these targets", stacklevel=3)
+
+
 def rake(tokens: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray], rounds: int = ROUNDS, close: float = CLOSE) -> np.ndarray:
-    """Cell weights w such that tokens x w has the target marginals (as far as the cells allow)."""
-    w = np.ones(len(tokens)) / max(tokens.sum(), 1e-300)
+    """Cell weights w such that tokens x w has the target marginals (as far as the cells allow; a gap that is left gives a warning)."""
+    w, off = np.ones(len(tokens)) / max(tokens.sum(), 1e-300), 0.0
     for _ in range(rounds):
         off = 0.0
         for code, target in zip(codes, targets, strict=True):
@@ -73,7 +78,8 @@ def rake(tokens: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray],
             off = max(off, np.abs(now - target)[now > 0].max(initial=0.0))
             w = w * factor[code]
         if off < close:
-            break
+            return w
+    _left_open(off, rounds)
     return w
 
 
@@ -125,6 +131,8 @@ def _rake_table(cells: DataFrame, dims: list[str], targets: dict[str, dict | flo
             now = after
         if off < close:
             break
+    else:
+        _left_open(off, rounds)
     discard(*goals.values())
     return now
 

@@ -38,6 +38,8 @@ KINDS = (*PATTERNS, "term")
 
 #: Matches that are gathered by appending one to the other; more are gathered in chunks of as many.
 CHUNK = 256
+#: Copies of a text up to which they may meet in one task.
+HOT_ROWS = 1000
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -206,8 +208,12 @@ def scan(docs: DataFrame, text: str = "text", out: str = "pii", alpha: float = 0
     told = told.select("th", "no", F.explode("ts").alias("t")).groupBy("th", "no").agg(F.sort_array(F.collect_set("t")).alias("terms"))
     told = told.groupBy("th").agg(F.sort_array(F.collect_list(F.struct("no", "terms"))).alias(f"lines{tag}")).withColumnRenamed("th", f"th{tag}")
     keyed = marked.withColumn(f"of{tag}", F.when(F.size(out) > 0, F.xxhash64(t)))
-    # only texts with an entity meet the join; the others pass by
-    own = keyed.where(F.col(f"of{tag}").isNotNull()).join(told, F.col(f"of{tag}") == F.col(f"th{tag}"), "left")
+    # only texts with an entity meet the join; the others pass by, and the copies of a frequent text stay where they are
+    own = keyed.where(F.col(f"of{tag}").isNotNull())
+    copies = own.groupBy(f"of{tag}").agg(F.count("*").alias("rows_of_key"))
+    told = settle(copies.join(told, F.col(f"of{tag}") == F.col(f"th{tag}"), "left").drop(f"th{tag}"), "told")
+    discard(entities, pairs)
+    own = spread_join(own, told, f"of{tag}", told.agg(F.sum("rows_of_key")).first()[0] or 0, HOT_ROWS, keep=False)
     lines = F.col(f"lines{tag}")
     own = own.withColumn(out, F.when(lines.isNull(), F.col(out)).otherwise(F.concat(F.col(out), _term_spans(t, lines))))
     names = [F.col(f"`{c}`") for c in marked.columns]
