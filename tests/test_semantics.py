@@ -1,6 +1,7 @@
 """Cases worked out by hand: traps of order, ties and odd values."""
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -218,3 +219,15 @@ def test_compacted_page(spark):
     assert all(r["other"] == "kept" for r in (a, b))
     assert tuple(got[2])[2:] == tuple(got[3])[2:] == tuple(df.where("id = 2").first())[2:]
     assert got[4]["text"] == "" and got[4]["links"] == [] and got[4]["anchors"] == [] and got[5]["links"] is None
+
+
+@pytest.mark.parametrize("made", [H.readable_pages, H.search_cards, H.page_elements, lambda df: M.answered(df, "html", str.upper)])
+def test_a_batch_is_worked_on_in_pieces(spark, monkeypatch, made):
+    page = "<body><a href='http://h.org/a'>A link of a page</a><p>" + "word " * 200
+    df = spark.createDataFrame([(0, "http://h/", None)], "page_id bigint, url string, html string")
+    batch = pa.RecordBatch.from_pydict({"page_id": range(3000), "url": ["http://h/"] * 3000, "html": [page] * 2999 + [None]})
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, run, schema: run)
+    out = list(made(df)(iter([batch])))
+    assert max(b.num_rows for b in out) <= 256 and max(b.nbytes for b in out) <= 1 << 20
+    ids = [i for b in out for i in b.column("page_id").to_pylist()]
+    assert ids[:2999] == list(range(2999)) and len(ids) in (2999, 3000)
