@@ -214,3 +214,43 @@ def test_typed_fields(spark):
     rows = [(1, START, 1, " q ", "a"), (1, START, 2, "q", None), (1, START, 3, "  ", "x"), (2, START, 1, None, "x")]
     df = spark.createDataFrame(rows, "session bigint, ts timestamp, step bigint, field string, value string")
     assert [(r["session"], r["field"], r["value"], r["typed_in"]) for r in ME.typed_fields(df).collect()] == [(1, "q", "", 2)]
+
+
+class Kept:
+    """A state of one key that counts its calls."""
+
+    def __init__(self, calls, empty):
+        self.calls, self.empty, self.value = calls, empty, empty
+
+    def get(self):
+        self.calls.append("get")
+        return self.value
+
+    def update(self, value):
+        self.calls.append("update")
+        self.value = value
+
+    def appendList(self, values):
+        self.calls.append("append")
+        self.value = [*self.value, *values]
+
+    def clear(self):
+        self.calls.append("clear")
+        self.value = self.empty
+
+
+def test_a_gate_asks_its_state_a_few_times_a_batch():
+    calls, timers = [], set()
+    handle = type("Handle", (), {"getValueState": lambda self, *a: Kept(calls, None), "getListState": lambda self, *a: Kept(calls, []), "registerTimer": lambda self, t: calls.append("timer") or timers.add(t), "deleteTimer": lambda self, t: calls.append("timer") or timers.discard(t)})()
+    gate = AP.Gate(50)
+    gate.init(handle)
+    kinds = [("guarded", "step", "approve_once", "step", "guarded", "cancel")[i % 6] for i in range(602)]
+    rows = [(10 * i, i, k == "guarded", k if k in ("approve_once", "cancel") else None) for i, k in enumerate(kinds)]
+    rows += [(6100 + i, 602 + i, False, None) for i in range(3)]
+    got = []
+    for part in (rows[:301], rows[301:]):
+        calls.clear()
+        got += gate.handleInputRows((7,), iter(Row(ms=m, step=s, guarded=g, decision=d) for m, s, g, d in part), None)
+        assert len(calls) <= 8
+    assert [(r.step, r.status, r.at_ms) for r in got] == by_rule(rows, 50, 0)
+    assert timers == {6000 + 50} and [s for s, _ in gate.held.value] == [600, 601, 602, 603, 604]
