@@ -8,6 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from weftline.llm import embedding_dedup, mixing, quality, simhash, warc
 from weftline.llm.components import components
 
@@ -423,3 +424,12 @@ def test_pipeline_keeps_clean_documents(spark, tmp_path):
     assert "[SECRET]" in kept[104] and all(kept[d[0]] == d[1] for d in docs[:60])
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in out} <= set(kept) and all(0 < r.probability <= 1 for r in out)
+
+
+@pytest.mark.parametrize("stage", [corpus_pipeline.known_language, corpus_pipeline.without_secrets])
+def test_stages_bound_the_bytes_of_a_batch(spark, stage):
+    docs = spark.createDataFrame([(i, chr(97 + i % 26) * 10_000, "en", "web", 10_000) for i in range(1200)], "doc_id bigint, text string, lang string, source string, n_chars bigint").coalesce(1)
+    spark.conf.unset(corpus_pipeline.BATCH)
+    stage(spark, docs.limit(0), "")
+    sizes = docs.select("text").mapInArrow(lambda parts: (pa.RecordBatch.from_pydict({"n": pa.array([b.nbytes], pa.int64())}) for b in parts), "n bigint").collect()
+    assert sum(r.n for r in sizes) > 12_000_000 and max(r.n for r in sizes) <= 3 << 20
