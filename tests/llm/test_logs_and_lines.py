@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -168,6 +169,21 @@ def test_collocations_through_a_full_filter(spark, monkeypatch):
     assert sorted(map(tuple, got.collect())) == plain_collocations(texts, 12)
 
 
+def test_texts_of_phrases():
+    """The texts of all n-grams at once are those of their words one by one."""
+    own = ["A  b\tÉ c.D", "", None, ". ,", "日本 X\x1fY  z", "one"]
+    w = collocations.Words(pa.array(own), ["en", "en", "de", "fr", "en", "de"])
+    w.spaced()
+    for k in range(1, 5):
+        want = []
+        for text in own:
+            for piece in re.split(r"[.,;:!?\x0A-\x0D]", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")):
+                words = re.findall(r"[^\x20\x09]+", piece)
+                want += [" ".join(words[i : i + k]) for i in range(len(words) - k + 1)]
+        assert w.texts(np.flatnonzero(w.whole())).to_pylist() == want
+        w.longer()
+
+
 def test_cuckoo_filter():
     rng = np.random.default_rng(4)
     k1, k2 = rng.integers(-(2**63), 2**63 - 1, (2, 3000))

@@ -31,7 +31,9 @@ from .words import M, mix, words_of
 SLICE = 1 << 20
 #: Bits of the filter of frequent hashes at most (16 MB); a fuller filter lets more through to the exact count.
 FILTER_BITS = 1 << 27
-FOLD = bytes(range(256)).lower()
+#: Phrases that are made as text together.
+PHRASES = 1 << 14
+FOLD = np.frombuffer(bytes(range(256)).lower(), np.uint8)
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
@@ -69,8 +71,23 @@ class Words:
         """Where an n-gram lies within one piece."""
         return self.piece[: len(self.grams)] == self.piece[self.n - 1 :] if len(self.grams) else np.zeros(0, bool)
 
-    def text(self, i: int) -> str:
-        return b" ".join(self.buf[self.first[i] : self.end[i + self.n - 1]].tobytes().translate(FOLD).split()).decode()
+    def spaced(self) -> None:
+        """Lays the lower-cased words out with one space between them, so that an n-gram's text is a range of bytes."""
+        size = self.end - self.first
+        to = np.cumsum(size + 1) - size - 1
+        self.line = np.full(int(size.sum()) + len(size), 0x20, np.uint8)
+        within = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        self.line[np.repeat(to, size) + within] = FOLD[self.buf[np.repeat(self.first, size) + within]]
+        self.line_first, self.line_end = to, to + size
+
+    def texts(self, at: np.ndarray) -> pa.Array:
+        """The texts of the n-grams that start at some words."""
+        first = self.line_first[at]
+        size = self.line_end[at + self.n - 1] - first
+        off = np.zeros(len(at) + 1, np.int64)
+        np.cumsum(size, out=off[1:])
+        data = self.line[np.arange(off[-1]) + np.repeat(first - off[:-1], size)]
+        return pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(off), pa.py_buffer(data)).cast(pa.string())
 
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[Words]:
@@ -124,13 +141,17 @@ def phrase_counts(docs: DataFrame, max_n: int = 4, least: int = 30) -> tuple[Dat
         bits = held.value
         mask = np.uint64(len(bits) * 64 - 1)
         for w in _batches(batches):
+            w.spaced()
+            names = pa.array(w.names.tolist(), pa.string())
             while w.n <= max_n:
                 own = np.flatnonzero(w.whole())
                 at = w.grams[own] & mask
                 own = own[(bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1]
                 _, one, c = np.unique(w.grams[own], return_index=True, return_counts=True)
                 one = own[one]
-                yield pa.RecordBatch.from_arrays([pa.array(w.names[w.lang[one]].tolist(), pa.string()), pa.array([w.text(i) for i in one], pa.string()), pa.array(np.full(len(one), w.n, np.int32)), pa.array(c.astype(np.int64))], ["lang", "phrase", "k", "c"])
+                for i in range(0, len(one), PHRASES):
+                    some = one[i : i + PHRASES]
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(w.lang[some])), w.texts(some), pa.array(np.full(len(some), w.n, np.int32)), pa.array(c[i : i + PHRASES].astype(np.int64))], ["lang", "phrase", "k", "c"])
                 w.longer()
 
     exact = texts.mapInArrow(phrases, "lang string, phrase string, k int, c bigint").groupBy("lang", "phrase").agg(F.first("k").alias("k"), F.sum("c").alias("f")).where(F.col("f") >= least)
