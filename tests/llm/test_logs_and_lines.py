@@ -92,6 +92,23 @@ def test_changes(spark, monkeypatch):
     assert min(kinds["applied", False], kinds["applied", True], kinds["rejected", False]) > 5
 
 
+def test_repeats_and_one_stage(spark, tmp_path, monkeypatch):
+    """Of a batch's rows of a number all but the first are repeats; a start keeps state in one stage only."""
+    day = dt.datetime(2024, 1, 5)
+    rows = [(i, client, 1, "U", day, "a", 1.0, "x") for client in (1, None) for i in (3, 1, 2, 5)] + [(5, 1, 1, "U", day, "a", 1.0, "y")]
+    df = spark.createDataFrame(rows, LOG)
+    own, numbers = changes.numbered(df)
+    got = [(r.client_id, r.day, r.change_id, r.repeat) for r in changes.with_repeats(own).collect()]
+    for client in (1, None):
+        own = [r for r in got if r[0] == client]
+        first = min(r[1:3] for r in own)
+        assert all(r[3] == (r[1:3] != first) for r in own) and len(own) == (5 if client else 4)
+    changes.discard(numbers)
+    monkeypatch.setattr(changes, "shared_dir", lambda spark: str(tmp_path))
+    assert Counter(r.status for r in changes.applied_changes(df).collect()) == {"applied": 2, "rejected": 7}
+    assert [p.name for p in tmp_path.glob("changes-*/state/state/*") if p.is_dir()] == ["0"]
+
+
 def test_no_changes(spark):
     assert changes.applied_changes(spark.createDataFrame([], LOG)).count() == 0
 
