@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -361,6 +362,44 @@ def test_nearest_examples_are_exact(spark, monkeypatch):
     assert all((a[1] == b[1]).all() for a, b in zip(got, again, strict=True))
 
 
+def index_of(texts, k=50):
+    rows, terms, n = toxicity.term_counts(pa.array(texts))
+    vocabulary = np.unique(terms)
+    index = toxicity.Index(vocabulary, np.ones(len(vocabulary) + toxicity.REST), np.arange(len(texts)), np.zeros(len(texts)), k, np.zeros(len(vocabulary)))
+    index.build(rows, terms, n)
+    return index
+
+
+def test_search_reads_postings_once_and_blocks_of_similar_examples(monkeypatch):
+    rng = random.Random(7)
+    # four languages in turn, whose texts share a few words and start with rare ones
+    texts = [" ".join([f"r{rng.randrange(900)}", "the", *(f"{'abcd'[i % 4]}{int(rng.paretovariate(0.6)) % 200}" for _ in range(60))]) for i in range(1280)]
+    index = index_of(texts)
+    assert index.blocks == 20
+    assert all(len(set(index.ids[b : b + toxicity.BLOCK] % 4)) == 1 for b in range(0, 1280, toxicity.BLOCK))
+    read, spans = [], toxicity._spans
+    monkeypatch.setattr(toxicity, "_spans", lambda first, size: read.append(int(size.sum())) or spans(first, size))
+    near = index.neighbours(pa.array(texts[:100]))
+    rows, terms, _ = toxicity.term_counts(pa.array(texts[:100]))
+    at = np.searchsorted(index.vocabulary, terms)
+    entries = (index.term_at[at + 1] - index.term_at[at]).sum()
+    postings = (index.entry_at[index.term_at[at + 1]] - index.entry_at[index.term_at[at]]).sum()
+    assert entries <= sum(read) <= entries + postings
+    assert all(index.ids[x[1]][0] == i and {j % 4 for j in index.ids[x[1]]} == {i % 4} for i, x in enumerate(near))
+
+
+def test_search_keeps_to_one_thread():
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"w{j}" for j in np.flatnonzero(rng.random(240) < 0.2)) for _ in range(4000)]
+    index, some = index_of(texts), pa.array(texts[:600])
+    index.neighbours(some)
+    time.sleep(0.5)
+    cpu, wall = time.process_time(), time.perf_counter()
+    index.neighbours(some)
+    cpu, wall = time.process_time() - cpu, time.perf_counter() - wall
+    assert cpu < 1.3 * wall
+
+
 def test_private_keys_go_whole(spark):
     body = "\n".join("A1b+/" * 12 for _ in range(5))
     pem = f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\n{body}\nQ==\n-----END RSA PRIVATE KEY-----"

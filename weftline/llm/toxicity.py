@@ -3,12 +3,13 @@
 Vectors hold all words of a text: (1 + ln n) for n occurrences, times the inverse
 document frequency over all documents. Labels have no part in the similarity.
 
-Labelled examples lie in an inverted index cut into blocks. For each term and
-block the index keeps the largest weight, so a query's bound for a block is one
-sparse product. The blocks with the best bounds are scored exactly; after that
-those whose bound reaches the k-th best similarity so far, which gives the exact
-nearest examples. Terms that many examples hold have full lists, whose sums are
-taken for all examples at once and enter the bounds as they are.
+Labelled examples lie in an inverted index cut into blocks of similar ones. Terms
+that many examples hold have full lists, whose sums are taken for all examples at
+once: no similarity is below its sum, so the k-th best of them is one that the k
+nearest reach. For each other term and block the index keeps the largest weight, so
+a query's bound for a block is one sparse product on top of the block's largest sum.
+The blocks whose bound reaches that similarity are scored exactly, once, which gives
+the exact nearest examples.
 
 In the vote a neighbour weighs by its distance and by what its similarity comes
 from: each shared word adds its part of the cosine times its evidence, which is the
@@ -32,16 +33,18 @@ from .words import words_of
 SLICE = 1 << 19
 #: Examples in a block of the index.
 BLOCK = 64
-#: Blocks scored first.
-FIRST = 2
 #: Terms in more than this share of the examples have full lists.
 FREQUENT = 0.1
 #: Places in which the documents with words outside the index are counted.
 REST = 1 << 18
 #: Weight in the vote of a neighbour that shares no word with evidence.
 LEAST = 1e-4
-#: Entries of the index that are read at once.
-ENTRIES = 1 << 20
+#: Postings of the index that are read at once (those of one run at least).
+ENTRIES = 1 << 17
+#: Texts searched at once.
+ROWS = 32
+#: Multiplications in a product of full lists. Larger ones BLAS would share among threads, which then wait for work at a core's cost.
+PRODUCT = (1 << 19) - 1
 
 
 def term_counts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -49,8 +52,9 @@ def term_counts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     rows, terms, n = [], [], []
     for i, j in slices(texts, SLICE):
         h, _, _, row = words_of(*joined_bytes(texts.slice(i, j - i)))
-        order = np.lexsort((h, row))
-        h, row = h[order], row[order]
+        cut = np.searchsorted(row, np.arange(j - i + 1))
+        for a, b in zip(cut[:-1], cut[1:], strict=True):
+            h[a:b].sort()
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
         at = np.flatnonzero(new)
@@ -70,6 +74,21 @@ def places(terms: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
     return np.where(own, at, len(vocabulary) + (terms >> np.uint64(46)).astype(np.int64))
 
 
+def _alike(rows: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """``order`` of the rows, halved along the direction in which they differ most, down to blocks; the halves are whole blocks."""
+    blocks = -(-len(order) // BLOCK)
+    if blocks < 2 or not rows.shape[1]:
+        return order
+    x = rows[order]
+    x = x - x.mean(0)
+    along = x.sum(1)
+    for _ in range(8):
+        along = x @ (x.T @ along)
+        along /= max(np.linalg.norm(along), 1e-300)
+    order, half = order[np.argsort(along, kind="stable")], blocks // 2 * BLOCK
+    return np.concatenate([_alike(rows, order[:half]), _alike(rows, order[half:])])
+
+
 def _spans(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The numbers first, first + 1, ... of each span, end to end."""
     return np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
@@ -95,15 +114,15 @@ class Index:
     proof_value: np.ndarray = field(default_factory=lambda: np.zeros(0))
     #: An entry is a term's part in one block; entries of a term and postings of an entry lie together.
     term_at: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
-    block: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
+    block: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     most: np.ndarray = field(default_factory=lambda: np.zeros(0))
     entry_at: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
-    member: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
+    member: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     value: np.ndarray = field(default_factory=lambda: np.zeros(0))
     blocks: int = 0
-    #: Row of each term in ``full`` (-1: none), and the full lists.
+    #: Number of each term in ``full`` (-1: none), and the full lists by block, term and member.
     row_of: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    full: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
+    full: np.ndarray = field(default_factory=lambda: np.zeros((0, 0, BLOCK)))
     curve: tuple[np.ndarray, np.ndarray] = (np.zeros(1), np.zeros(1))
     without: float = 0.0
 
@@ -124,31 +143,34 @@ class Index:
         for q in range(3):
             there = np.flatnonzero(np.append(rows[by], -1)[np.minimum(first + q, len(by))] == np.arange(size))
             lead[q][there] = at[by[first[there] + q]]
+        held = np.bincount(at, minlength=len(self.vocabulary))
+        many = np.flatnonzero(held > max(BLOCK, FREQUENT * size))
+        self.row_of = np.full(len(self.vocabulary), -1)
+        self.row_of[many] = np.arange(len(many))
+        self.blocks = -(-size // BLOCK)
+        full = np.zeros((self.blocks * BLOCK, len(many)))
+        often = np.flatnonzero(self.row_of[at] >= 0)
+        full[rows[often], self.row_of[at[often]]] = w[often]
+        back = _alike(full[:size], np.lexsort((self.ids, *lead[::-1])))
         place = np.empty(size, np.int64)
-        place[np.lexsort((self.ids, *lead[::-1]))] = np.arange(size)
+        place[back] = np.arange(size)
+        full[:size] = full[back]
+        self.full = np.ascontiguousarray(full.reshape(self.blocks, BLOCK, len(many)).transpose(0, 2, 1))
+        del full
         own = np.flatnonzero(self.told[at] > 0)
         own = own[np.argsort(place[rows[own]], kind="stable")]
         self.proof, self.proof_value = self.numbers()[at[own]], w[own] * self.told[at[own]]
         self.proof_at = np.searchsorted(place[rows[own]], np.arange(size + 1))
-        self.blocks = -(-size // BLOCK)
         member = place[rows]
         order = np.lexsort((member, at))
+        order = order[self.row_of[at[order]] < 0]
         at, member, w = at[order], member[order], w[order]
-        held = np.bincount(at, minlength=len(self.vocabulary))
-        many = np.flatnonzero(held > max(BLOCK, FREQUENT * size))
-        self.row_of = np.full(len(self.vocabulary), -1)
-        self.row_of[many] = np.arange(len(many))
-        self.full = np.zeros((len(many), self.blocks * BLOCK))
-        own = self.row_of[at] >= 0
-        self.full[self.row_of[at[own]], member[own]] = w[own]
-        at, member, w = at[~own], member[~own], w[~own]
         block = member // BLOCK
         new = np.ones(len(at), bool)
         new[1:] = (at[1:] != at[:-1]) | (block[1:] != block[:-1])
         start = np.flatnonzero(new)
-        back = np.argsort(place)
         self.ids, self.labels = self.ids[back], self.labels[back]
-        self.member, self.value, self.block = member.astype(np.int32), w, block[start].astype(np.int32)
+        self.member, self.value, self.block = member, w, block[start]
         self.most = np.maximum.reduceat(w, start) if len(start) else np.zeros(0)
         self.entry_at = np.append(start, len(at))
         self.term_at = np.searchsorted(at[start], np.arange(len(self.vocabulary) + 1))
@@ -160,53 +182,60 @@ class Index:
         out: list[tuple[np.ndarray, np.ndarray]] = []
         known = at < len(self.vocabulary)
         rows, at, w = rows[known], at[known], w[known]
-        reads = self.term_at[at + 1] - self.term_at[at]
         cut = np.searchsorted(rows, np.arange(size + 1))
-        per_row = np.concatenate([[0], np.cumsum(reads)])[cut]
-        i = 0
-        while i < size:
-            j = max(i + 1, min(int(np.searchsorted(per_row, per_row[i] + ENTRIES, "right")) - 1, i + 256))
-            a, b = cut[i], cut[j]
-            out += self._nearest(rows[a:b] - i, at[a:b], w[a:b], reads[a:b], j - i)
-            i = j
+        width = self.blocks * BLOCK
+        k = min(self.k, width)
+        for i in range(0, size, ROWS):
+            j = min(i + ROWS, size)
+            sums = self._frequent(rows[cut[i] : cut[j]] - i, at[cut[i] : cut[j]], w[cut[i] : cut[j]], j - i)
+            least = np.partition(sums, width - k, axis=1)[:, width - k]
+            out += [self._nearest(at[a:b], w[a:b], x, low) for a, b, x, low in zip(cut[i:j], cut[i + 1 : j + 1], sums, least, strict=True)]
         return out
 
-    def _nearest(self, rows, at, w, reads, size) -> list[tuple[np.ndarray, np.ndarray]]:
-        query, often = np.zeros((size, len(self.full))), self.row_of[at]
-        query[rows[often >= 0], often[often >= 0]] = w[often >= 0]
-        sims = query @ self.full
-        entry = _spans(self.term_at[at], reads)
-        row, weight = np.repeat(rows, reads), np.repeat(w, reads)
-        cell = row * self.blocks + self.block[entry]
-        bound = np.bincount(cell, weight * self.most[entry], minlength=size * self.blocks).reshape(size, self.blocks)
-        bound = bound + sims.reshape(size, self.blocks, BLOCK).max(2)
-        done = np.zeros(bound.shape, bool)
-
-        def scored(chosen: np.ndarray) -> np.ndarray:
-            """The k-th best similarity of each row after scoring the chosen blocks, too."""
-            done[chosen] = True
-            own = np.flatnonzero(chosen.ravel()[cell])
-            start = self.entry_at[entry[own]]
-            n = self.entry_at[entry[own] + 1] - start
-            p = _spans(start, n)
-            np.add.at(sims.ravel(), np.repeat(row[own] * sims.shape[1], n) + self.member[p], np.repeat(weight[own], n) * self.value[p])
-            seen = np.where(np.repeat(done, BLOCK, axis=1), sims, 0.0)
-            return -np.partition(-seen, k - 1, axis=1)[:, k - 1]
-
-        k = min(self.k, sims.shape[1])
-        first = np.zeros(bound.shape, bool)
-        np.put_along_axis(first, np.argsort(-bound, axis=1, kind="stable")[:, :FIRST], True, axis=1)
-        least = scored(first)
-        least = scored(~first & (bound > 0) & (bound >= least[:, None] - 1e-9))
-        out = []
-        for r in range(size):
-            # sums differ in the last digits with the order of their terms, so similarities are compared at 12 digits
-            own = np.flatnonzero((sims[r] >= least[r] - 1e-11) & (sims[r] > 0))
-            own = own[done[r, own // BLOCK]]
-            exact = np.round(sims[r, own], 12)
-            best = np.lexsort((self.ids[own], -exact))[: self.k]
-            out.append((exact[best], own[best]))
-        return out
+    def _frequent(self, rows: np.ndarray, at: np.ndarray, w: np.ndarray, size: int) -> np.ndarray:
+        """For each row the sums of frequent terms of all examples."""
+        terms = self.full.shape[1]
+        query, number = np.zeros((size, terms)), self.row_of[at]
+        own = number >= 0
+        query[rows[own], number[own]] = w[own]
+        sums = np.empty((size, self.blocks, BLOCK))
+        step = max(1, PRODUCT // (BLOCK * max(1, terms)))
+        for i in range(0, size, step):
+            np.matmul(query[i : i + step], self.full, out=sums[i : i + step].transpose(1, 0, 2))
+        return sums.reshape(size, self.blocks * BLOCK)
+
+    def _nearest(self, at: np.ndarray, w: np.ndarray, sims: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """The nearest examples of one text; ``sims`` has the sums of its frequent terms, ``least`` the k-th best of them."""
+        blocks = sims.reshape(self.blocks, BLOCK)
+        reads = self.term_at[at + 1] - self.term_at[at]
+        entry, part = _spans(self.term_at[at], reads), np.repeat(w, reads)
+        block = self.block.take(entry)
+        bound = np.bincount(block, part * self.most.take(entry), minlength=self.blocks) + blocks.max(1)
+        chosen = (bound > 0) & (bound >= least - 1e-9)
+        own = chosen.take(block)
+        entry, part = entry[own], part[own]
+        # chosen blocks that follow one another in a list are read as one run
+        new = np.ones(len(entry) + 1, bool)
+        new[1:-1] = (entry[1:] != entry[:-1] + 1) | (part[1:] != part[:-1])
+        run = np.flatnonzero(new)
+        part, start = part[run[:-1]], self.entry_at[entry[run[:-1]]]
+        n = self.entry_at[entry[run[1:] - 1] + 1] - start
+        ends, i = np.cumsum(n), 0
+        while i < len(n):
+            j = max(i + 1, int(np.searchsorted(ends, ends[i] - n[i] + ENTRIES, "right")))
+            p = _spans(start[i:j], n[i:j])
+            np.add.at(sims, self.member.take(p), np.repeat(part[i:j], n[i:j]) * self.value.take(p))
+            i = j
+        blocks[~chosen] = 0
+        # sums differ in the last digits with the order of their terms, so similarities are compared at 12 digits
+        near = np.flatnonzero(sims >= max(least - 1e-11, 1e-300))
+        exact = sims[near]
+        if len(near) > self.k:
+            best = exact >= np.partition(exact, len(near) - self.k)[len(near) - self.k] - 1e-11
+            near, exact = near[best], exact[best]
+        exact = np.round(exact, 12)
+        best = np.lexsort((self.ids[near], -exact))[: self.k]
+        return exact[best], near[best]
 
     def numbers(self) -> np.ndarray:
         """The number of each word of the vocabulary among those with evidence; -1 for others."""
@@ -334,7 +363,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         for batch in batches:
             size += len(batch)
             for i, j in slices(batch.column(0), SLICE):
-                df += np.bincount(places(term_counts(batch.column(0).slice(i, j - i))[1], vocabulary), minlength=places_of + 1)
+                np.add.at(df, places(term_counts(batch.column(0).slice(i, j - i))[1], vocabulary), 1)
         df[-1] = size
         there = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), pa.array(df[there])], ["at", "n"])
