@@ -119,3 +119,46 @@ def test_isolated_pairs_at_the_threshold(spark):
         texts += [" ".join(words), " ".join(words[:84] + own(10))]
     assert similar(brute_set(texts[0]), brute_set(texts[1]))
     assert groups_of(spark, texts) == [i - i % 2 for i in range(len(texts))]
+
+
+def test_marks_rule_out_no_link():
+    rng = np.random.default_rng(15)
+    sets, pairs = [], []
+    for n in [1, 2, 5, 31, 32, 33, 64, 90, 127, 128, 129, 500, 4097]:
+        for shared in sorted({n, n - 1, -(-8 * n // 9), (8 * n + 17) // 9, n // 2, 0}):
+            if 0 <= shared <= n:
+                both, own = rng.integers(0, 1 << 64, shared, np.uint64), [rng.integers(0, 1 << 64, k, np.uint64) for k in (n - shared, max(n - shared, n // 5))]
+                pairs.append((len(sets), len(sets) + 1, shared))
+                sets += [np.concatenate([both, x]) for x in own]
+    n, marks = np.array([len(s) for s in sets]), [simhash_wide.marks_of(s) for s in sets]
+    a, b, shared = np.array(pairs).T
+    got = simhash_wide.can_link(n[a], pa.array([marks[i] for i in a], pa.binary()), n[b], pa.array([marks[i] for i in b], pa.binary()))
+    linked = 9 * shared >= 4 * (n[a] + n[b])
+    assert linked.sum() > 10 and got[linked].all()
+    assert not got[(2 * shared <= np.minimum(n[a], n[b])) & (n[a] > 30)].any()
+
+
+def test_sets_are_written_for_close_pairs_only(spark, monkeypatch):
+    """Many texts that share a third of their shingles meet; their sets are not what is written."""
+    rng = random.Random(16)
+    own = lambda n: [f"v{rng.randrange(10**9)}" for _ in range(n)]
+    template = own(100)
+    texts = [" ".join(template + own(100)) for _ in range(150)]
+    texts += [edited(rng, t, 2) for t in texts[:5]]
+    rows, write = {}, simhash_wide.settle
+
+    def settle(df, name):
+        out = write(df, name)
+        rows[name] = rows.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(simhash_wide, "settle", settle)
+    monkeypatch.setattr(simhash_wide, "common_shingles", lambda *_: np.zeros(0, np.uint64))  # any order is without loss
+    want = [*range(150), *range(5)]
+    assert groups_of(spark, texts) == want
+    assert rows["unjoined"] > 1000 and rows["sets"] <= 20
+    # many parts give the same groups
+    monkeypatch.setattr(simhash_wide, "LEAST", 1)
+    monkeypatch.setattr(simhash_wide, "BY_SETS", 0.02)
+    monkeypatch.setattr(simhash_wide, "BY_MARKS", 50)
+    assert groups_of(spark, texts) == want

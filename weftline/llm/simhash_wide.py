@@ -20,14 +20,22 @@ finds the rest without loss: in one order of all shingles, rare ones first, two
 texts of a similarity of 0.8 share one of the first n - ceil(0.8 n) + 1. Texts
 that meet there, lie in different groups and can still have enough shingles in
 common are compared, all of them.
+
+Pairs are compared by marks first, a few bits a shingle, which rule out most of
+those below 0.8 and none above; only the others need whole sets. Both take as
+many pairs at a time as bounds what is written by the size of the corpus,
+however many pairs there are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +50,8 @@ SMALL, BLOCK = 8, 512
 TOGETHER = 2000
 #: First shingles of a prefix that go with each of its rows, so that a pair meets once in most cases.
 HEAD = 3
+#: Shingles of the pairs that are compared at a time, by marks (3 bits a shingle) and by sets (64): so many times those of all texts, ``LEAST`` at least.
+BY_MARKS, BY_SETS, LEAST = 8, 0.25, 1 << 22
 #: Odd factors that spread one shingle hash to four words of 64 bits.
 SPREAD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)
 
@@ -83,8 +93,15 @@ def votes_of(hashes: np.ndarray, at_once: int = 1 << 14) -> np.ndarray:
     return votes
 
 
-def _prints(texts: pa.Array) -> tuple[list[int], list[bytes], list[bytes]]:
-    sizes, fps, margins = [], [], []
+def marks_of(hashes: np.ndarray) -> bytes:
+    """A bit for each shingle by the low bits of its hash, 2 to 4 bits a shingle and 64 at least; of a power of two, so that halves fold."""
+    bits = np.zeros(max(64, 1 << max(0, 2 * len(hashes) - 1).bit_length()), bool)
+    bits[(hashes & np.uint64(len(bits) - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def _prints(texts: pa.Array) -> tuple[list[int], list[bytes], list[bytes], list[bytes]]:
+    sizes, fps, margins, marks = [], [], [], []
     for i, j in slices(texts):
         rows, hashes = shingles_of(texts.slice(i, j - i))
         cut = np.searchsorted(rows, np.arange(j - i + 1))
@@ -93,13 +110,14 @@ def _prints(texts: pa.Array) -> tuple[list[int], list[bytes], list[bytes]]:
             sizes.append(int(b - a))
             fps.append(np.packbits(votes > 0).tobytes())
             margins.append(np.minimum(np.abs(votes) * (64 / max(1.0, float(b - a) ** 0.5)), 255).astype(np.uint8).tobytes())
-    return sizes, fps, margins
+            marks.append(marks_of(hashes[a:b]))
+    return sizes, fps, margins, marks
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sizes, fps, margins = _prints(batch.column(2))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), pa.array(fps, pa.binary()), pa.array(margins, pa.binary())], ["doc_id", "th", "n", "fp", "margin"])
+        sizes, *rest = _prints(batch.column(2))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), *(pa.array(x, pa.binary()) for x in rest)], ["doc_id", "th", "n", "fp", "margin", "marks"])
 
 
 def _matrix(col: pa.Array, width: int) -> np.ndarray:
@@ -178,15 +196,15 @@ def _far(f: np.ndarray, n: np.ndarray, g: np.ndarray, m: np.ndarray) -> np.ndarr
     return np.where(5 * np.minimum(n, m) >= 4 * np.maximum(n, m), d, BITS + 1)
 
 
-def _tree(th: np.ndarray, n: np.ndarray, f: np.ndarray, tau: int) -> tuple[list[int], list[int]]:
-    """The links of the nearest-neighbour forest within ``tau`` bits (Prim's algorithm)."""
-    best, link = np.full(len(th), BITS + 2, np.int64), np.zeros(len(th), np.int64)
-    left = np.ones(len(th), bool)
+def _tree(n: np.ndarray, f: np.ndarray, tau: int) -> tuple[list[int], list[int]]:
+    """The links of the nearest-neighbour forest within ``tau`` bits (Prim's algorithm), by position."""
+    best, link = np.full(len(n), BITS + 2, np.int64), np.zeros(len(n), np.int64)
+    left = np.ones(len(n), bool)
     a, b = [], []
-    for _ in range(len(th)):
+    for _ in range(len(n)):
         now = int(np.argmin(np.where(left, best, BITS + 3)))
         if best[now] <= tau:
-            a.append(int(th[now])), b.append(int(th[link[now]]))
+            a.append(now), b.append(int(link[now]))
         left[now] = False
         d = _far(f, n, f[now], n[now])
         closer = d < best
@@ -195,7 +213,7 @@ def _tree(th: np.ndarray, n: np.ndarray, f: np.ndarray, tau: int) -> tuple[list[
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of the buckets in batches sorted by key; holds a block of a bucket at most beside the batch."""
+    """Candidate pairs (a, b, n: shingles of both) of the buckets in batches sorted by key; holds a block of a bucket at most beside the batch."""
     held: list[np.ndarray] | None = None
 
     def pairs(cols: list[np.ndarray], last: bool) -> tuple[list[np.ndarray], list[np.ndarray] | None]:
@@ -217,18 +235,19 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for d in range(1, min(SMALL, len(key))):
                 x = np.flatnonzero((key[d:] == key[:-d]) & small[:-d])
                 x = x[_far(f[x], n[x], f[x + d], n[x + d]) <= TAU]
-                a.append(th[x]), b.append(th[x + d])
+                a.append(x), b.append(x + d)
             for s, z in zip(start[size > SMALL], size[size > SMALL], strict=True):
                 for i in range(s, max(s + z - 1, s + 1), BLOCK - 1):
                     j = min(i + BLOCK, s + z)
-                    x, y = _tree(th[i:j], n[i:j], f[i:j], TAU)
-                    a.append(np.array(x, np.int64)), b.append(np.array(y, np.int64))
-        return [np.concatenate(c or [np.zeros(0, np.int64)]) for c in (a, b)], rest
+                    x, y = _tree(n[i:j], f[i:j], TAU)
+                    a.append(np.array(x, np.int64) + i), b.append(np.array(y, np.int64) + i)
+        a, b = (np.concatenate(c or [np.zeros(0, np.int64)]) for c in (a, b))
+        return [th[a], th[b], n[a].astype(np.int64) + n[b]], rest
 
-    def out(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    def out(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         lo, hi = np.minimum(a, b), np.maximum(a, b)
-        both = np.unique(np.stack([lo, hi], 1)[lo < hi], axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, 0])), pa.array(np.ascontiguousarray(both[:, 1]))], ["a", "b"])
+        both = np.unique(np.stack([lo, hi, n], 1)[lo < hi], axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in both.T], ["a", "b", "n"])
 
     for batch in batches:
         if not batch.num_rows:
@@ -236,11 +255,10 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cols = [batch.column(i).to_numpy() for i in range(3)] + [np.stack([batch.column(i).to_numpy() for i in range(3, 7)], 1)]
         if held is not None:
             cols = [np.concatenate(c) for c in zip(held, cols, strict=True)]
-        (a, b), held = pairs(cols, False)
-        yield out(a, b)
+        found, held = pairs(cols, False)
+        yield out(*found)
     if held is not None and len(held[0]):
-        (a, b), _ = pairs(held, True)
-        yield out(a, b)
+        yield out(*pairs(held, True)[0])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,7 +283,9 @@ def common_shingles(texts: DataFrame, n: int, sample: int = 20_000, most: int =
                 yield pa.RecordBatch.from_arrays([pa.array(shingles_of(batch.column(0).slice(i, j - i))[1].view(np.int64))], ["h"])
 
     counted = texts.where(u < max(1, (sample << 20) // max(n, 1))).select("text").mapInArrow(of, "h bigint").groupBy("h").agg(F.count("*").alias("n"))
-    rows = counted.where("n > 1").orderBy(F.desc("n"), "h").limit(most).collect()
+    repeated = settle(counted.where("n > 1"), "common")
+    rows = repeated.orderBy(F.desc("n"), "h").limit(most).collect()
+    discard(repeated)
     return np.array([r["h"] for r in reversed(rows)], np.int64).view(np.uint64)
 
 
@@ -302,7 +322,7 @@ def _shared(rows: DataFrame, by: str, total: int) -> DataFrame:
 
 
 def unjoined(texts: DataFrame, n: int, total: int, member: DataFrame) -> DataFrame:
-    """Every pair (a, b) of texts in different groups of ``member`` that can have a similarity of 0.8, perhaps others.
+    """Every pair (a, b, n: shingles of both) of texts in different groups of ``member`` that can have a similarity of 0.8, perhaps others.
 
     ``n`` is the number of different texts, ``total`` that of the prefixes' rows.
     """
@@ -324,23 +344,64 @@ def unjoined(texts: DataFrame, n: int, total: int, member: DataFrame) -> DataFra
     # a pair that shares one of its first shingles has met there
     met_before = F.arrays_overlap("before_a", "before_b")
     pairs = left.join(right, ["key", "salt"]).where(order & F.expr("5 * n_a >= 4 * n_b and c_a <> c_b") & able & ~met_before)
-    found = settle(pairs.select(F.least("th_a", "th_b").alias("a"), F.greatest("th_a", "th_b").alias("b")).distinct(), "unjoined")
+    found = settle(pairs.select(F.least("th_a", "th_b").alias("a"), F.greatest("th_a", "th_b").alias("b"), F.expr("cast(n_a as bigint) + n_b").alias("n")).distinct(), "unjoined")
     discard(apart)
     return found
 
 
-def verified(found: DataFrame, base: DataFrame, firsts: DataFrame) -> DataFrame:
-    """The pairs (a, b) in ``found`` with a similarity of 0.8 or more."""
-    wanted = found.select(F.explode(F.array("a", "b")).alias("th")).distinct()
-    wanted = firsts.join(wanted, "th", "left_semi").select(F.col("th").alias("w"), F.col("first").alias("f"))
-    texts = base.join(wanted, (base["th"] == wanted["w"]) & base["doc_id"].eqNullSafe(wanted["f"])).select("th", "text")
-    sets = settle(texts.mapInArrow(_sets, "th bigint, s array<bigint>").dropDuplicates(["th"]), "sets")
-    left, right = (sets.select(F.col("th").alias(c), F.col("s").alias(f"s{c}")) for c in "ab")
-    both = F.size(F.array_intersect("sa", "sb"))
-    close = found.join(left, "a").join(right, "b").where(9 * both >= 4 * (F.size("sa") + F.size("sb"))).select("a", "b")
-    close = settle(close, "close")
-    discard(sets)
-    return close
+def _parts(found: DataFrame, most: float) -> list[DataFrame]:
+    """The pairs ``found`` (a, b, n) in parts of about ``most`` shingles."""
+    total = found.agg(F.sum("n")).first()[0] or 0
+    parts = max(1, ceil(total / max(most, LEAST)))
+    return [found.where(F.pmod(F.xxhash64("a", "b", F.lit("part")), F.lit(parts)) == i) for i in range(parts)]
+
+
+def can_link(na: np.ndarray, a: pa.Array, nb: np.ndarray, b: pa.Array) -> np.ndarray:
+    """Which pairs of sets, given by sizes and marks, can have a similarity of 0.8.
+
+    Each bit that one set has and the other lacks is a shingle that they don't share.
+    """
+    out = np.zeros(len(na), bool)
+    wide = np.stack([pc.binary_length(x).to_numpy(zero_copy_only=False) for x in (a, b)], 1)
+    for wa, wb in np.unique(wide, axis=0):
+        at = np.flatnonzero((wide[:, 0] == wa) & (wide[:, 1] == wb))
+        x, y = (np.bitwise_or.reduce(_matrix(c.take(pa.array(at)), w).reshape(len(at), -1, min(wa, wb)), axis=1).view(np.uint64) for c, w in ((a, wa), (b, wb)))
+        in_a, in_b = (n[at] - np.bitwise_count(own & ~other).sum(1, dtype=np.int64) for n, own, other in ((na, x, y), (nb, y, x)))
+        out[at] = 9 * np.minimum(in_a, in_b) >= 4 * (na[at] + nb[at])
+    return out
+
+
+def _able(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        na, nb = (batch.column(i).to_numpy().astype(np.int64) for i in (2, 4))
+        keep = pa.array(can_link(na, batch.column(3), nb, batch.column(5)))
+        yield pa.RecordBatch.from_arrays([c.filter(keep) for c in (batch.column(0), batch.column(1), pa.array(na + nb))], ["a", "b", "n"])
+
+
+def able(found: DataFrame, marks: DataFrame, total: int) -> DataFrame:
+    """The pairs in ``found`` (a, b, n) that ``marks`` (th, n, marks) don't rule out; ``total`` is the number of all texts' shingles."""
+    out = []
+    for part in _parts(found, BY_MARKS * total):
+        left, right = (marks.select(F.col("th").alias(x), F.col("n").alias(f"n{x}"), F.col("marks").alias(f"m{x}")) for x in "ab")
+        pairs = part.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "na", "ma", "nb", "mb")
+        out.append(settle(pairs.mapInArrow(_able, "a bigint, b bigint, n bigint"), "able"))
+    return reduce(DataFrame.unionByName, out)
+
+
+def verified(found: DataFrame, marks: DataFrame, base: DataFrame, firsts: DataFrame, total: int) -> DataFrame:
+    """The pairs (a, b) in ``found`` (a, b, n) with a similarity of 0.8 or more."""
+    out = []
+    for part in _parts(able(found, marks, total), BY_SETS * total):
+        wanted = part.select(F.explode(F.array("a", "b")).alias("th")).distinct()
+        wanted = firsts.join(wanted, "th", "left_semi").select(F.col("th").alias("w"), F.col("first").alias("f"))
+        texts = base.join(wanted, (base["th"] == wanted["w"]) & base["doc_id"].eqNullSafe(wanted["f"])).select("th", "text")
+        sets = settle(texts.mapInArrow(_sets, "th bigint, s array<bigint>").dropDuplicates(["th"]), "sets")
+        left, right = (sets.select(F.col("th").alias(c), F.col("s").alias(f"s{c}")) for c in "ab")
+        both = F.size(F.array_intersect("sa", "sb"))
+        close = part.select("a", "b").join(left, "a").join(right, "b").where(9 * both >= 4 * (F.size("sa") + F.size("sb"))).select("a", "b")
+        out.append(settle(close, "close"))
+        discard(sets)
+    return reduce(DataFrame.unionByName, out)
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -358,16 +419,20 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     hashes of shingles and texts.
     """
     base = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).select("doc_id", F.xxhash64("text").alias("th"), "text")
-    prints = settle(base.mapInArrow(_fingerprints, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, th bigint, n int, fp binary, margin binary"), "prints")
-    distinct = settle(prints.groupBy("th").agg(F.min("doc_id").alias("first"), *[F.first(c).alias(c) for c in ("n", "fp", "margin")]), "distinct")
+    prints = settle(base.mapInArrow(_fingerprints, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, th bigint, n int, fp binary, margin binary, marks binary"), "prints")
+    distinct = settle(prints.groupBy("th").agg(F.min("doc_id").alias("first"), *[F.first(c).alias(c) for c in ("n", "fp", "margin", "marks")]), "distinct")
     in_prefixes = prints.agg(F.sum(F.expr("if(n > 0, n - (4 * n + 4) div 5 + 1, 0)"))).first()[0] or 0
     ids, firsts = settle(prints.select("doc_id", "th"), "ids"), settle(distinct.select("th", "first"), "firsts")
     discard(prints)
+    marks = settle(distinct.select("th", "n", "marks"), "marks")
+    total = marks.agg(F.sum("n")).first()[0] or 0
     met = entries(distinct, plan_for(distinct)).repartitionByRange("key", "f0").sortWithinPartitions("key", "f0", "f1", "f2", "f3")
-    found = settle(met.mapInArrow(_meet, "a bigint, b bigint").distinct(), "candidates")
+    found = settle(met.mapInArrow(_meet, "a bigint, b bigint, n bigint").distinct(), "candidates")
     discard(distinct)
-    close = verified(found, base, firsts)
-    more = verified(unjoined(base, firsts.count(), in_prefixes, components(close)), base, firsts)
+    close = verified(found, marks, base, firsts, total)
+    others = unjoined(base, firsts.count(), in_prefixes, components(close))
+    more = verified(others, marks, base, firsts, total)
+    discard(found, others, marks)
     member = components(close.union(more))
     fps = firsts.join(member, firsts["th"] == member["node"], "left").select("th", "first", F.coalesce("component", "th").alias("fp"))
     least = fps.groupBy("fp").agg(F.min("first").alias("component_id"), F.count("*").alias("rows_of_key"))
