@@ -130,6 +130,20 @@ def test_stream_gives_what_batch_gives(spark, tmp_path):
     assert out == want
 
 
+def test_long_pages_are_read_whole():
+    words = [f"word{i}" for i in range(9000)]
+    table = "<table>" + "".join("<tr>" + "".join(f"<td>{r}.{c}</td>" for c in range(12)) + "</tr>" for r in range(15)) + "</table>"
+    parts = [f"<h2>Head {i}</h2><a href='/{i}'>Link {i}</a> m{i}@x.org, +1 555 {1000 + i} {2000 + i}; {' '.join(words[i * 100 : i * 100 + 100])}" for i in range(90)]
+    page = H.readable("u", "<body>" + "".join(parts) + table * 6 + "<table></table><p>the end</body>")
+    assert len(page["text"]) > 80_000 and page["text"].endswith("the end") and all(w in page["text"] for w in ("word0 ", "word4500 ", "word8999"))
+    assert page["cleaned_html"].endswith("<p>the end</p>") and page["cleaned_html"].count("word") == 9000
+    assert page["headings"] == [f"Head {i}" for i in range(90)] and page["links"] == [{"text": f"Link {i}", "href": f"/{i}"} for i in range(90)]
+    assert page["tables"] == [[[f"{r}.{c}" for c in range(12)] for r in range(15)]] * 6
+    assert page["emails"] == [f"m{i}@x.org" for i in range(90)] and page["phones"] == [f"+1 555 {1000 + i} {2000 + i}" for i in range(90)]
+    nested = H.readable("u", "<table><tr><td>a<table><tr><td>b<td>c</table></table>")
+    assert nested["tables"] == [[["a b c", "b", "c"], ["b", "c"]], [["b", "c"]]]
+
+
 def test_deep_and_unclosed_markup():
     from weftline.sources import html as H
 
