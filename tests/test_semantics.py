@@ -144,6 +144,20 @@ def test_long_pages_are_read_whole():
     assert nested["tables"] == [[["a b c", "b", "c"], ["b", "c"]], [["b", "c"]]]
 
 
+def test_all_elements_of_a_page():
+    same, long = "The same beginning " * 10, "x" * 100
+    many = "".join(f"<li><a href='/{i}'>Link {i}</a><button>{same}{i}</button>" for i in range(3000))
+    named = f"<div id='{'d' * 200}'><p><input name='{long}1' title='{long}2' id='{long}3' placeholder='{long}4' aria-label='{long}5'></p><b><button>{same}</button><button>{same}</button></b></div>"
+    got = H.elements(f"<body><ul>{many}</ul>{named}{''.join(f'<i><a href=q>{same}{i}</a></i>' for i in range(3))}</body>")
+    links, buttons = ([e for e in got if e["tag"] == tag] for tag in ("a", "button"))
+    assert [e["href"] for e in links] == [f"/{i}" for i in range(3000)] + ["q"] * 3 and [e["text"] for e in links[3000:]] == [f"{same}{i}" for i in range(3)]
+    assert [e["text"] for e in buttons] == [f"{same}{i}" for i in range(3000)] + [same.strip()] * 2
+    assert [e["dom_path"] for e in buttons[2999:]] == ["body>ul>li:nth-of-type(3000)>button", f"div#{'d' * 200}>b>button:nth-of-type(1)", f"div#{'d' * 200}>b>button:nth-of-type(2)"]
+    field = next(e for e in got if e["tag"] == "input")
+    assert [field[k] for k in ("name", "title_attr", "id", "placeholder", "aria_label", "dom_path")] == [f"{long}{i}" for i in range(1, 6)] + [f"input#{long}3"]
+    assert [e["uid"] for e in got] == [f"nx-{i}" for i in range(1, len(got) + 1)] and len(got) == 6006
+
+
 def test_deep_and_unclosed_markup():
     from weftline.sources import html as H
 
