@@ -23,8 +23,8 @@ common are compared, all of them.
 
 Pairs are compared by marks first, a few bits a shingle, which rule out most of
 those below 0.8 and none above; only the others need whole sets. Both take as
-many pairs at a time as bounds what is written by the size of the corpus,
-however many pairs there are.
+many pairs at a time as bounds what is written by the size of the corpus; only
+the list of the pairs' ids grows with their number.
 """
 
 from __future__ import annotations
